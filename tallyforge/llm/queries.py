@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import simhash
+from tallyforge.llm import simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), simhash.RING)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.parse(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", substring.sha256_of("kept").alias("kept_sha256"), "n_factors")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op7_substring": op7_substring}
 
 
 def oracle_sql() -> dict[str, str]:
