@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import simhash, substring
+from tallyforge.llm import chat, mixing, packing, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +18,37 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), simhash.RING)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    position = F.round(F.expr(mixing.place_sql()), 6)
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", position.alias("position"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_chats(turns.unionByName(extra)))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.default_tokenizer())
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.parse(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", substring.sha256_of("kept").alias("kept_sha256"), "n_factors")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op7_substring": op7_substring}
+    return {
+        "op1_simhash": op1_simhash,
+        "op3_mixing": op3_mixing,
+        "op4_chat": op4_chat,
+        "op5_packing": op5_packing,
+        "op7_substring": op7_substring,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.oracle_sql(), "op4_chat": chat.oracle_sql()}
