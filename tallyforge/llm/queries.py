@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat, mixing, ngram_lm, packing, simhash, substring
+from tallyforge.llm import chat, media, mixing, ngram_lm, packing, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), simhash.RING)
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(_table(spark, sf_dir, "documents"))
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.read(stored).select(*columns)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     position = F.round(F.expr(mixing.place_sql()), 6)
@@ -47,6 +53,7 @@ def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_media": op2_media,
         "op3_mixing": op3_mixing,
         "op4_chat": op4_chat,
         "op5_packing": op5_packing,
