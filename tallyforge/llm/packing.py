@@ -11,8 +11,10 @@ place by its ordinal among the pieces of its length, counted in two distributed
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ CAPACITY = 4096
 END = 1
 BUCKETS = 64
 #: Words whose ids a worker remembers; then it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
+#: Punctuation that closes words.
+CLOSING = b".,;:!?|#*$%&"
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -98,32 +102,53 @@ def _encoder(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}
+        tokenizer = Tokenizer.from_file(path)
+        _tokenizers[path] = tokenizer, {}, "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
     return _tokenizers[path]
 
 
-def _encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit, word by word.
+def _core(word: bytes) -> bytes:
+    """The word without closing punctuation, where the tokenizer parts the two anyway.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its
-    words' ids; words repeat, and each is encoded once for as long as it's remembered.
+    Its pattern ends a run of letters or digits at punctuation, and nothing composes
+    across that place.
     """
-    tokenizer, known = _encoder(path)
-    split = [t.split() for t in texts]
-    new = list({w for ws in split for w in ws if w not in known})
+    core = word.rstrip(CLOSING)
+    if core == word or not core or not core.decode()[-1].isalnum():
+        return word
+    return core
+
+
+def _encode(texts: list[bytes], path: str) -> list[np.ndarray]:
+    """Ids of each text, word by word.
+
+    The tokenizer lowers case, drops white space and never joins across it, so a text's
+    ids are its words' ids; words repeat, and each is encoded once for as long as it's
+    remembered. (A text with a mark of special tokens keeps its case, which they need.)
+    """
+    tokenizer, known, code = _encoder(path)
+    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    new = set(filterfalse(known.__contains__, chain.from_iterable(split)))
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = list({w for ws in split for w in ws})
-    for i in range(0, len(new), 4096):
-        some = new[i : i + 4096]
-        for w, e in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        new = set(chain.from_iterable(split))
+    cores = {w: _core(w) for w in new}
+    closing = {w[len(c) :] for w, c in cores.items()} - {b""}
+    whole = list((set(cores.values()) | closing).difference(known))
+    for i in range(0, len(whole), 4096):
+        some = whole[i : i + 4096]
+        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+            known[w] = array(code, e.ids).tobytes()
+    for w, c in cores.items():
+        if len(c) < len(w):
+            known[w] = known[c] + known[w[len(c) :]]
+    kind = "<u2" if code == "H" else "<u4"
+    return [np.frombuffer(b"".join(map(known.__getitem__, ws)), kind).astype("<u4") for ws in split]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): each text's ids, cut at the capacity."""
-    end = np.array([END], "<u4").tobytes()
+    end = np.array([END], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,15 +156,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
                 data = buf.tobytes()
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, found in enumerate(_encode([data[a:b] for a, b in zip(offsets[:-1], offsets[1:])], tokenizer)):
-                    found += end
-                    for k, a in enumerate(range(0, len(found), 4 * capacity)):
-                        part = found[a : a + 4 * capacity]
+                    found = np.append(found, end)
+                    for k, a in enumerate(range(0, len(found), capacity)):
+                        part = found[a : a + capacity]
                         row.append(lo + i)
                         piece.append(k)
-                        start.append(a // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        ids.append(np.frombuffer(part, "<u4") if with_ids else None)
+                        start.append(a)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
+                        ids.append(part if with_ids else None)
                 columns = [batch.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.record_batch(columns + [pa.array(ids, pa.list_(pa.int64()))] * with_ids, names)
 
