@@ -52,3 +52,43 @@ def mapped(path: str) -> np.ndarray:
         return np.load(temporary, mmap_mode="r")
     finally:
         os.unlink(temporary)
+
+
+class Writer:
+    """A file in the shared folder that appears under its name only when closed."""
+
+    def __init__(self, path: str) -> None:
+        self.local, self.store = _local(path), None
+        if self.local is not None:
+            self.name = self.local
+            os.makedirs(os.path.dirname(self.name), exist_ok=True)
+            self.part = f"{self.name}.{uuid.uuid4().hex}"
+            self.out = open(self.part, "wb")  # noqa: SIM115
+        else:
+            from pyarrow import fs
+
+            self.store, self.name = fs.FileSystem.from_uri(path)
+            self.store.create_dir(os.path.dirname(self.name), recursive=True)
+            self.part = f"{self.name}.{uuid.uuid4().hex}"
+            self.out = self.store.open_output_stream(self.part)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+
+    def close(self) -> None:
+        self.out.close()
+        if self.store is None:
+            os.replace(self.part, self.name)
+        else:
+            self.store.move(self.part, self.name)
+
+
+def reader(path: str):
+    """A binary stream of a file in the shared folder."""
+    local = _local(path)
+    if local is not None:
+        return open(local, "rb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(name)
