@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import ann, chat, media, mixing, ngram_lm, packing, simhash, substring, warc
+from tallyforge.llm import ann, chat, media, mixing, ngram_lm, packing, quality, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    rows = quality.scored(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
+    return rows.select("doc_id", "text_score", "meta_score", "score", (F.col("score") >= quality.KEEP).alias("kept"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.parse(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", substring.sha256_of("kept").alias("kept_sha256"), "n_factors")
@@ -66,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_chat": op4_chat,
         "op5_packing": op5_packing,
+        "op6_quality": op6_quality,
         "op7_substring": op7_substring,
         "op8_ngram_lm": op8_ngram_lm,
         "op9_ann": op9_ann,

@@ -24,6 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,6 +154,34 @@ def parse(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: s
     return keyed.join(spans, "rk", "left").mapInArrow(run, schema)
 
 
+def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with repeated stretches cut out of the texts, all columns kept.
+
+    Rows that lose nothing keep their text as it is; rows that lose every word go. The
+    number of characters, where there is such a column, follows the text.
+    """
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    whole = keyed.select(F.xxhash64("__id", "__text").alias("rk"), F.col("__id").alias("id"), F.col("__text").alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("rest"))
+    spans = repeated_spans(whole, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
+                cut = _cut(batch.column("id").slice(lo, hi - lo), batch.column("spans").slice(lo, hi - lo), buf, offsets, window)
+                n, lost = cut.column(1), cut.column(2)
+                stay = pa.compute.or_(pa.compute.equal(lost, 0), pa.compute.less(lost, n))
+                yield pa.record_batch([batch.column("rest").slice(lo, hi - lo), cut.column(5), lost], ["rest", "text", "lost"]).filter(stay)
+
+    kind = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("rest")).schema["rest"].dataType
+    schema = T.StructType([T.StructField("rest", kind), T.StructField("text", T.StringType()), T.StructField("lost", T.LongType())])
+    out = whole.join(spans, "rk", "left").mapInArrow(run, schema)
+    named = {c: F.col(f"rest.`{c}`") for c in docs.columns if c != text_col} | {text_col: F.col("text")}
+    if chars_col in docs.columns:
+        was = docs.schema[chars_col].dataType
+        named[chars_col] = F.when(F.col("lost") > 0, F.length("text").cast(was)).otherwise(named[chars_col])
+    return out.select(*[named[c].alias(c) for c in docs.columns])
+
+
 def _cut(ids: pa.Array, spans: pa.Array, buf: np.ndarray, offsets: np.ndarray, window: int) -> pa.RecordBatch:
     rows = len(ids)
     starts, ends, first = B.words(buf, offsets)
