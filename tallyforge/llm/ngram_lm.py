@@ -31,8 +31,8 @@ from tallyforge.llm._session import new_path, staged
 
 U = np.uint64
 START, END, WORDS = 0, 1, 2
-PART_BYTES = 48 << 20
-FLUSH = 1 << 21
+PART_BYTES = 16 << 20
+FLUSH = 1 << 20
 _cache: dict[str, np.ndarray] = {}
 
 
