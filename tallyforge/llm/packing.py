@@ -14,7 +14,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ BUCKETS = 64
 REMEMBERED = 1_500_000
 #: Punctuation that closes words.
 CLOSING = b".,;:!?|#*$%&"
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[str, WordIds] = {}
 
 
 def default_tokenizer() -> str:
@@ -95,15 +95,79 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs
 
 
-def _encoder(path: str) -> tuple:
-    if path not in _tokenizers:
+class WordIds:
+    """Ids of the words met so far, in one flat array, by the words' 64-bit hashes."""
+
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        _tokenizers[path] = tokenizer, {}, "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.flat = np.zeros(1 << 16, f"<u{array(self.code).itemsize}")
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.lengths = np.zeros(1 << 14, np.int64)
+        self.held = 0
+
+    def of(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's number of ids, and all ids in order."""
+        unique, first, inverse = np.unique(B.word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        at = np.fromiter((self.slots.get(x, -1) for x in unique.tolist()), np.int64, len(unique))
+        new = np.flatnonzero(at < 0)
+        if len(self.slots) + len(new) > REMEMBERED:
+            self.forget()
+            new = np.arange(len(unique))
+        if len(new):
+            at[new] = len(self.slots) + np.arange(len(new))
+            data = low.tobytes()
+            self._learn(unique[new], [data[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+        return self.lengths[at][inverse], _gathered(self.flat, self.starts[at], self.lengths[at], inverse).astype("<u4")
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        cores = [_core(w) for w in words]
+        tails = [w[len(c) :] for w, c in zip(words, cores)]
+        parts = list({*cores, *tails})
+        place = {w: i for i, w in enumerate(parts)}
+        found: list[list[int]] = []
+        for i in range(0, len(parts), 4096):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in parts[i : i + 4096]], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), self.flat.dtype, int(size.sum()))
+        both = np.empty(2 * len(words), np.int64)  # a word is its core's ids and its tail's
+        both[::2] = [place[w] for w in cores]
+        both[1::2] = [place[w] for w in tails]
+        ids = _gathered(flat, np.cumsum(size) - size, size, both)
+        lengths = size[both].reshape(-1, 2).sum(1)
+        base = len(self.slots)
+        while len(self.flat) < self.held + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.starts) < base + len(words):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.held : self.held + len(ids)] = ids
+        self.starts[base : base + len(words)] = self.held + np.cumsum(lengths) - lengths
+        self.lengths[base : base + len(words)] = lengths
+        self.slots.update(zip(hashes.tolist(), range(base, base + len(words))))
+        self.held += len(ids)
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` one after another, in the given order."""
+    n = lengths[order]
+    total = np.cumsum(n)
+    where = np.repeat((starts[order] - (total - n)).astype(np.int32), n) if len(n) else np.zeros(0, np.int32)
+    where += np.arange(len(where), dtype=np.int32)
+    return flat[where]
+
+
+def _words_of(path: str) -> WordIds:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordIds(path)
     return _tokenizers[path]
 
 
@@ -119,31 +183,21 @@ def _core(word: bytes) -> bytes:
     return core
 
 
-def _encode(texts: list[bytes], path: str) -> list[np.ndarray]:
+def encode(buf: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:
     """Ids of each text, word by word.
 
     The tokenizer lowers case, drops white space and never joins across it, so a text's
     ids are its words' ids; words repeat, and each is encoded once for as long as it's
     remembered. (A text with a mark of special tokens keeps its case, which they need.)
     """
-    tokenizer, known, code = _encoder(path)
-    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    new = set(filterfalse(known.__contains__, chain.from_iterable(split)))
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = set(chain.from_iterable(split))
-    cores = {w: _core(w) for w in new}
-    closing = {w[len(c) :] for w, c in cores.items()} - {b""}
-    whole = list((set(cores.values()) | closing).difference(known))
-    for i in range(0, len(whole), 4096):
-        some = whole[i : i + 4096]
-        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-            known[w] = array(code, e.ids).tobytes()
-    for w, c in cores.items():
-        if len(c) < len(w):
-            known[w] = known[c] + known[w[len(c) :]]
-    kind = "<u2" if code == "H" else "<u4"
-    return [np.frombuffer(b"".join(map(known.__getitem__, ws)), kind).astype("<u4") for ws in split]
+    low = B.LOWER[buf]
+    mark = np.flatnonzero((buf[:-1] == 60) & (buf[1:] == 124))
+    for i in np.unique(np.searchsorted(offsets, mark, "right") - 1):
+        low[offsets[i] : offsets[i + 1]] = buf[offsets[i] : offsets[i + 1]]
+    starts, ends, first = B.words(low, offsets)
+    n, ids = _words_of(path).of(low, starts, ends)
+    bounds = np.concatenate(([0], np.cumsum(n)))[first]
+    return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -153,9 +207,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
-                data = buf.tobytes()
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, found in enumerate(_encode([data[a:b] for a, b in zip(offsets[:-1], offsets[1:])], tokenizer)):
+                for i, found in enumerate(encode(buf, offsets, tokenizer)):
                     found = np.append(found, end)
                     for k, a in enumerate(range(0, len(found), capacity)):
                         part = found[a : a + capacity]
