@@ -77,21 +77,26 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
         done, left = 0, counts[length]
         while left:
             room = tree.tightest(length)
+            # a bin that still holds another piece of this length is now the tightest one
+            each = (capacity if room is None else room) // length
+            n = max(1, left // each)
             if room is None:
-                first, n, room = opened, left, capacity
+                first, room = opened, capacity
                 opened += n
             else:
                 first, many = bins[room].popleft()
-                n = min(left, many)
+                n = min(n, many)
                 if many > n:
                     bins[room].appendleft((first + n, many - n))
                 tree.add(room, -n)
-            runs.append((length, done, n, first, capacity - room))
-            if room > length:
-                bins[room - length].append((first, n))
-                tree.add(room - length, n)
-            done += n
-            left -= n
+            each = min(each, left)
+            for k in range(each):
+                runs.append((length, done, n, first, capacity - room + k * length))
+                done += n
+            left -= n * each
+            if rest := room - each * length:
+                bins[rest].append((first, n))
+                tree.add(rest, n)
     return runs
 
 
