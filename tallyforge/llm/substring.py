@@ -123,13 +123,17 @@ def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
     index = blocks.groupBy("h", "b").agg(F.count("*").alias("n"), F.min(F.struct("rk", "sn")).alias("rep"))
     met = index.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("h", "kinds")
     index = staged(index.join(met, "h"), "reference-blocks")
-    whole = blocks.join(index.where("n > 1").select("h", "b", F.col("rep.rk").alias("ref"), F.col("rep.sn").alias("ref_sn")), ["h", "b"])
-    whole = whole.select("rk", F.expr(f"sn div {PACK}").alias("s"), F.expr(f"sn % {PACK}").alias("n"), "ref", F.expr(f"ref_sn div {PACK}").alias("ref_s"))
+    known = index.select("h", "b", F.col("n").alias("seen"), F.col("rep.rk").alias("ref"), F.expr(f"rep.sn div {PACK}").alias("ref_s"))
+    span = F.struct(F.expr(f"sn div {PACK}").alias("s"), F.expr(f"sn % {PACK}").alias("n"), "ref", "ref_s")
+    # each block meets its one entry of the index, if it has any: rows out are rows in
+    whole = blocks.join(known, ["h", "b"], "left").groupBy("rk").agg(F.collect_list(F.when(F.col("seen") > 1, span)).alias("spans"))
     wanted = index.where("kinds > 1").select("rep.rk", F.struct(F.col("rep.sn").alias("sn"), "h", F.col("n").alias("w")).alias("x")).groupBy("rk").agg(F.collect_list("x").alias("wanted"))
     windows = _boundary_windows(keyed.join(wanted, "rk"), window)
     again = windows.groupBy("h", "fp").agg(F.sum("w").alias("t"), F.min(F.struct("rk", "s")).alias("rep")).where("t > 1").select("h", "fp", "rep")
-    edges = windows.where("w = 1").join(again, ["h", "fp"]).select("rk", "s", F.lit(1).cast("long").alias("n"), F.col("rep.rk").alias("ref"), F.col("rep.s").alias("ref_s"))
-    return whole.unionAll(edges).distinct().groupBy("rk").agg(F.collect_list(F.struct("s", "n", "ref", "ref_s")).alias("spans"))
+    edge = F.struct("s", F.lit(1).cast("long").alias("n"), F.col("rep.rk").alias("ref"), F.col("rep.s").alias("ref_s"))
+    edges = windows.where("w = 1").join(again, ["h", "fp"]).groupBy("rk").agg(F.collect_list(edge).alias("spans"))
+    every = whole.where(F.size("spans") > 0).unionByName(edges)
+    return every.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def parse(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
