@@ -113,15 +113,16 @@ class Logistic:
         m = np.zeros(len(self.w) + 1)
         v = np.zeros(len(self.w) + 1)
         for t in range(1, steps + 1):
-            miss = sigmoid(x @ self.w + self.b) - y
-            g = np.append(x.T @ miss / len(y) + l2 * self.w, miss.mean())
+            # in the features' own precision: a mixed product would copy them at each step
+            miss = sigmoid(x @ self.w.astype(x.dtype) + self.b) - y
+            g = np.append(miss.astype(x.dtype) @ x / len(y) + l2 * self.w, miss.mean())
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
             self.w, self.b = self.w - step[:-1], self.b - step[-1]
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.w + self.b
+        return x @ self.w.astype(x.dtype) + self.b
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
