@@ -167,7 +167,16 @@ def parse(data: bytes) -> Parsed:
     checked: dict[bytes, bool] = {}
     while at < len(data):
         n = _size_at(data, at)
-        if not n or at + n > len(data):
+        protected = n and not data[at + 1] & 1
+        right = True
+        if protected:
+            lead = data[at : at + HEAD]
+            if lead not in checked:
+                checked[lead] = crc16(lead[2:4] + lead[6:]) == int.from_bytes(lead[4:6], "big")
+            right = checked[lead]
+        # a frame is one that a frame follows, or the end, or whose own checksum says so
+        followed = n and (at + n == len(data) or _size_at(data, at + n))
+        if not n or at + n > len(data) or not (followed or protected and right):
             to = _resync(data, at + (1 if n else 0))
             skipped += to - at
             at = to
@@ -185,12 +194,7 @@ def parse(data: bytes) -> Parsed:
                 table["payload"] = int.from_bytes(data[i + 4 : i + 12], "big")
             at += n
             continue
-        protected = not data[at + 1] & 1
-        if protected:
-            lead = data[at : at + HEAD]
-            if lead not in checked:
-                checked[lead] = crc16(lead[2:4] + lead[6:]) == int.from_bytes(lead[4:6], "big")
-            bad += not checked[lead]
+        bad += not right
         starts.append(at)
         bitrates.append(data[at + 2] >> 4)
         rates.append(data[at + 2] >> 2 & 3)
