@@ -47,8 +47,8 @@ class Setting:
 
 RING = Setting(shingle=3, lanes=1, distance=2, segments=16)
 #: Shingles of five words at a Jaccard similarity of 0.8 differ in 77 of 512 bits on
-#: average, with a standard deviation of 8.
-WIDE = Setting(shingle=5, lanes=8, distance=92, segments=8, views=12, rows=3)
+#: average, with a standard deviation of 8; 96 bits take in 99 of 100 such pairs.
+WIDE = Setting(shingle=5, lanes=8, distance=96, segments=8, views=12, rows=3)
 
 
 def _exact_hashes(data: bytes, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
