@@ -18,25 +18,30 @@ LINE_GAP = 0.05
 FAR_LEFT = 0.05
 
 
-def row_clusters(fragments: DataFrame) -> DataFrame:
-    """Adds row_y: each fragment, in order, joins the first row within the tolerance."""
+def clustered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One page with row_y: each fragment, in order, joins the first row within the tolerance."""
+    pdf = pdf.sort_values("frag_no", kind="stable")
+    rows: list[float] = []
+    out = []
+    for y in pdf["y"]:
+        near = next((r for r in rows if abs(y - r) <= ROW_TOLERANCE), None)
+        if near is None:
+            rows.append(y)
+            near = y
+        out.append(near)
+    return pdf.assign(row_y=out)
+
+
+def placed(fragments: DataFrame) -> DataFrame:
     columns = [c for c in ("doc", "page", "frag_no", "text", "x", "right", "y") if c in fragments.columns]
+    return fragments.where(F.trim("text") != "").select(*columns)
+
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frag_no", kind="stable")
-        rows: list[float] = []
-        out = []
-        for y in pdf["y"]:
-            near = next((r for r in rows if abs(y - r) <= ROW_TOLERANCE), None)
-            if near is None:
-                rows.append(y)
-                near = y
-            out.append(near)
-        return pdf.assign(row_y=out)
-
-    placed = fragments.where(F.trim("text") != "").select(*columns)
-    schema = ", ".join(f"{c} {t}" for c, t in placed.dtypes) + ", row_y double"
-    return placed.groupBy("doc", "page").applyInPandas(cluster, schema)
+def row_clusters(fragments: DataFrame) -> DataFrame:
+    """Adds row_y, page by page."""
+    shown = placed(fragments)
+    schema = ", ".join(f"{c} {t}" for c, t in shown.dtypes) + ", row_y double"
+    return shown.groupBy("doc", "page").applyInPandas(clustered, schema)
 
 
 def lines(rows: DataFrame) -> DataFrame:

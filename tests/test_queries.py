@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from tallyforge.plans import catalog
-from tallyforge.plans import queries as _registered  # noqa: F401
+from tallyforge.plans import eval_queries as _registered  # noqa: F401  (brings in all other queries)
 
 
 @pytest.fixture(scope="module")
