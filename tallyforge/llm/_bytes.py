@@ -29,7 +29,7 @@ def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``p**i`` and ``p**-i`` modulo 2**64 for i < n."""
     got = _powers.get(kind)
     if got is None or len(got[0]) < n:
-        size = max(n, CHUNK + 64)
+        size = -(-n // 65536) * 65536
         out = []
         for base in (STEP[kind], pow(STEP[kind], -1, 1 << 64)):
             a = np.full(size, base, U)
@@ -56,7 +56,7 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: s
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
 
-def text_chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows; null is empty."""
     texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
     if isinstance(texts, pa.ChunkedArray):
@@ -69,7 +69,7 @@ def text_chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int,
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         hi = min(hi, n)
         yield lo, hi, whole[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi

@@ -30,6 +30,8 @@ SURE = 0.97
 PER_ROUND = 400
 KEEP = 0.5
 BITS = 11
+#: Bytes of text viewed at a time; a view holds some forty bytes for each.
+CHUNK = 1 << 19
 META = 64 + 192 + 24
 STEPS = 120
 _UPPER = np.zeros(256, bool)
@@ -202,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
         text, meta = [], []
         base = 0
         for batch in table.to_batches():
-            for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
+            for lo, hi, buf, offsets in B.text_chunks(batch, "text", CHUNK):
                 at, bucket, value, dense = text_view(buf, offsets)
                 text.append((at + base, bucket, value, dense))
                 meta.append(meta_view(*(batch.column(c).slice(lo, hi - lo) for c in ("lang", "source", "n_chars"))))
@@ -236,7 +238,7 @@ def scored(docs: DataFrame, model: dict | None, prefix: str = "") -> DataFrame:
             n = batch.num_rows
             names = set(batch.schema.names)
             blank = pa.nulls(n, pa.string())
-            for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
+            for lo, hi, buf, offsets in B.text_chunks(batch, "text", CHUNK):
                 parts = batch.slice(lo, hi - lo)
                 if model is None:
                     p = [np.ones(hi - lo)] * 3
