@@ -150,3 +150,27 @@ def compare_baseline(baseline: DataFrame, now: DataFrame, *keys: str) -> DataFra
     both = baseline.withColumnsRenamed({"score": "was", "version": "was_version"}).join(now.withColumnsRenamed({"score": "is", "version": "is_version"}), list(keys), "full_outer")
     state = F.when(F.col("is").isNull(), "missing").when(F.col("was").isNull(), "new").when(F.col("was_version") != F.col("is_version"), "refused").when(F.abs(F.col("is") - F.col("was")) <= 1e-6, "same").when(F.col("is") > F.col("was"), "better").otherwise("worse")
     return both.withColumn("state", state)
+
+
+def worst_verdict(verdicts: DataFrame, *keys: str) -> DataFrame:
+    """The worst of each group's verdicts; a single FAIL over no rows at all."""
+    rank = F.array_position(F.array(F.lit("PASS"), F.lit("MARGINAL"), F.lit("FAIL")), F.col("verdict"))
+    worst = F.element_at(F.array(F.lit("PASS"), F.lit("MARGINAL"), F.lit("FAIL")), F.coalesce(F.max(rank), F.lit(3)).cast("int"))
+    return verdicts.groupBy(*keys).agg(worst.alias("verdict"))
+
+
+def throughput(calls: DataFrame, *keys: str) -> DataFrame:
+    """Tokens a second over all generation time, so long calls weigh more."""
+    told = calls.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.sum("ms").alias("ms"), F.count("*").alias("calls"))
+    return told.withColumn("tokens_per_second", F.when(F.col("ms") > 0, F.col("tokens") * 1000 / F.col("ms")))
+
+
+def coverage(declared: DataFrame, measured: DataFrame) -> DataFrame:
+    """Declared dimensions with whether anything measures them."""
+    seen = measured.select("dimension").distinct().withColumn("seen", F.lit(True))
+    return declared.join(seen, "dimension", "left").select("dimension", F.coalesce("seen", F.lit(False)).alias("measured"))
+
+
+def score_kinds(asserted: Column, expected: Column) -> Column:
+    """right, wrong or routed, for calibration."""
+    return F.when(asserted == "review", "routed").when(asserted == expected, "right").otherwise("wrong")

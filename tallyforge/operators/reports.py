@@ -76,3 +76,16 @@ def assert_self_contained(page: str) -> None:
                 raise ValueError("a style loads")
 
     Reader(convert_charrefs=True).feed(page)
+
+
+def numeric_columns(rows: Column) -> Column:
+    """For each column of a table (array of rows of cells), whether all cells below its
+    head, and one at least, are figures."""
+    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    body = F.slice(rows, F.lit(2), F.size(rows))
+
+    def column(i: Column) -> Column:
+        held = F.filter(F.transform(body, lambda r: F.try_element_at(r, i)), lambda c: c.isNotNull() & (F.trim(c) != ""))
+        return (F.size(held) > 0) & F.forall(held, lambda c: X.figure_cell(c))
+
+    return F.transform(F.sequence(F.lit(1), width), column)
