@@ -56,3 +56,42 @@ def letters(spark: SparkSession, copies: int, anchor: str = "2024-03-04") -> tup
     segments = base.select("document", F.posexplode(F.when(F.col("shape") == "pointed", parts).otherwise(F.slice(parts, 1, 2))).alias("ordinal", "text"))
     obligations = base.select(F.col("document").alias("seq"), "document", F.lit(1).alias("ordinal"), F.lit("reply").alias("kind"), F.concat(F.lit("Sender "), F.col("document").cast("string")).alias("party"), F.replace("deadline", F.lit("{d}"), later).alias("deadline"), F.replace("anchor", F.lit("{d}"), later).alias("anchor"), F.lit("high").alias("confidence"), "shape", day.alias("written"))
     return segments, obligations
+
+
+# Renewals: shape, terms of the earlier document, terms of the later one, and the verdict.
+RENEWALS = {
+    "unchanged": (["excess=£100"], ["excess=£100"], "unchanged"),
+    "dearer": (["premium=£200.00"], ["premium=£210.50"], "changed"),
+    "reworded": (["notice=14 days"], ["notice=21 days"], "changed"),
+    "respelt": (["limit=£500"], ["limit=£500.00"], "changed"),
+    "added": ([], ["fee=£5"], "added"),
+    "removed": (["fee=£5"], [], "removed"),
+    "stated_twice": (["excess=£100", "excess=£150"], ["excess=£100"], "stated_more_than_once"),
+    "relabelled": (["fee_a=£5"], ["fee_b=£5"], "labelled_differently"),
+}
+
+
+def renewals(spark: SparkSession, copies: int) -> tuple[DataFrame, DataFrame]:
+    """(terms, truth) of pairs of documents, each shape under a name of its own."""
+    rows = [(n, side, t.split("=")[0], t.split("=")[1]) for n, (a, b, _) in RENEWALS.items() for side, ts in ((0, a), (1, b)) for t in ts]
+    shapes = spark.createDataFrame(rows, "shape string, document int, label string, value string")
+    base = spark.range(copies).crossJoin(F.broadcast(shapes))  # two dozen terms
+    basis = F.concat_ws("_", F.col("shape"), F.col("id").cast("string"))
+    terms = base.select("document", "label", F.concat_ws(":", basis, "label").alias("term"), F.lit("per_claim").alias("basis"), "value", F.concat(F.lit("It is "), "value").alias("quote"), basis.alias("family"), "shape")
+    truth = spark.createDataFrame([(n, v) for n, (_, _, v) in RENEWALS.items()], "shape string, verdict string")
+    return terms, truth
+
+
+def swapped_roles(terms: DataFrame) -> DataFrame:
+    """The twin in which the two documents trade places: what was added is removed."""
+    return terms.withColumn("document", 1 - F.col("document"))
+
+
+def reordered(payments: DataFrame) -> DataFrame:
+    """The twin in which rows stand in another order, which no result may show."""
+    return payments.orderBy(F.xxhash64("seq", "raw_merchant"))
+
+
+def one_removed(payments: DataFrame, shape: str) -> DataFrame:
+    """The twin without one merchant of each account."""
+    return payments.where(F.col("shape") != shape)

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import cadence, evals, merchants, reports, timeline
+from tallyforge.operators import cadence, evals, merchants, reports, terms, timeline
 from tallyforge.sources import beds
 
 
@@ -34,3 +34,25 @@ def test_small_statistics(spark):
     assert {r.dimension: r.measured for r in evals.coverage(names, names.limit(1)).collect()} in ({"a": True, "b": False}, {"a": False, "b": True})
     table = spark.createDataFrame([([["item", "cost"], ["tea", "£1,200.50"], ["12", "3%"]],)], "rows array<array<string>>")
     assert table.select(reports.numeric_columns(F.col("rows"))).first()[0] == [False, True]
+
+
+def test_every_generated_renewal_is_told(spark):
+    rows, truth = beds.renewals(spark, 4)
+    families = rows.select("term", "family").distinct()
+    shape = F.regexp_extract("term", "^([a-z_]+?)_[0-9]+:", 1)
+    told = {}
+    for twin in (rows, beds.swapped_roles(rows)):
+        diff, refused = terms.compare(twin, 0, 1, families)
+        got = diff.select(shape.alias("shape"), F.col("change").alias("verdict")).unionByName(refused.select(shape.alias("shape"), F.col("why").alias("verdict")))
+        told[len(told)] = {(r.shape, r.verdict) for r in got.collect()}
+    assert told[0] == {(r.shape, r.verdict) for r in truth.collect()}
+    turned = {"added": "removed", "removed": "added"}
+    assert told[1] == {(s, turned.get(v, v)) for s, v in told[0]}
+
+
+def test_twins_of_statements(spark):
+    bed = beds.statements(spark, 2)
+    found = lambda df: {(r.account, r.merchant, r.period) for r in cadence.series(merchants.with_stem(df).withColumn("merchant", F.col("stem"))).collect()}
+    whole = found(bed)
+    assert found(beds.reordered(bed)) == whole
+    assert found(beds.one_removed(bed, "weekly")) == {x for x in whole if x[1] != "WEEKLY"}
