@@ -111,13 +111,15 @@ class Logistic:
     def __init__(self, width: int) -> None:
         self.w, self.b = np.zeros(width), 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray, l2: float, steps: int = STEPS, rate: float = 0.1) -> Logistic:
+    def fit(self, x: np.ndarray, y: np.ndarray, l2: float, steps: int = STEPS, rate: float = 0.1, weight: np.ndarray | None = None) -> Logistic:
+        """Rows of weight 0 don't count; so subsets need no copies of ``x``."""
+        share = np.full(len(y), 1 / len(y)) if weight is None else weight / weight.sum()
         m = np.zeros(len(self.w) + 1)
         v = np.zeros(len(self.w) + 1)
         for t in range(1, steps + 1):
             # in the features' own precision: a mixed product would copy them at each step
-            miss = sigmoid(x @ self.w.astype(x.dtype) + self.b) - y
-            g = np.append(miss.astype(x.dtype) @ x / len(y) + l2 * self.w, miss.mean())
+            miss = (sigmoid(x @ self.w.astype(x.dtype) + self.b) - y) * share
+            g = np.append(miss.astype(x.dtype) @ x + l2 * self.w, miss.sum())
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
             self.w, self.b = self.w - step[:-1], self.b - step[-1]
@@ -131,47 +133,42 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _dense(rows: int, at: np.ndarray, bucket: np.ndarray, value: np.ndarray, dense: np.ndarray, norm: tuple | None) -> tuple[np.ndarray, tuple]:
-    norm = norm or (dense.mean(0), dense.std(0) + 1e-6)
-    x = np.zeros((rows, (1 << BITS) + STATISTICS), np.float32)
-    x[at, bucket] = value
-    x[:, 1 << BITS :] = np.clip((dense - norm[0]) / norm[1], -8, 8)
-    return x, norm
-
-
-def cotrain(text: tuple, meta: np.ndarray, label: np.ndarray, fold: np.ndarray) -> dict | None:
-    """``label`` is -1 for the pool; rows of ``fold`` 0 calibrate. None without both classes."""
+def cotrain(x_text: np.ndarray, meta: np.ndarray, label: np.ndarray, fold: np.ndarray) -> dict | None:
+    """``x_text`` has the hashed features and then the statistics, which are scaled in
+    place; ``label`` is -1 for the pool; rows of ``fold`` 0 calibrate. None without both
+    classes."""
     rows = len(label)
     learn, check, pool = (np.flatnonzero(x) for x in ((label >= 0) & (fold > 0), (label >= 0) & (fold == 0), label < 0))
     if len(set(label[learn])) < 2 or len(set(label[check])) < 2:
         return None
-    x_text, norm = _dense(rows, *text, None)
+    numbers = x_text[:, 1 << BITS :].astype(np.float64)
+    centre, spread = numbers.mean(0), numbers.std(0) + 1e-6
+    x_text[:, 1 << BITS :] = np.clip((numbers - centre) / spread, -8, 8)
     x_meta = np.zeros((rows, META), np.float32)
     x_meta[np.arange(rows)[:, None], meta] = 1
     views = {"text": (x_text, 1e-5), "meta": (x_meta, 1e-3)}
-    taught = {v: ([], []) for v in views}
-    out: dict = {"norm": norm, "told": []}
+    told = {v: np.where(label < 0, 0, label).astype(float) for v in views}
+    counts = {v: np.isin(np.arange(rows), learn).astype(float) for v in views}
+    out: dict = {"norm": (centre, spread), "told": []}
     models: dict[str, Logistic] = {}
+    z: dict[str, np.ndarray] = {}
     for turn in range(ROUNDS + 1):
         for v, (x, l2) in views.items():
-            more, labels = taught[v]
-            ids = np.concatenate([learn, np.array(more, np.int64)])
-            models[v] = Logistic(x.shape[1]).fit(x[ids], np.concatenate([label[learn], np.array(labels, float)]), l2)
+            models[v] = Logistic(x.shape[1]).fit(x, told[v], l2, weight=counts[v])
+            z[v] = models[v].logit(x)
         if turn == ROUNDS:
             break
         for v, other in (("text", "meta"), ("meta", "text")):
-            z = calibrated(models[v].logit(views[v][0][check]), label[check], models[v].logit(views[v][0][pool]))
-            p, given = sigmoid(z), set(taught[other][0])
+            p = sigmoid(calibrated(z[v][check], label[check], z[v][pool]))
             for y, sure in ((1, p), (0, 1 - p)):
-                best = [i for i in np.argsort(-sure, kind="stable") if sure[i] >= SURE and int(pool[i]) not in given][:PER_ROUND]
-                taught[other][0].extend(pool[best].tolist())
-                taught[other][1].extend([y] * len(best))
-        out["told"].append({v: len(t[0]) for v, t in taught.items()})
-    z = np.stack([platt(models[v].logit(views[v][0][check]), label[check]).logit(models[v].logit(views[v][0][check])[:, None]) for v in views], axis=1)
+                best = [i for i in np.argsort(-sure, kind="stable") if sure[i] >= SURE and not counts[other][pool[i]]][:PER_ROUND]
+                told[other][pool[best]] = y
+                counts[other][pool[best]] = 1
+        out["told"].append({v: int(counts[v][pool].sum()) for v in views})
+    scales = {v: platt(z[v][check], label[check]) for v in views}
     for v in views:
-        scale = platt(models[v].logit(views[v][0][check]), label[check])
-        out[v] = (models[v].w.astype(np.float32), float(models[v].b), float(scale.w[0]), float(scale.b))
-    both = Logistic(2).fit(z, label[check].astype(float), 1e-3, 400)
+        out[v] = (models[v].w.astype(np.float32), float(models[v].b), float(scales[v].w[0]), float(scales[v].b))
+    both = Logistic(2).fit(np.stack([scales[v].logit(z[v][check][:, None]) for v in views], axis=1), label[check].astype(float), 1e-3, 400)
     out["both"] = (both.w, both.b)
     return out
 
@@ -200,18 +197,20 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     sample = _columns(docs, id_col).join(chosen, F.col("id") == F.col("k")).dropDuplicates(["k"]).select("text", "lang", "source", "n_chars", "y", "h")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("h")
-        text, meta = [], []
-        base = 0
+        table = table.sort_by("h")
+        n, base = table.num_rows, 0
+        x = np.zeros((n, (1 << BITS) + STATISTICS), np.float32)
+        meta = np.zeros((n, 3), np.int64)
         for batch in table.to_batches():
             for lo, hi, buf, offsets in B.text_chunks(batch, "text", CHUNK):
                 at, bucket, value, dense = text_view(buf, offsets)
-                text.append((at + base, bucket, value, dense))
-                meta.append(meta_view(*(batch.column(c).slice(lo, hi - lo) for c in ("lang", "source", "n_chars"))))
+                x[at + base, bucket] = value
+                x[base : base + hi - lo, 1 << BITS :] = dense
+                meta[base : base + hi - lo] = meta_view(*(batch.column(c).slice(lo, hi - lo) for c in ("lang", "source", "n_chars")))
                 base += hi - lo
-        view = tuple(np.concatenate(x) for x in zip(*text))
-        model = cotrain(view, np.concatenate(meta), table.column("y").to_numpy(), np.arange(base) % 5)
-        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+        label = table.column("y").to_numpy()
+        del table, batch
+        return pa.table({"model": pa.array([pickle.dumps(cotrain(x, meta, label, np.arange(n) % 5))], pa.binary())})
 
     got = sample.groupBy(F.lit(0).alias("all")).applyInArrow(run, "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else None
