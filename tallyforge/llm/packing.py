@@ -29,6 +29,7 @@ END = 1
 BUCKETS = 64
 #: Words whose ids a worker remembers; then it forgets them all.
 REMEMBERED = 1_500_000
+RECENT = 150_000
 #: Punctuation that closes words.
 CLOSING = b".,;:!?|#*$%&"
 _tokenizers: dict[str, WordIds] = {}
@@ -114,7 +115,9 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        # sorted hashes and their slots, the many and the recent: a few bytes a word
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
+        self.known = 0
         self.flat = np.zeros(1 << 16, f"<u{array(self.code).itemsize}")
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
@@ -123,13 +126,17 @@ class WordIds:
     def of(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's number of ids, and all ids in order."""
         unique, first, inverse = np.unique(B.word_hashes(low, starts, ends), return_index=True, return_inverse=True)
-        at = np.fromiter((self.slots.get(x, -1) for x in unique.tolist()), np.int64, len(unique))
+        at = np.full(len(unique), -1, np.int64)
+        for keys, slots in self.levels:
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, unique), len(keys) - 1)
+                at = np.where(keys[place] == unique, slots[place], at)
         new = np.flatnonzero(at < 0)
-        if len(self.slots) + len(new) > REMEMBERED:
+        if self.known + len(new) > REMEMBERED:
             self.forget()
             new = np.arange(len(unique))
         if len(new):
-            at[new] = len(self.slots) + np.arange(len(new))
+            at[new] = self.known + np.arange(len(new))
             data = low.tobytes()
             self._learn(unique[new], [data[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
         return self.lengths[at][inverse], _gathered(self.flat, self.starts[at], self.lengths[at], inverse).astype("<u4")
@@ -149,7 +156,7 @@ class WordIds:
         both[1::2] = [place[w] for w in tails]
         ids = _gathered(flat, np.cumsum(size) - size, size, both)
         lengths = size[both].reshape(-1, 2).sum(1)
-        base = len(self.slots)
+        base = self.known
         while len(self.flat) < self.held + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.starts) < base + len(words):
@@ -157,8 +164,19 @@ class WordIds:
         self.flat[self.held : self.held + len(ids)] = ids
         self.starts[base : base + len(words)] = self.held + np.cumsum(lengths) - lengths
         self.lengths[base : base + len(words)] = lengths
-        self.slots.update(zip(hashes.tolist(), range(base, base + len(words))))
         self.held += len(ids)
+        self.known += len(words)
+        many, recent = self.levels
+        recent = _joined(recent, (hashes, np.arange(base, base + len(words), dtype=np.int32)))
+        if len(recent[0]) > RECENT:
+            many, recent = _joined(many, recent), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.levels = [many, recent]
+
+
+def _joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([a[0], b[0]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate([a[1], b[1]])[order]
 
 
 def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
