@@ -8,10 +8,10 @@ Two settings of one operator:
   the index key, longer chains prune, and the full Hamming check decides. Exact.
 * ``WIDE``: eight lanes (512 bits) for shingle similarity of 0.8, where 64-bit
   fingerprints differ in about 10 bits and no ring chain is selective. Candidates share
-  one of 12 min-wise views (3 sampled shingles each); the ring of 8 lanes prunes and the
-  512-bit Hamming distance decides.
+  one of 12 min-wise views (3 sampled shingles each), the ring of 8 lanes prunes, and the
+  Jaccard similarity of the two sets of shingles decides.
 
-Equal fingerprints are one class before any candidate is made. Buckets of more than
+Equal fingerprints (of equal sets, in ``WIDE``) are one class before any candidate is made. Buckets of more than
 ``BUCKET`` classes are compared too: within 2 bits by their shared middle points (one
 bit from both), else block by block, with a spanning forest of links as the only output.
 """
@@ -43,12 +43,14 @@ class Setting:
     segments: int
     views: int = 0
     rows: int = 0
+    similar: tuple[int, int] | None = None  # least similarity of the sets, as a fraction
 
 
 RING = Setting(shingle=3, lanes=1, distance=2, segments=16)
-#: Shingles of five words at a Jaccard similarity of 0.8 differ in 77 of 512 bits on
-#: average, with a standard deviation of 8; 96 bits take in 99 of 100 such pairs.
-WIDE = Setting(shingle=5, lanes=8, distance=96, segments=8, views=12, rows=3)
+#: Sets of shingles at a Jaccard similarity of 0.8 differ in 77 of 512 bits on average,
+#: in 96 for the worst sizes (4 of 5 shingles), with a standard deviation of 8 to 9; 160
+#: bits are seven of those away. Unlike texts differ in 256.
+WIDE = Setting(shingle=5, lanes=8, distance=160, segments=8, views=12, rows=3, similar=(4, 5))
 
 
 def _exact_hashes(data: bytes, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +87,22 @@ def _rolling_hashes(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
     return B.spans_hash(hashes, begin, np.minimum(begin + k, np.repeat(first[1:], count)), "a"), bounds
 
 
+def _sets(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's different hashes in order; rows' bounds in the result."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    h = h[np.lexsort((h, row))]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[first], np.append(0, np.cumsum(np.bincount(row[first], minlength=len(bounds) - 1)))
+
+
+def _shingles(buf: np.ndarray, offsets: np.ndarray, s: Setting) -> tuple[np.ndarray, np.ndarray]:
+    low = B.LOWER[buf]
+    if s.lanes == 1:
+        return _exact_hashes(low.tobytes(), offsets, s.shingle)
+    return _sets(*_rolling_hashes(low, offsets, s.shingle))
+
+
 def majority(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Per row a 64-bit word whose bit is 1 if set in over half the row's hashes."""
     rows = len(bounds) - 1
@@ -128,35 +146,51 @@ def _view_keys(h: np.ndarray, bounds: np.ndarray, s: Setting) -> np.ndarray:
             key = np.full(len(some), v + 1, np.uint64)
             for r in range(s.rows):
                 odd = np.uint64((0x9E3779B97F4A7C15 * (2 * (v * s.rows + r) + 3)) & (2**64 - 1) | 1)
-                key = B.mix(key ^ np.minimum.reduceat(B.mix(h * odd) if r == 0 else (h * odd) ^ (h >> np.uint64(29)), bounds[:-1][some]))
+                key = B.mix(key ^ np.minimum.reduceat(B.mix(h * odd), bounds[:-1][some]))
             keys[some, v] = key
     return keys
 
 
 def fingerprints(docs: DataFrame, setting: Setting, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lanes, keys) of each row; texts are lower-cased in A-Z, null is empty.
+    """(id, lanes, keys, whole) of each row; texts are lower-cased in A-Z, null is empty.
 
     Fewer words than a shingle: the whole sequence is the one shingle. No words: zero.
+    Where the sets of shingles decide, a repeated shingle counts once, and ``whole``
+    tells sets apart; else it is 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
-                low = B.LOWER[buf]
-                if setting.lanes == 1:
-                    h, bounds = _exact_hashes(low.tobytes(), offsets, setting.shingle)
-                else:
-                    h, bounds = _rolling_hashes(low, offsets, setting.shingle)
+                h, bounds = _shingles(buf, offsets, setting)
                 lanes = np.stack(
                     [majority(h if setting.lanes == 1 else B.mix(h + np.uint64(0xA0761D6478BD642F * (k + 1) & (2**64 - 1))), bounds) for k in range(setting.lanes)],
                     axis=1,
                 )
                 keys = _view_keys(h, bounds, setting) if setting.views else _ring_keys(lanes[:, 0], setting)
-                yield pa.record_batch([ids.slice(lo, hi - lo), _lists(lanes), _lists(keys)], ["id", "lanes", "keys"])
+                whole = np.zeros(hi - lo, np.uint64)
+                some = np.flatnonzero(np.diff(bounds))
+                if setting.similar and len(some):
+                    whole[some] = np.add.reduceat(B.mix(h), bounds[:-1][some])
+                yield pa.record_batch([ids.slice(lo, hi - lo), _lists(lanes), _lists(keys), pa.array(whole.view(np.int64))], ["id", "lanes", "keys", "whole"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, lanes array<long>, keys array<long>")
+    return rows.mapInArrow(run, "id long, lanes array<long>, keys array<long>, whole long")
+
+
+def _shingle_sets(docs: DataFrame, s: Setting) -> DataFrame:
+    """(id, shingles) of each row of (id, text): the hashes of its different shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
+                h, bounds = _shingles(buf, offsets, s)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.record_batch([ids.slice(lo, hi - lo), lists], ["id", "shingles"])
+
+    return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
 def _lists(a: np.ndarray) -> pa.ListArray:
@@ -181,8 +215,9 @@ def _pair_test(s: Setting) -> str:
     return f"exists(transform(array({gaps}), d -> exists(sequence(0, {s.segments - 1}), i -> d[i] <= {s.distance / s.segments} AND {chain})), ok -> ok)"
 
 
-def links(classes: DataFrame, s: Setting) -> DataFrame:
-    """(a, b) between classes (node, lanes, keys) that are within the distance.
+def links(classes: DataFrame, s: Setting, docs: DataFrame | None = None) -> DataFrame:
+    """(a, b) between classes (node, lanes, keys) that are within the distance and, if
+    the setting has a least similarity, that similar by the texts of ``docs`` (id, text).
 
     Small buckets give every such pair; large ones enough pairs to connect all that
     such pairs connect.
@@ -199,7 +234,18 @@ def links(classes: DataFrame, s: Setting) -> DataFrame:
     large = shared.where(F.col("n") > BUCKET)
     if s.lanes == 1 and s.distance == 2:
         return pairs.unionAll(_by_middle(large))
-    return pairs.unionAll(_by_blocks(large, s))
+    pairs = staged(pairs.where("a <> b").distinct(), "pairs")
+    used = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(large.select(F.col("node").alias("id"))).distinct()
+    sets = staged(_shingle_sets(docs.join(used, "id", "left_semi").dropDuplicates(["id", "text"]), s), "shingles")
+    return _similar(pairs, sets, s).unionAll(_by_blocks(large, sets, s))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, s: Setting) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    least, whole = s.similar
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y")).cast("long")
+    return both.where(common * (whole + least) >= (F.size("x").cast("long") + F.size("y")) * least).select("a", "b")
 
 
 def _by_middle(large: DataFrame) -> DataFrame:
@@ -210,35 +256,42 @@ def _by_middle(large: DataFrame) -> DataFrame:
     return around.join(least, "point").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _by_blocks(large: DataFrame, s: Setting) -> DataFrame:
+def _by_blocks(large: DataFrame, sets: DataFrame, s: Setting) -> DataFrame:
     """Compare a bucket's blocks two by two; emit a spanning forest of each comparison."""
     blocks = f"cast(ceil(n / {BLOCK}) as int)"
     dealt = large.select("key", "node", "lanes", F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)").alias("own"), F.explode(F.expr(f"sequence(0, {blocks} - 1)")).alias("other"))
-    dealt = dealt.select("key", "node", "lanes", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    distance = s.distance
+    dealt = dealt.select("key", "node", "lanes", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    dealt = dealt.join(sets.withColumnRenamed("id", "node"), "node")
+    distance, (least, whole) = s.distance, s.similar
 
     def compare(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
         lanes = np.array(table.column("lanes").to_pylist(), np.int64).view(np.uint64).reshape(len(node), -1)
-        parent = np.arange(len(node))
+        lists = table.column("shingles").combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        values, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        start = np.cumsum(size) - size
+        mine = np.zeros(len(values), bool)
+        tree = np.arange(len(node))  # the same number: connected already
         a, b = [], []
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
         for i in range(len(node) - 1):
-            gap = np.zeros(len(node) - i - 1, np.int64)
+            rest = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
+            # the smaller set within the larger one is the most there can be in common
+            rest = rest[np.minimum(size[rest], size[i]) * whole >= np.maximum(size[rest], size[i]) * least]
+            gap = np.zeros(len(rest), np.int64)
             for k in range(lanes.shape[1]):
-                gap += np.bitwise_count(lanes[i + 1 :, k] ^ lanes[i, k])
-            for j in np.flatnonzero(gap <= distance) + i + 1:
-                x, y = root(i), root(int(j))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
+                gap += np.bitwise_count(lanes[rest, k] ^ lanes[i, k])
+            rest = rest[(gap <= distance) & (size[rest] > 0)]
+            mine[code[start[i] : start[i] + size[i]]] = True
+            for j in rest.tolist():
+                if tree[j] == tree[i]:
+                    continue
+                common = np.count_nonzero(mine[code[start[j] : start[j] + size[j]]])
+                if common * (whole + least) >= (size[i] + size[j]) * least:
+                    tree[tree == tree[j]] = tree[i]
                     a.append(node[i])
                     b.append(node[j])
+            mine[code[start[i] : start[i] + size[i]]] = False
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
@@ -255,18 +308,19 @@ def near_duplicates(docs: DataFrame, setting: Setting = RING, id_col: str = "doc
     table gives an empty table. Other columns are not read, so their names can't clash.
     """
     prints = staged(fingerprints(docs, setting, id_col, text_col), "fingerprints")
-    classes = staged(prints.groupBy("lanes").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys")), "classes")
-    found = staged(links(classes, setting).distinct(), "links")
+    classes = staged(prints.groupBy("lanes", "whole").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys")), "classes")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = staged(links(classes, setting, texts).distinct(), "links")
     degree = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = components(found)
     known = (
-        classes.select("lanes", "node")
+        classes.select("lanes", "whole", "node")
         .join(linked, "node", "left")
         .join(degree, "node", "left")
-        .select("lanes", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("lanes", "whole", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
     hexed = F.expr("lower(array_join(transform(lanes, x -> lpad(hex(x), 16, '0')), ''))")
-    return prints.select("id", "lanes").join(known, "lanes").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id", "n_links")
+    return prints.select("id", "lanes", "whole").join(known, ["lanes", "whole"]).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, setting: Setting = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,6 +87,43 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert {r.component_id for r in simhash.near_duplicates(docs, simhash.WIDE).collect()} == {0}
 
 
+def shingle_set(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 2])
+def test_wide_setting_links_at_the_similarity_and_not_below(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    texts = []
+    for changed in (22, 24, 26, 28, 30, 40):  # a family is one text with its end rewritten
+        for _ in range(8):
+            base = word(204)
+            texts += [base, *(base[: 204 - changed] + word(changed) for _ in range(3))]
+    for n in (7, 8, 8, 8, 8, 8, 8, 9):  # short texts: 3 of 4 shingles, 4 of 5, 5 of 6
+        base = word(n)
+        texts += [base, base[:-1]]
+    loop, more = word(5), word(40)  # repeats count once
+    texts += [loop * 30 + more, loop * 2 + more]
+    texts = [" ".join(t) for t in texts]
+    sets = [shingle_set(t) for t in texts]
+    least = {i: i for i in range(len(texts))}
+    for _ in texts:
+        was = dict(least)
+        for i, x in enumerate(sets):
+            for j in range(max(0, i - 3), i):
+                if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+        if was == least:
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.WIDE).collect()} == least
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(least.values()))
+
+
 def test_edges_of_the_input(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, " \t", None), (None, "Alpha beta", "b"), (7, "alpha BETA", "b"), (7, "alpha beta", "b"), (8, "x " * 50_000, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lanes string")
