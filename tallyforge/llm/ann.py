@@ -201,33 +201,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             return empty
         own = own.sort_by([("node", "ascending"), ("id", "ascending")])
         ids, node, v = own.column("id").to_numpy(), own.column("node").to_numpy(), _matrix(own.column("v"))
+        fresh = np.append(True, (node[1:] != node[:-1]) | (ids[1:] != ids[:-1]))  # a node holds an id once
+        ids, node, v = ids[fresh], node[fresh], v[fresh]
         first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         bounds = np.append(first, len(node))
         x = v[first].astype(np.float32)
         norms = (x * x).sum(1)
-        links = _matrix(own.column("neighbours"))[first].astype(np.int64)
+        links = _matrix(own.column("neighbours"))[fresh][first].astype(np.int64)
         entry = np.array([own.column("entry")[0].as_py()])
         q_ids, q = ask.column("id").to_numpy(), _matrix(ask.column("v"))
         out = ([], [], [])
+
+        def different(nodes: np.ndarray, own_id: int, at: np.ndarray) -> dict[int, float]:
+            """The nodes' nearest k ids and those as far as the last, other than the query's."""
+            score = np.sqrt(((v[first[nodes]] - at) ** 2).sum(1))
+            got, last = {}, np.inf
+            for j in np.argsort(score, kind="stable"):
+                if score[j] > last:
+                    break
+                # equal vectors in one go; more than k smallest new ids of a node are never needed
+                a, b = bounds[nodes[j]], bounds[nodes[j] + 1]
+                new = [x for x in ids[a : min(b, a + k + 1 + len(got))].tolist() if x != own_id and x not in got]
+                got.update(dict.fromkeys(new[:k], score[j]))
+                if len(got) >= k:
+                    last = score[j]
+            return got
+
         for lo in range(0, len(q), BATCH):
             found, _ = beam_search(x, norms, links, entry, q[lo : lo + BATCH].astype(np.float32), SEARCH_BEAM)
             for i, mine in enumerate(found):
-                mine = mine[mine >= 0]
-                score = np.sqrt(((v[first[mine]] - q[lo + i]) ** 2).sum(1))
-                order = np.argsort(score, kind="stable")
-                # equal vectors in one go; more than k smallest ids of a node are never needed
-                got_ids, got = [], []
-                for j in order:
-                    a, b = bounds[mine[j]], bounds[mine[j] + 1]
-                    few = ids[a : min(b, a + k + 1)]
-                    few = few[few != q_ids[lo + i]]
-                    got_ids.extend(few.tolist())
-                    got.extend([score[j]] * len(few))
-                    if len(got) > k and score[j] > got[k - 1]:
-                        break
+                got = different(mine[mine >= 0], q_ids[lo + i], q[lo + i])
+                if len(got) < k and (mine >= 0).sum() < len(first):  # few ids have all the nodes met
+                    got = different(np.arange(len(first)), q_ids[lo + i], q[lo + i])
                 out[0].extend([q_ids[lo + i]] * len(got))
-                out[1].extend(got_ids)
-                out[2].extend(got)
+                out[1].extend(got)
+                out[2].extend(got.values())
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     found = held.groupBy("dim", "shard", "block").cogroup(sent.groupBy("dim", "shard", "block")).applyInArrow(run, "query_id long, id long, score double")

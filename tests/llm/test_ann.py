@@ -43,6 +43,25 @@ def test_one_vector_for_most_rows(spark, monkeypatch):
     assert [r.vec_id for r in sorted((r for r in got if r.query_id == 300), key=lambda r: r.rank)] == [i for i, _ in exact(ids, x, 300, 10)]
 
 
+def test_repeated_ids_leave_k_different_ones(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(100)]
+    twice = rows * 2
+    same = [(1000, [9.0, 9.0, 9.0])] * 15 + [(i, [9.0, 9.0, 9.0]) for i in range(1001, 1015)]  # a query that stands 15 times
+    spread = [(2000, (np.array([-9.0, -9.0, -9.0]) + 0.01 * rng.standard_normal(3)).tolist()) for _ in range(200)]  # one id at 200 places
+    every = twice + same + spread
+    frame = spark.createDataFrame(every, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, rows[0][1]), (7, rows[7][1]), (1000, [9.0, 9.0, 9.0]), (2000, [-9.0, -9.0, -9.0]), (3000, [-9.0, -9.0, -9.0])], "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, asked).collect()
+    for q, at in asked.collect():
+        least = {}
+        for i, x in every:
+            if i != q:
+                least[i] = min(least.get(i, np.inf), float(np.linalg.norm(np.array(x) - at)))
+        want = [i for i, _ in sorted(least.items(), key=lambda x: (x[1], x[0]))][:10]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
 def test_edges_of_the_input(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]), (6, [1.0, None]), (7, [1.0, 2.0, 3.0]), (8, []), (9, [float("inf"), 1.0]), (100, [5.0, 5.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
