@@ -75,17 +75,16 @@ def _decimal(c: Column) -> Column:
 
 
 def positional_layout(rows: DataFrame) -> Layout | None:
-    """A layout by cell shapes, if any row of the file's head has them."""
+    """A layout by cell shapes, if any row has them."""
     n = len(rows.columns)
     c = [F.coalesce(F.col(x), F.lit("")) for x in rows.columns]
-    head = rows.limit(50)
     if n == 12:
         fits = D.parse_date(F.trim(c[1]), OLD_EXPORT[2]).isNotNull() & _decimal(c[2]) & _currency(c[3]) & _decimal(c[4]) & _currency(c[5]) & (F.trim(c[8]) != "")
-        if head.where(fits).take(1):
+        if rows.where(fits).take(1):
             return Layout("twelve columns", rows.columns[1], OLD_EXPORT[2], rows.columns[8], rows.columns[2])
     if n in CARD_EXPORT[0]:
         fits = D.parse_date(F.trim(c[2]), CARD_EXPORT[2]).isNotNull() & (F.trim(c[3]) != "") & _decimal(c[4]) & _currency(c[5]) & _decimal(c[6]) & _currency(c[7]) & _decimal(c[8]) & D.parse_date(F.trim(c[9]), CARD_EXPORT[2]).isNotNull()
-        if head.where(fits).take(1):
+        if rows.where(fits).take(1):
             return Layout("card", rows.columns[2], CARD_EXPORT[2], rows.columns[3], rows.columns[4], positive="debit")
     return None
 

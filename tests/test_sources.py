@@ -45,6 +45,17 @@ def test_positions(spark, tmp_path):
         statements.read_input(spark, "x.pdf")
 
 
+def test_positions_after_a_long_preamble(spark, tmp_path):
+    old = ["id", "2019-03-04 10:11:12 +0000", "-4.20", "GBP", "-4.20", "GBP", "eating", "x", "CAFE 12", "", "", ""]
+    card = ["", "", "05/01/2024", "SHOP", "3.10", "GBP", "3.10", "GBP", "1.00", "06/01/2024", *[""] * 10]
+    for row, name in ((old, "CAFE 12"), (card, "SHOP")):
+        lines = [[f"h{i}" for i in range(len(row))], *[["foreign"] * len(row)] * 120, row]
+        (tmp_path / "late.csv").write_text("\n".join(map(",".join, lines)) + "\n")
+        good, bad = statements.read_statement(spark, str(tmp_path / "late.csv"))
+        assert [r.raw_merchant for r in good.collect()] == [name]
+        assert bad.count() == 120
+
+
 def test_documents(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo")
     (tmp_path / "b.MD").write_text("three")
