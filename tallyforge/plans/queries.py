@@ -271,7 +271,7 @@ def timeline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a date line before or deep inside the text."""
     day = D.in_words(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")))
-    blocks = F.array(F.lit("To the reader"), F.substring("text", 1, 400), F.concat(F.lit("Written on "), day), F.substring("text", 401, 400), F.concat(F.lit("Again "), day))
+    blocks = F.array(F.lit("To the reader"), F.substring("text", 1, 400), F.concat(F.lit("Written on "), day), F.expr("substring(text, 401)"), F.concat(F.lit("Again "), day))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.posexplode(blocks).alias("ordinal", "text"))
 
 

@@ -8,6 +8,7 @@ from tallyforge.functions import numbers as N
 from tallyforge.functions import similarity
 from tallyforge.functions import text as X
 from tallyforge.operators import geometry, passages, relations, terms, timeline
+from tallyforge.plans import queries
 
 MAY = dt.date(2026, 5, 22)
 
@@ -125,3 +126,10 @@ def test_relations(spark):
     assert relations.smallest_difference(pairs).where("relation = 'less'").first().difference.entry == "2"
     change = spark.createDataFrame([("less", "b", "left", "2")], "relation string, grp string, side string, entry string")
     assert relations.controlled(pairs.where("relation = 'less'"), change).first().holds
+
+
+def test_letter_date_window_gives_whole_texts(spark, tmp_path):
+    text = "".join(f"word{i} " for i in range(400))
+    spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    blocks = {(r.document, r.ordinal): r.text for r in queries._headed(spark, str(tmp_path)).collect()}
+    assert {d: blocks[d, 1] + blocks[d, 3] for d in (1, 2)} == {1: text, 2: "short"}
