@@ -127,6 +127,8 @@ class Parsed:
     bad_checksums: int
     skipped: int
     payload: bytes
+    seek: bytes
+    agrees: bool
 
 
 def _size_at(data: bytes, i: int) -> int:
@@ -162,6 +164,7 @@ def parse(data: bytes) -> Parsed:
             i += 10 + n
         at = end
     table: dict[str, int] = {}
+    seek, info = None, 0
     starts, bitrates, rates, parts = [], [], [], []
     bad = skipped = 0
     checked: dict[bytes, bool] = {}
@@ -189,7 +192,13 @@ def parse(data: bytes) -> Parsed:
                 if flags & bit:
                     table[name] = int.from_bytes(data[i : i + 4], "big")
                     i += 4
-            i += 100 * bool(flags & 4) + 4 * bool(flags & 8)
+            info = at
+            if flags & 4:
+                seek = data[i : i + 100]
+                i += 100
+            if flags & 8:
+                table["quality"] = int.from_bytes(data[i : i + 4], "big")
+                i += 4
             if data[i : i + 4] == b"PAYL":
                 table["payload"] = int.from_bytes(data[i + 4 : i + 12], "big")
             at += n
@@ -202,7 +211,20 @@ def parse(data: bytes) -> Parsed:
         at += n
     payload = b"".join(parts)
     rate = HERTZ[rates[0]] if rates else HERTZ[RATE]
-    return Parsed(tags, table, np.array(starts, np.int64), np.array(bitrates, np.int64), len(starts) * SAMPLES / rate, rate, bad, skipped, payload[: table.get("payload", len(payload))])
+    offsets = np.array(starts, np.int64)
+    agrees = _agrees(table, seek, offsets, info, len(data))
+    return Parsed(tags, table, offsets, np.array(bitrates, np.int64), len(starts) * SAMPLES / rate, rate, bad, skipped, payload[: table.get("payload", len(payload))], seek or b"", agrees)
+
+
+def _agrees(table: dict[str, int], seek: bytes | None, offsets: np.ndarray, info: int, end: int) -> bool:
+    """The table tells the frames found, and its bytes and seek entries, if any, theirs."""
+    n, total = len(offsets), end - info
+    if table.get("frames", -1) != n or table.get("bytes", total) != total:
+        return False
+    if seek is None or not n:
+        return True
+    places = np.minimum(255, 256 * (offsets[np.arange(100) * n // 100] - info) // total)
+    return seek == places.astype(np.uint8).tobytes()
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +266,7 @@ def read(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
                     first, last = (int(p.offsets[0]), int(p.offsets[-1])) if len(p.offsets) else (-1, -1)
                     mean = len(data) * 8 / p.seconds / 1000 if p.seconds else 0.0
                     feature = f"frames={len(p.offsets)};samples={len(p.offsets) * SAMPLES};rate={p.rate};kbps={mean:.3f};first={first};last={last};bad={p.bad_checksums};skipped={p.skipped};title={p.tags.get('TIT2', '')}"
-                    out.append((len(p.payload), hashlib.sha256(p.payload).hexdigest(), tail, len(data), hashlib.sha256(data).hexdigest(), feature, p.seconds, len(p.offsets), p.offsets, p.bad_checksums, p.table.get("frames", -1) == len(p.offsets)))
+                    out.append((len(p.payload), hashlib.sha256(p.payload).hexdigest(), tail, len(data), hashlib.sha256(data).hexdigest(), feature, p.seconds, len(p.offsets), p.offsets, p.bad_checksums, p.agrees))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_())
                 yield pa.record_batch([part.column("id"), *(part.column(c) for c in columns), *(pa.array(list(x), k) for x, k in zip(zip(*out), kinds))], names)
 

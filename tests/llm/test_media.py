@@ -42,6 +42,22 @@ def test_resynchronises_after_damage():
     assert media.parse(stream[:-5]).skipped > 0
 
 
+def test_table_is_held_against_the_frames(spark):
+    stream = media.encode(media.padded(b"hello " * 5000))
+    at = stream.index(b"Xing")
+    whole = media.parse(stream)
+    assert whole.seek == stream[at + 16 : at + 116] and whole.table["quality"] == 0
+    wrong = [stream]
+    for place in (at + 11, at + 15, at + 16, at + 66, at + 115):  # frames, bytes, three seek entries
+        hurt = bytearray(stream)
+        hurt[place] ^= 1
+        wrong.append(bytes(hurt))
+    rows = spark.createDataFrame(list(enumerate(map(bytearray, wrong))), "doc_id long, media binary")
+    got = {r.doc_id: r for r in media.read(rows).collect()}
+    assert [got[i].table_agrees for i in range(6)] == [True] + [False] * 5
+    assert len({r.payload_sha256 for r in got.values()}) == 1
+
+
 def test_checksum():
     assert media.crc16(b"123456789") == 0xAEE7  # the catalogued value of these parameters
 
