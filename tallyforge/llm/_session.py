@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +29,49 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_folders: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one. It goes when the driver's Python
+    ends, or by ``clear``; until then results that read from it can be read."""
+    found = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if found not in _folders:
+        _folders.add(found)
+        atexit.register(_delete_quietly, spark, found)
+    return found
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables, models and archives of this application. Lazy results that
+    still read them are void."""
+    _delete(spark, run_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _delete_quietly(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        _delete(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that no column has, in any case."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -47,6 +91,4 @@ def forget(df: DataFrame) -> None:
     """Delete a table that ``staged`` wrote and that no later plan reads."""
     path = getattr(df, "_staged_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)

@@ -11,9 +11,15 @@ Two settings of one operator:
   one of 12 min-wise views (3 sampled shingles each), the ring of 8 lanes prunes, and the
   Jaccard similarity of the two sets of shingles decides.
 
-Equal fingerprints (of equal sets, in ``WIDE``) are one class before any candidate is made. Buckets of more than
-``BUCKET`` classes are compared too: within 2 bits by their shared middle points (one
-bit from both), else block by block, with a spanning forest of links as the only output.
+Equal fingerprints (of equal sets, in ``WIDE``) are one class before any candidate is
+made. Every pair of a bucket is settled, whatever the bucket's size; sizes only choose how:
+
+* up to ``BUCKET`` classes pair by pair;
+* larger ones in ``RING`` by shared middle points (one bit or none from both), which is
+  linear and exact for two bits;
+* larger ones in ``WIDE`` against ``REPS`` representatives of the bucket first, which is
+  linear; members that link to none of them are then compared with all members, block by
+  block. Pairs whose members both link to the representatives are connected already.
 """
 
 from __future__ import annotations
@@ -24,15 +30,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _bytes as B
-from tallyforge.llm._session import staged
+from tallyforge.llm._session import free_names, staged
 from tallyforge.llm.components import components
 
 BUCKET = 48
-BLOCK = 1024
+BLOCK = 256
+REPS = 4
 
 
 @dataclass(frozen=True)
@@ -152,11 +159,11 @@ def _view_keys(h: np.ndarray, bounds: np.ndarray, s: Setting) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, setting: Setting, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lanes, keys, whole) of each row; texts are lower-cased in A-Z, null is empty.
+    """(id, lanes, keys, whole, text_key) of each row; texts are lower-cased in A-Z, null is empty.
 
     Fewer words than a shingle: the whole sequence is the one shingle. No words: zero.
     Where the sets of shingles decide, a repeated shingle counts once, and ``whole``
-    tells sets apart; else it is 0.
+    tells sets apart and ``text_key`` is the text's digest; else they are 0 and null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +180,23 @@ def fingerprints(docs: DataFrame, setting: Setting, id_col: str = "doc_id", text
                 some = np.flatnonzero(np.diff(bounds))
                 if setting.similar and len(some):
                     whole[some] = np.add.reduceat(B.mix(h), bounds[:-1][some])
-                yield pa.record_batch([ids.slice(lo, hi - lo), _lists(lanes), _lists(keys), pa.array(whole.view(np.int64))], ["id", "lanes", "keys", "whole"])
+                text_keys = batch.column(2).slice(lo, hi - lo)
+                yield pa.record_batch([ids.slice(lo, hi - lo), _lists(lanes), _lists(keys), pa.array(whole.view(np.int64)), text_keys], ["id", "lanes", "keys", "whole", "text_key"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, lanes array<long>, keys array<long>, whole long")
+    rows = _rows(docs, id_col, text_col)
+    if setting.similar:
+        rows = rows.select("id", "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
+    else:
+        rows = rows.select("id", "text", F.lit(None).cast("string").alias("text_key"))
+    return rows.mapInArrow(run, "id long, lanes array<long>, keys array<long>, whole long, text_key string")
+
+
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), _text(text_col).alias("text"))
 
 
 def _shingle_sets(docs: DataFrame, s: Setting) -> DataFrame:
@@ -215,14 +235,24 @@ def _pair_test(s: Setting) -> str:
     return f"exists(transform(array({gaps}), d -> exists(sequence(0, {s.segments - 1}), i -> d[i] <= {s.distance / s.segments} AND {chain})), ok -> ok)"
 
 
+def _shown(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text): each class's node and the text of the row that stands for it."""
+    wanted = classes.select("node", F.col("shown.id").alias("shown_id"), F.col("shown.text_key").alias("shown_key"))
+    given = docs.select("id", "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
+    met = given.join(wanted, F.col("id").eqNullSafe(F.col("shown_id")) & (F.col("text_key") == F.col("shown_key")))
+    return met.dropDuplicates(["node"]).select(F.col("node").alias("id"), "text")
+
+
 def links(classes: DataFrame, s: Setting, docs: DataFrame | None = None) -> DataFrame:
     """(a, b) between classes (node, lanes, keys) that are within the distance and, if
-    the setting has a least similarity, that similar by the texts of ``docs`` (id, text).
+    the setting has a least similarity, that similar by the texts of ``docs`` (id, text)
+    that the classes show.
 
     Small buckets give every such pair; large ones enough pairs to connect all that
-    such pairs connect.
+    such pairs connect. Candidates all pass the ring's chain budgets before the full
+    Hamming check, but for those by middle points, which are within two bits as they come.
     """
-    keyed = classes.where("node IS NOT NULL").select("node", "lanes", F.explode("keys").alias("key"))
+    keyed = classes.select("node", "lanes", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = staged(keyed.join(sizes, "key"), "buckets")
     pairs = (
@@ -234,10 +264,41 @@ def links(classes: DataFrame, s: Setting, docs: DataFrame | None = None) -> Data
     large = shared.where(F.col("n") > BUCKET)
     if s.lanes == 1 and s.distance == 2:
         return pairs.unionAll(_by_middle(large))
-    pairs = staged(pairs.where("a <> b").distinct(), "pairs")
+    stars = _stars(large, s)
+    pairs = staged(pairs.unionAll(stars.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
     used = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).unionAll(large.select(F.col("node").alias("id"))).distinct()
-    sets = staged(_shingle_sets(docs.join(used, "id", "left_semi").dropDuplicates(["id", "text"]), s), "shingles")
-    return _similar(pairs, sets, s).unionAll(_by_blocks(large, sets, s))
+    sets = staged(_shingle_sets(_shown(classes.join(used, classes["node"] == used["id"], "left_semi"), docs), s), "shingles")
+    sure = staged(_similar(pairs, sets, s), "similar")
+    return sure.unionAll(_by_blocks(_unlinked(large, stars, sure), sets, s))
+
+
+def _representatives(large: DataFrame) -> DataFrame:
+    """(key, reps): in each bucket the nodes that come first by one of several hashes, the
+    same in every bucket that holds them."""
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "lanes")).alias(f"r{r}") for r in range(REPS)]
+    return large.groupBy("key").agg(*least).select("key", F.array(*[F.struct(F.lit(r).alias("r"), F.col(f"r{r}.node").alias("node"), F.col(f"r{r}.lanes").alias("lanes")) for r in range(REPS)]).alias("reps"))
+
+
+def _stars(large: DataFrame, s: Setting) -> DataFrame:
+    """(key, r, a, b): each member b of a large bucket with a representative a, if the ring lets both pass."""
+    reps = _representatives(large).select("key", F.inline("reps")).select("key", "r", F.struct("node", "lanes").alias("x"))
+    both = large.select("key", F.struct("node", "lanes").alias("y")).join(reps, "key")
+    return staged(both.where(F.expr(_pair_test(s))).select("key", "r", F.col("x.node").alias("a"), F.col("y.node").alias("b")), "stars-of-buckets")
+
+
+def _unlinked(large: DataFrame, stars: DataFrame, sure: DataFrame) -> DataFrame:
+    """The large buckets' rows, with ``open`` where a member isn't known to be connected
+    with the bucket's first representative, and n, open_n: how many there are in the bucket."""
+    edge = stars.where("a <> b").select("key", "r", "a", "b", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+    linked = edge.join(sure.select(F.col("a").alias("p"), F.col("b").alias("q")), ["p", "q"], "left_semi").select("key", "r", "a", "b")
+    # representatives that link to the first one, and itself
+    first = stars.where("r = 0 AND a = b").select("key", F.col("a").alias("node")).distinct()
+    main = first.unionByName(linked.where("r = 0").select("key", F.col("b").alias("node"))).distinct()
+    near = linked.join(main.select("key", F.col("node").alias("a")), ["key", "a"], "left_semi").select("key", F.col("b").alias("node"))
+    known = main.unionByName(near).distinct().withColumn("known", F.lit(True))
+    marked = staged(large.select("key", "node", "lanes", "n").join(known, ["key", "node"], "left").select("key", "node", "lanes", "n", F.col("known").isNull().alias("open")), "marked")
+    some = marked.where("open").groupBy("key").agg(F.count("*").alias("open_n"))
+    return marked.join(some, "key")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, s: Setting) -> DataFrame:
@@ -256,26 +317,30 @@ def _by_middle(large: DataFrame) -> DataFrame:
     return around.join(least, "point").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _by_blocks(large: DataFrame, sets: DataFrame, s: Setting) -> DataFrame:
-    """Compare a bucket's blocks two by two; emit a spanning forest of each comparison."""
-    blocks = f"cast(ceil(n / {BLOCK}) as int)"
-    dealt = large.select("key", "node", "lanes", F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)").alias("own"), F.explode(F.expr(f"sequence(0, {blocks} - 1)")).alias("other"))
-    dealt = dealt.select("key", "node", "lanes", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    dealt = dealt.join(sets.withColumnRenamed("id", "node"), "node")
+def _by_blocks(marked: DataFrame, sets: DataFrame, s: Setting) -> DataFrame:
+    """Compare the open members of each bucket with all its members, block by block; emit
+    a spanning forest of each comparison."""
+    rows = f"cast(ceil(open_n / {BLOCK}) as int)"
+    columns = f"cast(ceil(n / {BLOCK}) as int)"
+    place = "cast(pmod(xxhash64(node, 'block'), {n}) as int)"
+    asks = marked.where("open").select("key", "node", "lanes", F.expr(place.format(n=rows)).alias("p"), F.explode(F.expr(f"sequence(0, {columns} - 1)")).alias("q"), F.lit(True).alias("asks"))
+    told = marked.select("key", "node", "lanes", F.explode(F.expr(f"sequence(0, {rows} - 1)")).alias("p"), F.expr(place.format(n=columns)).alias("q"), F.lit(False).alias("asks"))
+    dealt = asks.unionByName(told).join(sets.withColumnRenamed("id", "node"), "node")
     distance, (least, whole) = s.distance, s.similar
 
     def compare(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
+        asks = table.column("asks").to_numpy()
         lanes = np.array(table.column("lanes").to_pylist(), np.int64).view(np.uint64).reshape(len(node), -1)
         lists = table.column("shingles").combine_chunks()
         size = lists.value_lengths().to_numpy().astype(np.int64)
         values, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         start = np.cumsum(size) - size
         mine = np.zeros(len(values), bool)
-        tree = np.arange(len(node))  # the same number: connected already
+        tree = np.unique(node, return_inverse=True)[1]  # the same number: connected already
         a, b = [], []
-        for i in range(len(node) - 1):
-            rest = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
+        for i in np.flatnonzero(asks):
+            rest = np.flatnonzero(~asks & (tree != tree[i]))
             # the smaller set within the larger one is the most there can be in common
             rest = rest[np.minimum(size[rest], size[i]) * whole >= np.maximum(size[rest], size[i]) * least]
             gap = np.zeros(len(rest), np.int64)
@@ -297,38 +362,52 @@ def _by_blocks(large: DataFrame, sets: DataFrame, s: Setting) -> DataFrame:
     return dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, setting: Setting = RING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id, n_links) of every row of ``docs``.
+def _classified(docs: DataFrame, setting: Setting, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, lanes, component_id, component) of every row, staged where it is read twice.
 
-    ``fingerprint`` is lowercase hex; ``component_id`` is the smallest id reachable
-    through links, the row's own included; ``n_links`` counts the links found between
-    the row's fingerprint class and others. Null texts count as empty. Repeated rows
-    and repeated ids give a row each. Rows with a null id get the component of their
-    equal fingerprints, null if none of those has an id; they link nothing. An empty
-    table gives an empty table. Other columns are not read, so their names can't clash.
+    A class is all rows of equal fingerprints (and equal sets). Classes have numbers of
+    their own, so rows that repeat an id with different texts stay apart.
     """
     prints = staged(fingerprints(docs, setting, id_col, text_col), "fingerprints")
-    classes = staged(prints.groupBy("lanes", "whole").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys")), "classes")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = staged(links(classes, setting, texts).distinct(), "links")
-    degree = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    grouped = prints.groupBy("lanes", "whole").agg(F.min("id").alias("least"), F.any_value("keys").alias("keys"), F.min(F.struct("id", "text_key")).alias("shown"))
+    classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = staged(links(classes, setting, _rows(docs, id_col, text_col)).distinct(), "links")
     linked = components(found)
-    known = (
-        classes.select("lanes", "whole", "node")
-        .join(linked, "node", "left")
-        .join(degree, "node", "left")
-        .select("lanes", "whole", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    known = classes.select("lanes", "whole", "node", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = staged(known.select("lanes", "whole", "least", "component"), "classes-of-components")
+    named = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(named, "component").select("lanes", "whole", "component", "component_id")
+    return prints.select("id", "text_key", "lanes", "whole").join(known, ["lanes", "whole"]).select("id", "text_key", "lanes", "component_id", "component")
+
+
+def near_duplicates(docs: DataFrame, setting: Setting = RING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id) of every row of ``docs``.
+
+    ``fingerprint`` is lowercase hex; ``component_id`` is the smallest id reachable
+    through links, the row's own included. Null texts count as empty. Repeated rows
+    and repeated ids give a row each; rows that share an id, but not a fingerprint, are
+    classes of their own. Rows with a null id link others like any row; their component
+    is null only if nothing they reach has an id. An empty table gives an empty table.
+    Other columns are not read, so their names can't clash.
+    """
+    rows = _classified(docs, setting, id_col, text_col)
     hexed = F.expr("lower(array_join(transform(lanes, x -> lpad(hex(x), 16, '0')), ''))")
-    return prints.select("id", "lanes", "whole").join(known, ["lanes", "whole"]).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id", "n_links")
+    return rows.select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, setting: Setting = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each near-duplicate component, all columns.
+    """One row of each near-duplicate component, all columns: the one with the smallest id
+    (nulls last), then with the smallest digest of its text.
 
-    Rows that repeat an id count once. Rows with a null id can't be told apart by id
-    and stay.
+    Rows that repeat an id with unlike texts are documents of their own. Rows that repeat
+    both id and text count once. A null text is empty, and all empty texts are copies of
+    each other. An empty table gives an empty table. Columns of any name may be there;
+    the names that are needed on the way are not among them.
     """
-    keep = near_duplicates(docs, setting, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    one = docs.join(keep, docs[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = _classified(docs, setting, id_col, text_col)
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best"))
+    own, key, kept_id, kept_key = free_names(docs.columns, "own", "key", "kept_id", "kept_key")
+    kept = best.select(F.col("best.id").alias(kept_id), F.col("best.text_key").alias(kept_key))
+    keyed = docs.withColumns({own: F.col(id_col).cast("long"), key: F.md5(_text(text_col).cast("binary"))})
+    one = keyed.join(kept, keyed[own].eqNullSafe(kept[kept_id]) & (keyed[key] == kept[kept_key]), "left_semi").dropDuplicates([own, key])
+    return one.drop(own, key)

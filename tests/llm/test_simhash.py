@@ -54,7 +54,7 @@ def test_links_of_made_fingerprints(spark, monkeypatch):
     nodes = sorted({v: k for k, v in reversed(prints.items())}.items(), key=lambda x: x[1])
     keys = simhash._ring_keys(np.array([v for v, _ in nodes], np.uint64), simhash.RING).view(np.int64)
     rows = [(n, [int(np.uint64(v).view(np.int64))], k.tolist()) for (v, n), k in zip(nodes, keys)]
-    frame = spark.createDataFrame(rows, "node long, lanes array<long>, keys array<long>")
+    frame = spark.createDataFrame(rows, "node long, lanes array<long>, keys array<long>")  # keys of every class, as classes have them
     want = classes({n: v for v, n in nodes}, 2)
     for bucket in (simhash.BUCKET, 2):  # pairs of small buckets, and middle points of large ones
         monkeypatch.setattr(simhash, "BUCKET", bucket)
@@ -132,7 +132,42 @@ def test_edges_of_the_input(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "8", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "8"]
+
+
+def test_rows_that_repeat_an_id_with_unlike_texts_stay_apart(spark):
+    one, two, three = ("p q r s t u v w " * 3, "a b c d e f g h " * 3, "k l m n o i j z " * 3)
+    rows = [(1, one), (1, two), (2, one), (3, three), (None, three), (None, "lone words that stand nowhere else at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(docs).collect())
+    assert got == sorted([("1", one), ("1", two), ("3", three), ("None", rows[-1][1])])
+    ring = {(str(r.doc_id), r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert ring == {("1", 1), ("2", 1), ("3", 3), ("None", 3), ("None", None)}
+
+
+def test_columns_of_any_name(spark):
+    names = ["own", "key", "kept_id", "kept_key", "__kept", "node", "component", "lanes"]
+    docs = spark.createDataFrame([(1, "a b c d e f", *names), (2, "a b c d e f", *names)], ["doc_id", "text", *names])
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == [1]
+
+
+def test_a_large_bucket_of_two_groups_and_strays(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 2)
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    base = [f"x{j}" for j in range(100)]
+    chain = lambda k: base[: 100 - 6 * k] + [f"y{k}-{j}" for j in range(6 * k)]
+    rows = [" ".join(chain(k) + [f"own{k}-{i}"]) for k in range(9) for i in range(4)]
+    texts = dict(enumerate(rows))
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    least = {i: i for i in texts}
+    for _ in texts:
+        for i in texts:
+            for j in texts:
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.WIDE).collect()} == least
 
 
 @settings(max_examples=15, deadline=None)
