@@ -26,7 +26,8 @@ from tallyforge.llm._session import staged
 
 CAPACITY = 4096
 END = 1
-BUCKETS = 64
+#: Pieces of one length and bucket that are numbered in one task, about.
+PER_BUCKET = 100_000
 #: Words whose ids a worker remembers; then it forgets them all.
 REMEMBERED = 1_500_000
 RECENT = 150_000
@@ -198,10 +199,11 @@ def _core(word: bytes) -> bytes:
     """The word without closing punctuation, where the tokenizer parts the two anyway.
 
     Its pattern ends a run of letters or digits at punctuation, and nothing composes
-    across that place.
+    across that place. The last character counts as the tokenizer sees it, in lower case:
+    some letters become a letter and a combining mark there, which joins punctuation.
     """
     core = word.rstrip(CLOSING)
-    if core == word or not core or not core.decode()[-1].isalnum():
+    if core == word or not core or not core.decode()[-1].lower()[-1].isalnum():
         return word
     return core
 
@@ -257,13 +259,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     table. Other columns are not read.
     """
     cut = staged(pieces(docs, tokenizer or default_tokenizer(), capacity, id_col, text_col, with_ids), "pieces")
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    buckets = max(64, -(-max(counts.values(), default=0) // PER_BUCKET))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     by_bucket = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = by_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")
     numbered = dealt.withColumn("inner", F.row_number().over(inside) - 1).join(base, ["length", "bucket"]).withColumn("ordinal", F.col("base") + F.col("inner"))
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = np.array(plan(counts, capacity), np.int64).reshape(-1, 5)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     lengths, at = np.unique(runs[:, 0], return_index=True)

@@ -53,6 +53,36 @@ def test_tree():
     assert tree.tightest(4) is None
 
 
+def test_ids_of_odd_words_are_the_tokenizer_s():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    plain = Tokenizer.from_file(path)
+    rng = np.random.default_rng(12)
+    signs = list("abİıẞßǅΣςé１²½ⅷ日́̈'`.,;:!?|#*$%&()-\"<>") + ["İ$", "İ.", "'s", "<|", "\u0130\u0307", "\u1e9e"]
+    texts = [" ".join("".join(rng.choice(signs, int(rng.integers(1, 6)))) for _ in range(8)) for _ in range(4000)]
+    data = [t.encode() for t in texts]
+    packing._tokenizers.clear()
+    got = packing.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data]))), path)
+    assert [(t, g.tolist()) for t, g in zip(texts, got)] == [(t, plain.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_ids_of_shipped_documents_are_the_tokenizer_s(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id, k): zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes()) for r in docs.collect() for ids in [plain.encode(r.text or "", add_special_tokens=False).ids + [1]] for k, a in enumerate(range(0, len(ids), 4096))}
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in packing.pack(docs).collect()} == want
+
+
+def test_many_pieces_of_a_length_go_to_more_buckets(spark, monkeypatch):
+    docs = spark.range(900).selectExpr("id AS doc_id", "'same words' AS text")
+    few = sorted((r.sequence_id, r.offset) for r in packing.pack(docs, capacity=10).collect())
+    monkeypatch.setattr(packing, "PER_BUCKET", 4)
+    assert sorted((r.sequence_id, r.offset) for r in packing.pack(docs, capacity=10).collect()) == few
+
+
 ODD = ["a\x1cb  x<|endoftext|>y İ é ́z Σας \x85 q", "", "   ", "don't 'S <|ENDOFTEXT|> x.) y,, !!! ...", "１２ ½ é.  n", "日本語 text,mix", "word. word, WORD; (word)."]
 
 
