@@ -1,19 +1,24 @@
 """Substring dedup by relative Lempel-Ziv parsing over indexed reference blocks.
 
 Every document is cut into content-defined reference blocks: each window of ``window``
-words selects its smallest ``GRAM``-word hash (leftmost of equals), and neighbouring
-windows that select the same position are one block. Equal windows select equal
-anchors wherever they stand, so a repeat is met again under its anchor.
-
-* Index: (anchor hash, block hash) with its number of occurrences and first one.
-* Factors: a document is parsed greedily from left to right; each block found in the
-  index more than once extends the current factor while its reference goes on too.
-* Boundaries: where a factor starts or ends inside a block, the block's windows are
-  checked one by one against all windows under the same anchor.
-
-The factors are therefore at least one window long, and together cover exactly the
-words of windows that start at two or more places. Index, factors and boundaries meet
-by hash joins with partial aggregation; nothing is gathered but one document's spans.
+words selects its smallest gram hash (leftmost of equals; a gram has ``GRAM`` words, or
+the whole window if that is shorter), and neighbouring windows that select the same
+position are one block. Equal windows select equal anchors wherever they stand, so a
+repeat is met again under its anchor.
+
+* Index: (anchor hash, block hash) with its number of occurrences and the first one.
+* Seeds: a block whose anchor has more than one occurrence may lie in a factor. If the
+  block itself occurs again, a factor goes through it. If not, the factor, if there is
+  one, starts or ends inside it, and there the block's windows are checked one by one
+  against all windows under the same anchor.
+* Factors: each document is then parsed greedily from left to right (``greedy``): a
+  factor starts at the first window that is met again, names its reference, and goes on
+  as long as the next window stands next in the same reference too; where that stops, the
+  next factor starts. A factor is at least one window long, and the factors' words are
+  what is duplicate; nothing else decides what goes.
+
+Index, seeds and boundaries meet by hash joins with partial aggregation; nothing is
+gathered but one document's spans.
 """
 
 from __future__ import annotations
@@ -30,12 +35,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm import _bytes as B
-from tallyforge.llm._session import staged
+from tallyforge.llm._session import free_names, staged
 
 GRAM = 10
 #: A block's first window and its number of windows share one long.
 PACK = 1 << 12
-SPAN = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ref", T.LongType()), T.StructField("ref_s", T.LongType())]))
+WIDEST = PACK - 1
+#: Bytes of text taken at a time where windows or words become rows.
+CHUNK = 1 << 20
+#: What tells rows apart, where equal rows share it.
+KEY = ("rk", "rh")
 
 
 def _leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -60,9 +69,10 @@ def _blocks(buf: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarr
     if not len(begin):
         return none, none, none, none, none
     hashes = B.word_hashes(buf, starts, ends)
-    grams = np.arange(len(hashes) - GRAM + 1)
-    anchor = B.spans_hash(hashes, grams, grams + GRAM, "a")
-    chosen = _leftmost_minimum(anchor, window - GRAM + 1)[begin]
+    gram = min(GRAM, window)
+    grams = np.arange(len(hashes) - gram + 1)
+    anchor = B.spans_hash(hashes, grams, grams + gram, "a")
+    chosen = _leftmost_minimum(anchor, window - gram + 1)[begin]
     new = np.ones(len(begin), bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (begin[1:] != begin[:-1] + 1)
     new[at[:-1][np.diff(at) > 0]] = True
@@ -75,25 +85,27 @@ def _blocks(buf: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarr
 
 
 def _index(keyed: DataFrame, window: int) -> DataFrame:
+    """(rk, rh, sn, h, b): every block of every row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("rk").to_numpy(zero_copy_only=False)
+            key = [batch.column(k).to_numpy(zero_copy_only=False) for k in KEY]
             for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
                 row, s, n, h, b = _blocks(buf, offsets, window)
                 if len(row):
-                    yield pa.record_batch([pa.array(x) for x in (key[lo:hi][row], s * PACK + n, h, b)], ["rk", "sn", "h", "b"])
+                    yield pa.record_batch([pa.array(x) for x in (*(k[lo:hi][row] for k in key), s * PACK + n, h, b)], [*KEY, "sn", "h", "b"])
 
-    return keyed.select("rk", "text").mapInArrow(run, "rk long, sn long, h long, b long")
+    return keyed.select(*KEY, "text").mapInArrow(run, "rk long, rh int, sn long, h long, b long")
 
 
 def _boundary_windows(joined: DataFrame, window: int) -> DataFrame:
-    """The windows of the wanted blocks of each row: (h, fp, rk, s, weight)."""
+    """The windows of the wanted blocks of each row: (h, fp, rk, rh, s, w)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("rk").to_numpy(zero_copy_only=False)
+            key = [batch.column(k).to_numpy(zero_copy_only=False) for k in KEY]
             wanted = batch.column("wanted")
-            for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
+            for lo, hi, buf, offsets in B.text_chunks(batch, "text", CHUNK):
                 own = wanted.slice(lo, hi - lo)
                 count = own.value_lengths().to_numpy(zero_copy_only=False)
                 sn, h, w = (x.to_numpy(zero_copy_only=False) for x in own.flatten().flatten())
@@ -105,104 +117,143 @@ def _boundary_windows(joined: DataFrame, window: int) -> DataFrame:
                 s = (sn // PACK)[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
                 at = first[row][each] + s
                 fp = B.spans_hash(hashes, at, at + window, "b").view(np.int64)
-                yield pa.record_batch([pa.array(x) for x in (h[each], fp, key[lo:hi][row][each], s, w[each])], ["h", "fp", "rk", "s", "w"])
+                yield pa.record_batch([pa.array(x) for x in (h[each], fp, *(k[lo:hi][row][each] for k in key), s, w[each])], ["h", "fp", *KEY, "s", "w"])
+
+    return joined.mapInArrow(run, "h long, fp long, rk long, rh int, s long, w long")
+
+
+def _text(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(""))
 
-    return joined.mapInArrow(run, "h long, fp long, rk long, s long, w long")
+
+def _key(id_: Column, text: Column) -> list[Column]:
+    """The id and a hash of the text; two hashes of the text where there is no id."""
+    return [F.coalesce(id_.cast("long"), F.xxhash64(text)).alias("rk"), F.hash(text).alias("rh")]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows under a key that equal rows share: (rk, id, text)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    return rows.select(F.xxhash64("id", "text").alias("rk"), "id", "text")
+    """Rows under a key that equal rows share: (rk, rh, id, text)."""
+    text = _text(F.col(text_col))
+    return docs.select(*_key(F.col(id_col), text), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+
+
+def _checked(window: int) -> int:
+    if not 1 <= window <= WIDEST:
+        raise ValueError(f"a window has 1 to {WIDEST} words, not {window}")
+    return window
 
 
 def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
-    """(rk, spans): first window, windows and reference of each repeated stretch."""
-    blocks = _index(keyed, window)
-    index = blocks.groupBy("h", "b").agg(F.count("*").alias("n"), F.min(F.struct("rk", "sn")).alias("rep"))
+    """(rk, rh, spans): first window, windows and reference of each block or window that
+    is met again."""
+    blocks = staged(_index(keyed, window), "blocks")
+    index = blocks.groupBy("h", "b").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "sn")).alias("rep"))
     met = index.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("h", "kinds")
     index = staged(index.join(met, "h"), "reference-blocks")
-    known = index.select("h", "b", F.col("n").alias("seen"), F.col("rep.rk").alias("ref"), F.expr(f"rep.sn div {PACK}").alias("ref_s"))
-    span = F.struct(F.expr(f"sn div {PACK}").alias("s"), F.expr(f"sn % {PACK}").alias("n"), "ref", "ref_s")
+    known = index.select("h", "b", F.col("n").alias("seen"), F.struct(*(F.col(f"rep.{k}") for k in KEY), F.expr(f"rep.sn div {PACK}").alias("s")).alias("ref"))
+    span = F.struct(F.expr(f"sn div {PACK}").alias("s"), F.expr(f"sn % {PACK}").alias("n"), "ref")
     # each block meets its one entry of the index, if it has any: rows out are rows in
-    whole = blocks.join(known, ["h", "b"], "left").groupBy("rk").agg(F.collect_list(F.when(F.col("seen") > 1, span)).alias("spans"))
-    wanted = index.where("kinds > 1").select("rep.rk", F.struct(F.col("rep.sn").alias("sn"), "h", F.col("n").alias("w")).alias("x")).groupBy("rk").agg(F.collect_list("x").alias("wanted"))
-    windows = _boundary_windows(keyed.join(wanted, "rk"), window)
-    again = windows.groupBy("h", "fp").agg(F.sum("w").alias("t"), F.min(F.struct("rk", "s")).alias("rep")).where("t > 1").select("h", "fp", "rep")
-    edge = F.struct("s", F.lit(1).cast("long").alias("n"), F.col("rep.rk").alias("ref"), F.col("rep.s").alias("ref_s"))
-    edges = windows.where("w = 1").join(again, ["h", "fp"]).groupBy("rk").agg(F.collect_list(edge).alias("spans"))
+    whole = blocks.join(known, ["h", "b"], "left").groupBy(*KEY).agg(F.collect_list(F.when(F.col("seen") > 1, span)).alias("spans"))
+    seed = F.struct(F.col("rep.sn").alias("sn"), "h", F.col("n").alias("w"))
+    wanted = index.where("kinds > 1").select(*(F.col(f"rep.{k}") for k in KEY), seed.alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("wanted"))
+    windows = _boundary_windows(keyed.select(*KEY, "text").join(wanted, list(KEY)), window)
+    again = windows.groupBy("h", "fp").agg(F.sum("w").alias("t"), F.min(F.struct(*KEY, "s")).alias("ref")).where("t > 1").select("h", "fp", "ref")
+    edge = F.struct("s", F.lit(1).cast("long").alias("n"), "ref")
+    edges = windows.where("w = 1").join(again, ["h", "fp"]).groupBy(*KEY).agg(F.collect_list(edge).alias("spans"))
     every = whole.where(F.size("spans") > 0).unionByName(edges)
-    return every.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return every.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def parse(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, n_removed, n_factors, kept (words joined by one space), text.
+    """Per row: id, n_words, n_removed, n_factors, kept (words joined by one space), text,
+    factors.
 
     ``text`` keeps the original spacing inside what is left (a line break where
     something went; the whole text where nothing did). ``factors`` lists start word,
-    words, and the reference's row key and start word. Null texts have no words. Rows
-    that repeat another row wholly repeat all its windows, so they lose all of them.
-    Rows with a null id are parsed like any other. An empty table gives an empty table.
-    Other columns are not read.
+    words, and the reference's id (a hash where it has none) and start word. Null texts
+    have no words. Rows that repeat another row wholly repeat all its windows, so they
+    lose all of them. Rows with a null id are parsed like any other. An empty table gives
+    an empty table. Other columns are not read. Windows of 1 to ``WIDEST`` words are
+    parsed; others are refused.
     """
+    _checked(window)
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_spans(keyed, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
+            for lo, hi, buf, offsets in B.text_chunks(batch, "text", CHUNK):
                 yield _cut(batch.column("id").slice(lo, hi - lo), batch.column("spans").slice(lo, hi - lo), buf, offsets, window)
 
-    schema = f"{id_col} long, n_words long, n_removed long, n_factors long, kept string, text string, factors array<struct<start:long,words:long,ref:long,ref_start:long>>"
-    return keyed.join(spans, "rk", "left").mapInArrow(run, schema)
+    schema = f"`{id_col}` long, n_words long, n_removed long, n_factors long, kept string, text string, factors array<struct<start:long,words:long,ref:long,ref_start:long>>"
+    return keyed.join(spans, list(KEY), "left").select("id", "text", "spans").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with repeated stretches cut out of the texts, all columns kept.
 
-    Rows that lose nothing keep their text as it is; rows that lose every word go. The
-    number of characters, where there is such a column, follows the text.
+    Rows that lose nothing keep their text as it is, a null one too; rows that lose
+    every word go. The number of characters, where there is such a column, follows the
+    text. Rows that repeat another wholly lose all their windows, and so do both. Null
+    ids, extra columns of any name and type, and empty tables are taken as they are.
     """
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    whole = keyed.select(F.xxhash64("__id", "__text").alias("rk"), F.col("__id").alias("id"), F.col("__text").alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("rest"))
+    _checked(window)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias(free_names(docs.columns, "none")[0]))  # never without a field
+    text = _text(F.col(text_col))
+    whole = docs.select(*_key(F.col(id_col), text), F.col(id_col).cast("long").alias("id"), text.alias("text"), rest.alias("rest"), F.col(text_col).isNull().alias("blank"))
     spans = repeated_spans(whole, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
+            for lo, hi, buf, offsets in B.text_chunks(batch, "text", CHUNK):
                 cut = _cut(batch.column("id").slice(lo, hi - lo), batch.column("spans").slice(lo, hi - lo), buf, offsets, window)
                 n, lost = cut.column(1), cut.column(2)
                 stay = pa.compute.or_(pa.compute.equal(lost, 0), pa.compute.less(lost, n))
-                yield pa.record_batch([batch.column("rest").slice(lo, hi - lo), cut.column(5), lost], ["rest", "text", "lost"]).filter(stay)
+                yield pa.record_batch([batch.column("rest").slice(lo, hi - lo), cut.column(5), lost, batch.column("blank").slice(lo, hi - lo)], ["rest", "text", "lost", "blank"]).filter(stay)
 
-    kind = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("rest")).schema["rest"].dataType
-    schema = T.StructType([T.StructField("rest", kind), T.StructField("text", T.StringType()), T.StructField("lost", T.LongType())])
-    out = whole.join(spans, "rk", "left").mapInArrow(run, schema)
-    named = {c: F.col(f"rest.`{c}`") for c in docs.columns if c != text_col} | {text_col: F.col("text")}
+    kind = whole.schema["rest"].dataType
+    schema = T.StructType([T.StructField("rest", kind), T.StructField("text", T.StringType()), T.StructField("lost", T.LongType()), T.StructField("blank", T.BooleanType())])
+    out = whole.join(spans, list(KEY), "left").select("id", "text", "spans", "rest", "blank").mapInArrow(run, schema)
+    named = {c: F.col("rest")[c] for c in docs.columns if c != text_col} | {text_col: F.when(~F.col("blank"), F.col("text"))}
     if chars_col in docs.columns:
         was = docs.schema[chars_col].dataType
         named[chars_col] = F.when(F.col("lost") > 0, F.length("text").cast(was)).otherwise(named[chars_col])
     return out.select(*[named[c].alias(c) for c in docs.columns])
 
 
+def greedy(row: np.ndarray, s: np.ndarray, n: np.ndarray, ref: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The greedy parse of rows into factors: (first span of each, its start, its windows).
+
+    Spans are ordered by row and start; ``ref`` is the reference's key and start. A span
+    goes on with the factor if it starts no later than the window after the factor's
+    last, in the same reference at the same distance; else a factor starts with it.
+    """
+    new = np.ones(len(row), bool)
+    if len(row) > 1:
+        *key, ref_s = ref
+        new[1:] = (row[1:] != row[:-1]) | (ref_s[1:] - s[1:] != ref_s[:-1] - s[:-1]) | (s[1:] > s[:-1] + n[:-1])
+        for k in key:
+            new[1:] |= k[1:] != k[:-1]
+    lead = np.flatnonzero(new)
+    end = np.maximum.reduceat(s + n, lead) if len(lead) else lead
+    return lead, s[lead], end - s[lead]
+
+
 def _cut(ids: pa.Array, spans: pa.Array, buf: np.ndarray, offsets: np.ndarray, window: int) -> pa.RecordBatch:
     rows = len(ids)
     starts, ends, first = B.words(buf, offsets)
     count = np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    s, n, ref, ref_s = (x.to_numpy(zero_copy_only=False) for x in spans.flatten().flatten())
+    s, n, ref = spans.flatten().flatten()
+    s, n, *ref = (x.to_numpy(zero_copy_only=False) for x in (s, n, *ref.flatten()))
     row = np.repeat(np.arange(rows), count)
-    order = np.lexsort((ref_s, s, row))
-    row, s, n, ref, ref_s = (x[order] for x in (row, s, n, ref, ref_s))
+    order = np.lexsort((ref[2], s, row))
+    row, s, n, *ref = (x[order] for x in (row, s, n, *ref))
+    lead, begin, windows = greedy(row, s, n, ref)
+    size = windows - 1 + window  # words of each factor
     change = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(change, first[row] + s, 1)
-    np.add.at(change, first[row] + s + n - 1 + window, -1)
+    np.add.at(change, first[row[lead]] + begin, 1)
+    np.add.at(change, first[row[lead]] + begin + size, -1)
     gone = np.cumsum(change)[:-1] > 0
-    new = np.ones(len(row), bool)
-    if len(row) > 1:
-        new[1:] = (row[1:] != row[:-1]) | (ref[1:] != ref[:-1]) | (ref_s[1:] - s[1:] != ref_s[:-1] - s[:-1]) | (s[1:] > s[:-1] + n[:-1])
-    lead = np.flatnonzero(new)
-    last = np.append(lead[1:], len(row)) - 1 if len(lead) else lead
     factors = np.bincount(row[lead], minlength=rows)
     data = buf.tobytes()
     kept, text, removed = [], [], []
@@ -221,7 +272,7 @@ def _cut(ids: pa.Array, spans: pa.Array, buf: np.ndarray, offsets: np.ndarray, w
         text.append(b"\n".join(data[starts[a + x] : ends[a + y - 1]] for x, y in zip(edge[::2].tolist(), edge[1::2].tolist())))
     listed = pa.ListArray.from_arrays(
         pa.array(np.concatenate(([0], np.cumsum(factors))), pa.int32()),
-        pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (s[lead], s[last] + n[last] - 1 + window - s[lead], ref[lead], ref_s[lead])], ["start", "words", "ref", "ref_start"]),
+        pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (begin, size, ref[0][lead], ref[2][lead])], ["start", "words", "ref", "ref_start"]),
     )
     return pa.record_batch(
         [ids, pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(factors.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(text, pa.binary()).cast(pa.string()), listed],

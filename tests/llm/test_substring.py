@@ -40,9 +40,43 @@ def test_shipped_documents(spark, sf_dir):
     _check(spark, {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()})
 
 
-def test_other_window(spark):
+@pytest.mark.parametrize("window", [1, 2, 5, 9, 10, 12])
+def test_other_windows(spark, window):
     base = " ".join(f"v{i}" for i in range(120))
-    _check(spark, {1: base, 2: "x y z " + base[: len(base) // 2], 3: "nothing alike"}, window=12)
+    _check(spark, {1: base, 2: "x y z " + base[: len(base) // 2], 3: "nothing alike", 4: "x y x y x", 5: None}, window=window)
+
+
+def test_windows_out_of_bounds_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for window in (0, substring.WIDEST + 1):
+        with pytest.raises(ValueError, match="words"):
+            substring.parse(docs, window)
+    assert substring.parse(docs, substring.WIDEST).first().n_removed == 0
+
+
+def test_what_goes_are_the_factors_words(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for r in substring.parse(docs).collect():
+        covered = {w for f in r.factors for w in range(f.start, f.start + f.words)}
+        assert len(covered) == r.n_removed and len(r.factors) == r.n_factors
+        assert all(f.words >= 35 for f in r.factors)
+
+
+def test_greedy_factors():
+    a = lambda *x: np.array(x)
+    # row 0: two blocks that go on in reference 7, then a window of reference 8; row 1: a gap
+    lead, start, windows = substring.greedy(a(0, 0, 0, 1, 1), a(2, 5, 8, 0, 9), a(3, 3, 1, 2, 1), (a(7, 7, 8, 7, 7), a(1, 1, 1, 1, 1), a(12, 15, 40, 10, 19)))
+    assert (lead.tolist(), start.tolist(), windows.tolist()) == ([0, 2, 3, 4], [2, 8, 0, 9], [6, 1, 2, 1])
+
+
+def test_rows_that_repeat_an_id_and_columns_of_any_name(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    names = ["__text", "__id", "rk", "rh", "rest", "lost", "none", "blank", "spans"]
+    rows = [(1, "a b " + shared, *names), (1, shared + " c", *names), (1, "other words", *names), (None, None, *names), (None, "x " + shared, *names), (None, "y", *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = substring.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("1", "a b"), ("1", "c"), ("1", "other words"), ("None", "None"), ("None", "x"), ("None", "y")])
 
 
 def test_factors_name_their_reference(spark):
@@ -62,7 +96,7 @@ def test_edges_of_the_input(spark):
     assert sorted(r.n_words for r in substring.parse(docs).collect()) == [0, 3, 3, 3, 60]
     cut = substring.without_repeats(docs)
     assert cut.columns == docs.columns
-    assert sorted((str(r.doc_id), r.text, r.n_chars) for r in cut.collect()) == sorted([("None", "q w e", 5), ("None", "", None), ("2", "fine  text\nhere", 15), ("2", "fine  text\nhere", 15)])
+    assert sorted(((str(r.doc_id), r.text, r.n_chars) for r in cut.collect()), key=str) == sorted([("None", "q w e", 5), ("None", None, None), ("2", "fine  text\nhere", 15), ("2", "fine  text\nhere", 15)], key=str)
     assert substring.parse(docs.limit(0)).count() == 0 and substring.without_repeats(docs.limit(0)).count() == 0
 
 
