@@ -84,11 +84,11 @@ class Writer:
 
 
 def reader(path: str):
-    """A binary stream of a file in the shared folder."""
+    """A binary file in the shared folder, to be read and sought in."""
     local = _local(path)
     if local is not None:
         return open(local, "rb")
     from pyarrow import fs
 
     store, name = fs.FileSystem.from_uri(path)
-    return store.open_input_stream(name)
+    return store.open_input_file(name)

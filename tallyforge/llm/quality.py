@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm import _bytes as B
+from tallyforge.llm._session import free_names
 
 LABELLED = 6000
 POOL = 4000
@@ -223,21 +224,32 @@ def _columns(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), or_null("text", "string"), or_null("lang", "string"), or_null("source", "string"), or_null("n_chars", "double"))
 
 
-def scored(docs: DataFrame, model: dict | None, prefix: str = "") -> DataFrame:
+def kept(docs: DataFrame, model: dict | None, least: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with their columns as they are.
+
+    Columns of any name may be there: scores get names that no column has.
+    """
+    names = free_names(docs.columns, "text_score", "meta_score", "score")
+    return scored(docs, model, names).where(F.col(f"`{names[2]}`") >= least).select(*(f"`{c}`" for c in docs.columns))
+
+
+def scored(docs: DataFrame, model: dict | None, added: Sequence[str] = ("text_score", "meta_score", "score")) -> DataFrame:
     """``docs`` with text_score, meta_score and score (probability of good quality).
 
     Null texts are empty; null or absent metadata are values of their own. Without a
-    model every score is 1. Every row gets its scores, repeated ones the same.
+    model every score is 1. Every row gets its scores, repeated ones the same. No rows
+    give no rows. ``added`` names the scores; a column of ``docs`` by one of these names
+    is an error.
     """
     columns = docs.columns
-    added = [f"{prefix}{c}" for c in ("text_score", "meta_score", "score")]
+    if {c.lower() for c in columns} & {c.lower() for c in added}:
+        raise ValueError(f"columns named like the scores {tuple(added)} are there already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            names = set(batch.schema.names)
             blank = pa.nulls(n, pa.string())
-            for lo, hi, buf, offsets in B.text_chunks(batch, "text", CHUNK):
+            for lo, hi, buf, offsets in B.text_chunks(batch, text, CHUNK):
                 parts = batch.slice(lo, hi - lo)
                 if model is None:
                     p = [np.ones(hi - lo)] * 3
@@ -248,11 +260,14 @@ def scored(docs: DataFrame, model: dict | None, prefix: str = "") -> DataFrame:
                     z = np.bincount(at, weights=value * w[bucket], minlength=hi - lo) + np.clip((dense - centre) / spread, -8, 8) @ w[1 << BITS :] + b
                     zt = z * scale + shift
                     w, b, scale, shift = model["meta"]
-                    meta = meta_view(*(parts.column(c) if c in names else blank.slice(lo, hi - lo) for c in ("lang", "source", "n_chars")))
+                    meta = meta_view(*(parts.column(columns.index(c)) if c in columns else blank.slice(lo, hi - lo) for c in ("lang", "source", "n_chars")))
                     zm = (w[meta].sum(1) + b) * scale + shift
                     w, b = model["both"]
                     p = [sigmoid(zt), sigmoid(zm), sigmoid(zt * w[0] + zm * w[1] + b)]
-                yield pa.record_batch([*parts.columns, *(pa.array(x, pa.float64()) for x in p)], [*columns, *added])
+                yield pa.record_batch([*parts.columns, *(pa.array(x, pa.float64()) for x in p)], schema.names)
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in added)])
-    return docs.mapInArrow(run, schema)
+    # numbered names on the way, as columns may have dots or other signs in theirs
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    text = f"c{columns.index('text')}"
+    schema = T.StructType([*numbered.schema.fields, *(T.StructField(f"p{k}", T.DoubleType()) for k in range(3))])
+    return numbered.mapInArrow(run, schema).toDF(*columns, *added)

@@ -146,19 +146,19 @@ def _checked(window: int) -> int:
 def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
     """(rk, rh, spans): first window, windows and reference of each block or window that
     is met again."""
-    blocks = staged(_index(keyed, window), "blocks")
+    blocks = _index(keyed, window)  # made where it is read: as a table it would take over half the input's bytes
     index = blocks.groupBy("h", "b").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "sn")).alias("rep"))
     met = index.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("h", "kinds")
     index = staged(index.join(met, "h"), "reference-blocks")
-    known = index.select("h", "b", F.col("n").alias("seen"), F.struct(*(F.col(f"rep.{k}") for k in KEY), F.expr(f"rep.sn div {PACK}").alias("s")).alias("ref"))
-    span = F.struct(F.expr(f"sn div {PACK}").alias("s"), F.expr(f"sn % {PACK}").alias("n"), "ref")
+    known = index.select("h", "b", F.col("n").alias("seen"), F.col("rep.rk").alias("ref"), F.expr(f"rep.sn div {PACK}").alias("ref_s"))
+    span = F.struct(F.expr(f"sn div {PACK}").alias("s"), F.expr(f"sn % {PACK}").alias("n"), "ref", "ref_s")
     # each block meets its one entry of the index, if it has any: rows out are rows in
     whole = blocks.join(known, ["h", "b"], "left").groupBy(*KEY).agg(F.collect_list(F.when(F.col("seen") > 1, span)).alias("spans"))
     seed = F.struct(F.col("rep.sn").alias("sn"), "h", F.col("n").alias("w"))
     wanted = index.where("kinds > 1").select(*(F.col(f"rep.{k}") for k in KEY), seed.alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("wanted"))
     windows = _boundary_windows(keyed.select(*KEY, "text").join(wanted, list(KEY)), window)
-    again = windows.groupBy("h", "fp").agg(F.sum("w").alias("t"), F.min(F.struct(*KEY, "s")).alias("ref")).where("t > 1").select("h", "fp", "ref")
-    edge = F.struct("s", F.lit(1).cast("long").alias("n"), "ref")
+    again = windows.groupBy("h", "fp").agg(F.sum("w").alias("t"), F.min(F.struct("rk", "s")).alias("rep")).where("t > 1").select("h", "fp", F.col("rep.rk").alias("ref"), F.col("rep.s").alias("ref_s"))
+    edge = F.struct("s", F.lit(1).cast("long").alias("n"), "ref", "ref_s")
     edges = windows.where("w = 1").join(again, ["h", "fp"]).groupBy(*KEY).agg(F.collect_list(edge).alias("spans"))
     every = whole.where(F.size("spans") > 0).unionByName(edges)
     return every.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
@@ -221,19 +221,16 @@ def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     return out.select(*[named[c].alias(c) for c in docs.columns])
 
 
-def greedy(row: np.ndarray, s: np.ndarray, n: np.ndarray, ref: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def greedy(row: np.ndarray, s: np.ndarray, n: np.ndarray, ref: np.ndarray, ref_s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The greedy parse of rows into factors: (first span of each, its start, its windows).
 
-    Spans are ordered by row and start; ``ref`` is the reference's key and start. A span
-    goes on with the factor if it starts no later than the window after the factor's
+    Spans are ordered by row and start; ``ref`` and ``ref_s`` are where they stand in the
+    reference. A span goes on with the factor if it starts no later than the window after the factor's
     last, in the same reference at the same distance; else a factor starts with it.
     """
     new = np.ones(len(row), bool)
     if len(row) > 1:
-        *key, ref_s = ref
-        new[1:] = (row[1:] != row[:-1]) | (ref_s[1:] - s[1:] != ref_s[:-1] - s[:-1]) | (s[1:] > s[:-1] + n[:-1])
-        for k in key:
-            new[1:] |= k[1:] != k[:-1]
+        new[1:] = (row[1:] != row[:-1]) | (ref[1:] != ref[:-1]) | (ref_s[1:] - s[1:] != ref_s[:-1] - s[:-1]) | (s[1:] > s[:-1] + n[:-1])
     lead = np.flatnonzero(new)
     end = np.maximum.reduceat(s + n, lead) if len(lead) else lead
     return lead, s[lead], end - s[lead]
@@ -243,12 +240,11 @@ def _cut(ids: pa.Array, spans: pa.Array, buf: np.ndarray, offsets: np.ndarray, w
     rows = len(ids)
     starts, ends, first = B.words(buf, offsets)
     count = np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    s, n, ref = spans.flatten().flatten()
-    s, n, *ref = (x.to_numpy(zero_copy_only=False) for x in (s, n, *ref.flatten()))
+    s, n, ref, ref_s = (x.to_numpy(zero_copy_only=False) for x in spans.flatten().flatten())
     row = np.repeat(np.arange(rows), count)
-    order = np.lexsort((ref[2], s, row))
-    row, s, n, *ref = (x[order] for x in (row, s, n, *ref))
-    lead, begin, windows = greedy(row, s, n, ref)
+    order = np.lexsort((ref_s, s, row))
+    row, s, n, ref, ref_s = (x[order] for x in (row, s, n, ref, ref_s))
+    lead, begin, windows = greedy(row, s, n, ref, ref_s)
     size = windows - 1 + window  # words of each factor
     change = np.zeros(len(starts) + 1, np.int64)
     np.add.at(change, first[row[lead]] + begin, 1)
@@ -272,7 +268,7 @@ def _cut(ids: pa.Array, spans: pa.Array, buf: np.ndarray, offsets: np.ndarray, w
         text.append(b"\n".join(data[starts[a + x] : ends[a + y - 1]] for x, y in zip(edge[::2].tolist(), edge[1::2].tolist())))
     listed = pa.ListArray.from_arrays(
         pa.array(np.concatenate(([0], np.cumsum(factors))), pa.int32()),
-        pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (begin, size, ref[0][lead], ref[2][lead])], ["start", "words", "ref", "ref_start"]),
+        pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (begin, size, ref[lead], ref_s[lead])], ["start", "words", "ref", "ref_start"]),
     )
     return pa.record_batch(
         [ids, pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(factors.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(text, pa.binary()).cast(pa.string()), listed],

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,10 @@ LEAST_REVISITED = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = ("response", "revisit")
+#: Bytes of an archive, cut at whole transactions, that are read at a time; and how many
+#: such stretches have a task each, before tasks take ``TASK_BYTES`` of them.
+STRETCH = 16 << 20
+TASKS, TASK_BYTES = 10_000, 256 << 20
 
 
 def record_id(kind: str, page: object, digest: str, turn: int) -> str:
@@ -57,7 +62,8 @@ def roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, DataFrame]:
-    """The archives' folder, and a table of their files with records and bytes.
+    """The archives' folder, and a table (file, start, bytes, records) of their stretches,
+    which begin and end with whole gzip members.
 
     Null html is empty, a null url an empty one. Of equal payloads of at least
     ``LEAST_REVISITED`` bytes the smallest page is the response; pages with a null id
@@ -69,6 +75,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path, records, size = None, "", 0, 0
+        stretches = [(0, 0)]  # bytes and records at their ends
         for batch in batches:
             for page, url, html, digest, first in zip(*(batch.column(c) for c in ("page", "url", "html", "digest", "first"))):
                 page, url, digest, first = page.as_py(), url.as_py(), digest.as_py(), first.as_py()
@@ -95,11 +102,16 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                     packed = member(data)
                     out.write(packed)
                     records, size = records + 1, size + len(packed)
+                if size - stretches[-1][0] >= STRETCH:
+                    stretches.append((size, records))
         if out is not None:
             out.close()
-            yield pa.record_batch([pa.array([path]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
+            if size > stretches[-1][0]:
+                stretches.append((size, records))
+            for (a, m), (b, n) in zip(stretches, stretches[1:]):
+                yield pa.record_batch([pa.array([path]), *(pa.array([x], pa.int64()) for x in (a, b - a, n - m))], ["file", "start", "bytes", "records"])
 
-    return folder, staged(roles(pages, id_col, url_col, html_col).mapInArrow(run, "file string, records long, bytes long"), "warc-files")
+    return folder, staged(roles(pages, id_col, url_col, html_col).mapInArrow(run, "file string, start long, bytes long, records long"), "warc-files")
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -120,14 +132,20 @@ RECORD = "record_id string, type string, concurrent_to string, refers_to string,
 
 
 def read(files: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The records of archives (column ``file``); digests are of the bytes that were read."""
+    """The records of archives (column ``file``); digests are of the bytes that were read.
+
+    Columns ``start`` and ``bytes``, if there, name a stretch of whole gzip members;
+    without them a file is read whole. Rows with a null file are left out, damage is
+    skipped to the next record, headers that are missing are null, and rows that repeat
+    a file give its records again. Tasks follow the number of stretches and their bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file in batch.column("file").to_pylist():
+            for file, start, size in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "bytes"))):
                 rows: list[tuple] = []
                 held = 0
-                with _store.reader(file) as raw, gzip.GzipFile(fileobj=raw) as stream:
+                with _stretch(file, start, size) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for head, block in parse(stream):
                         kind = head.get("warc-type", "")
                         stated = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
@@ -147,7 +165,21 @@ def read(files: DataFrame, with_payload: bool = False) -> DataFrame:
                 if rows:
                     yield _batch(rows, with_payload)
 
-    return files.select("file").repartition("file").mapInArrow(run, RECORD + ", payload binary" * with_payload)
+    known = [F.col(c).cast("long").alias(c) if c in files.columns else F.lit(None).cast("long").alias(c) for c in ("start", "bytes")]
+    wanted = files.select("file", *known).where("file IS NOT NULL")
+    n, size = wanted.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # a number of its own: else a table of a few paths would be one task
+    dealt = wanted.repartition(max(1, min(n, max(TASKS, size // TASK_BYTES))), "file", "start")
+    return dealt.mapInArrow(run, RECORD + ", payload binary" * with_payload)
+
+
+def _stretch(file: str, start: int | None, size: int | None):
+    raw = _store.reader(file)
+    if start is None or size is None:
+        return raw
+    with raw:
+        raw.seek(start)
+        return io.BytesIO(raw.read(size))
 
 
 def _batch(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:
@@ -163,6 +195,8 @@ def assemble(records: DataFrame, hops: int = 1) -> DataFrame:
     it names belongs to (so many ``hops``). Of several requests or metadata records the
     one with the smallest identifier is shown, and their number is told; records that
     lead to no capture are left out, and captures without such records have nulls there.
+    So are captures without an identifier. Repeated identifiers give a row each, with the
+    same request and metadata. No records give no rows; other columns stay in the capture.
     """
     slim = records.select("record_id", "type", "concurrent_to", "uri", "fields")
     is_capture = F.col("type").isin(*CAPTURES)

@@ -35,6 +35,31 @@ def test_exact_copies_leave_one(spark, sf_dir):
     assert len({r.text for r in kept}) == len(kept)
 
 
+def test_stages_take_columns_of_any_name(spark, sf_dir):
+    names = ["__score", "score", "text_score", "__at", "__id", "__text", "__kept", "row", "whole", "rest", "key", "own", "component"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    plain, odd = docs, docs.withColumns({n: F.lit(f"its {n}") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, odd = staged(stage(spark, plain, sf_dir), name), staged(stage(spark, odd, sf_dir), name)
+        assert odd.columns == [*plain.columns, *names]
+        assert sorted(map(str, odd.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+        assert all(r[n] == f"its {n}" for r in odd.collect() for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir).count() == corpus_pipeline.STAGES[-1][1](spark, plain, sf_dir).count()
+
+
+def test_stages_take_nulls_and_repeats(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (1, "", "en", "s", 0), (None, "a b c", "en", "s", 5), (None, "a b c", "en", "s", 5), (2, "x y z q r", "en", None, 9), (2, "other text of its own here", "en", "s", 26), (3, long, "de", "s", len(long))]
+    docs = spark.createDataFrame(rows, schema)
+    assert corpus_pipeline.quality_filter(spark, docs, sf_dir).columns == docs.columns
+    near = sorted((str(r.doc_id), (r.text or "")[:9]) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect())
+    assert near == sorted([("1", ""), ("None", "a b c"), ("2", "x y z q r"), ("2", "other tex"), ("3", long[:9])])
+    assert corpus_pipeline.substring_dedup(spark, docs, sf_dir).count() == len(rows)
+    assert {r.text for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect()} >= {"x y z q r"}
+    assert sum(r.length for r in corpus_pipeline.pack_sequences(spark, docs, sf_dir).collect()) > 30_000
+
+
 def test_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:

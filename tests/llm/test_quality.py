@@ -1,5 +1,12 @@
+import collections
+import math
+import zlib
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.llm import _bytes as B
 from tallyforge.llm import quality
 
 
@@ -30,14 +37,100 @@ def test_edges_of_the_input(spark, sf_dir):
     assert {r.score for r in quality.scored(docs, None).select("score").collect()} == {1.0}
     model = quality.fit(docs, labels.unionByName(labels).unionByName(labels.select(F.lit(None).cast("long").alias("doc_id"), "quality", "toxic")))
     odd = spark.createDataFrame([(1, None, None, None, None, "x"), (None, "", "en", "s", 3, "y"), (2, "word " * 40_000, "en", "src0", 7, "z"), (2, "word " * 40_000, "en", "src0", 7, "z")], "doc_id long, text string, lang string, source string, n_chars long, score string")
-    got = quality.scored(odd, model, "__")
-    assert got.columns == [*odd.columns, "__text_score", "__meta_score", "__score"]
-    assert all(0 <= r["__score"] <= 1 for r in got.collect())
-    assert quality.scored(odd.limit(0), model, "__").count() == 0
+    names = ["a", "b", "c"]
+    got = quality.scored(odd, model, names)
+    assert got.columns == [*odd.columns, *names]
+    assert all(0 <= r["c"] <= 1 for r in got.collect())
+    assert quality.scored(odd.limit(0), model, names).count() == 0
+    with pytest.raises(ValueError, match="score"):
+        quality.scored(odd, model)
+    clash = odd.withColumns({n: F.lit(n) for n in ("__score", "Text_Score", "_score", "a.b", "id", "k", "y", "h")})
+    stay = quality.kept(clash, model, 0.0)
+    assert stay.columns == clash.columns and stay.count() == 4
+    assert quality.fit(docs.withColumns({n: F.lit(1) for n in ("id", "k", "y", "h")}), labels) is not None
     few = quality.scored(docs.select("doc_id", "text"), model)
     assert few.count() == docs.count()
 
 
+def plain_view(text, model):
+    """The text view's logit over dictionaries, one word at a time."""
+    data = (text or "").encode()
+    words = data.split()
+    low = [w.lower() for w in words]  # of bytes: A-Z only
+    n = max(1, len(words))
+    of = lambda w: int(B.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    hashes = {w: of(w) for w in set(low)}
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    letters = sum(map(letter, data))
+    symbols = sum(not letter(b) and not 48 <= b <= 57 and b not in b"'-.,\t\n\v\f\r " for b in data)
+    size = max(1, len(data))
+    buckets = collections.Counter(hashes[w] >> (64 - quality.BITS) for w in low)
+    dense = [
+        sum(65 <= b <= 90 for b in data) / max(1, letters),
+        symbols / size,
+        sum(48 <= b <= 57 for b in data) / size,
+        letters / size,
+        sum(a == b for a, b in zip(low, low[1:])) / n,
+        (len(low) - len(set(low))) / n,
+        max(buckets.values(), default=0) / n,
+        sum(not letter(w[-1]) for w in words) / n,
+        sum(len(w) > 24 for w in words) / n,
+        math.log1p(len(words)),
+        sum(map(len, words)) / n / 10,
+    ]
+    w, b, scale, shift = model["text"]
+    centre, spread = model["norm"]
+    z = b + sum(math.sqrt(c / n) * float(w[k]) for k, c in buckets.items())
+    z += sum(min(8, max(-8, (x - centre[i]) / spread[i])) * float(w[(1 << quality.BITS) + i]) for i, x in enumerate(dense))
+    return z * scale + shift
+
+
+def plain_meta(row, model):
+    w, b, scale, shift = model["meta"]
+    lang, source = (zlib.crc32(("\0" if x is None else x).encode()) for x in (row.lang, row.source))
+    chars = min(23, int(math.log2(max(0, row.n_chars or 0) + 1)))
+    return (float(w[lang % 64]) + float(w[64 + source % 192]) + float(w[256 + chars]) + b) * scale + shift
+
+
+def test_scores_are_those_of_the_plain_model(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels)
+    odd = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "Ab ab AB\n\x0b42 ... é É x\u00a0y " * 30, "en", None, 5)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    every = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(odd)
+    p = lambda z: 1 / (1 + math.exp(-min(35, max(-35, z))))
+    for r in quality.scored(every, model).collect():
+        t, m = plain_view(r.text, model), plain_meta(r, model)
+        w, b = model["both"]
+        assert r.text_score == pytest.approx(p(t), rel=1e-4, abs=1e-9) and r.meta_score == pytest.approx(p(m), rel=1e-4, abs=1e-9)
+        assert r.score == pytest.approx(p(t * w[0] + m * w[1] + b), rel=1e-4, abs=1e-9)
+
+
+def test_fit_finds_the_minimum():
+    rng = np.random.default_rng(1)
+    x, true = rng.standard_normal((400, 3)), np.array([2.0, -1.0, 0.0])
+    y = (rng.random(400) < quality.sigmoid(x @ true)).astype(float)
+    got = quality.Logistic(3).fit(x, y, 1e-3, steps=2000)
+    miss = quality.sigmoid(x @ got.w + got.b) - y
+    assert np.abs(miss @ x / 400 + 1e-3 * got.w).max() < 1e-3 and abs(miss.mean()) < 1e-3  # no slope is left
+    half = np.r_[np.ones(200), np.zeros(200)]
+    one, two = quality.Logistic(3).fit(x, y, 1e-3, weight=half), quality.Logistic(3).fit(x[:200], y[:200], 1e-3)
+    assert np.allclose(one.w, two.w)
+
+
+def test_views_teach_each_other_only_what_they_are_sure_of():
+    rng = np.random.default_rng(3)
+    rows = 900
+    y = rng.integers(0, 2, rows)
+    x = np.zeros((rows, (1 << quality.BITS) + quality.STATISTICS), np.float32)
+    x[np.arange(rows), y] = 1  # the text tells the class outright
+    meta = np.stack([rng.integers(0, 64, rows), 64 + rng.integers(0, 192, rows), np.full(rows, 256)], axis=1)  # the metadata nothing
+    label = np.where(np.arange(rows) < 300, y, -1)
+    model = quality.cotrain(x, meta, label, np.arange(rows) % 5)
+    assert model["told"][0]["text"] == 0  # an unsure view labels nothing for the other
+    assert model["told"][0]["meta"] > 0 and model["told"][-1]["meta"] <= 600
+    assert quality.cotrain(x, meta, np.where(label == 0, -1, label), np.arange(rows) % 5) is None
+
+
 def test_same_model_twice(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     a, b = quality.fit(docs, labels), quality.fit(docs.repartition(5), labels.repartition(3))

@@ -65,7 +65,7 @@ def test_what_goes_are_the_factors_words(spark, sf_dir):
 def test_greedy_factors():
     a = lambda *x: np.array(x)
     # row 0: two blocks that go on in reference 7, then a window of reference 8; row 1: a gap
-    lead, start, windows = substring.greedy(a(0, 0, 0, 1, 1), a(2, 5, 8, 0, 9), a(3, 3, 1, 2, 1), (a(7, 7, 8, 7, 7), a(1, 1, 1, 1, 1), a(12, 15, 40, 10, 19)))
+    lead, start, windows = substring.greedy(a(0, 0, 0, 1, 1), a(2, 5, 8, 0, 9), a(3, 3, 1, 2, 1), a(7, 7, 8, 7, 7), a(12, 15, 40, 10, 19))
     assert (lead.tolist(), start.tolist(), windows.tolist()) == ([0, 2, 3, 4], [2, 8, 0, 9], [6, 1, 2, 1])
 
 

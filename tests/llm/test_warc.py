@@ -2,6 +2,8 @@ import gzip
 import hashlib
 import io
 
+from pyspark.sql import functions as F
+
 from tallyforge.llm import warc
 
 
@@ -34,6 +36,25 @@ def test_edges_of_the_input(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_are_read_in_many_tasks(spark, monkeypatch):
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "concat(repeat(sha2(cast(id as string), 256), 40), id) AS html").repartition(3)
+    whole = {tuple(r) for r in warc.round_trip(pages).collect()}
+    monkeypatch.setattr(warc, "STRETCH", 20_000)
+    _, files = warc.write(pages)
+    stretches = files.orderBy("file", "start").collect()
+    assert len(stretches) >= 12 and all(a.start + a.bytes == b.start for a, b in zip(stretches, stretches[1:]) if a.file == b.file)
+    read = warc.read(files)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    tasks = read.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= len(stretches) / 2
+    assert read.count() == 1200 == sum(r.records for r in stretches)
+    assert {tuple(r) for r in warc.round_trip(pages).collect()} == whole
+    by_file = files.select("file").distinct()  # foreign archives have no stretches
+    assert warc.read(by_file).count() == 1200
+    monkeypatch.setattr(warc, "TASKS", 2)
+    assert warc.read(files).count() == 1200
+
+
 def test_archives_are_gzip_members_of_records(spark, tmp_path):
     pages = spark.createDataFrame([(7, "http://h/", "<p>hello</p>")], "page_id long, url string, html string")
     _, files = warc.write(pages)
