@@ -35,6 +35,11 @@ def save(path: str, array: np.ndarray) -> None:
     store.move(part, name)
 
 
+def in_place(path: str) -> bool:
+    """Whether an array is mapped where it lies, without a copy of its own."""
+    return _local(path) is not None
+
+
 def mapped(path: str) -> np.ndarray:
     """Memory-map an array. From a store that can't be mapped it is fetched to an
     unnamed temporary file first, which is gone with the worker's mapping."""

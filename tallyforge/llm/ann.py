@@ -1,7 +1,9 @@
 """Approximate nearest neighbours over a robust-pruned directed graph per shard.
 
-Rows are dealt to shards of about ``SHARD`` rows by a hash of their id, so equal vectors
-spread out too; a shard's graph is over its different vectors. Points are inserted in
+Rows are dealt to shards by a hash of their id, so equal vectors spread out too; a
+shard's graph is over its different vectors. A shard has ``SHARD`` rows where there are
+few, and then as many as keep the number of shards at ``SHARDS``, up to ``LARGEST``: so
+searches grow with the queries alone, and beyond with the shards. Points are inserted in
 growing batches: a greedy beam search over the graph so far proposes neighbours, relaxed
 distance pruning (factor ``ALPHA``) keeps at most ``DEGREE`` diverse ones, and edges back
 are pruned likewise. Every query runs a beam search over every shard, in blocks of
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm._session import staged
 
-SHARD = 8192
+SHARD, SHARDS, LARGEST = 8192, 512, 1 << 18
 DEGREE = 32
 BEAM = 64
 SEARCH_BEAM = 128
@@ -32,11 +34,39 @@ def _gaps(x: np.ndarray, norms: np.ndarray, q: np.ndarray, ids: np.ndarray) -> n
     return norms[ids] - 2 * np.matmul(x[ids], q[:, :, None])[:, :, 0]
 
 
+def shard_count(rows: int) -> int:
+    return -(-rows // min(LARGEST, max(SHARD, rows // SHARDS)))
+
+
+def _graph_scale(v: np.ndarray) -> tuple[float, type]:
+    """What graph distances are computed in: single precision as it is where squares fit,
+    else double precision over the largest component."""
+    most = float(np.abs(v).max(initial=0.0))
+    if 1e-9 < most < 1e15:
+        return 1.0, np.float32
+    return most or 1.0, np.float64
+
+
+def distances(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to a point, without overflow or underflow of squares."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        gap = v - at
+        square = (gap * gap).sum(1)
+        out = np.sqrt(square)
+        odd = np.flatnonzero(~np.isfinite(square) | (square < 1e-280))
+        if len(odd):
+            half = v[odd] / 2 - at / 2
+            most = np.abs(half).max(1)
+            safe = np.where(most > 0, most, 1.0)
+            out[odd] = 2 * (most * np.sqrt(((half / safe[:, None]) ** 2).sum(1)))
+    return out
+
+
 def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, squared distance less the query's norm) of the ``beam`` nearest met, nearest first; -1 pads."""
     rows = len(q)
     ids = np.full((rows, beam), -1, np.int64)
-    far = np.full((rows, beam), np.inf, np.float32)
+    far = np.full((rows, beam), np.inf, x.dtype)
     done = np.zeros((rows, beam), bool)
     seen = np.zeros((rows, len(x)), bool)
     k = min(len(start), beam)
@@ -64,7 +94,7 @@ def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: np.n
         np.put_along_axis(twice, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
         fresh &= ~twice
         seen[np.broadcast_to(at, next_.shape)[fresh], next_[fresh]] = True
-        gap = np.where(fresh, _gaps(x, norms, q[active], np.maximum(next_, 0)), np.inf).astype(np.float32)
+        gap = np.where(fresh, _gaps(x, norms, q[active], np.maximum(next_, 0)), np.inf).astype(x.dtype)
         all_ids = np.concatenate([ids[active], np.where(fresh, next_, -1)], axis=1)
         all_far = np.concatenate([far[active], gap], axis=1)
         all_done = np.concatenate([done[active], np.zeros_like(fresh)], axis=1)
@@ -159,13 +189,19 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def index(vectors: DataFrame, shards: dict[int, int]) -> DataFrame:
-    """(dim, shard, id, v, node, neighbours, entry): equal vectors of a shard share a node."""
+    """(dim, shard, id, v, node, neighbours, entry): equal vectors of a shard share a node.
+
+    ``vectors`` has (id, v, dim) as ``valid`` gives them, ``shards`` the number of shards
+    for each dim. Rows that repeat an id, or both id and vector, are rows of their own on
+    one node or several. No rows give no rows.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         v = _matrix(table.column("v"))
         different, node = np.unique(v, axis=0, return_inverse=True)
-        graph, entry = build(different.astype(np.float32))
+        scale, kind = _graph_scale(v)
+        graph, entry = build((different / scale).astype(kind))
         flat = pa.array(graph[node.ravel()].ravel().astype(np.int32))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, graph.shape[1]), pa.int32()), flat)
         return pa.table({"dim": table.column("dim"), "shard": table.column("shard"), "id": table.column("id"), "v": table.column("v"), "node": pa.array(node.ravel().astype(np.int32)), "neighbours": lists, "entry": pa.array(np.full(len(v), entry[0], np.int32))})
@@ -182,13 +218,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     non-finite components take no part, nor do rows with a null id. Vectors are compared
     with those of their own length only. A row is not its query's neighbour, nor are
     other rows of its id; equal distances rank by id. Rows that repeat an id count once,
-    by their nearest. An empty table gives an empty table.
+    by their nearest; those that repeat a vector too are one row from the start, and so
+    are repeated queries. Other columns are not read. An empty table gives an empty table.
     """
-    rows = valid(vectors, id_col, vector_col)
-    asked = valid(queries, id_col, vector_col)
+    rows = valid(vectors, id_col, vector_col).distinct()
+    asked = valid(queries, id_col, vector_col).distinct()
     counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row a length
     blocks = -(-asked.count() // QUERY_BLOCK)
-    shards = {d: -(-n // SHARD) for d, n in counts.items()}
+    shards = {d: shard_count(n) for d, n in counts.items()}
     graph = staged(index(rows, shards), "graph")
     several = F.create_map(*[F.lit(x) for d, s in shards.items() for x in (d, s)]) if shards else F.create_map(F.lit(0), F.lit(1))
     sent = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, blocks))).cast("int")).where(several[F.col("dim")].isNotNull())
@@ -205,16 +242,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         ids, node, v = ids[fresh], node[fresh], v[fresh]
         first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         bounds = np.append(first, len(node))
-        x = v[first].astype(np.float32)
+        q_ids, q = ask.column("id").to_numpy(), _matrix(ask.column("v"))
+        scale, kind = _graph_scale(np.concatenate([v, q]))
+        x = (v[first] / scale).astype(kind)
         norms = (x * x).sum(1)
         links = _matrix(own.column("neighbours"))[fresh][first].astype(np.int64)
         entry = np.array([own.column("entry")[0].as_py()])
-        q_ids, q = ask.column("id").to_numpy(), _matrix(ask.column("v"))
         out = ([], [], [])
 
         def different(nodes: np.ndarray, own_id: int, at: np.ndarray) -> dict[int, float]:
             """The nodes' nearest k ids and those as far as the last, other than the query's."""
-            score = np.sqrt(((v[first[nodes]] - at) ** 2).sum(1))
+            score = distances(v[first[nodes]], at)
             got, last = {}, np.inf
             for j in np.argsort(score, kind="stable"):
                 if score[j] > last:
@@ -228,7 +266,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             return got
 
         for lo in range(0, len(q), BATCH):
-            found, _ = beam_search(x, norms, links, entry, q[lo : lo + BATCH].astype(np.float32), SEARCH_BEAM)
+            found, _ = beam_search(x, norms, links, entry, (q[lo : lo + BATCH] / scale).astype(kind), SEARCH_BEAM)
             for i, mine in enumerate(found):
                 got = different(mine[mine >= 0], q_ids[lo + i], q[lo + i])
                 if len(got) < k and (mine >= 0).sum() < len(first):  # few ids have all the nodes met

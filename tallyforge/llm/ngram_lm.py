@@ -6,8 +6,10 @@ counts its words (or pairs), and emits a sorted array of keys and one of counts
 each part of the hash space; a part's blocks merge in one task of bounded size, as the
 number of parts follows the input's bytes. Parts are stored as sorted hash arrays in
 the shared folder. Word ids are ranks in the sorted word hashes; pairs are two ids in
-64 bits, dealt over parts by a hash of the pair, so that no frequent word has a part of
-its own, and their statistics by context and by word are summed in a second exchange.
+64 bits, or in 128 where there are more words than ``NARROW``, dealt over parts by a hash
+of the pair, so that no frequent word has a part of its own, and their statistics by
+context and by word are summed in a second exchange. Nothing caps words, pairs or parts;
+the parts' bounds are an array in the shared folder like the rest.
 
     p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + gamma(v) p1(w)
     p1(w)    = (max(n(w) - D1(n(w)), 0) + lambda / (V + 1)) / n
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _bytes as B
@@ -31,9 +33,16 @@ from tallyforge.llm._session import new_path, staged
 
 U = np.uint64
 START, END, WORDS = 0, 1, 2
-PART_BYTES = 16 << 20
+#: Bytes of text for each part, and for each one beyond ``SMALL_PARTS`` of them (as a
+#: power of two): the driver hears of each part once.
+PART_BYTES, LARGE_PART_BYTES, SMALL_PARTS = 4 << 20, 64 << 20, 16
 FLUSH = 1 << 20
+#: Ids below this are packed two to a 64-bit key.
+NARROW = 1 << 32
+#: Bytes that a worker keeps of arrays that it couldn't map in place.
+FETCHED = 1 << 30
 _cache: dict[str, np.ndarray] = {}
+_fetched = 0
 
 
 def held_out(id_col: str) -> Column:
@@ -42,13 +51,48 @@ def held_out(id_col: str) -> Column:
 
 
 def _arrays(path: str) -> np.ndarray:
+    global _fetched
     if path not in _cache:
-        if len(_cache) > 20_000:
+        if len(_cache) > 20_000 or _fetched > FETCHED:
             _cache.clear()
+            _fetched = 0
         _cache[path] = _store.mapped(path)
+        _fetched += 0 if _store.in_place(path) else _cache[path].nbytes
     return _cache[path]
 
 
+def part_bits(size: int) -> int:
+    """Bits of the hash that name a part, for so many bytes of text."""
+    return max(3, min(SMALL_PARTS, (size // PART_BYTES).bit_length()), (size // LARGE_PART_BYTES).bit_length())
+
+
+WIDE = "S16"
+
+
+def packed(v: np.ndarray, w: np.ndarray, wide: bool) -> np.ndarray:
+    """Keys of pairs of ids, that sort by v and then w."""
+    if not wide:
+        return v.astype(U) << U(32) | w.astype(U)
+    both = np.empty((len(v), 2), ">u8")
+    both[:, 0], both[:, 1] = v, w
+    return both.reshape(-1).view(WIDE)
+
+
+def unpacked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if keys.dtype == U:
+        return keys >> U(32), keys & U(0xFFFFFFFF)
+    both = np.ascontiguousarray(keys).view(">u8").reshape(-1, 2).astype(U)
+    return both[:, 0], both[:, 1]
+
+
+def dealt(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The part of each key."""
+    if keys.dtype == U:
+        return (B.mix(keys) >> U(64 - bits)).astype(np.int64)
+    v, w = unpacked(keys)
+    return (B.mix(B.mix(v) ^ (w + U(1))) >> U(64 - bits)).astype(np.int64)
+
+
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if len(keys) == 1:
         return keys[0], counts[0]
@@ -65,7 +109,7 @@ class _Blocks:
     """Counts of a task, and their blocks by part."""
 
     def __init__(self, bits: int, spread: bool) -> None:
-        self.shift, self.spread, self.keys, self.counts, self.held = U(64 - bits), spread, [], [], 0
+        self.bits, self.spread, self.keys, self.counts, self.held = bits, spread, [], [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> bool:
         self.keys.append(keys)
@@ -78,27 +122,27 @@ class _Blocks:
             return
         k, c = merge(self.keys, self.counts)
         self.keys, self.counts, self.held = [], [], 0
-        part = ((B.mix(k) if self.spread else k) >> self.shift).astype(np.uint16)
+        part = dealt(k, self.bits) if self.spread else (k >> U(64 - self.bits)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         k, c, part = k[order], c[order], part[order]
         lead = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         for a, b in zip(lead, np.append(lead[1:], len(part))):
             own = c[a:b]
             small = own.astype(np.uint8) if own.max() < 256 else own.astype(np.int64)
-            yield pa.record_batch([pa.array([int(part[a])], pa.int32()), pa.array([k[a:b].tobytes()], pa.binary()), pa.array([small.tobytes()], pa.binary())], ["part", "keys", "counts"])
+            yield pa.record_batch([pa.array([int(part[a])], pa.int64()), pa.array([k[a:b].tobytes()], pa.binary()), pa.array([small.tobytes()], pa.binary())], ["part", "keys", "counts"])
 
 
-def _read_block(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(keys, U)
+def _read_block(keys: bytes, counts: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    k = np.frombuffer(keys, WIDE if wide else U)
     return k, np.frombuffer(counts, np.uint8 if len(counts) == len(k) else np.int64)
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    got = [_read_block(k.as_py(), c.as_py()) for k, c in zip(table.column("keys"), table.column("counts"))]
+def _merged(table: pa.Table, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    got = [_read_block(k.as_py(), c.as_py(), wide) for k, c in zip(table.column("keys"), table.column("counts"))]
     return merge([k for k, _ in got], [c for _, c in got])
 
 
-BLOCK = "part int, keys binary, counts binary"
+BLOCK = "part long, keys binary, counts binary"
 
 
 def _word_blocks(texts: DataFrame, bits: int) -> DataFrame:
@@ -118,29 +162,36 @@ def _word_blocks(texts: DataFrame, bits: int) -> DataFrame:
 class Vocabulary:
     """Word hashes to ids, over parts by the leading bits of the hash."""
 
-    def __init__(self, path: str, bits: int, bases: list[int]) -> None:
-        self.path, self.bits, self.bases = path, bits, bases
+    def __init__(self, path: str, bits: int, wide: bool) -> None:
+        self.path, self.bits, self.wide = path, bits, wide
+
+    @property
+    def bases(self) -> np.ndarray:
+        """The first id of each part, and the number of all ids."""
+        return _arrays(f"{self.path}/bases.npy")
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted hashes; -1 for words that aren't in the vocabulary."""
         out = np.full(len(hashes), -1, np.int64)
         part = (hashes >> U(64 - self.bits)).astype(np.int64)
+        bases = self.bases
         for p in np.unique(part):
-            if self.bases[p + 1] == self.bases[p]:
+            if bases[p + 1] == bases[p]:
                 continue
             a, b = np.searchsorted(part, p), np.searchsorted(part, p, "right")
             known = _arrays(f"{self.path}/words-{p}.npy")
             at = np.minimum(np.searchsorted(known, hashes[a:b]), len(known) - 1)
-            out[a:b] = np.where(known[at] == hashes[a:b], at + self.bases[p], -1)
+            out[a:b] = np.where(known[at] == hashes[a:b], at + bases[p], -1)
         return out
 
     def look_up(self, ids: np.ndarray, name: str, kind: type) -> np.ndarray:
         """An array's values at known ids (words only)."""
         out = np.zeros(len(ids), kind)
-        part = np.searchsorted(self.bases, ids, "right") - 1
-        for p in np.unique(part):
-            own = part == p
-            out[own] = _arrays(f"{self.path}/{name}-{p}.npy")[ids[own] - self.bases[p]]
+        bases = self.bases
+        part = np.searchsorted(bases, ids, "right") - 1
+        lead = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(ids) else []  # ids rise, as hashes do
+        for a, b in zip(lead, np.append(lead[1:], len(ids)) if len(ids) else []):
+            out[a:b] = _arrays(f"{self.path}/{name}-{part[a]}.npy")[ids[a:b] - bases[part[a]]]
         return out
 
 
@@ -167,7 +218,7 @@ def _pair_blocks(texts: DataFrame, vocabulary: Vocabulary, bits: int) -> DataFra
                 ids, token, ahead, bounds = _stream(buf, offsets, vocabulary)
                 w = np.where(token < 0, END, np.append(ids, 0)[token])
                 v = np.where(ahead < 0, START, np.append(ids, 0)[ahead])
-                if len(w) and blocks.add(*np.unique(v.astype(U) << U(32) | w.astype(U), return_counts=True)):
+                if len(w) and blocks.add(*np.unique(packed(v, w, vocabulary.wide), return_counts=True)):
                     yield from blocks.flush()
         yield from blocks.flush()
 
@@ -200,16 +251,17 @@ class Model:
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         unique, back = np.unique(keys, return_inverse=True)
-        part = (B.mix(unique) >> U(64 - self.pair_bits)).astype(np.uint16)
+        part = dealt(unique, self.pair_bits)
         order = np.argsort(part, kind="stable")
-        found, dealt, k = np.zeros(len(unique), np.int64), part[order], unique[order]
-        lead = np.flatnonzero(np.append(True, dealt[1:] != dealt[:-1])) if len(k) else []
+        found, part, k = np.zeros(len(unique), np.int64), part[order], unique[order]
+        there = _arrays(f"{self.path}/pair-parts.npy")
+        lead = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(k) else []
         for a, b in zip(lead, np.append(lead[1:], len(k)) if len(k) else []):
-            if int(dealt[a]) not in self.n["parts"]:
+            if not there[part[a]]:
                 continue
-            known = _arrays(f"{self.path}/pairs-{dealt[a]}.npy")
+            known = _arrays(f"{self.path}/pairs-{part[a]}.npy")
             at = np.minimum(np.searchsorted(known, k[a:b]), len(known) - 1)
-            found[order[a:b]] = np.where(known[at] == k[a:b], _arrays(f"{self.path}/counts-{dealt[a]}.npy")[at], 0)
+            found[order[a:b]] = np.where(known[at] == k[a:b], _arrays(f"{self.path}/counts-{part[a]}.npy")[at], 0)
         return found[back]
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -229,7 +281,7 @@ class Model:
         v, w = np.where(ahead < 0, START, some[ahead]), np.where(token < 0, END, some[token])
         both = np.flatnonzero((v >= 0) & (w >= 0))
         c = np.zeros(len(p), np.int64)
-        c[both] = self.pair_counts(v[both].astype(U) << U(32) | w[both].astype(U))
+        c[both] = self.pair_counts(packed(v[both], w[both], self.vocabulary.wide))
         d = np.array([0.0, *n["d2"]])
         p = gamma[ahead] * p + (c - d[np.minimum(c, 3)]) / np.maximum(follow[ahead], 1)
         base = np.log10((count + 0.1) / (n["N"] + 0.1 * (n["V"] + 1)))[token]
@@ -237,12 +289,24 @@ class Model:
         return np.diff(bounds), np.add.reduceat((count > 0)[token].astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at)
 
 
+def _save_from_driver(spark: SparkSession, path: str, array: np.ndarray) -> None:
+    """Store an array by a task, as only executors are sure to reach the folder by path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("data"):
+                _store.save(path, np.frombuffer(block.as_buffer(), array.dtype))
+            yield pa.record_batch([pa.array([1], pa.int64())], ["done"])
+
+    spark.createDataFrame([(bytearray(array.tobytes()),)], "data binary").mapInArrow(run, "done long").collect()
+
+
 def train(texts: DataFrame) -> Model:
     """Count the column ``text`` (null: empty) of every row and store the model."""
     spark = texts.sparkSession
     path = new_path(spark, "language-model")
     size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    bits = min(16, max(3, (size // PART_BYTES).bit_length()))
+    bits = part_bits(size)
 
     def store_words(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -253,41 +317,51 @@ def train(texts: DataFrame) -> Model:
 
     stored = staged(_word_blocks(texts, bits).groupBy("part").applyInArrow(store_words, "part long, n long, total long"), "word-parts")
     sizes = {r["part"]: r for r in stored.collect()}  # a row a part
-    bases = np.cumsum([WORDS, *(sizes[p]["n"] if p in sizes else 0 for p in range(1 << bits))]).tolist()
-    if bases[-1] >= 1 << 32:
-        raise ValueError("more than 2**32 different words")
-    vocabulary = Vocabulary(path, bits, bases)
-    starts = np.array([0, *bases])  # ids 0 and 1 are a part of their own, before all words
+    bases = np.zeros((1 << bits) + 1, np.int64)
+    bases[0] = WORDS
+    for p, r in sizes.items():
+        bases[p + 1] = r["n"]
+    bases = np.cumsum(bases)
+    _save_from_driver(spark, f"{path}/bases.npy", bases)
+    wide = bool(bases[-1] >= NARROW)
+    vocabulary = Vocabulary(path, bits, wide)
 
     def store_pairs(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        k, c = _merged(table)
+        k, c = _merged(table, wide)
+        starts = np.append(0, vocabulary.bases)  # ids 0 and 1 are a part of their own, before all words
         _store.save(f"{path}/pairs-{part}.npy", k)
         _store.save(f"{path}/counts-{part}.npy", c.astype(np.uint16 if c.max() < 2**16 else np.uint32 if c.max() < 2**32 else np.int64))
         out = [(-1, part, np.array(_of_counts(c), np.int64).tobytes(), b"")]
         # sums by context: types seen once, twice, more often; by word: contexts
         classes = np.minimum(c, 3)
-        for kind, (ids, n) in enumerate([*(np.unique(k[classes == x] >> U(32), return_counts=True) for x in (1, 2, 3)), np.unique(k & U(0xFFFFFFFF), return_counts=True)]):
+        v, w = unpacked(k)
+        kept = np.uint64 if wide else np.uint32
+        for kind, (ids, n) in enumerate([*(np.unique(v[classes == x], return_counts=True) for x in (1, 2, 3)), np.unique(w, return_counts=True)]):
             to = np.searchsorted(starts, ids.astype(np.int64), "right") - 1
             lead = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(ids) else []
             for a, b in zip(lead, np.append(lead[1:], len(ids)) if len(ids) else []):
-                out.append((int(to[a]), kind, ids[a:b].astype(np.uint32).tobytes(), n[a:b].astype(np.uint32).tobytes()))
+                out.append((int(to[a]), kind, ids[a:b].astype(kept).tobytes(), n[a:b].astype(np.uint32).tobytes()))
         cols = list(zip(*out))
-        return pa.table({"to": pa.array(cols[0], pa.int32()), "kind": pa.array(cols[1], pa.int32()), "ids": pa.array(cols[2], pa.binary()), "n": pa.array(cols[3], pa.binary())})
+        return pa.table({"to": pa.array(cols[0], pa.int64()), "kind": pa.array(cols[1], pa.int64()), "ids": pa.array(cols[2], pa.binary()), "n": pa.array(cols[3], pa.binary())})
 
     pairs = _pair_blocks(texts, vocabulary, bits)
-    sums = staged(pairs.groupBy("part").applyInArrow(store_pairs, "to int, kind int, ids binary, n binary"), "pair-sums")
+    sums = staged(pairs.groupBy("part").applyInArrow(store_pairs, "to long, kind long, ids binary, n binary"), "pair-sums")
     told = sums.where("to = -1").collect()  # a row a part
+    there = np.zeros(1 << bits, bool)
+    there[[r["kind"] for r in told]] = True
+    _save_from_driver(spark, f"{path}/pair-parts.npy", there)
     n2 = np.sum([np.frombuffer(r["ids"], np.int64) for r in told], axis=0).tolist() if told else [0] * 4
     d2 = discounts(n2)
     special = {"rows": rows, "d2": d2}
 
     def store_sums(table: pa.Table) -> pa.Table:
         to = table.column("to")[0].as_py()
+        starts = np.append(0, vocabulary.bases)
         base, size = int(starts[to]), int(starts[to + 1] - starts[to])
         n = np.zeros((4, size), np.int64)
         for kind, ids, many in zip(table.column("kind").to_pylist(), table.column("ids"), table.column("n")):
-            n[kind, np.frombuffer(ids.as_py(), np.uint32).astype(np.int64) - base] += np.frombuffer(many.as_py(), np.uint32)
+            n[kind, np.frombuffer(ids.as_py(), np.uint64 if wide else np.uint32).astype(np.int64) - base] += np.frombuffer(many.as_py(), np.uint32)
         left = special["d2"][0] * n[0] + special["d2"][1] * n[1] + special["d2"][2] * n[2]
         end, gamma = 0, 0.0
         if to == 0:
@@ -305,14 +379,13 @@ def train(texts: DataFrame) -> Model:
     n = {
         "texts": rows,
         "N": rows + sum(r["total"] for r in sizes.values()),
-        "V": bases[-1] - WORDS + (rows > 0),
+        "V": int(bases[-1]) - WORDS + (rows > 0),
         "d1": discounts(c),
         "d2": d2,
         "m": [c[0], c[1], more],
         "pairs": max(1, sum(r["pairs"] for r in last)),
         "end_contexts": sum(r["end"] for r in last),
         "start_gamma": max((r["gamma"] for r in last), default=0.0) or 1.0,
-        "parts": {r["kind"] for r in told},
     }
     if not rows:
         n |= {"m": [1, 0, 0], "d1": [1.0, 1.0, 1.0]}  # all mass is the uniform share

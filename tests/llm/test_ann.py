@@ -72,6 +72,48 @@ def test_edges_of_the_input(spark):
     assert ann.nearest(frame, frame.limit(0)).count() == 0
 
 
+def test_recall_on_the_embeddings_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 500)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    held = [(r.id, r.v) for r in ann.valid(rows).collect()]
+    ids, x = np.array([i for i, _ in held]), np.array([v for _, v in held])
+    assert ann.shard_count(len(ids)) > 3
+    got: dict[int, set] = {}
+    for r in ann.nearest(rows, rows.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = [int(i) for i in ids if i % 100 == 0]
+    assert sorted(got) == asked  # every query
+    hits = sum(len(got[q] & {i for i, _ in exact(ids, x, q, 10)}) for q in asked)
+    assert hits >= 0.95 * 10 * len(asked)
+
+
+def test_a_query_that_repeats_its_nearest_row(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1, [1.0, 1.0, 1.0])] * 15 + [(i, (1.5 + rng.random(3)).tolist()) for i in range(2, 40)] + [(0, [1.0, 1.0, 1.1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, frame.where("vec_id = 0").unionAll(frame.where("vec_id = 0"))).collect()
+    ids, x = np.array([i for i, _ in dict(rows).items()]), np.array(list(dict(rows).values()))
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [i for i, _ in exact(ids, x, 0, 10)]
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 1e30])
+def test_finite_vectors_of_any_size(spark, scale):
+    rng = np.random.default_rng(5)
+    plain = {i: rng.standard_normal(4) for i in range(30)}
+    frame = spark.createDataFrame([(i, (v * scale).tolist()) for i, v in plain.items()], "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, frame.where("vec_id % 100 = 0")).collect()
+    want = exact(np.array(list(plain)), np.array(list(plain.values())), 0, 10)
+    own = sorted((r.rank, r.vec_id, r.score) for r in got)
+    assert [i for _, i, _ in own] == [i for i, _ in want]
+    assert [s / scale for _, _, s in own] == pytest.approx([s for _, s in want])
+
+
+def test_shards_grow_with_the_rows():
+    assert [ann.shard_count(n) for n in (1, ann.SHARD, ann.SHARD + 1)] == [1, 1, 2]
+    assert ann.shard_count(100_000_000) <= ann.SHARDS + 1
+    assert ann.shard_count(10**9) == -(-(10**9) // ann.LARGEST)
+
+
 def test_pruning_keeps_the_nearest_and_drops_the_covered():
     x = np.array([[0.0, 0], [1, 0], [1.1, 0], [0, 3]], np.float32)
     norms = (x * x).sum(1)

@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 
 from tallyforge.llm import _store
 from tallyforge.llm import ngram_lm as lm
@@ -66,15 +67,47 @@ def test_matches_the_plain_model(spark, sf_dir):
     assert sum(better) > 0
 
 
-def test_small_parts_change_nothing(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("limits", [{"PART_BYTES": 4096, "FLUSH": 500}, {"NARROW": 100}, {"PART_BYTES": 4096, "SMALL_PARTS": 4, "LARGE_PART_BYTES": 8192, "NARROW": 100, "FLUSH": 500}])
+def test_limits_change_nothing(spark, sf_dir, monkeypatch, limits):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(6)
     one = {r.doc_id: r.score for r in lm.score(docs).collect()}
-    monkeypatch.setattr(lm, "PART_BYTES", 4096)
-    monkeypatch.setattr(lm, "FLUSH", 500)
+    for name, value in limits.items():
+        monkeypatch.setattr(lm, name, value)
     two = {r.doc_id: r.score for r in lm.score(docs).collect()}
     assert all(math.isclose(one[i], two[i], rel_tol=1e-9) for i in one)
 
 
+def test_parts_follow_the_bytes_without_end():
+    sizes = [1, 100 << 20, 30 << 30, 1 << 40, 100 << 40]
+    bits = [lm.part_bits(s) for s in sizes]
+    assert bits == sorted(bits) and bits[0] == 3
+    assert all(s >> b <= lm.LARGE_PART_BYTES for s, b in zip(sizes, bits))
+
+
+def test_wide_keys_sort_as_narrow_ones_and_hold_more():
+    rng = np.random.default_rng(4)
+    v, w = rng.integers(0, 300, 2000), rng.integers(0, 300, 2000)
+    narrow, wide = lm.packed(v, w, False), lm.packed(v, w, True)
+    assert (np.argsort(narrow, kind="stable") == np.argsort(wide, kind="stable")).all()
+    assert (np.unique(narrow, return_counts=True)[1] == np.unique(wide, return_counts=True)[1]).all()
+    big = rng.integers(0, 1 << 62, 50), rng.integers(0, 1 << 62, 50)
+    assert all((a == b).all() for a, b in zip(lm.unpacked(lm.packed(*big, True)), big))
+    assert all((a == b).all() for a, b in zip(lm.unpacked(narrow), (v, w)))
+    assert lm.dealt(wide, 5).min() >= 0 and lm.dealt(wide, 5).max() < 32
+
+
+def test_fetched_arrays_are_forgotten_beyond_a_bound(tmp_path, monkeypatch):
+    for k in range(6):
+        _store.save(f"{tmp_path}/{k}.npy", np.arange(1000))
+    monkeypatch.setattr(_store, "in_place", lambda path: False)
+    monkeypatch.setattr(lm, "FETCHED", 20_000)
+    lm._cache.clear()
+    for k in range(6):
+        assert lm._arrays(f"{tmp_path}/{k}.npy")[7] == 7
+        assert len(lm._cache) <= 4
+    lm._cache.clear()
+
+
 def test_edges_of_the_input(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "a b a"), (3, "a b a"), (9, "z " * 60_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
