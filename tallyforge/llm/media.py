@@ -6,9 +6,12 @@ granules declare no coded data, so a decoder plays silence and everything after
 information is ancillary bytes: there the payload lies. The last frame takes the lowest
 bitrate that holds the rest.
 
-Reading trusts nothing: it finds the first header that another header follows at the
-computed distance, resynchronises after damage, checks each frame's checksum, and yields
-exact durations (samples over sample rate) and the byte offset of every frame.
+Reading takes Layer III of MPEG 1, 2 and 2.5, mono or with two channels, and trusts
+nothing: it finds the first header that another header follows at the computed distance,
+resynchronises after damage, checks each frame's checksum, and yields exact durations
+(samples over sample rate) and the byte offset of every frame. Tags are read from both
+ends (ID3v2.2 to 2.4 in all four text encodings, ID3v1), tables of both kinds (Xing or
+Info after the side information, VBRI at its fixed place), and held against the frames.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +31,19 @@ from tallyforge.llm import _bytes as B
 from tallyforge.llm._session import staged
 
 UNIT = 576
-# Fixed values of the format: kbit/s by index for MPEG-1 Layer III, Hz by index,
-# side-information bytes in mono, samples of a frame.
+# Fixed values of the format: kbit/s by index for MPEG-1 Layer III and for the lower
+# sample rates, Hz by index, side-information bytes in mono, samples of a frame.
 KBITS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+KBITS_LOW = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
 HERTZ = (44100, 48000, 32000)
 SIDE = 17
 SAMPLES = 1152
+#: By the header's version bits: what divides the sample rates; 1 is reserved.
+DIVIDED = {3: 1, 2: 2, 0: 4}
+VBRI_AT = 36
 RATE = 1
 #: Header, checksum and side information come before a frame's free bytes.
 HEAD = 4 + 2 + SIDE
-#: Where a mono information frame's table starts.
-TABLE = 4 + SIDE
 
 
 def frame_bytes(bitrate: int, rate: int = RATE, padding: int = 0) -> int:
@@ -116,6 +122,22 @@ def encode(payload: bytes) -> bytes:
     return TAG + first + bytes(size - len(first)) + body
 
 
+@dataclass(frozen=True)
+class Frame:
+    """What a header says."""
+
+    bytes: int
+    samples: int
+    hertz: int
+    kbits: int
+    side: int
+    protected: bool
+
+    @property
+    def kind(self) -> tuple[int, int]:
+        return self.samples, self.hertz
+
+
 @dataclass
 class Parsed:
     tags: dict[str, str]
@@ -123,6 +145,7 @@ class Parsed:
     offsets: np.ndarray
     bitrates: np.ndarray
     seconds: float
+    samples: int
     rate: int
     bad_checksums: int
     skipped: int
@@ -131,96 +154,179 @@ class Parsed:
     agrees: bool
 
 
-def _size_at(data: bytes, i: int) -> int:
-    """Bytes of the frame whose valid MPEG-1 Layer III header is at i, else 0."""
-    if i + 4 > len(data) or data[i] != 0xFF or data[i + 1] & 0xFE != 0xFA:
-        return 0
-    bitrate, rate = data[i + 2] >> 4, data[i + 2] >> 2 & 3
+@lru_cache(maxsize=4096)
+def _frame(head: bytes) -> Frame | None:
+    """The frame of four header bytes, if they are a valid Layer III header."""
+    if len(head) < 4 or head[0] != 0xFF or head[1] & 0xE6 != 0xE2 or head[1] >> 3 & 3 not in DIVIDED:
+        return None
+    bitrate, rate = head[2] >> 4, head[2] >> 2 & 3
     if not 0 < bitrate < 15 or rate == 3:
-        return 0
-    return frame_bytes(bitrate, rate, data[i + 2] >> 1 & 1)
+        return None
+    by = DIVIDED[head[1] >> 3 & 3]
+    hertz, mono = HERTZ[rate] // by, head[3] >> 6 == 3
+    kbits = (KBITS if by == 1 else KBITS_LOW)[bitrate]
+    samples = SAMPLES if by == 1 else SAMPLES // 2
+    side = (SIDE if mono else 32) if by == 1 else (9 if mono else SIDE)
+    return Frame(samples // 8 * 1000 * kbits // hertz + (head[2] >> 1 & 1), samples, hertz, kbits, side, not head[1] & 1)
+
 
+def _frame_at(data: bytes, i: int) -> Frame | None:
+    return _frame(data[i : i + 4])
 
-def _resync(data: bytes, i: int) -> int:
+
+def _followed(data: bytes, i: int, frame: Frame, end: int) -> bool:
+    """The frame ends the data, or another of its kind follows."""
+    if i + frame.bytes == end:
+        return True
+    after = _frame_at(data, i + frame.bytes)
+    return after is not None and after.kind == frame.kind
+
+
+def _resync(data: bytes, i: int, end: int) -> int:
     """The next place of a frame that ends the data or that another frame follows."""
-    while (i := data.find(b"\xff", i)) >= 0:
-        n = _size_at(data, i)
-        if n and (i + n == len(data) or _size_at(data, i + n)):
+    while 0 <= (i := data.find(b"\xff", i)) < end:
+        frame = _frame_at(data, i)
+        if frame and i + frame.bytes <= end and _followed(data, i, frame, end):
             return i
         i += 1
-    return len(data)
+    return end
+
+
+def _number(data: bytes, bits: int = 8) -> int:
+    """A big-endian number of so many bits a byte."""
+    out = 0
+    for b in data:
+        out = out << bits | b & (1 << bits) - 1
+    return out
+
+
+def _text(data: bytes) -> str:
+    """An ID3v2 text: its encoding, then its characters up to a closing null."""
+    kind, rest = data[:1], data[1:]
+    name = {b"\0": "latin-1", b"\1": "utf-16", b"\2": "utf-16-be", b"\3": "utf-8"}.get(kind, "latin-1")
+    return rest.decode(name, "replace").split("\0")[0]
+
+
+def _tags_ahead(data: bytes) -> tuple[dict[str, str], int]:
+    """Text frames of the ID3v2 tag, by name, and where it ends."""
+    tags: dict[str, str] = {}
+    if data[:3] != b"ID3" or len(data) < 10:
+        return tags, 0
+    version, flags = data[3], data[5]
+    end = 10 + _number(data[6:10], 7)
+    body = data[10:end]
+    if flags & 0x80 and version < 4:  # unsynchronised as a whole
+        body = body.replace(b"\xff\0", b"\xff")
+    i = 0
+    if flags & 0x40 and version > 2:
+        i = _number(body[:4], 7) if version == 4 else 4 + _number(body[:4])
+    name, sized = (3, 6) if version == 2 else (4, 10)
+    while i + sized <= len(body) and body[i] != 0:
+        n = _number(body[i + name : i + 2 * name], 7 if version == 4 else 8)
+        own = body[i + sized : i + sized + n]
+        if version == 4 and body[i + 9] & 2:
+            own = own.replace(b"\xff\0", b"\xff")
+        if body[i : i + 1] == b"T":
+            tags.setdefault(body[i : i + name].decode("latin-1"), _text(own))
+        i += sized + n
+    return tags, min(len(data), end + 10 * bool(version == 4 and flags & 0x10))
+
+
+#: Fixed values of the format: fields of an ID3v1 tag under the names of ID3v2.
+OLD_TAG = (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93), ("TYER", 93, 97), ("COMM", 97, 127))
+
+
+def _tags_behind(data: bytes) -> tuple[dict[str, str], int]:
+    """Fields of the ID3v1 tag and where it starts."""
+    tail = data[-128:]
+    if len(tail) < 128 or tail[:3] != b"TAG":
+        return {}, len(data)
+    found = {name: tail[a:b].split(b"\0")[0].decode("latin-1").rstrip() for name, a, b in OLD_TAG}
+    return {k: v for k, v in found.items() if v}, len(data) - 128
+
+
+def _table_at(data: bytes, at: int, frame: Frame) -> tuple[dict[str, int], bytes | None, list[int]]:
+    """The numbers of an information frame's table, its 100 seek entries, or the bytes of
+    its stretches of frames; all empty if the frame has no table."""
+    table: dict[str, int] = {}
+    i = at + 4 + 2 * frame.protected + frame.side
+    if data[i : i + 4] in (b"Xing", b"Info"):
+        flags = _number(data[i + 4 : i + 8])
+        i += 8
+        seek = None
+        for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "", 100), (8, "quality", 4)):
+            if flags & bit:
+                if name:
+                    table[name] = _number(data[i : i + size])
+                else:
+                    seek = data[i : i + size]
+                i += size
+        if data[i : i + 4] == b"PAYL":
+            table["payload"] = _number(data[i + 4 : i + 12])
+        return table, seek, []
+    i = at + VBRI_AT
+    if data[i : i + 4] == b"VBRI":
+        table = {"quality": _number(data[i + 8 : i + 10]), "bytes": _number(data[i + 10 : i + 14]), "frames": _number(data[i + 14 : i + 18])}
+        entries, scale, width, table["stretch"] = (_number(data[i + k : i + k + 2]) for k in (18, 20, 22, 24))
+        return table, None, [scale * _number(data[i + 26 + k * width : i + 26 + (k + 1) * width]) for k in range(entries)]
+    return table, None, []
 
 
 def parse(data: bytes) -> Parsed:
     """Tags, table, frames and payload of a stream, damaged or not."""
-    tags: dict[str, str] = {}
-    at = 0
-    if data[:3] == b"ID3" and len(data) >= 10:
-        end = 10 + sum((b & 127) << s for b, s in zip(data[6:10], (21, 14, 7, 0)))
-        i = 10
-        while i + 10 <= min(end, len(data)) and data[i] != 0:
-            n = sum((b & 127) << s for b, s in zip(data[i + 4 : i + 8], (21, 14, 7, 0)))
-            tags[data[i : i + 4].decode("latin-1")] = data[i + 11 : i + 10 + n].decode("utf-8", "replace")
-            i += 10 + n
-        at = end
+    tags, at = _tags_ahead(data)
+    old, end = _tags_behind(data)
+    tags = old | tags
     table: dict[str, int] = {}
-    seek, info = None, 0
-    starts, bitrates, rates, parts = [], [], [], []
+    seek, stretches, info = None, [], 0
+    frames: list[Frame] = []
+    starts, parts = [], []
     bad = skipped = 0
     checked: dict[bytes, bool] = {}
-    while at < len(data):
-        n = _size_at(data, at)
-        protected = n and not data[at + 1] & 1
+    while at < end:
+        frame = _frame_at(data, at)
         right = True
-        if protected:
-            lead = data[at : at + HEAD]
+        if frame and frame.protected:
+            lead = data[at : at + 6 + frame.side]
             if lead not in checked:
                 checked[lead] = crc16(lead[2:4] + lead[6:]) == int.from_bytes(lead[4:6], "big")
             right = checked[lead]
         # a frame is one that a frame follows, or the end, or whose own checksum says so
-        followed = n and (at + n == len(data) or _size_at(data, at + n))
-        if not n or at + n > len(data) or not (followed or protected and right):
-            to = _resync(data, at + (1 if n else 0))
+        if not frame or at + frame.bytes > end or not (_followed(data, at, frame, end) or frame.protected and right):
+            to = _resync(data, at + bool(frame), end)
             skipped += to - at
             at = to
             continue
-        if not starts and not table and data[at + TABLE : at + TABLE + 4] in (b"Xing", b"Info"):
-            i = at + TABLE + 4
-            flags = int.from_bytes(data[i : i + 4], "big")
-            i += 4
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    table[name] = int.from_bytes(data[i : i + 4], "big")
-                    i += 4
-            info = at
-            if flags & 4:
-                seek = data[i : i + 100]
-                i += 100
-            if flags & 8:
-                table["quality"] = int.from_bytes(data[i : i + 4], "big")
-                i += 4
-            if data[i : i + 4] == b"PAYL":
-                table["payload"] = int.from_bytes(data[i + 4 : i + 12], "big")
-            at += n
-            continue
+        if not starts and not table:
+            table, seek, stretches = _table_at(data, at, frame)
+            if table or seek:
+                info = at
+                at += frame.bytes
+                continue
         bad += not right
         starts.append(at)
-        bitrates.append(data[at + 2] >> 4)
-        rates.append(data[at + 2] >> 2 & 3)
-        parts.append(data[at + (HEAD if protected else 4 + SIDE) : at + n])
-        at += n
+        frames.append(frame)
+        parts.append(data[at + 4 + 2 * frame.protected + frame.side : at + frame.bytes])
+        at += frame.bytes
     payload = b"".join(parts)
-    rate = HERTZ[rates[0]] if rates else HERTZ[RATE]
     offsets = np.array(starts, np.int64)
-    agrees = _agrees(table, seek, offsets, info, len(data))
-    return Parsed(tags, table, offsets, np.array(bitrates, np.int64), len(starts) * SAMPLES / rate, rate, bad, skipped, payload[: table.get("payload", len(payload))], seek or b"", agrees)
+    agrees = _agrees(table, seek, stretches, offsets, info, end)
+    samples = sum(f.samples for f in frames)
+    one = len({f.hertz for f in frames}) < 2
+    rate = frames[0].hertz if frames else HERTZ[RATE]
+    seconds = samples / rate if one else sum(f.samples / f.hertz for f in frames)
+    return Parsed(tags, table, offsets, np.array([f.kbits for f in frames], np.int64), seconds, samples, rate, bad, skipped, payload[: table.get("payload", len(payload))], seek or b"", agrees)
 
 
-def _agrees(table: dict[str, int], seek: bytes | None, offsets: np.ndarray, info: int, end: int) -> bool:
+def _agrees(table: dict[str, int], seek: bytes | None, stretches: list[int], offsets: np.ndarray, info: int, end: int) -> bool:
     """The table tells the frames found, and its bytes and seek entries, if any, theirs."""
     n, total = len(offsets), end - info
     if table.get("frames", -1) != n or table.get("bytes", total) != total:
         return False
+    if stretches:
+        each = max(1, table["stretch"])
+        edges = np.append(offsets, end)[np.minimum(np.arange(len(stretches) + 1) * each, n)]
+        return stretches == np.diff(edges).tolist()
     if seek is None or not n:
         return True
     places = np.minimum(255, 256 * (offsets[np.arange(100) * n // 100] - info) // total)
@@ -265,7 +371,7 @@ def read(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
                     tail = zlib.crc32(p.payload[-32:])
                     first, last = (int(p.offsets[0]), int(p.offsets[-1])) if len(p.offsets) else (-1, -1)
                     mean = len(data) * 8 / p.seconds / 1000 if p.seconds else 0.0
-                    feature = f"frames={len(p.offsets)};samples={len(p.offsets) * SAMPLES};rate={p.rate};kbps={mean:.3f};first={first};last={last};bad={p.bad_checksums};skipped={p.skipped};title={p.tags.get('TIT2', '')}"
+                    feature = f"frames={len(p.offsets)};samples={p.samples};rate={p.rate};kbps={mean:.3f};first={first};last={last};bad={p.bad_checksums};skipped={p.skipped};title={p.tags.get('TIT2', '')}"
                     out.append((len(p.payload), hashlib.sha256(p.payload).hexdigest(), tail, len(data), hashlib.sha256(data).hexdigest(), feature, p.seconds, len(p.offsets), p.offsets, p.bad_checksums, p.agrees))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_())
                 yield pa.record_batch([part.column("id"), *(part.column(c) for c in columns), *(pa.array(list(x), k) for x, k in zip(zip(*out), kinds))], names)

@@ -58,6 +58,90 @@ def test_table_is_held_against_the_frames(spark):
     assert len({r.payload_sha256 for r in got.values()}) == 1
 
 
+def made(version, mode, bitrate=5, rate=0, protected=True, fill=0x41):
+    """A silent frame by the format's rules: version bits, channel mode, and its free bytes."""
+    low = version != 3
+    kbits = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80)[bitrate] if low else (0, 32, 40, 48, 56, 64, 80, 96)[bitrate]
+    hertz = (44100, 48000, 32000)[rate] // {3: 1, 2: 2, 0: 4}[version]
+    side = {(False, False): 32, (False, True): 17, (True, False): 17, (True, True): 9}[low, mode == 3]
+    size = (72000 if low else 144000) * kbits // hertz
+    head = bytes((0xFF, 0xE0 | version << 3 | 2 | (not protected), bitrate << 4 | rate << 2, mode << 6))
+    crc = media.crc16(head[2:] + bytes(side)).to_bytes(2, "big") if protected else b""
+    lead = head + crc + bytes(side)
+    return lead + bytes([fill]) * (size - len(lead)), side, (576 if low else 1152) / hertz
+
+
+@pytest.mark.parametrize("protected", [True, False])
+@pytest.mark.parametrize("mode", [0, 1, 2, 3])
+@pytest.mark.parametrize("version", [3, 2, 0])
+def test_frames_of_every_version_and_channel_mode(version, mode, protected):
+    frame, side, seconds = made(version, mode, protected=protected)
+    got = media.parse(frame * 5)
+    assert got.offsets.tolist() == [len(frame) * k for k in range(5)]
+    assert got.bad_checksums == 0 and got.skipped == 0
+    assert got.seconds == pytest.approx(5 * seconds)
+    assert got.payload == b"A" * len(got.payload) and len(got.payload) == 5 * (len(frame) - 4 - 2 * protected - side)
+    hurt = bytearray(frame * 5)
+    hurt[len(frame) + 8] ^= 4  # in the second frame's side information
+    assert media.parse(bytes(hurt)).bad_checksums == protected
+
+
+@pytest.mark.parametrize("mode", [0, 3])
+def test_tables_after_the_side_information_of_either_mode(mode):
+    frame, side, _ = made(3, mode, protected=False)
+    body = frame * 7
+    total = len(frame) + len(body)
+    seek = bytes(min(255, 256 * (len(frame) + len(frame) * (k * 7 // 100)) // total) for k in range(100))
+    table = b"Info" + (15).to_bytes(4, "big") + (7).to_bytes(4, "big") + total.to_bytes(4, "big") + seek + (9).to_bytes(4, "big")
+    info = bytearray(frame)
+    info[4 + side : 4 + side + len(table)] = table
+    got = media.parse(bytes(info) + body)
+    assert got.table == {"frames": 7, "bytes": total, "quality": 9} and got.seek == seek and got.agrees
+    info[4 + side + 20] ^= 1
+    assert not media.parse(bytes(info) + body).agrees
+
+
+def test_the_other_kind_of_table():
+    frame, _, _ = made(3, 0, protected=False)
+    sizes = [made(3, 0, bitrate=b, protected=False)[0] for b in (3, 5, 7, 5, 3)]
+    body = b"".join(sizes)
+    total = len(frame) + len(body)
+    entries = [len(sizes[0]) + len(sizes[1]), len(sizes[2]) + len(sizes[3]), len(sizes[4])]
+    table = b"VBRI" + bytes((0, 1, 0, 0)) + (75).to_bytes(2, "big") + total.to_bytes(4, "big") + (5).to_bytes(4, "big")
+    table += b"".join(x.to_bytes(2, "big") for x in (3, 1, 2, 2, *entries))
+    info = bytearray(frame)
+    info[36 : 36 + len(table)] = table
+    got = media.parse(bytes(info) + body)
+    assert (got.table["frames"], got.table["bytes"], got.table["quality"], len(got.offsets), got.agrees) == (5, total, 75, 5, True)
+    info[36 + 27] ^= 1
+    assert not media.parse(bytes(info) + body).agrees
+
+
+@pytest.mark.parametrize("version", [2, 3, 4])
+def test_tags_of_every_version_and_encoding(version):
+    frame = made(3, 1)[0] * 3
+    for code, name in enumerate(("latin-1", "utf-16", "utf-16-be", "utf-8")):
+        title = "Größe ÿ"
+        body = bytes([code]) + title.encode(name)
+        long = "x" * 200  # a size over 127 bytes tells plain numbers from seven-bit ones
+        size = lambda n: media._synchsafe(n) if version == 4 else n.to_bytes(3 if version == 2 else 4, "big")
+        ids = (b"TP1", b"TT2") if version == 2 else (b"TPE1", b"TIT2")
+        rest = b"" if version == 2 else b"\0\0"
+        parts = ids[0] + size(201) + rest + b"\0" + long.encode() + ids[1] + size(len(body)) + rest + body
+        tag = b"ID3" + bytes((version, 0, 0)) + media._synchsafe(len(parts) + 20) + parts + bytes(20)
+        got = media.parse(tag + frame)
+        assert got.tags == {ids[0].decode(): long, ids[1].decode(): title} and len(got.offsets) == 3 and got.skipped == 0
+
+
+def test_the_tag_at_the_end():
+    frame = made(3, 3)[0] * 4
+    old = b"TAG" + b"A title".ljust(30, b"\0") + b"Someone".ljust(30) + bytes(30) + b"2001" + bytes(30) + b"\x0c"
+    got = media.parse(frame + old)
+    assert got.tags == {"TIT2": "A title", "TPE1": "Someone", "TYER": "2001"}
+    assert len(got.offsets) == 4 and got.skipped == 0
+    assert media.parse(old).tags["TIT2"] == "A title" and media.parse(b"TAG").tags == {}
+
+
 def test_checksum():
     assert media.crc16(b"123456789") == 0xAEE7  # the catalogued value of these parameters
 
