@@ -1,11 +1,12 @@
 """Quality by co-training two classifiers: one sees a page's text, one its metadata.
 
-Both start from a bounded sample of labelled rows. In each round each labels the rows of
-a bounded pool that it is sure of for the other, which learns from them in the next.
-Both are then calibrated on labelled rows that none of them learned from, and a logistic
-combination of the calibrated views scores every document. Samples are the rows with the
-smallest hashes of their ids, so reruns agree; fitting is one task over at most
-``LABELLED + POOL`` rows, and its result, a few thousand weights, goes to all workers.
+Both start from a bounded sample of labelled rows, those with the smallest hashes of their
+ids. In each round both score every unlabelled document, and each labels for the other
+those that it is surest of: the ``PER_ROUND`` surest of each class among all, if sure
+enough. The other learns from them in the next round. Both are calibrated on labelled
+rows that none of them learns from, and a logistic combination of the calibrated views
+scores every document. What is fitted is bounded by ``LABELLED + 4 * PER_ROUND * ROUNDS``
+rows, in one task; its result, a few thousand weights, goes to all workers.
 """
 
 from __future__ import annotations
@@ -22,10 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm import _bytes as B
-from tallyforge.llm._session import free_names
+from tallyforge.llm._session import forget, free_names, staged
 
 LABELLED = 6000
-POOL = 4000
 ROUNDS = 3
 SURE = 0.97
 PER_ROUND = 400
@@ -134,12 +134,19 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def cotrain(x_text: np.ndarray, meta: np.ndarray, label: np.ndarray, fold: np.ndarray) -> dict | None:
-    """``x_text`` has the hashed features and then the statistics, which are scaled in
-    place; ``label`` is -1 for the pool; rows of ``fold`` 0 calibrate. None without both
-    classes."""
+VIEWS = ("text", "meta")
+
+
+def train(x_text: np.ndarray, meta: np.ndarray, label: np.ndarray, fold: np.ndarray, told: dict[str, np.ndarray]) -> dict | None:
+    """Both views, calibrated and combined.
+
+    ``x_text`` has the hashed features and then the statistics, which are scaled in
+    place. ``label`` is -1 where there is none; labelled rows of ``fold`` 0 calibrate, all
+    others teach. ``told`` has for each view the labels that the other one gave, -1 for
+    none. None without both classes to learn and to calibrate from.
+    """
     rows = len(label)
-    learn, check, pool = (np.flatnonzero(x) for x in ((label >= 0) & (fold > 0), (label >= 0) & (fold == 0), label < 0))
+    learn, check = (label >= 0) & (fold > 0), np.flatnonzero((label >= 0) & (fold == 0))
     if len(set(label[learn])) < 2 or len(set(label[check])) < 2:
         return None
     numbers = x_text[:, 1 << BITS :].astype(np.float64)
@@ -147,29 +154,15 @@ def cotrain(x_text: np.ndarray, meta: np.ndarray, label: np.ndarray, fold: np.nd
     x_text[:, 1 << BITS :] = np.clip((numbers - centre) / spread, -8, 8)
     x_meta = np.zeros((rows, META), np.float32)
     x_meta[np.arange(rows)[:, None], meta] = 1
-    views = {"text": (x_text, 1e-5), "meta": (x_meta, 1e-3)}
-    told = {v: np.where(label < 0, 0, label).astype(float) for v in views}
-    counts = {v: np.isin(np.arange(rows), learn).astype(float) for v in views}
-    out: dict = {"norm": (centre, spread), "told": []}
-    models: dict[str, Logistic] = {}
-    z: dict[str, np.ndarray] = {}
-    for turn in range(ROUNDS + 1):
-        for v, (x, l2) in views.items():
-            models[v] = Logistic(x.shape[1]).fit(x, told[v], l2, weight=counts[v])
-            z[v] = models[v].logit(x)
-        if turn == ROUNDS:
-            break
-        for v, other in (("text", "meta"), ("meta", "text")):
-            p = sigmoid(calibrated(z[v][check], label[check], z[v][pool]))
-            for y, sure in ((1, p), (0, 1 - p)):
-                best = [i for i in np.argsort(-sure, kind="stable") if sure[i] >= SURE and not counts[other][pool[i]]][:PER_ROUND]
-                told[other][pool[best]] = y
-                counts[other][pool[best]] = 1
-        out["told"].append({v: int(counts[v][pool].sum()) for v in views})
-    scales = {v: platt(z[v][check], label[check]) for v in views}
-    for v in views:
-        out[v] = (models[v].w.astype(np.float32), float(models[v].b), float(scales[v].w[0]), float(scales[v].b))
-    both = Logistic(2).fit(np.stack([scales[v].logit(z[v][check][:, None]) for v in views], axis=1), label[check].astype(float), 1e-3, 400)
+    out: dict = {"norm": (centre, spread)}
+    z: list[np.ndarray] = []
+    for v, x, l2 in (("text", x_text, 1e-5), ("meta", x_meta, 1e-3)):
+        given = told[v] >= 0
+        own = Logistic(x.shape[1]).fit(x, np.where(given, told[v], np.maximum(label, 0)).astype(float), l2, weight=(learn | given).astype(float))
+        scale = platt(own.logit(x)[check], label[check])
+        z.append(scale.logit(own.logit(x)[check][:, None]))
+        out[v] = (own.w.astype(np.float32), float(own.b), float(scale.w[0]), float(scale.b))
+    both = Logistic(2).fit(np.stack(z, axis=1), label[check].astype(float), 1e-3, 400)
     out["both"] = (both.w, both.b)
     return out
 
@@ -180,25 +173,45 @@ def platt(z: np.ndarray, y: np.ndarray) -> Logistic:
     return Logistic(1).fit(z[:, None], np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2)), 0.0, 400)
 
 
-def calibrated(z: np.ndarray, y: np.ndarray, new: np.ndarray) -> np.ndarray:
-    return platt(z, y).logit(new[:, None])
-
-
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, id_col: str = "doc_id", label_col: str = "quality") -> dict | None:
-    """The co-trained model, from at most ``labelled`` labelled and ``pool`` other rows.
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, id_col: str = "doc_id", label_col: str = "quality") -> dict | None:
+    """The co-trained model, from at most ``labelled`` labelled rows and all others.
 
     Several labels of one id count as their smallest; null labels and ids don't count.
-    None where either class is missing among the rows to learn or to calibrate from.
+    Rows that repeat an id count once, by the text with the smallest digest. None where
+    either class is missing among the rows to learn or to calibrate from. ``told`` in the
+    model says how many labels each view had from the other after each round.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.min(label_col).cast("int").alias("y"))
-    one = docs.select(F.col(id_col).alias("k")).where("k IS NOT NULL").distinct()
-    told = one.join(known, "k").withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(labelled).select("k", "y", "h")
-    other = one.join(known, "k", "left_anti").withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(pool).select("k", F.lit(-1).alias("y"), "h")
-    chosen = F.broadcast(told.unionByName(other))  # at most labelled + pool rows of three numbers
-    sample = _columns(docs, id_col).join(chosen, F.col("id") == F.col("k")).dropDuplicates(["k"]).select("text", "lang", "source", "n_chars", "y", "h")
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("k")).agg(F.min(label_col).cast("int").alias("y"))
+    rows = _columns(docs, id_col).where("id IS NOT NULL")
+    one = rows.select(F.col("id").alias("k")).distinct()
+    sample = one.join(known, "k").withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(labelled)
+    given = [(r["k"], r["y"]) for r in sample.select("k", "y").collect()]  # at most `labelled` rows of two numbers
+    told: list[tuple[int, str, int]] = []  # at most 4 * PER_ROUND a round
+    heard = []
+    for turn in range(rounds + 1):
+        model = _fit_once(rows, given, told)
+        if model is None or turn == rounds:
+            break
+        new = _surest(rows, known, model, told)
+        if not new:
+            break
+        told += new
+        heard.append({v: sum(t[1] == v for t in told) for v in VIEWS})
+    return model and model | {"told": heard}
+
+
+def _fit_once(rows: DataFrame, given: list[tuple[int, int]], told: list[tuple[int, str, int]]) -> dict | None:
+    labels = {k: [y, -1, -1] for k, y in given}
+    for k, v, y in told:
+        labels.setdefault(k, [-1, -1, -1])[1 + VIEWS.index(v)] = y
+    if not labels:
+        return None
+    chosen = rows.sparkSession.createDataFrame([(k, *x) for k, x in labels.items()], "k long, y int, y_text int, y_meta int")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    wanted = rows.join(F.broadcast(chosen), F.col("id") == F.col("k")).groupBy("k").agg(F.min_by(F.struct("text", "lang", "source", "n_chars", "y", "y_text", "y_meta"), F.struct(digest, F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), "n_chars")).alias("row"))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("h")
+        table = table.sort_by([("h", "ascending"), ("k", "ascending")])
         n, base = table.num_rows, 0
         x = np.zeros((n, (1 << BITS) + STATISTICS), np.float32)
         meta = np.zeros((n, 3), np.int64)
@@ -209,19 +222,39 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
                 x[base : base + hi - lo, 1 << BITS :] = dense
                 meta[base : base + hi - lo] = meta_view(*(batch.column(c).slice(lo, hi - lo) for c in ("lang", "source", "n_chars")))
                 base += hi - lo
-        label = table.column("y").to_numpy()
+        label, y_text, y_meta, h = (table.column(c).to_numpy() for c in ("y", "y_text", "y_meta", "h"))
         del table, batch
-        return pa.table({"model": pa.array([pickle.dumps(cotrain(x, meta, label, np.arange(n) % 5))], pa.binary())})
+        return pa.table({"model": pa.array([pickle.dumps(train(x, meta, label, h % 5, {"text": y_text, "meta": y_meta}))], pa.binary())})
 
-    got = sample.groupBy(F.lit(0).alias("all")).applyInArrow(run, "model binary").collect()
+    flat = wanted.select("k", F.xxhash64("k").alias("h"), "row.*")
+    got = flat.groupBy(F.lit(0).alias("all")).applyInArrow(run, "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else None
 
 
+def _surest(rows: DataFrame, known: DataFrame, model: dict, told: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """(id, view that is told, label) of the unlabelled documents that the other view is
+    surest of, among all; documents that a view was told of before aren't told again."""
+    spark = rows.sparkSession
+    sure = scored(rows, model, ("p_text", "p_meta", "p")).select(F.col("id").alias("k"), *(F.round(c, 7).alias(c) for c in ("p_text", "p_meta")))
+    sure = sure.where(f"greatest(p_text, 1 - p_text, p_meta, 1 - p_meta) >= {SURE}")
+    before = spark.createDataFrame([(k, v) for k, v, _ in told], "k long, v string")
+    each = staged(sure.join(known, "k", "left_anti").groupBy("k").agg(F.min("p_text").alias("p_text"), F.min("p_meta").alias("p_meta")), "surest")
+    new = []
+    for v, other in (("text", "meta"), ("meta", "text")):
+        had = F.broadcast(before.where(F.col("v") == other).select("k"))  # at most 2 * PER_ROUND a round
+        left = each.join(had, "k", "left_anti").withColumn("h", F.xxhash64("k"))
+        for y, p in ((1, F.col(f"p_{v}")), (0, 1 - F.col(f"p_{v}"))):
+            best = left.where(p >= SURE).orderBy(p.desc(), "h", "k").limit(PER_ROUND).select("k").collect()
+            new += [(r["k"], other, y) for r in best]
+    forget(each)
+    return new
+
+
 def _columns(docs: DataFrame, id_col: str) -> DataFrame:
     def or_null(name: str, kind: str) -> Column:
         return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(name)
 
-    return docs.select(F.col(id_col).alias("id"), or_null("text", "string"), or_null("lang", "string"), or_null("source", "string"), or_null("n_chars", "double"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), or_null("text", "string"), or_null("lang", "string"), or_null("source", "string"), or_null("n_chars", "double"))
 
 
 def kept(docs: DataFrame, model: dict | None, least: float = KEEP) -> DataFrame:

@@ -27,6 +27,7 @@ def test_held_out_accuracy(spark):
     assert sum(r.score >= quality.KEEP for r in good) / len(good) > 0.98
     assert sum(r.score < quality.KEEP for r in bad) / len(bad) > 0.95
     assert any(sum(t.values()) for t in model["told"])  # the views taught each other
+    assert model["told"][-1] == {v: n for v, n in model["told"][-1].items() if n <= 2 * quality.PER_ROUND * quality.ROUNDS}
 
 
 def test_edges_of_the_input(spark, sf_dir):
@@ -117,18 +118,32 @@ def test_fit_finds_the_minimum():
     assert np.allclose(one.w, two.w)
 
 
-def test_views_teach_each_other_only_what_they_are_sure_of():
+def test_views_teach_each_other_only_what_they_are_sure_of(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PER_ROUND", 20)
     rng = np.random.default_rng(3)
-    rows = 900
-    y = rng.integers(0, 2, rows)
-    x = np.zeros((rows, (1 << quality.BITS) + quality.STATISTICS), np.float32)
-    x[np.arange(rows), y] = 1  # the text tells the class outright
-    meta = np.stack([rng.integers(0, 64, rows), 64 + rng.integers(0, 192, rows), np.full(rows, 256)], axis=1)  # the metadata nothing
-    label = np.where(np.arange(rows) < 300, y, -1)
-    model = quality.cotrain(x, meta, label, np.arange(rows) % 5)
-    assert model["told"][0]["text"] == 0  # an unsure view labels nothing for the other
-    assert model["told"][0]["meta"] > 0 and model["told"][-1]["meta"] <= 600
-    assert quality.cotrain(x, meta, np.where(label == 0, -1, label), np.arange(rows) % 5) is None
+    good = lambda: " ".join(rng.choice(["river", "stone", "cloud", "field"], 40))
+    bad = lambda: " ".join(rng.choice(["BUY", "now!!!", "$$$", "win"], 40))
+    y = rng.integers(0, 2, 1200)
+    rows = [(i, good() if y[i] else bad(), str(rng.choice(["en", "de"])), f"s{rng.integers(0, 5)}", int(rng.integers(100, 300))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(y[i])) for i in range(600)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    # the text tells the class outright, the metadata nothing: only the text view teaches,
+    # the surest of each class, every round others
+    assert [t["meta"] for t in model["told"]] == [40, 80, 120] and all(t["text"] == 0 for t in model["told"])
+    got = quality.scored(docs, model).collect()
+    assert sum((r.score >= 0.5) == y[r.doc_id] for r in got) >= 1190
+    held = {}
+    monkeypatch.setattr(quality, "_fit_once", lambda rows, given, told, plain=quality._fit_once: held.update(told={k: t for k, _, t in told}) or plain(rows, given, told))
+    quality.fit(docs.orderBy(F.col("doc_id").desc()), labels)
+    assert min(held["told"]) >= 600 and all(y[k] == t for k, t in held["told"].items())  # from all unlabelled rows, and right
+    assert len(held["told"]) == 120 and max(held["told"]) > 1100
+
+
+def test_no_class_no_model():
+    x, meta = np.zeros((10, (1 << quality.BITS) + quality.STATISTICS), np.float32), np.tile([0, 64, 256], (10, 1))
+    none = {v: np.full(10, -1) for v in quality.VIEWS}
+    assert quality.train(x, meta, np.ones(10, int), np.arange(10) % 5, none) is None
 
 
 def test_same_model_twice(spark, sf_dir):
