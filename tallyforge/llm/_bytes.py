@@ -6,7 +6,8 @@ chunks of a few megabytes, so memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,43 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: s
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+_caches: dict[str, Callable[[], None]] = {"": _powers.clear}
+_owner = ""
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not every C library has it
+    _trim = None
+
+
+def cached_by(owner: str, forget: Callable[[], None]) -> None:
+    """Workers are used again: what an operator remembers goes once another one runs."""
+    _caches[owner] = forget
+
+
+def release() -> None:
+    """Give freed memory back, which a waiting worker would keep."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def taken_over(owner: str) -> None:
+    global _owner
+    if owner != _owner:
+        for name, forget in _caches.items():
+            if name != owner:
+                forget()
+        _owner = owner
+
+
+def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK, owner: str = "") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows; null is empty."""
+    taken_over(owner)
+    yield from _chunks(batch, column, limit)
+    release()
+
+
+def _chunks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

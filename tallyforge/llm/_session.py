@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,9 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
 _folders: set[str] = set()
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Workers get batches of a bounded size, however long the rows; a smaller bound that
+    the session has stays."""
+    with contextlib.suppress(ValueError, PySparkException):  # a bound with a unit is the user's own
+        if int(spark.conf.get(BATCH, str(2**31))) > BATCH_BYTES:
+            spark.conf.set(BATCH, str(BATCH_BYTES))
+    return spark
+
+
 def run_dir(spark: SparkSession) -> str:
     """This application's own folder in the shared one. It goes when the driver's Python
     ends, or by ``clear``; until then results that read from it can be read."""
+    bounded(spark)
     found = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
     if found not in _folders:
         _folders.add(found)

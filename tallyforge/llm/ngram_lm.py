@@ -43,6 +43,7 @@ NARROW = 1 << 32
 FETCHED = 1 << 30
 _cache: dict[str, np.ndarray] = {}
 _fetched = 0
+B.cached_by("model", _cache.clear)
 
 
 def held_out(id_col: str) -> Column:
@@ -149,7 +150,7 @@ def _word_blocks(texts: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = _Blocks(bits, spread=False)
         for batch in batches:
-            for _, _, buf, offsets in B.text_chunks(batch, "text"):
+            for _, _, buf, offsets in B.text_chunks(batch, "text", owner="model"):
                 low = B.LOWER[buf]
                 starts, ends, _ = B.words(low, offsets)
                 if len(starts) and blocks.add(*np.unique(B.word_hashes(low, starts, ends), return_counts=True)):
@@ -214,7 +215,7 @@ def _pair_blocks(texts: DataFrame, vocabulary: Vocabulary, bits: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = _Blocks(bits, spread=True)
         for batch in batches:
-            for _, _, buf, offsets in B.text_chunks(batch, "text"):
+            for _, _, buf, offsets in B.text_chunks(batch, "text", owner="model"):
                 ids, token, ahead, bounds = _stream(buf, offsets, vocabulary)
                 w = np.where(token < 0, END, np.append(ids, 0)[token])
                 v = np.where(ahead < 0, START, np.append(ids, 0)[ahead])
@@ -406,7 +407,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
+            for lo, hi, buf, offsets in B.text_chunks(batch, "text", owner="model"):
                 tokens, known, base, own = model.score(buf, offsets)
                 out = [batch.column("id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo)]
                 out += [pa.array(x) for x in (tokens, known, np.full(hi - lo, model.n["N"], np.int64), base, own)]

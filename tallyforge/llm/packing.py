@@ -34,6 +34,7 @@ RECENT = 150_000
 #: Punctuation that closes words.
 CLOSING = b".,;:!?|#*$%&"
 _tokenizers: dict[str, WordIds] = {}
+B.cached_by("packing", _tokenizers.clear)
 
 
 def default_tokenizer() -> str:
@@ -231,7 +232,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in B.text_chunks(batch, "text"):
+            for lo, hi, buf, offsets in B.text_chunks(batch, "text", owner="packing"):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, found in enumerate(encode(buf, offsets, tokenizer)):
                     found = np.append(found, end)
