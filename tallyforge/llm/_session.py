@@ -41,7 +41,7 @@ def bounded(spark: SparkSession) -> SparkSession:
     """Workers get batches of a bounded size, however long the rows; a smaller bound that
     the session has stays."""
     with contextlib.suppress(ValueError, PySparkException):  # a bound with a unit is the user's own
-        if int(spark.conf.get(BATCH, str(2**31))) > BATCH_BYTES:
+        if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
             spark.conf.set(BATCH, str(BATCH_BYTES))
     return spark
 
