@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -15,9 +16,30 @@ FULL_DATE = rf"(?<![^\s,.;:()])(\d{{1,2}})(?:st|nd|rd|th)?{_GAP}*((?i:{'|'.join(
 PERIODS = (("weekly", 6, 8, 7, 52, 0), ("monthly", 27, 34, 30, 12, 1), ("quarterly", 84, 98, 91, 4, 3), ("yearly", 350, 380, 365, 1, 12))
 
 
+#: The first two-digit year that is of the last century.
+PIVOT = 70
+
+
+def _lenient(form: str) -> list[str]:
+    """A day or month number may have one digit, a month's name may be whole."""
+    short = re.sub("dd", "d", re.sub("(?<!M)MM(?!M)", "M", form))
+    return [short, short.replace("MMM", "MMMM")] if "MMM" in short else [short]
+
+
 def parse_date(c: Column, formats: Sequence[str]) -> Column:
-    """The first format that reads the value; times and offsets are dropped."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in formats])
+    """The first format that reads the value; times and offsets are dropped.
+
+    Numbers of days and months may have one digit. Years of two digits from ``PIVOT`` on
+    are of the last century.
+    """
+
+    def read(form: str) -> Column:
+        date = F.try_to_timestamp(c, F.lit(form)).cast("date")
+        if "yyyy" in form:
+            return date
+        return F.when(F.year(date) >= 2000 + PIVOT, F.add_months(date, -1200)).otherwise(date)
+
+    return F.coalesce(*[read(f) for form in formats for f in _lenient(form)])
 
 
 def first_full_date(text: Column) -> Column:

@@ -13,6 +13,7 @@ from tallyforge.functions import text as X
 
 #: Annualised subscriptions above this are worth a look.
 WORTH_A_LOOK = 100
+# Names of days and, below, the sentences of reasons.
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
@@ -63,6 +64,23 @@ def span(payments: DataFrame) -> DataFrame:
     return payments.agg(F.count("*").alias("payments"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+def numbered(rows: DataFrame, name: str, lead: Column, *ties: str, group: str | None = None, ranges: int = 256) -> DataFrame:
+    """Adds a place from 1 by group (a column of few values, if any), a number and then
+    columns, without one task for all rows.
+
+    Each group's span of the number is cut into ranges; places count on from the rows of
+    the ranges before, which are ``ranges`` counts a group.
+    """
+    at = rows.withColumns({"lead": lead.cast("double"), "part": F.col(group) if group else F.lit(0)})
+    ends = at.groupBy("part").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
+    cut = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("lead") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges), F.lit(ranges - 1))).otherwise(0)
+    at = at.join(F.broadcast(ends), "part").withColumn("range", F.coalesce(cut, F.lit(0)).cast("int")).drop("lo", "hi")  # a row a group
+    ahead = Window.orderBy("part", "range").rowsBetween(Window.unboundedPreceding, -1)
+    before = at.groupBy("part", "range").agg(F.count("*").alias("n")).select("part", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part", "range").orderBy("lead", *ties))
+    return at.withColumn("inside", inside).join(F.broadcast(before), ["part", "range"]).withColumn(name, F.col("before") + F.col("inside")).drop("lead", "part", "range", "inside", "before")
+
+
 def top_subscription(found: DataFrame) -> DataFrame:
     """The dearest subscription that isn't yearly and costs more than is worth a look."""
     worth = (F.col("kind") == "subscription") & (F.col("period") != "yearly") & (F.col("annualised") > WORTH_A_LOOK)
@@ -109,13 +127,14 @@ def evidence_reason(period: Column, payments: Column, median_day: Column, median
 
 def propose_actions(found: DataFrame, today: Column) -> DataFrame:
     """(action_id, kind, merchant, due): rises, one subscription, renewals, utilities, in that order."""
-    rises = found.where("rise_to IS NOT NULL").select(F.lit(1).alias("ord"), F.lit("price_rise").alias("action"), "merchant", "annualised", D.first_of_next_month(today).alias("due"))
-    dear = top_subscription(found).select(F.lit(2).alias("ord"), F.lit("subscription").alias("action"), "merchant", "annualised", D.first_of_next_month(today).alias("due"))
-    renew = found.where("period = 'yearly'").select(F.lit(3).alias("ord"), F.lit("renewal").alias("action"), "merchant", "annualised", D.next_occurrence(F.col("last_date"), F.col("period"), today).alias("due"))
-    bills = found.where("category = 'utilities'").select(F.lit(4).alias("ord"), F.lit("reminder").alias("action"), "merchant", "annualised", D.next_occurrence(F.col("last_date"), F.col("period"), today).alias("due"))
-    every = rises.unionByName(dear).unionByName(renew).unionByName(bills)
-    place = F.row_number().over(Window.orderBy("ord", F.desc("annualised"), "merchant"))
-    return every.select(F.concat(F.lit("act-"), F.lpad(place.cast("string"), 2, "0")).alias("action_id"), "action", "merchant", "annualised", "due")
+    soon, later = D.first_of_next_month(today), D.next_occurrence(F.col("last_date"), F.col("period"), today)
+    act = lambda no, name, due: F.struct(F.lit(no).alias("ord"), F.lit(name).alias("action"), due.alias("due"))
+    given = F.array(F.when(F.col("rise_to").isNotNull(), act(1, "price_rise", soon)), F.when(F.col("period") == "yearly", act(3, "renewal", later)), F.when(F.col("category") == "utilities", act(4, "reminder", later)))
+    each = found.select("merchant", "annualised", F.explode(F.filter(given, lambda a: a.isNotNull())).alias("a")).select("a.ord", "a.action", "merchant", "annualised", "a.due")
+    dear = top_subscription(found).select(F.lit(2).alias("ord"), F.lit("subscription").alias("action"), "merchant", "annualised", soon.alias("due"))
+    placed = numbered(each.unionByName(dear), "place", -F.col("annualised"), "merchant", group="ord")
+    place = F.col("place").cast("string")
+    return placed.select(F.concat(F.lit("act-"), F.lpad(place, F.greatest(F.length(place), F.lit(2)), F.lit("0"))).alias("action_id"), "action", "merchant", "annualised", "due")
 
 
 def calendar_entry(title: Column, day: Column) -> Column:

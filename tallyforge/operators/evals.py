@@ -140,6 +140,18 @@ def digest(columns: list[Column]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def set_digest(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, key): a digest of each group's values in any order, with their counts.
+
+    Values are counted, bundled by the first three digits of their own digests, and the
+    bundles' digests are digested: a group gathers 4096 of them, whatever its size.
+    """
+    each = rows.groupBy(*keys, value).agg(F.count("*").alias("n")).select(*keys, F.concat(F.sha2(value, 256), F.lit(":"), F.col("n").cast("string")).alias("h"))
+    listed = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    bundles = each.groupBy(*keys, F.substring("h", 1, 3).alias("bundle")).agg(listed("h").alias("inner"))
+    return bundles.groupBy(*keys).agg(listed(F.concat("bundle", "inner")).alias("key"))
+
+
 def remaining(work: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """What an interrupted evaluation still has to do."""
     return work.join(done, list(keys), "left_anti")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates as D
 from tallyforge.functions import numbers as N
 from tallyforge.functions import text as X
+from tallyforge.operators import audit
 
 
 def letter_actions(timeline: DataFrame) -> DataFrame:
     """A card for each obligation, dated first, undated ones too."""
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("due.date"), "kind", "party"))
+    # undated ones come after the last day that can be told
+    lead = F.coalesce(F.unix_date("due.date"), F.lit(2**31 - 1))
+    timeline = audit.numbered(timeline, "place", lead, "kind", "party")
+    place = F.col("place").cast("string")
     when = F.when(F.col("due.date").isNull(), F.concat(F.lit("no date: "), F.col("deadline"))).otherwise(D.in_words(F.col("due.date")))
-    return timeline.select(F.concat(F.lit("act-"), F.lpad(place.cast("string"), 2, "0")).alias("action_id"), F.concat(X.term_label(F.col("kind")), F.lit(" for "), "party").alias("title"), when.alias("when"), F.col("due.date").alias("due"), F.map_from_arrays(F.array(F.lit("confidence"), F.lit("passages")), F.array(F.col("confidence"), F.size("evidence").cast("string"))).alias("evidence"))
+    return timeline.select(F.concat(F.lit("act-"), F.lpad(place, F.greatest(F.length(place), F.lit(2)), F.lit("0"))).alias("action_id"), F.concat(X.term_label(F.col("kind")), F.lit(" for "), "party").alias("title"), when.alias("when"), F.col("due.date").alias("due"), F.map_from_arrays(F.array(F.lit("confidence"), F.lit("passages")), F.array(F.col("confidence"), F.size("evidence").cast("string"))).alias("evidence"))
 
 
 def letter_report(timeline: DataFrame) -> DataFrame:

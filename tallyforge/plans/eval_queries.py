@@ -11,34 +11,40 @@ from tallyforge.plans.queries import KEYS, _compared
 from tallyforge.plans.tables import table
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Users' texts as authored passages, assistants' as answers on the turn before."""
+def _turns(spark: SparkSession, sf_dir: str, said: str = "role IS NOT NULL") -> tuple[DataFrame, DataFrame]:
+    """Users' texts as authored passages, and turns (all, or of one role) as answers."""
     c = table(spark, sf_dir, "conversations")
     expected = c.where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), F.concat(F.lit("  "), "text", F.lit("\n")).alias("passage"))
-    actual = c.where("turn % 2 = 0").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.col("text").alias("passage"), F.col("role").alias("said"))
+    actual = c.where(said).select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.col("text").alias("passage"), F.col("role").alias("said"))
     return expected, actual
 
 
 PASSAGE = "lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
 
 
-@register("passage_join", f"WITH e AS (SELECT conv_id * 100 + turn AS item_id, {PASSAGE.format(c='text')} AS k FROM conversations WHERE role = 'user'), a AS (SELECT {PASSAGE.format(c='text')} AS k, arg_min(role, conv_id * 100 + turn) AS said FROM conversations WHERE turn % 2 = 0 GROUP BY 1) SELECT item_id, said FROM e LEFT JOIN a USING (k)")
+@register("passage_join", f"WITH e AS (SELECT conv_id * 100 + turn AS item_id, {PASSAGE.format(c='text')} AS k FROM conversations WHERE role = 'user'), a AS (SELECT {PASSAGE.format(c='text')} AS k, arg_min(role, conv_id * 100 + turn) AS said FROM conversations GROUP BY 1) SELECT item_id, said FROM e LEFT JOIN a USING (k)")
 def passage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.first_by_passage(*_turns(spark, sf_dir)).select("item_id", "said")
 
 
-@register("unauthored", f"SELECT conv_id * 100 + turn AS seq, stratum FROM conversations a, (VALUES ('letters'), ('renewals')) s(stratum) WHERE turn % 2 = 0 AND NOT EXISTS (SELECT 1 FROM conversations e WHERE e.role = 'user' AND {PASSAGE.format(c='e.text')} = {PASSAGE.format(c='a.text')})")
+@register("unauthored", f"SELECT conv_id * 100 + turn AS seq, stratum FROM conversations a, (VALUES ('letters'), ('renewals')) s(stratum) WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM conversations e WHERE e.role = 'user' AND {PASSAGE.format(c='e.text')} = {PASSAGE.format(c='a.text')})")
 def unauthored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected, actual = _turns(spark, sf_dir)
+    expected, actual = _turns(spark, sf_dir, "role = 'assistant'")
     gates = spark.sql("SELECT * FROM VALUES ('letters'), ('renewals') AS t(stratum)")
     return fixtures.unauthored(actual, expected, gates).select("seq", "stratum")
 
 
-@register("disputed_passages", "SELECT d.doc_id, count(*) AS disputes FROM documents d JOIN (SELECT doc_id, replace(left(regexp_replace(text, '\\s', '', 'g'), 40), ' ', '') AS l FROM documents WHERE doc_id % 2 = 0 AND length(text) > 0) q ON q.doc_id = d.doc_id AND contains(lower(regexp_replace(d.text, '\\s', '', 'g')), lower(l)) GROUP BY d.doc_id")
+OTHER_READING = "SELECT DISTINCT doc_id, line, CASE WHEN length(line) % 2 = 0 THEN line ELSE line || '~' END AS read FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
+KEY = "lower(regexp_replace({c}, '\\s', '', 'g'))"
+
+
+@register("disputed_passages", f"SELECT d.doc_id, count(DISTINCT q.read) AS disputes FROM documents d JOIN ({OTHER_READING}) q ON q.doc_id = d.doc_id AND {KEY.format(c='q.read')} <> '' AND contains({KEY.format(c='d.text')}, {KEY.format(c='q.read')}) GROUP BY d.doc_id")
 def disputed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document as another reading's, half of them misread."""
     docs = table(spark, sf_dir, "documents")
     obligations = docs.select(F.col("doc_id").alias("obligation_id"), F.col("doc_id").alias("document"), F.col("text").alias("passage"), F.array().cast("array<string>").alias("disputed"))
-    read = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("document"), F.left(F.regexp_replace("text", r"\s", ""), F.lit(40)).alias("read"))
+    lines = docs.select(F.col("doc_id").alias("document"), F.explode(F.split("text", "\n")).alias("line"))
+    read = lines.select("document", F.when(F.length("line") % 2 == 0, F.col("line")).otherwise(F.concat("line", F.lit("~"))).alias("read")).distinct()
     rows = fixtures.mark_disputed(obligations, read).where(F.size("disputed") > 0)
     return rows.select(F.col("document").alias("doc_id"), F.size("disputed").cast("long").alias("disputes"))
 

@@ -74,8 +74,8 @@ FROM c JOIN l USING (merchant) WHERE period IS NOT NULL)"""
 
 @register("findings", f"SELECT merchant, period, amount, annualised, kind, confidence, row_number() OVER (ORDER BY annualised DESC, merchant) AS place FROM {FINDINGS}")
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.orderBy(F.desc("annualised"), "merchant"))
-    return _findings(spark, sf_dir).select("merchant", "period", "amount", "annualised", "kind", "confidence", place.cast("long").alias("place"))
+    placed = audit.numbered(_findings(spark, sf_dir), "place", -F.col("annualised"), "merchant")
+    return placed.select("merchant", "period", "amount", "annualised", "kind", "confidence", "place")
 
 
 @register("annualise_spend", f"SELECT count(*) AS recurring, coalesce(sum(annualised), 0)::DECIMAL(28,2) AS annualised_total, round(coalesce(sum(annualised), 0)::DECIMAL(28,6) / 12, 2)::DECIMAL(28,2) AS monthly_equivalent FROM {FINDINGS}")
@@ -90,9 +90,20 @@ def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.checklist(_findings(spark, sf_dir)).select("merchant", "rule")
 
 
-@register("top_subscription", f"SELECT merchant, annualised FROM {FINDINGS} WHERE kind = 'subscription' AND period <> 'yearly' AND annualised > 100 ORDER BY annualised DESC, merchant LIMIT 1")
+MONTHS_PAID = "SELECT o_custkey::VARCHAR AS merchant, o_totalprice::DECIMAL(18,2) AS amount, CASE o_custkey % 4 WHEN 0 THEN 'yearly' WHEN 1 THEN 'monthly' WHEN 2 THEN 'weekly' ELSE 'quarterly' END AS period, CASE WHEN o_custkey % 3 = 0 THEN 'bill' ELSE 'subscription' END AS kind FROM orders"
+
+
+def _paid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as if it repeated, at a pace by customer."""
+    period = F.element_at(F.array(F.lit("yearly"), F.lit("monthly"), F.lit("weekly"), F.lit("quarterly")), (F.col("o_custkey") % 4 + 1).cast("int"))
+    kind = F.when(F.col("o_custkey") % 3 == 0, "bill").otherwise("subscription")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("merchant"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), period.alias("period"), kind.alias("kind"))
+    return rows.withColumn("annualised", N.annualise(F.col("amount"), F.col("period")).cast("decimal(28,2)"))
+
+
+@register("top_subscription", f"SELECT merchant, annualised FROM (SELECT merchant, period, kind, (amount * {PER_YEAR})::DECIMAL(28,2) AS annualised FROM ({MONTHS_PAID})) WHERE kind = 'subscription' AND period <> 'yearly' AND annualised > 100 ORDER BY annualised DESC, merchant LIMIT 1")
 def top_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.top_subscription(_findings(spark, sf_dir)).select("merchant", "annualised")
+    return audit.top_subscription(_paid(spark, sf_dir)).select("merchant", "annualised")
 
 
 MEDIAN = """WITH p AS ({source}), r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY amount) AS k, count(*) OVER (PARTITION BY {key}) AS n FROM p),
@@ -209,16 +220,17 @@ def next_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", due.alias("due"))
 
 
-SPELLED = "CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN strftime(o_orderdate, '%d %b %y') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'soon' END"
+SPELLED = ("dd MMM yy", "dd/MM/yyyy", "yyyy-MM-dd")
 
 
-@register("date_parse_multi", f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderdate::DATE END AS date FROM (SELECT *, {SPELLED} AS s FROM orders)")
+@register("date_parse_multi", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 6 THEN o_orderdate::DATE END AS date FROM orders")
 def date_parse_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day, kind = F.col("o_orderdate"), F.col("o_orderkey") % 4
-    text = F.when(kind == 0, F.date_format(day, "dd/MM/yyyy")).when(kind == 1, F.concat(F.date_format(day, "dd MMM "), F.substring(F.date_format(day, "yyyy"), 3, 2))).when(kind == 2, F.date_format(day, "yyyy-MM-dd")).otherwise("soon")
-    read = D.parse_date(text, ("dd MMM yy", "dd/MM/yyyy", "yyyy-MM-dd"))
-    # two digits of a year are of this century in this form
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when((kind == 1) & (F.year(read) > 2010), F.add_months(read, -1200)).otherwise(read).alias("date"))
+    """Days written in six ways, 05 Jan 98 and 5/1/2024 among them, and one word that is none."""
+    day, kind = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    short = F.substring(F.date_format(day, "yyyy"), 3, 2)
+    written = (F.date_format(day, "dd/MM/yyyy"), F.concat(F.date_format(day, "dd MMM "), short), F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "d/M/yyyy"), F.concat(F.date_format(day, "d MMMM "), short), F.date_format(day, "yyyy-M-d"), F.lit("soon"))
+    text = F.element_at(F.array(*written), kind.cast("int") + 1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.parse_date(text, SPELLED).alias("date"))
 
 
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -604,11 +616,13 @@ def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.remaining(work, work.where("event_type = 'purchase'"), "key").select("event_id", "key")
 
 
-@register("content_key", "SELECT source, sha256(string_agg(h, ',' ORDER BY h)) AS key FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
+BUNDLE = "SELECT source, substr(h, 1, 3) AS bundle, sha256(string_agg(h, ',' ORDER BY h)) AS inner_key FROM (SELECT source, sha256(text) || ':' || count(*)::VARCHAR AS h FROM documents GROUP BY source, text) GROUP BY ALL"
+
+
+@register("content_key", f"SELECT source, sha256(string_agg(bundle || inner_key, ',' ORDER BY bundle)) AS key FROM ({BUNDLE}) GROUP BY source")
 def content_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of a source's texts, whatever their order: a text counts as often as it stands."""
-    hashes = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("h"))
-    return hashes.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("key"))
+    return evals.set_digest(table(spark, sf_dir, "documents"), "text", "source")
 
 
 @register("rejects", """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'bad_date' WHEN 1 THEN 'no_merchant' WHEN 2 THEN 'no_amount' WHEN 3 THEN 'bad_amount' WHEN 4 THEN 'zero_amount' END AS reason,
