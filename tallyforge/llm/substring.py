@@ -147,15 +147,17 @@ def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
     """(rk, rh, spans): first window, windows and reference of each block or window that
     is met again."""
     blocks = _index(keyed, window)  # made where it is read: as a table it would take over half the input's bytes
-    index = blocks.groupBy("h", "b").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "sn")).alias("rep"))
-    met = index.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("h", "kinds")
-    index = staged(index.join(met, "h"), "reference-blocks")
-    known = index.select("h", "b", F.col("n").alias("seen"), F.col("rep.rk").alias("ref"), F.expr(f"rep.sn div {PACK}").alias("ref_s"))
+    anchors = blocks.groupBy("h").agg(F.count("*").alias("total"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("total > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # blocks under an anchor that is met again; each meets its one anchor or none, and the
+    # join stays an outer one, as no test that the optimiser can fold comes after it
+    met = blocks.join(anchors, "h", "left").where(F.col("mixed").isNotNull() | (F.rand() < 0))
+    met = staged(met.select(*KEY, "sn", "h", "b", "mixed"), "met-blocks")
+    index = staged(met.groupBy("h", "b").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "sn")).alias("rep"), F.bool_or("mixed").alias("mixed")), "reference-blocks")
+    known = index.where("n > 1").select("h", "b", F.col("n").alias("seen"), F.col("rep.rk").alias("ref"), F.expr(f"rep.sn div {PACK}").alias("ref_s"))
     span = F.struct(F.expr(f"sn div {PACK}").alias("s"), F.expr(f"sn % {PACK}").alias("n"), "ref", "ref_s")
-    # each block meets its one entry of the index, if it has any: rows out are rows in
-    whole = blocks.join(known, ["h", "b"], "left").groupBy(*KEY).agg(F.collect_list(F.when(F.col("seen") > 1, span)).alias("spans"))
+    whole = met.join(known, ["h", "b"], "left").groupBy(*KEY).agg(F.collect_list(F.when(F.col("seen") > 1, span)).alias("spans"))
     seed = F.struct(F.col("rep.sn").alias("sn"), "h", F.col("n").alias("w"))
-    wanted = index.where("kinds > 1").select(*(F.col(f"rep.{k}") for k in KEY), seed.alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("wanted"))
+    wanted = index.where("mixed").select(*(F.col(f"rep.{k}") for k in KEY), seed.alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("wanted"))
     windows = _boundary_windows(keyed.select(*KEY, "text").join(wanted, list(KEY)), window)
     again = windows.groupBy("h", "fp").agg(F.sum("w").alias("t"), F.min(F.struct("rk", "s")).alias("rep")).where("t > 1").select("h", "fp", F.col("rep.rk").alias("ref"), F.col("rep.s").alias("ref_s"))
     edge = F.struct("s", F.lit(1).cast("long").alias("n"), "ref", "ref_s")
