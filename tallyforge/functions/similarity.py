@@ -43,10 +43,49 @@ def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """1 less the distance of the comparison keys over the longer one's length."""
-    return F.pandas_udf(_similarities, "double")(comparison_key(a), comparison_key(b))
+    """1 less the distance of the comparison keys over the longer one's length.
+
+    Pairs of equal keys, or one plain edit apart, are settled by built-in expressions;
+    only others go to Python.
+    """
+    x, y = comparison_key(a), comparison_key(b)
+    return _settled(x, y, None)
+
+
+def _settled(x: Column, y: Column, threshold: float | None) -> Column:
+    most = F.greatest(F.length(x), F.length(y))
+    edits = F.levenshtein(x, y)
+    # a transposition is two edits at most, so the distance is from half of the edits up to them
+    sure = edits <= 1
+    value = F.when(most == 0, 1.0).otherwise(1 - edits / most)
+    if threshold is not None:
+        sure = sure | (value >= threshold) | (1 - F.ceil(edits / 2) / most < threshold)
+    rest = F.when(~F.coalesce(sure, F.lit(False)), x)
+    return F.when(sure, value).otherwise(F.pandas_udf(_similarities, "double")(rest, y))
 
 
 def fuzzy_match(a: Column, b: Column, threshold: float) -> Column:
-    return similarity(a, b) >= threshold
+    """Whether the similarity is the threshold or more; most pairs need no exact distance."""
+    x, y = comparison_key(a), comparison_key(b)
+    return _settled(x, y, threshold) >= threshold
+
+
+EXACT = 1.0
+
+
+def tolerance(written: str) -> float:
+    """The threshold that a tolerance names: ``exact``, or ``fuzzy:`` and a share in (0, 1]."""
+    kind, _, share = written.partition(":")
+    if written == "exact":
+        return EXACT
+    try:
+        value = float(share)
+    except ValueError:
+        value = -1.0
+    if kind != "fuzzy" or not 0 < value <= 1:
+        raise ValueError(f"{written!r} is no tolerance")
+    return value

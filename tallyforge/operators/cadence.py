@@ -1,13 +1,15 @@
 """Cadence, amount clusters, reversal netting and payment series.
 
 Payments are counted by merchant and day before anything is gathered, so what a merchant
-gathers is bounded by the days of the calendar, however many payments it has.
+gathers is bounded by the days of the calendar (times its different amounts, for series
+and netting), however many payments it has.
 """
 
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from decimal import Decimal
 
 import pyarrow as pa
@@ -122,38 +124,64 @@ def _band(days: int) -> str | None:
     return next((name for name, (lo, hi) in _BANDS.items() if lo <= days <= hi), None)
 
 
-def period_of(days: list[datetime.date]) -> str | None:
-    gaps = sorted((b - a).days for a, b in zip(days, days[1:]))
-    found = _band(gaps[len(gaps) // 2]) if gaps else None
-    if found is None or (len(days) < 3 and found != "yearly"):
+def period_of_gaps(gaps: Mapping[int, int]) -> str | None:
+    """The period that counted gaps between payments show: the band of the upper median,
+    if most of them share it."""
+    total = sum(gaps.values())
+    if not total:
+        return None
+    at = 0
+    for gap in sorted(gaps):
+        at += gaps[gap]
+        if at > total // 2:
+            break
+    found = _band(gap)
+    if found is None or (total < 2 and found != "yearly"):
         return None
-    return found if 2 * sum(_band(g) == found for g in gaps) > len(gaps) else None
+    return found if 2 * sum(n for g, n in gaps.items() if _band(g) == found) > total else None
+
+
+def day_gaps(days: list[tuple[datetime.date, int]]) -> Counter:
+    """Counted gaps of (date, payments) in order; payments of one day are no days apart."""
+    gaps = Counter((b - a).days for (a, _), (b, _) in zip(days, days[1:]))
+    if same := sum(n - 1 for _, n in days):
+        gaps[0] += same
+    return gaps
+
+
+def period_of(days: list[datetime.date]) -> str | None:
+    return period_of_gaps(Counter((b - a).days for a, b in zip(days, days[1:])))
 
 
-def fold_series(clusters: list[tuple[Decimal, list[datetime.date]]]) -> list[dict]:
-    """Series of clusters in first-seen order: each joins the latest series that it
-    continues, as its new price, else begins one; a rise stays known after a drop."""
+def fold_series(clusters: list[tuple[Decimal, list[tuple[datetime.date, int]]]]) -> list[dict]:
+    """Series of clusters (amount, days with counts) in first-seen order: each joins the
+    latest series that it continues, as its new price, else begins one; a rise stays
+    known after a drop. A series holds its last day and its counted gaps, not payments."""
     series: list[dict] = []
     for amount, days in clusters:
+        first, own, n = days[0][0], day_gaps(days), sum(k for _, k in days)
         for s in reversed(series):
-            wait = (days[0] - s["days"][-1]).days
-            period = period_of(s["days"] + days) if wait > 0 else None
+            wait = (first - s["last"]).days
+            if wait <= 0:
+                continue
+            gaps = s["gaps"] + own + Counter([wait])
+            period = period_of_gaps(gaps)
             if period and wait <= _NOMINAL[period] * 8 // 5:
                 if amount > s["amount"]:
-                    s |= {"rise_from": s["amount"], "rise_to": amount, "rise_when": days[0]}
-                s["amount"] = amount
-                s["days"] = s["days"] + days
+                    s |= {"rise_from": s["amount"], "rise_to": amount, "rise_when": first}
+                s |= {"amount": amount, "gaps": gaps, "last": days[-1][0], "payments": s["payments"] + n}
                 break
         else:
-            series.append({"amount": amount, "days": days, "rise_from": None, "rise_to": None, "rise_when": None})
-    return [s | {"period": p} for s in series if (p := period_of(s["days"]))]
+            series.append({"amount": amount, "gaps": own, "last": days[-1][0], "payments": n, "rise_from": None, "rise_to": None, "rise_when": None})
+    return [s | {"period": p} for s in series if (p := period_of_gaps(s["gaps"]))]
 
 
 def series(payments: DataFrame, direction: str = "debit", account: str = "account", merchant: str = "merchant") -> DataFrame:
     """(account, merchant, period, amount, rise_from, rise_to, rise_when, payments) of each series.
 
     A merchant of one account is folded as a whole, since each cluster's place depends
-    on the ones before; what it gathers are its amounts by day.
+    on the ones before; what it gathers are its amounts by day, with their counts, so it
+    grows with different amounts and days and not with payments.
     """
     net = net_of_reversals(payments, direction, account, merchant)
     clusters = net.groupBy(account, merchant, "amount").agg(F.array_sort(F.collect_list(F.struct("date", "n"))).alias("days"))
@@ -169,8 +197,8 @@ def series(payments: DataFrame, direction: str = "debit", account: str = "accoun
         for batch in batches:
             rows: list[tuple] = []
             for i, found in enumerate(batch.column("clusters").to_pylist()):
-                folded = fold_series([(c["amount"], [x["date"] for x in c["days"] for _ in range(x["n"])]) for c in found])
-                rows += [(i, s["period"], s["amount"], *(s[f] for f in fields), len(s["days"])) for s in folded]
+                folded = fold_series([(c["amount"], [(x["date"], x["n"]) for x in c["days"]]) for c in found])
+                rows += [(i, s["period"], s["amount"], *(s[f] for f in fields), s["payments"]) for s in folded]
             at = pa.array([r[0] for r in rows], pa.int64())
             d = pa.decimal128(*map(int, money[8:-1].split(",")))
             types = (pa.string(), d, d, d, pa.date32(), pa.int64())

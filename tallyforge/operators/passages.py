@@ -73,25 +73,52 @@ def quote_in(quote: Column, source: Column) -> Column:
 def quote_places(quotes: DataFrame, segments: DataFrame, grams: int = 4) -> DataFrame:
     """(quote_id, document, ordinal) where a quote stands, white space apart.
 
-    A quote's second word and those after, up to ``grams`` and short of its last, stand
-    whole in any text that contains it, so they are the join key; containment decides.
-    Quotes of fewer than three words have no such key and are compared with every text.
+    A quote's inner words stand whole in any text that contains it, so hashes of up to
+    ``grams`` of them in a row are join keys: of each quote one, the least, of each text
+    all, with nothing but its place. A quote of two words needs a word that ends like its
+    first before one that begins like its second, and a quote of one word a part of a
+    word; those ends and parts are keys too, of the lengths that quotes have. Containment
+    decides. Empty quotes stand nowhere.
     """
-    asked = quotes.select("quote_id", X.squash(F.col("quote")).alias("quote")).where("quote <> ''")
-    inner = F.size(F.split("quote", " ")) - 2
-    asked = asked.withColumn("width", F.least(inner, F.lit(grams)))
-    asked = asked.withColumn("key", F.array_join(F.slice(F.split("quote", " "), F.lit(2), F.greatest("width", F.lit(0))), " "))
+    asked = quotes.select("quote_id", X.squash(F.col("quote")).alias("quote")).where("quote <> ''").withColumn("w", F.split("quote", " "))
     held = segments.select("document", "ordinal", X.squash(F.col("text")).alias("text"))
-    words = held.select("document", "ordinal", "text", F.split("text", " ").alias("w"))
-    used = F.broadcast(asked.where("width > 0").select("width").distinct())  # at most `grams` rows
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - F.col("width") + 1, F.lit(1)))
-    keys = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("width")), " ")))
-    keyed = words.join(used, F.size("w") >= F.col("width")).select("document", "ordinal", "width", F.explode(keys).alias("key"))
-    near = asked.join(keyed, ["width", "key"]).select("quote_id", "quote", "document", "ordinal")
-    long = near.join(held, ["document", "ordinal"]).where(F.contains(F.col("text"), F.col("quote")))
-    short = asked.where("width <= 0").join(held, F.contains(F.col("text"), F.col("quote")))
-    columns = ("quote_id", "document", "ordinal")
-    return long.select(*columns).unionByName(short.select(*columns))
+    words = held.select("document", "ordinal", F.split("text", " ").alias("w"))
+    width = F.least(F.size("w") - 2, F.lit(grams))
+    long = asked.where(F.size("w") > 2).select("quote_id", width.alias("width"), F.slice("w", F.lit(2), F.size("w") - 2).alias("w"))
+    long = long.select("quote_id", "width", F.array_min(_gram_hashes(F.col("w"), F.col("width"))).alias("key"))
+    used = F.broadcast(long.select("width").distinct())  # at most `grams` rows
+    keyed = words.join(used, F.size("w") >= F.col("width")).select("document", "ordinal", "width", F.explode(F.array_distinct(_gram_hashes(F.col("w"), F.col("width")))).alias("key"))
+    near = long.join(keyed, ["width", "key"])
+    places = near.select("quote_id", "document", "ordinal")
+    for pairs in (_two_words(asked, words), _one_word(asked, words)):
+        places = places.unionByName(pairs)
+    sure = places.distinct().join(asked.select("quote_id", "quote"), "quote_id").join(held, ["document", "ordinal"])
+    return sure.where(F.contains(F.col("text"), F.col("quote"))).select("quote_id", "document", "ordinal")
+
+
+def _gram_hashes(words: Column, width: Column) -> Column:
+    """A hash of every run of so many words, from the words' hashes."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, width)))
+
+
+def _two_words(asked: DataFrame, words: DataFrame) -> DataFrame:
+    two = asked.where(F.size("w") == 2).select("quote_id", F.col("w")[0].alias("a"), F.col("w")[1].alias("b")).withColumns({"m": F.length("a"), "n": F.length("b")})
+    ends = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("x"), F.element_at("w", i + 1).alias("y")))
+    next_to = words.where(F.size("w") > 1).select("document", "ordinal", F.inline(F.array_distinct(ends)))
+    lengths = F.broadcast(two.select("m", "n").distinct())  # pairs of lengths of words
+    cut = next_to.join(lengths, (F.length("x") >= F.col("m")) & (F.length("y") >= F.col("n")))
+    keyed = cut.select("document", "ordinal", F.right("x", F.col("m")).alias("a"), F.left("y", F.col("n")).alias("b"))
+    return two.select("quote_id", "a", "b").join(keyed, ["a", "b"]).select("quote_id", "document", "ordinal")
+
+
+def _one_word(asked: DataFrame, words: DataFrame) -> DataFrame:
+    one = asked.where(F.size("w") == 1).select("quote_id", F.col("quote").alias("part"), F.length("quote").alias("m"))
+    lengths = F.broadcast(one.select("m").distinct())  # lengths of words
+    each = words.select("document", "ordinal", F.explode(F.array_distinct("w")).alias("x")).join(lengths, F.length("x") >= F.col("m"))
+    parts = F.transform(F.sequence(F.lit(1), F.length("x") - F.col("m") + 1), lambda i: F.substring(F.col("x"), i, F.col("m")))
+    return one.select("quote_id", "part").join(each.select("document", "ordinal", F.explode(parts).alias("part")), "part").select("quote_id", "document", "ordinal")
 
 
 def ambiguous_quotes(places: DataFrame) -> DataFrame:

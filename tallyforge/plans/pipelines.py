@@ -36,7 +36,15 @@ def _recurrence(t: Tables, step: dict) -> Tables:
     if "account" not in rows.columns:
         rows = rows.withColumn("account", F.lit("all"))
     found = audit.findings(cadence.series(rows, "debit"))
-    return {"findings": found, "income": cadence.series(rows, "credit"), "spend": audit.regular_spend(rows.join(found.select("merchant").distinct(), "merchant", "left_anti"), "merchant")}
+    return {"findings": found, "income": cadence.series(rows, "credit"), "spend": spend(rows, found)}
+
+
+def spend(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Regular spend of an account's merchants that have a debit and no series."""
+    keys = ["account", "merchant"]
+    paid = rows.where("direction = 'debit'").select(*keys).distinct()
+    eligible = paid.join(found.select(*keys).distinct(), keys, "left_anti")
+    return audit.regular_spend(rows.join(eligible, keys, "left_semi"), *keys)
 
 
 def _timeline(t: Tables, step: dict) -> Tables:

@@ -7,12 +7,15 @@ connection. It runs inside a partition (``asked``), so a slow source is slow per
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyforge.operators.answers import batched
 
 Source = Callable[[str, dict], str]
 
@@ -106,13 +109,20 @@ def _once(source: Source, template: str, schema: dict, items: dict[int, str], ec
 
 
 def asked(items: DataFrame, source: Source, template: str, schema: dict, size: int = 8) -> DataFrame:
-    """(id, text, answer as JSON, review) of items (id, text), ``size`` at a time."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for lo in range(0, len(pdf), size):
-                part = pdf.iloc[lo : lo + size]
-                got = ask(source, template, schema, dict(zip(part["id"].tolist(), part["text"])))
-                yield part.assign(answer=[json.dumps(got.answers[i]) if i in got.answers else None for i in part["id"]], review=[got.review.get(i) for i in part["id"]])
-
-    return items.select("id", "text").mapInPandas(run, "id long, text string, answer string, review string")
+    """(id, text, answer as JSON, review) of items (id, text), ``size`` at a time.
+
+    Which items are asked together follows from their ids alone, so a rerun, or another
+    partitioning, asks the same batches: ids are dealt to buckets by a hash, and a bucket
+    is cut into batches in the order of ids.
+    """
+    n = items.count()
+    bucket = F.pmod(F.xxhash64("id"), F.lit(max(1, n // (64 * size)))).cast("int")
+    rows = batched(items.select("id", "text").withColumn("bucket", bucket), size, "bucket", "id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = pdf.sort_values("id", kind="stable")
+        got = ask(source, template, schema, dict(zip(part["id"].tolist(), part["text"])))
+        done = part.assign(answer=[json.dumps(got.answers[i]) if i in got.answers else None for i in part["id"]], review=[got.review.get(i) for i in part["id"]])
+        return done[["id", "text", "answer", "review"]]
+
+    return rows.groupBy("bucket", "batch").applyInPandas(run, "id long, text string, answer string, review string")

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pathlib import Path, PurePosixPath
 from typing import Any
 
+# The names that a pack's steps and schemas may use.
 PREPROCESS = ("merchant-cleanup", "segment")
 AGGREGATE = ("recurrence-detect", "timeline-sort", "term-diff")
 ROLES = ("normalise", "classify", "obligations", "policy-terms")

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates as D
 from tallyforge.functions.text import DECIMAL
+from tallyforge.sources.documents import placed
 
 
 @dataclass(frozen=True)
@@ -114,22 +115,29 @@ def annotated(rows: DataFrame, layout: Layout, columns: dict[str, str]) -> DataF
     return rows.withColumns({"date": date, "raw_merchant": merchant, "amount": F.abs(value), "direction": direction, "reason": reason})
 
 
-def read_statement(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(payments, rejects) of a CSV export; both carry src_file and row_no."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path)
+def read_rows(raw: DataFrame) -> DataFrame:
+    """``raw`` (columns named as a file's header has them) as ``annotated`` rows, by the
+    first named layout that fits the header, else by the cells' shapes."""
     named = named_layout(raw.columns)
     if named:
         layout, at = named
-        columns = {h: raw.columns[i] for h, i in at.items()}
-    else:
-        layout = positional_layout(raw)
-        if layout is None:
-            raise UnknownLayout(f"no layout has the columns {raw.columns}")
-        columns = {h: h for h in (layout.date, layout.merchant, layout.amount) if h}
-    rows = raw.select("*", F.input_file_name().alias("src_file"), F.monotonically_increasing_id().alias("seq"))
-    found = annotated(rows, layout, columns)
-    good = found.where("reason IS NULL").select("src_file", "seq", "date", "raw_merchant", "amount", "direction")
-    return good, found.where("reason IS NOT NULL").select("src_file", "seq", "reason", "raw_merchant")
+        return annotated(raw, layout, {h: raw.columns[i] for h, i in at.items()})
+    layout = positional_layout(raw)
+    if layout is None:
+        raise UnknownLayout(f"no layout has the columns {raw.columns}")
+    return annotated(raw, layout, {h: h for h in (layout.date, layout.merchant, layout.amount) if h})
+
+
+def read_statement(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(payments, rejects) of a CSV export; both carry src_file and row_no (also as seq),
+    which counts a file's rows from 1 however the scan was split."""
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path)
+    found = read_rows(raw).select("*", F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("in_scan"))
+    # one export is one window, which a bank's own limits bound
+    row_no = F.row_number().over(Window.partitionBy("src_file").orderBy("block", "in_scan"))
+    found = found.withColumn("row_no", row_no).withColumn("seq", F.col("row_no").cast("long"))
+    good = found.where("reason IS NULL").select("src_file", "row_no", "seq", "date", "raw_merchant", "amount", "direction")
+    return good, found.where("reason IS NOT NULL").select("src_file", "row_no", "seq", "reason", "raw_merchant")
 
 
 def read_input(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -140,8 +148,15 @@ def read_input(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raise UnknownLayout(f"{kind} files aren't read here; give their fragments as a table")
 
 
+def read_folder(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(payments, rejects) of many exports of one layout in one scan, with part: each
+    file's place in the list."""
+    good, bad = read_statement(spark, list(paths))
+    return placed(spark, good, paths, "part"), placed(spark, bad, paths, "part")
+
+
 def concatenated(parts: list[DataFrame]) -> DataFrame:
-    """Statements one after another, order kept by (part, seq)."""
+    """Statements of different layouts one after another, order kept by (part, row_no)."""
     out = None
     for i, part in enumerate(parts):
         part = part.withColumn("part", F.lit(i))

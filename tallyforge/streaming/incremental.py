@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyforge.operators.cadence import period_of
+from tallyforge.operators.cadence import day_gaps, period_of_gaps
 
 
 def running_cadence(payments: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -23,8 +23,8 @@ def running_cadence(payments: DataFrame, delay: str = "7 days") -> DataFrame:
                 days[day.toordinal()] = days.get(day.toordinal(), 0) + int(n)
         order = sorted(days)
         state.update((order, [days[d] for d in order]))
-        dates = [datetime.date.fromordinal(d) for d in order for _ in range(days[d])]
-        yield pd.DataFrame({"merchant": [key[0]], "payments": [len(dates)], "period": [period_of(dates)]})
+        found = day_gaps([(datetime.date.fromordinal(d), days[d]) for d in order])
+        yield pd.DataFrame({"merchant": [key[0]], "payments": [sum(days.values())], "period": [period_of_gaps(found)]})
 
     rows = payments.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     return rows.groupBy("merchant").applyInPandasWithState(update, "merchant string, payments long, period string", "days array<long>, n array<long>", "append", GroupStateTimeout.NoTimeout)

@@ -112,3 +112,37 @@ def test_runs(spark, tmp_path):
     assert {r.answer for r in answers.replayed(asked, recorded).collect()} == {"yes"}
     with pytest.raises(Exception, match="no answer"):
         answers.replayed(spark.createDataFrame([("p", "new")], "policy string, prompt string"), recorded).collect()
+
+
+def test_a_folder_is_one_scan_with_rows_numbered_by_file(spark, tmp_path):
+    for name, days in (("b", (1, 2, 3)), ("a b", (4, 31, 5))):
+        lines = ["Date,Description,Amount", *(f"2024-{'02' if d == 31 else '01'}-{d},shop {d},-{d}.00" for d in days)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    paths = [str(tmp_path / "b.csv"), str(tmp_path / "a b.csv")]
+    good, bad = statements.read_folder(spark, paths)
+    assert [(r.part, r.row_no, str(r.amount)) for r in good.orderBy("part", "row_no").collect()] == [(0, 1, "1.00"), (0, 2, "2.00"), (0, 3, "3.00"), (1, 1, "4.00"), (1, 3, "5.00")]
+    assert [(r.part, r.row_no, r.reason) for r in bad.collect()] == [(1, 2, "bad_date")]
+
+
+def test_dates_of_one_digit_and_two_digit_years(spark):
+    from pyspark.sql import functions as F
+
+    from tallyforge.functions import dates as D
+
+    rows = [("5/1/2024", "2024-01-05"), ("05/01/2024", "2024-01-05"), ("05 Jan 98", "1998-01-05"), ("5 january 69", "2069-01-05"), ("1 Feb 70", "1970-02-01"), ("29 Feb 96", "1996-02-29"), ("2024-1-5", "2024-01-05"), ("31/02/2024", None), ("", None)]
+    got = spark.createDataFrame(rows, "text string, want string").select("text", "want", D.parse_date(F.col("text"), ("dd MMM yy", "dd/MM/yyyy", "yyyy-MM-dd")).cast("string").alias("read")).collect()
+    assert [(r.text, r.read) for r in got] == [(r.text, r.want) for r in got]
+
+
+def test_questions_are_the_same_in_any_partitioning(spark):
+    from tallyforge.sources import asking
+
+    def echo(prompt, schema):
+        items = [__import__("json").loads(x) for x in prompt.split("\n")]
+        return __import__("json").dumps({"results": [{"id": i["id"], "text": i["text"], "with": len(items)} for i in items]})
+
+    schema = {"type": "object", "properties": {"results": {"type": "array", "items": {"type": "object"}}}, "required": ["results"]}
+    items = spark.range(100).selectExpr("id", "concat('text ', id) AS text")
+    one = sorted(map(tuple, asking.asked(items.coalesce(1), echo, "{items}", schema, 6).collect()))
+    assert one == sorted(map(tuple, asking.asked(items.repartition(7), echo, "{items}", schema, 6).collect()))
+    assert all(r[2] and r[3] is None for r in one)
