@@ -36,8 +36,9 @@ def dated(obligations: DataFrame, segments: DataFrame) -> DataFrame:
     rows = obligations.join(opening_dates(segments), "document", "left").join(label_rows(segments), "document", "left")
     rows = rows.withColumn("due", D.resolve_deadline(F.col("deadline"), F.col("anchor"), F.col("letter_date")))
     pointed = F.col("due.date").isNull() & D.points_at_a_date(F.col("deadline")) & F.col("pointed").isNotNull()
-    due = F.when(pointed, F.struct(F.col("pointed").alias("date"), F.lit("read").alias("kind"))).otherwise(F.col("due"))
-    return rows.withColumn("due", due).withColumn("dated_by_row", pointed).drop("pointed")
+    rows = rows.withColumn("dated_by_row", F.coalesce(pointed, F.lit(False)))
+    due = F.when(F.col("dated_by_row"), F.struct(F.col("pointed").alias("date"), F.lit("read").alias("kind"))).otherwise(F.col("due"))
+    return rows.withColumn("due", due).drop("pointed")
 
 
 def merged(obligations: DataFrame) -> DataFrame:

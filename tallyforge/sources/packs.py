@@ -9,6 +9,9 @@ from dataclasses import dataclass, field
 from pathlib import Path, PurePosixPath
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # The names that a pack's steps and schemas may use.
 PREPROCESS = ("merchant-cleanup", "segment")
 AGGREGATE = ("recurrence-detect", "timeline-sort", "term-diff")
@@ -63,6 +66,28 @@ def authored_id(value: str) -> bool:
     return re.fullmatch(r"[a-z0-9]+(-[a-z0-9]+){2,}", value) is not None
 
 
+def authored(value: Column) -> Column:
+    """``authored_id`` as an expression."""
+    return value.rlike(r"^[a-z0-9]+(-[a-z0-9]+){2,}$")
+
+
+def contained(relative: Column) -> Column:
+    """``is_contained`` as an expression."""
+    return (relative != "") & ~relative.startswith("/") & ~F.contains(relative, F.lit("\\")) & ~F.array_contains(F.split(relative, "/"), "..")
+
+
+def checked_step(step: Mapping[str, Any]) -> None:
+    """Refuses a step of a kind or name that there isn't."""
+    kind = step.get("kind")
+    if kind == "wasm":
+        raise PackError("sandboxed steps are always refused")
+    if kind not in STEPS:
+        raise PackError(f"no step is of kind {kind!r}")
+    allowed = {"preprocess": PREPROCESS, "aggregate": AGGREGATE, "model": ROLES}.get(kind)
+    if allowed and step.get("name") not in allowed:
+        raise PackError(f"{kind} has no {step.get('name')!r}")
+
+
 def load(folder: str | Path) -> Pack:
     """The pack in a folder, or PackError for anything undeclared, missing or uncontained."""
     folder = Path(folder)
@@ -76,14 +101,7 @@ def load(folder: str | Path) -> Pack:
     if not inputs or len({r.name for r in inputs}) < len(inputs):
         raise PackError("inputs need different names, one at least")
     for step in raw.get("steps", []):
-        kind = step.get("kind")
-        if kind == "wasm":
-            raise PackError("sandboxed steps are always refused")
-        if kind not in STEPS:
-            raise PackError(f"no step is of kind {kind!r}")
-        allowed = {"preprocess": PREPROCESS, "aggregate": AGGREGATE, "model": ROLES}.get(kind)
-        if allowed and step.get("name") not in allowed:
-            raise PackError(f"{kind} has no {step.get('name')!r}")
+        checked_step(step)
         for file in step.get("files", {}).values():
             if not is_contained(file) or not (folder / file).is_file():
                 raise PackError(f"{file!r} isn't a file of the pack")

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from tallyforge.plans import catalog
-from tallyforge.plans import eval_queries as _registered  # noqa: F401  (brings in all other queries)
+from tallyforge.plans import every as _registered  # noqa: F401
 
 
 @pytest.fixture(scope="module")
