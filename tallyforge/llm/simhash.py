@@ -40,6 +40,7 @@ from tallyforge.llm.components import components
 BUCKET = 48
 BLOCK = 256
 REPS = 4
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -282,10 +283,18 @@ def _representatives(large: DataFrame) -> DataFrame:
 def _stars(large: DataFrame, s: Setting) -> DataFrame:
     """(key, r, a, b): each member b of a large bucket with a representative a, if the ring lets both pass."""
     reps = _representatives(large).select("key", F.inline("reps")).select("key", "r", F.struct("node", "lanes").alias("x"))
-    both = large.select("key", F.struct("node", "lanes").alias("y")).join(reps, "key")
+    both = _with_own(large.select("key", "node", F.struct("node", "lanes").alias("y")), reps)
     return staged(both.where(F.expr(_pair_test(s))).select("key", "r", F.col("x.node").alias("a"), F.col("y.node").alias("b")), "stars-of-buckets")
 
 
+def _with_own(members: DataFrame, few: DataFrame) -> DataFrame:
+    """Members of buckets (key, node) with their bucket's few rows, which meet them in
+    ``SALTS`` tasks: one bucket may hold a third of all."""
+    salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return members.select("*", salt).join(few.select("*", copies), ["key", "salt"]).drop("salt")
+
+
 def _unlinked(large: DataFrame, stars: DataFrame, sure: DataFrame) -> DataFrame:
     """The large buckets' rows, with ``open`` where a member isn't known to be connected
     with the bucket's first representative, and n, open_n: how many there are in the bucket."""
@@ -298,7 +307,7 @@ def _unlinked(large: DataFrame, stars: DataFrame, sure: DataFrame) -> DataFrame:
     known = main.unionByName(near).distinct().withColumn("known", F.lit(True))
     marked = staged(large.select("key", "node", "lanes", "n").join(known, ["key", "node"], "left").select("key", "node", "lanes", "n", F.col("known").isNull().alias("open")), "marked")
     some = marked.where("open").groupBy("key").agg(F.count("*").alias("open_n"))
-    return marked.join(some, "key")
+    return _with_own(marked, some)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, s: Setting) -> DataFrame:
