@@ -37,6 +37,26 @@ def performance(cells: DataFrame) -> DataFrame:
     return out
 
 
+def extraction_slices(items: DataFrame) -> DataFrame:
+    """Per stratum Wilson intervals of what was missed and of what was invented.
+
+    ``items`` has expected, asserted, strata and unauthored: negatives that nobody wrote
+    down count against no gate.
+    """
+    a, gated = F.col("asserted"), ~F.col("expected") & ~F.coalesce("unauthored", F.lit(False))
+    out = sliced(items).groupBy("stratum").agg(F.count_if("expected").alias("miss_n"), F.count_if(F.col("expected") & (a == "other")).alias("miss_k"), F.count_if(gated).alias("invention_n"), F.count_if(gated & (a == "class")).alias("invention_k"))
+    for name in ("miss", "invention"):
+        ci = N.wilson(F.col(f"{name}_k"), F.col(f"{name}_n"))
+        out = out.withColumns({f"{name}_low": ci["low"], f"{name}_high": ci["high"]})
+    return out
+
+
+def wrong_by_path(items: DataFrame, path: str = "kind_from") -> DataFrame:
+    """Decisions and confident errors by the path that a decision came by."""
+    wrong = (F.col("asserted") != "review") & (F.col("expected") != (F.col("asserted") == "class"))
+    return items.groupBy(path).agg(F.count("*").alias("decisions"), F.count_if(wrong).alias("wrong"))
+
+
 def distinct_wrong(items: DataFrame, *keys: str) -> DataFrame:
     """Per slice: decisions of the class, and those with any confidently wrong row."""
     one = items.where("expected").groupBy(*keys, "decision_key").agg(F.bool_or(F.col("asserted") == "other").alias("wrong"))

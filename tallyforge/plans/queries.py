@@ -380,12 +380,6 @@ def symmetric_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.one_sided(_views(spark, sf_dir)).select("grp", F.array_join(F.array_sort("only_left"), ",").alias("only_left"), F.array_join(F.array_sort("only_right"), ",").alias("only_right"))
 
 
-@register("relation_laws")
-def relation_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _views(spark, sf_dir)
-    return relations.invariant(pairs).select("relation", F.lit("invariant").alias("law"), "holds").unionByName(relations.one_removed(pairs).select("relation", F.lit("one_removed").alias("law"), "holds"))
-
-
 SLICED = f"(SELECT *, 'overall' AS stratum FROM {SCORED} UNION ALL SELECT *, lang FROM {SCORED} UNION ALL SELECT *, source FROM {SCORED})"
 CELLS = f"""SELECT stratum, {", ".join(f"count(*) FILTER (WHERE {'expected' if w == 'class' else 'NOT expected'} AND asserted = '{a}') AS {w}_{a}" for w in ("class", "other") for a in ("class", "other", "review"))} FROM {SLICED} GROUP BY stratum"""
 
@@ -442,11 +436,6 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("level", "decisions", "errors", "routed", F.round("low", 9).alias("rate_low"), F.round("high", 9).alias("rate_high"))
 
 
-@register("ranking_signal")
-def ranking_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evals.ranking_signal(evals.calibration(_levels(spark, sf_dir)))
-
-
 RULES = f"(SELECT doc_id, expected = (n_chars < 4000) AS was, expected = (n_chars > 500) AS now FROM {SCORED})"
 
 
