@@ -1,86 +1,236 @@
-"""Mutants of recorded answers: every site of every operator as a row, scored in one job.
+"""Mutants of recorded answers: every site of every operator as a row, replayed in one job.
 
-An answer is (item, confidence, claims array<struct<kind, deadline, quote, value>>).
+A recording is a row a batch: (batch, items array<struct<id, text>>, results
+array<struct<id, echo, confidence, claims array<struct<kind, deadline>>, terms
+array<struct<term, basis, value, quote>>>>). It is what was found right, so its own
+replay is the truth that mutants are held against. A batch is a few items, as they were
+asked; a mutant copies its batch and nothing else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import move_first_digit
-
-#: Operator to what should contain its damage.
-CONTAINED = {
-    "drop_claim": "scoring",
-    "invent_claim": "scoring",
-    "deadline_digit": "scoring",
-    "swap_roles": "scoring",
-    "wrong_value": "scoring",
-    "invent_date": "scoring",
-    "force_high": "scoring",
-    "omit_item": "pairing",
-    "duplicate_item": "pairing",
-    "mispair": "pairing",
-    "foreign_quote": "quote",
-    "schema_break": "schema",
-    "unmodelled_term": "coverage",
-    "shape_break": "value_shape",
-    "force_low": "cost",
-    "reorder": "none",
-}
+from tallyforge.functions import text as X
+from tallyforge.operators.passages import quote_in
+
+Sites = Callable[[Column], Column]
+Apply = Callable[[Column, Column], Column]
+
+
+@dataclass(frozen=True)
+class Operator:
+    """Where a harm can be planted, how, and what should contain it."""
+
+    contained_by: str
+    sites: Sites
+    apply: Apply
+
+
+INVENTED = ("payment", "within 7 days")
+DATED = "by 15 June 2026"
+OUTSIDE = "outside"
+SHAPELESS = "some hundreds or so"
+
+
+def _site(r: Column, i: Column | int = -1, s: Column | int = -1, j: Column | int = -1) -> Column:
+    value = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("int")
+    return F.struct(value(r).alias("r"), value(i).alias("i"), value(s).alias("s"), value(j).alias("j"))
+
+
+def _results(where: Callable[[Column], Column]) -> Sites:
+    """A site for each result that a test holds for."""
+    return lambda results: F.filter(F.transform(results, lambda x, r: F.when(where(x), _site(r))), lambda x: x.isNotNull())
+
+
+def _parts(name: str, where: Callable[[Column, Column, Column], Column]) -> Sites:
+    """A site for each claim or term; the test sees it, all results and its result's place."""
+    return lambda results: F.filter(F.flatten(F.transform(results, lambda x, r: F.transform(x[name], lambda p, i: F.when(where(p, results, r), _site(r, i))))), lambda x: x.isNotNull())
+
+
+def _at(change: Callable[[Column, Column], Column]) -> Apply:
+    """Changes the result at a site."""
+    return lambda results, site: F.transform(results, lambda x, r: F.when(r == site["r"], change(x, site)).otherwise(x))
+
+
+def _part(name: str, field: str, value: Callable[[Column, Column, Column], Column]) -> Apply:
+    """Changes one field of the claim or term at a site."""
+
+    def apply(results: Column, site: Column) -> Column:
+        edit = lambda p, i: F.when(i == site["i"], p.withField(field, value(p, results, site["r"]))).otherwise(p)
+        return F.transform(results, lambda x, r: F.when(r == site["r"], x.withField(name, F.transform(x[name], edit))).otherwise(x))
+
+    return apply
 
 
-def _with(claim: Column, **new: Column) -> Column:
-    return F.struct(*[new.get(f, claim[f]).alias(f) for f in ("kind", "deadline", "quote", "value")])
+def _any(*_: Column) -> Column:
+    return F.lit(True)
 
 
-def _at(change: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
-    return lambda claims, site: F.transform(claims, lambda c, i: F.when(i == site, change(c)).otherwise(c))
+def _has_claim(x: Column) -> Column:
+    return (F.size(x["claims"]) > 0) | (F.size(x["terms"]) > 0)
 
 
-_CLAIM_OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
-    "drop_claim": lambda claims, site: F.filter(claims, lambda c, i: i != site),
-    "invent_claim": lambda claims, site: F.array_append(claims, _with(F.element_at(claims, site + 1), kind=F.lit("invented"))),
-    "deadline_digit": _at(lambda c: _with(c, deadline=move_first_digit(c["deadline"]))),
-    "wrong_value": _at(lambda c: _with(c, value=move_first_digit(c["value"]))),
-    "invent_date": _at(lambda c: _with(c, deadline=F.concat(c["deadline"], F.lit(" 1 May 2030")))),
-    "foreign_quote": _at(lambda c: _with(c, quote=F.concat(F.lit("elsewhere: "), c["quote"]))),
-    "schema_break": _at(lambda c: _with(c, kind=F.lit(None).cast("string"))),
-    "unmodelled_term": _at(lambda c: _with(c, kind=F.lit("unmodelled"))),
-    "shape_break": _at(lambda c: _with(c, value=F.lit("~"))),
+def _digits(c: Column) -> Column:
+    return c.rlike("[0-9]")
+
+
+def _other_figure(term: Column) -> Column:
+    """The first amount of the quote that isn't the value."""
+    figures = F.transform(F.regexp_extract_all(term["quote"], F.lit("£[0-9.]*"), F.lit(0)), lambda x: F.rtrim(x, F.lit(".")))
+    return F.try_element_at(F.filter(figures, lambda x: x != term["value"]), F.lit(1))
+
+
+def _foreign_quote(term: Column, results: Column, r: Column) -> Column:
+    """The first quote of another result that isn't the term's own."""
+    quotes = F.flatten(F.transform(results, lambda x, k: F.when(k != r, F.transform(x["terms"], lambda t: t["quote"])).otherwise(F.array().cast("array<string>"))))
+    return F.try_element_at(F.filter(quotes, lambda q: q != term["quote"]), F.lit(1))
+
+
+def _role_pairs(results: Column) -> Column:
+    """Pairs of terms of one name and basis with unlike values."""
+    held = F.flatten(F.transform(results, lambda x, r: F.transform(x["terms"], lambda t, i: F.struct(r.alias("r"), i.alias("i"), F.struct(t["term"], t["basis"]).alias("key"), t["value"].alias("value")))))
+    later = lambda a, k: F.filter(F.transform(held, lambda b, m: F.when((m > k) & (b["key"] == a["key"]) & (b["value"] != a["value"]), _site(a["r"], a["i"], b["r"], b["i"]))), lambda x: x.isNotNull())
+    return F.flatten(F.transform(held, later))
+
+
+def _swapped_roles(results: Column, site: Column) -> Column:
+    value = lambda r, i: F.element_at(F.element_at(results, r + 1)["terms"], i + 1)["value"]
+    first, second = value(site["r"], site["i"]), value(site["s"], site["j"])
+
+    def edit(r: Column) -> Callable[[Column, Column], Column]:
+        return lambda t, i: t.withField("value", F.when((r == site["r"]) & (i == site["i"]), second).when((r == site["s"]) & (i == site["j"]), first).otherwise(t["value"]))
+
+    return F.transform(results, lambda x, r: x.withField("terms", F.transform(x["terms"], edit(r))))
+
+
+def _mispaired(results: Column, site: Column) -> Column:
+    own = lambda r: F.element_at(results, r + 1)["id"]
+    return F.transform(results, lambda x, r: x.withField("id", F.when(r == site["r"], own(site["s"])).when(r == site["s"], own(site["r"])).otherwise(x["id"])))
+
+
+def _broken(x: Column, site: Column) -> Column:
+    first = lambda parts, field: F.transform(parts, lambda p, i: F.when(i == 0, p.withField(field, F.lit(OUTSIDE))).otherwise(p))
+    return F.when(F.size(x["claims"]) > 0, x.withField("claims", first(x["claims"], "kind"))).otherwise(x.withField("terms", first(x["terms"], "term")))
+
+
+OPERATORS: dict[str, Operator] = {
+    "drop_claim": Operator("scoring", _parts("claims", _any), _at(lambda x, s: x.withField("claims", F.filter(x["claims"], lambda c, i: i != s["i"])))),
+    "invent_claim": Operator("scoring", _results(lambda x: F.size(x["claims"]) == 0), _at(lambda x, s: x.withField("claims", F.array_append(x["claims"], F.struct(F.lit(INVENTED[0]).alias("kind"), F.lit(INVENTED[1]).alias("deadline")))))),
+    "deadline_digit": Operator("scoring", _parts("claims", lambda c, _, r: _digits(c["deadline"])), _part("claims", "deadline", lambda c, _, r: X.move_first_digit(c["deadline"]))),
+    "omit_item": Operator("pairing", _results(_any), lambda results, site: F.filter(results, lambda x, r: r != site["r"])),
+    "foreign_quote": Operator("quote", _parts("terms", lambda t, results, r: _foreign_quote(t, results, r).isNotNull()), _part("terms", "quote", _foreign_quote)),
+    "swap_roles": Operator("scoring", _role_pairs, _swapped_roles),
+    "wrong_value": Operator("scoring", _parts("terms", lambda t, _, r: _other_figure(t).isNotNull()), _part("terms", "value", lambda t, _, r: _other_figure(t))),
+    "duplicate_item": Operator("pairing", _results(_any), lambda results, site: F.flatten(F.transform(results, lambda x, r: F.when(r == site["r"], F.array(x, x)).otherwise(F.array(x))))),
+    "mispair": Operator("pairing", lambda results: F.filter(F.transform(results, lambda x, r: F.when(r > 0, _site(r - 1, -1, r))), lambda x: x.isNotNull()), _mispaired),
+    "reorder": Operator("none", lambda results: F.when(F.size(results) > 1, F.array(_site(F.lit(0)))).otherwise(F.filter(F.array(_site(F.lit(0))), lambda x: F.lit(False))), lambda results, site: F.reverse(results)),
+    "invent_date": Operator("scoring", _parts("claims", lambda c, _, r: ~_digits(c["deadline"])), _part("claims", "deadline", lambda c, _, r: F.lit(DATED))),
+    "schema_break": Operator("schema", _results(_has_claim), _at(_broken)),
+    "unmodelled_term": Operator("coverage", _parts("terms", _any), _part("terms", "term", lambda t, _, r: F.lit("other"))),
+    "shape_break": Operator("value_shape", _parts("terms", _any), _part("terms", "value", lambda t, _, r: F.lit(SHAPELESS))),
+    "force_low": Operator("cost", _results(lambda x: _has_claim(x) & (x["confidence"] != "low")), _at(lambda x, s: x.withField("confidence", F.lit("low")))),
+    "force_high": Operator("scoring", _results(lambda x: x["confidence"] == "low"), _at(lambda x, s: x.withField("confidence", F.lit("high")))),
 }
 
 
-def mutants(answers: DataFrame) -> DataFrame:
-    """(operator, item, site, contained_by, confidence, claims, copies) of every mutant."""
-    out = None
-    for name, apply in _CLAIM_OPERATORS.items():
-        sites = answers.where(F.size("claims") > 0).withColumn("site", F.explode(F.sequence(F.lit(0), F.size("claims") - 1)))
-        rows = sites.select(F.lit(name).alias("operator"), "item", "site", "confidence", apply(F.col("claims"), F.col("site")).alias("claims"), F.lit(1).alias("copies"))
-        out = rows if out is None else out.unionByName(rows)
-    whole = {
-        "omit_item": (F.col("confidence"), F.col("claims"), 0),
-        "duplicate_item": (F.col("confidence"), F.col("claims"), 2),
-        "reorder": (F.col("confidence"), F.reverse("claims"), 1),
-        "swap_roles": (F.col("confidence"), F.transform("claims", lambda c: _with(c, quote=c["value"], value=c["quote"])), 1),
-        "force_low": (F.lit("low"), F.col("claims"), 1),
-        "force_high": (F.lit("high"), F.col("claims"), 1),
-    }
-    for name, (confidence, claims, copies) in whole.items():
-        out = out.unionByName(answers.select(F.lit(name).alias("operator"), "item", F.lit(0).alias("site"), confidence.alias("confidence"), claims.alias("claims"), F.lit(copies).alias("copies")))
-    contained = F.create_map(*[F.lit(x) for pair in CONTAINED.items() for x in pair])
-    return out.withColumn("contained_by", contained[F.col("operator")])
-
-
-def effects(mutated: DataFrame, answers: DataFrame) -> DataFrame:
-    """(operator, mutants, changed): how many differ from the answer as a set of claims."""
-    base = answers.select("item", F.array_sort("claims").alias("was"), F.col("confidence").alias("was_confidence"))
-    rows = mutated.join(base, "item")
-    changed = (F.array_sort("claims") != F.col("was")) | (F.col("copies") != 1) | (F.col("confidence") != F.col("was_confidence"))
-    return rows.groupBy("operator", "contained_by").agg(F.count("*").alias("mutants"), F.count_if(changed).alias("changed"))
+def mutants(recording: DataFrame, operators: Sequence[str] = tuple(OPERATORS)) -> DataFrame:
+    """(operator, contained_by, batch, site, items, truth, results) of every mutant, with
+    the recording's further columns."""
+    more = [c for c in recording.columns if c not in ("batch", "items", "results")]
+    def named(name: str) -> Column:
+        return F.transform(OPERATORS[name].sites(F.col("results")), lambda x: F.struct(F.lit(name).alias("operator"), x.alias("site")))
+
+    rows = recording.select("batch", "items", F.col("results").alias("truth"), *more, F.inline(F.concat(*map(named, operators))))
+    changed, by = F.lit(None), F.lit(None)
+    for n in operators:
+        mine = F.col("operator") == n
+        changed = F.when(mine, OPERATORS[n].apply(F.col("truth"), F.col("site"))).otherwise(changed)
+        by = F.when(mine, OPERATORS[n].contained_by).otherwise(by)
+    return rows.select("operator", by.alias("contained_by"), "batch", "site", "items", "truth", changed.alias("results"), *more)
+
+
+def decisions(items: Column, results: Column, kinds: Sequence[str], terms: dict[str, str], truth: Column | None = None, was: Column | None = None) -> Column:
+    """What a replay decides about each item: struct(review, level, said).
+
+    The checks come in the pipeline's order: an answer outside its schema loses the whole
+    batch; an item without exactly one answer that echoes it goes to review; so does one
+    with a term that the pack doesn't model, whose quote isn't on the page or lacks the
+    value, or whose value has a wrong shape (``terms`` names each term's). ``said`` is what
+    is asserted, whatever its order. An item whose answers are those of ``truth`` is
+    decided as it ``was``.
+    """
+    known = F.array(*map(F.lit, kinds))
+    shapes = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
+    sound = F.forall(results, lambda x: F.forall(x["claims"], lambda c: F.array_contains(known, c["kind"])) & F.forall(x["terms"], lambda t: (t["term"] == "other") | F.try_element_at(shapes, t["term"]).isNotNull()))
+
+    def fault(t: Column, text: Column) -> Column:
+        fits = F.coalesce(X.value_kind(t["value"]) == F.try_element_at(shapes, t["term"]), F.lit(False))
+        return F.when(t["term"] == "other", "coverage").when(~quote_in(t["quote"], text), "quote").when(~quote_in(t["value"], t["quote"]), "value").when(~fits, "value_shape")
+
+    def decide(item: Column) -> Column:
+        found = F.filter(results, lambda x: x["id"] == item["id"])
+        one = F.try_element_at(found, F.lit(1))
+        faults = F.filter(F.transform(one["terms"], lambda t: fault(t, item["text"])), lambda f: f.isNotNull())
+        why = F.when(~sound, "schema").when(F.size(found) == 0, "missing").when(F.size(found) > 1, "duplicate").when(one["echo"] != item["text"], "echo").otherwise(F.try_element_at(faults, F.lit(1)))
+        said = F.to_json(F.struct(F.array_sort(one["claims"]).alias("claims"), F.array_sort(one["terms"]).alias("terms")))
+        return F.struct(why.alias("review"), F.when(why.isNull(), one["confidence"]).alias("level"), F.when(why.isNull(), said).alias("said"))
+
+    if truth is None:
+        return F.transform(items, decide)
+    mine = lambda rs, item: F.filter(rs, lambda x: x["id"] == item["id"])
+    return F.transform(items, lambda item, i: F.when(sound & (mine(results, item) == mine(truth, item)), F.element_at(was, i + 1)).otherwise(decide(item)))
+
+
+def replayed(recording: DataFrame, kinds: Sequence[str], terms: dict[str, str], operators: Sequence[str] = tuple(OPERATORS)) -> DataFrame:
+    """(operator, contained_by, batch, site, affected, contained, moved, cost, killed) of
+    every mutant.
+
+    Affected items are decided otherwise than in the truth. They are contained if all go
+    to review, the score moves if one of them asserts something else, and the cost shifts
+    if more items are in review or uncertain than were.
+    """
+    # each step is exploded out of an array of one, so that what it gives is computed once
+    # and not again in every test on it
+    once = lambda value, name: F.explode(F.array(value)).alias(name)
+    told = recording.select("batch", "items", "results", once(decisions(F.col("items"), F.col("results"), kinds, terms), "was"))
+    rows = mutants(told, operators)
+    now = decisions(F.col("items"), F.col("results"), kinds, terms, F.col("truth"), F.col("was"))
+    rows = rows.select("operator", "contained_by", "batch", "site", "was", once(now, "now"))
+    pairs = F.filter(F.arrays_zip("was", "now"), lambda p: ~p["was"].eqNullSafe(p["now"]))
+    unsure = lambda c: F.size(F.filter(c, lambda d: d["review"].isNotNull() | (d["level"] == "low")))
+    costs = (unsure(F.col("now")) > unsure(F.col("was"))).alias("cost")
+    rows = rows.select("operator", "contained_by", "batch", "site", F.inline(F.array(F.struct(pairs.alias("pairs"), costs))))
+    flags = F.struct(
+        F.size("pairs").alias("affected"),
+        ((F.size("pairs") > 0) & F.forall("pairs", lambda p: p["now"]["review"].isNotNull())).alias("contained"),
+        F.exists("pairs", lambda p: p["now"]["review"].isNull() & ~p["now"]["said"].eqNullSafe(p["was"]["said"])).alias("moved"),
+        F.col("cost"),
+    )
+    rows = rows.select("operator", "contained_by", "batch", "site", F.inline(F.array(flags)))
+    return rows.withColumn("killed", killed(F.col("contained_by"), F.col("affected"), F.col("contained"), F.col("moved"), F.col("cost")))
+
+
+def killed(contained_by: Column, affected: Column, contained: Column, moved: Column, cost: Column) -> Column:
+    """Without an effect expected, nothing may move; a cost is to be paid; else the score
+    moves, or a person sees all of it."""
+    return F.when(contained_by == "none", affected == 0).when(contained_by == "cost", cost | contained).otherwise(moved | contained)
+
+
+def report(recording: DataFrame, kinds: Sequence[str], terms: dict[str, str], operators: Sequence[str] = tuple(OPERATORS)) -> DataFrame:
+    """(operator, contained_by, mutants, affected, contained, killed) of a recording."""
+    rows = replayed(recording, kinds, terms, operators)
+    return rows.groupBy("operator", "contained_by").agg(F.count("*").alias("mutants"), F.count_if(F.col("affected") > 0).alias("affected"), F.count_if("contained").alias("contained"), F.count_if("killed").alias("killed"))
+
+
+def survivors(recording: DataFrame, kinds: Sequence[str], terms: dict[str, str]) -> DataFrame:
+    """(item, survivor_operator, site) of the mutants that nothing caught."""
+    rows = replayed(recording, kinds, terms).where("NOT killed")
+    return rows.select(F.col("batch").cast("string").alias("item"), F.col("operator").alias("survivor_operator"), F.to_json("site").alias("site"))
 
 
 def triage(survivors: DataFrame, families: DataFrame) -> DataFrame:
@@ -89,7 +239,3 @@ def triage(survivors: DataFrame, families: DataFrame) -> DataFrame:
     first = joined.groupBy("item", "survivor_operator", "site").agg(F.min_by("family", "rank").alias("family"))
     found = first.where("family IS NOT NULL").groupBy("family").agg(F.count("*").alias("found"))
     return families.select("family", "allowed").distinct().join(found, "family", "left").select("family", "allowed", F.coalesce("found", F.lit(0)).alias("found")).withColumn("over", F.greatest(F.col("found") - F.col("allowed"), F.lit(0)))
-
-
-def killed(contained_by: Column, guard_fired: Column, score_moved: Column, cost_moved: Column) -> Column:
-    return F.when(contained_by == "none", ~score_moved).when(contained_by == "scoring", score_moved).when(contained_by == "cost", cost_moved).otherwise(guard_fired)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import numbers as N
-from tallyforge.operators import audit, evals, fixtures, passages, registry, relations
+from tallyforge.operators import audit, evals, fixtures, mutation, passages, registry, relations
 from tallyforge.plans import pipelines
 from tallyforge.plans.catalog import register
 from tallyforge.plans.eval_queries import PASSAGE, _turns
@@ -347,3 +347,51 @@ def permitted_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("decisions_needed", "SELECT p_partkey, ceil(3.84::DOUBLE / (p_size / 100.0::DOUBLE) - 3.84::DOUBLE)::BIGINT AS needed FROM part WHERE p_size > 0")
 def decisions_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", N.decisions_needed(F.col("p_size") / F.lit(100.0)).alias("needed"))
+
+
+KINDS, SHAPES = ("payment", "reply"), {"fee": "money"}
+
+
+def _recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch a customer, an item an order: some dated, some undated, some ask nothing;
+    every second one states a fee beside another figure; every fifth is uncertain."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    fee = F.concat(F.lit("£"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    quote = F.concat(F.lit("a fee of "), fee, F.lit(" and not £1.5"))
+    deadline = F.when(key % 3 == 0, F.concat(F.lit("by "), F.date_format(day, "d MMMM yyyy"))).when(key % 3 == 1, "as soon as you can")
+    text = F.concat(F.lit("Order "), key.cast("string"), F.lit(": "), F.coalesce(deadline, F.lit("nothing to do")), F.lit("; "), quote)
+    claim, term = "array<struct<kind:string,deadline:string>>", "array<struct<term:string,basis:string,value:string,quote:string>>"
+    claims = F.when(deadline.isNotNull(), F.array(F.struct(F.when(key % 2 == 0, "payment").otherwise("reply").alias("kind"), deadline.alias("deadline")))).otherwise(F.array().cast(claim))
+    terms = F.when(key % 2 == 0, F.array(F.struct(F.lit("fee").alias("term"), F.lit("per_year").alias("basis"), fee.alias("value"), quote.alias("quote")))).otherwise(F.array().cast(term))
+    result = F.struct(key.alias("id"), text.alias("echo"), F.when(key % 5 == 0, "low").otherwise("high").alias("confidence"), claims.alias("claims"), terms.alias("terms"))
+    item = F.struct(key.alias("id"), text.alias("text"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("batch")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.array_sort(F.collect_list(result)).alias("results"))
+
+
+RECORDED = """WITH o AS (SELECT o_custkey AS b, o_orderkey AS k, o_orderkey % 3 AS d, o_orderkey % 2 = 0 AS fee, o_orderkey % 5 = 0 AS low, o_totalprice::DECIMAL(18,2) AS value FROM orders),
+n AS (SELECT b, count(*) AS n, count(*) FILTER (WHERE fee) AS fees FROM o GROUP BY b),
+s AS (SELECT 'drop_claim' AS operator, (SELECT count(*) FROM o WHERE d < 2) AS mutants UNION ALL SELECT 'invent_claim', (SELECT count(*) FROM o WHERE d = 2)
+  UNION ALL SELECT 'deadline_digit', (SELECT count(*) FROM o WHERE d = 0) UNION ALL SELECT 'invent_date', (SELECT count(*) FROM o WHERE d = 1)
+  UNION ALL SELECT unnest(['omit_item', 'duplicate_item']), (SELECT count(*) FROM o) UNION ALL SELECT 'mispair', (SELECT sum(n - 1)::BIGINT FROM n) UNION ALL SELECT 'reorder', (SELECT count(*) FROM n WHERE n > 1)
+  UNION ALL SELECT 'foreign_quote', (SELECT count(*) FROM o x WHERE fee AND EXISTS (SELECT 1 FROM o y WHERE y.b = x.b AND y.fee AND y.value <> x.value)) UNION ALL SELECT 'swap_roles', (SELECT count(*) FROM o x JOIN o y ON x.b = y.b AND x.k < y.k AND x.fee AND y.fee AND x.value <> y.value)
+  UNION ALL SELECT unnest(['wrong_value', 'unmodelled_term', 'shape_break']), (SELECT count(*) FROM o WHERE fee) UNION ALL SELECT 'schema_break', (SELECT count(*) FROM o WHERE d < 2 OR fee)
+  UNION ALL SELECT 'force_low', (SELECT count(*) FROM o WHERE (d < 2 OR fee) AND NOT low) UNION ALL SELECT 'force_high', (SELECT count(*) FROM o WHERE low))"""
+
+
+@register("mutation_sites", RECORDED + " SELECT operator, mutants FROM s")
+def mutation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutation.mutants(_recording(spark, sf_dir)).groupBy("operator").agg(F.count("*").alias("mutants"))
+
+
+@register("mutations", RECORDED + """ SELECT operator, mutants, CASE operator WHEN 'reorder' THEN 0 ELSE mutants END AS affected, CASE WHEN operator IN ('omit_item', 'duplicate_item', 'mispair', 'foreign_quote', 'swap_roles', 'schema_break', 'unmodelled_term', 'shape_break') THEN mutants ELSE 0 END AS contained, CASE operator WHEN 'force_high' THEN 0 ELSE mutants END AS killed FROM s""")
+def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mutant replayed through the guards: all are caught but false confidence, which
+    harms wrong answers only, and reordering moves nothing."""
+    return mutation.report(_recording(spark, sf_dir), KINDS, SHAPES).drop("contained_by")
+
+
+@register("mutation_triage", "SELECT 'confidence' AS family, 100 AS allowed, count(*) AS found, greatest(count(*) - 100, 0) AS over FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'pairing', 0, 0, 0")
+def mutation_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors counted for the first family that they fall in, against what is allowed."""
+    families = spark.createDataFrame([("confidence", 1, "force_high", None, 100), ("pairing", 2, "omit_item", None, 0)], "family string, rank int, operator string, item_prefix string, allowed int")
+    return mutation.triage(mutation.survivors(_recording(spark, sf_dir), KINDS, SHAPES), families)

@@ -9,7 +9,7 @@ from tallyforge.functions import dates as D
 from tallyforge.functions import numbers as N
 from tallyforge.functions import similarity as S
 from tallyforge.functions import text as X
-from tallyforge.operators import ablation, answers, audit, cadence, evals, geometry, merchants, mutation, passages, registry, relations, terms, timeline
+from tallyforge.operators import ablation, answers, audit, cadence, evals, geometry, merchants, passages, registry, relations, terms, timeline
 from tallyforge.plans.catalog import register
 from tallyforge.plans.tables import PAYMENTS, PURCHASES, SCORED, TERMS, payments, purchases, scored, stated_terms, table
 
@@ -535,23 +535,6 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation.scorecard(traces.drop("verdict"), told, ablation.ladder(traces)).drop("rung")
 
 
-@register("mutations")
-def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutation.effects(mutation.mutants(_claims(spark, sf_dir)), _claims(spark, sf_dir))
-
-
-def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    claim = F.struct(F.col("o_orderpriority").alias("kind"), F.concat(F.lit("by "), D.in_words(F.col("o_orderdate").cast("date"))).alias("deadline"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("quote"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("value"))
-    rows = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(claim)).alias("claims"))
-    return rows.select(F.col("o_custkey").alias("item"), F.lit("medium").alias("confidence"), "claims")
-
-
-@register("mutation_sites", "SELECT operator, n AS mutants FROM (SELECT unnest(['drop_claim','invent_claim','deadline_digit','wrong_value','invent_date','foreign_quote','schema_break','unmodelled_term','shape_break']) AS operator, (SELECT count(*) FROM orders) AS n UNION ALL SELECT unnest(['omit_item','duplicate_item','reorder','swap_roles','force_low','force_high']), (SELECT count(DISTINCT o_custkey) FROM orders))")
-def mutation_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutation.mutants(_claims(spark, sf_dir)).groupBy("operator").agg(F.count("*").alias("mutants"))
-
-
 LOADS = "(?is)<(script|img|iframe|link|source|video|audio|embed|object)\\b[^>]*\\b(src|href|data)\\s*=\\s*[\"'']?\\s*(https?:)?//"
 
 

@@ -114,14 +114,35 @@ def test_claims(spark):
 
 
 def test_mutants(spark):
-    claims = [("pay", "by 9 May 2024", "quote", "10"), ("ask", "soon", "q", "x")]
-    frame = spark.createDataFrame([(1, "medium", claims), (2, "high", [])], "item long, confidence string, claims array<struct<kind:string,deadline:string,quote:string,value:string>>")
-    all_ = mutation.mutants(frame)
-    by = {r.operator: (r.mutants, r.changed) for r in mutation.effects(all_, frame).collect()}
-    assert by["drop_claim"] == (2, 2) and by["reorder"] == (2, 0) and by["omit_item"] == (2, 2) and by["deadline_digit"] == (2, 1) and by["force_high"] == (2, 1)
-    survivors = all_.where("operator = 'deadline_digit'").select(F.col("operator").alias("survivor_operator"), F.col("item").cast("string").alias("item"), "site")
-    families = spark.createDataFrame([("digits", "deadline_digit", None, 1, 1), ("late", "deadline_digit", None, 5, 2)], "family string, operator string, item_prefix string, allowed int, rank int")
-    assert {r.family: (r.found, r.over) for r in mutation.triage(survivors, families).collect()} == {"digits": (2, 1), "late": (0, 0)}
+    dated, undated = {"kind": "payment", "deadline": "by 9 May 2024"}, {"kind": "reply", "deadline": "soon"}
+    fee = lambda v, q: {"term": "fee", "basis": "per_year", "value": v, "quote": q}
+    texts = {1: "Pay by 9 May 2024; a fee of £10, not £12.", 2: "Reply soon; the fee is £11.", 3: "Nothing is asked."}
+    results = [(1, texts[1], "high", [dated], [fee("£10", "a fee of £10, not £12.")]), (2, texts[2], "low", [undated], [fee("£11", "the fee is £11.")]), (3, texts[3], "high", [], [])]
+    schema = "batch int, items array<struct<id:long,text:string>>, results array<struct<id:long,echo:string,confidence:string,claims:array<struct<kind:string,deadline:string>>,terms:array<struct<term:string,basis:string,value:string,quote:string>>>>"
+    frame = spark.createDataFrame([(0, list(texts.items()), results)], schema)
+    rows = mutation.mutants(frame).collect()
+    sites = {}
+    for r in rows:
+        sites.setdefault(r.operator, []).append(tuple(r.site))
+    assert sites["drop_claim"] == [(0, 0, -1, -1), (1, 0, -1, -1)] and sites["invent_claim"] == [(2, -1, -1, -1)]
+    assert sites["deadline_digit"] == [(0, 0, -1, -1)] and sites["invent_date"] == [(1, 0, -1, -1)]
+    assert sites["swap_roles"] == [(0, 0, 1, 0)] and sites["wrong_value"] == [(0, 0, -1, -1)] and sites["mispair"] == [(0, -1, 1, -1), (1, -1, 2, -1)]
+    assert sites["force_low"] == [(0, -1, -1, -1)] and sites["force_high"] == [(1, -1, -1, -1)] and len(sites) == 16
+    made = {(r.operator, r.site.r): r.results for r in rows}
+    assert made["foreign_quote", 0][0].terms[0].quote == "the fee is £11."  # another passage's own words
+    assert made["wrong_value", 0][0].terms[0].value == "£12" and made["deadline_digit", 0][0].claims[0].deadline == "by 8 May 2024"
+    assert [t.value for x in made["swap_roles", 0] for t in x.terms] == ["£11", "£10"]
+    assert [x.id for x in made["mispair", 0]] == [2, 1, 3] and [x.id for x in made["reorder", 0]] == [3, 2, 1]
+    assert [x.id for x in made["omit_item", 1]] == [1, 3] and [x.id for x in made["duplicate_item", 1]] == [1, 2, 2, 3]
+    kinds, terms = ("payment", "reply"), {"fee": "money"}
+    told = {(r.operator, r.site.r): r for r in mutation.replayed(frame, kinds, terms).collect()}
+    assert [k for k, r in told.items() if not r.killed] == [("force_high", 1)]
+    assert told["reorder", 0].affected == 0 and told["schema_break", 0].affected == 3 and told["schema_break", 0].contained
+    assert told["wrong_value", 0].moved and not told["wrong_value", 0].contained
+    assert told["force_low", 0].cost and not told["force_low", 0].moved
+    assert told["foreign_quote", 0].contained and told["unmodelled_term", 0].contained and told["shape_break", 1].contained
+    families = spark.createDataFrame([("confidence", "force_high", None, 0, 1), ("late", "force_high", None, 5, 2)], "family string, operator string, item_prefix string, allowed int, rank int")
+    assert {r.family: (r.found, r.over) for r in mutation.triage(mutation.survivors(frame, kinds, terms), families).collect()} == {"confidence": (1, 1), "late": (0, 0)}
 
 
 def test_reports(spark):
