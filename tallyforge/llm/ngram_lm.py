@@ -20,7 +20,7 @@ Workers map the arrays and look pairs up by binary search.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +143,19 @@ def _merged(table: pa.Table, wide: bool = False) -> tuple[np.ndarray, np.ndarray
     return merge([k for k, _ in got], [c for _, c in got])
 
 
+def _by_part(blocks: DataFrame, parts: int, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` over all rows of each part (the first column, from 0): a partition a part,
+    so that no two parts meet in a task by the chance of a hash."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(b.num_rows for b in held):
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    name = blocks.columns[0]
+    return blocks.repartitionById(parts, F.col(name).cast("int")).mapInArrow(each, schema)
+
+
 BLOCK = "part long, keys binary, counts binary"
 
 
@@ -316,7 +329,7 @@ def train(texts: DataFrame) -> Model:
         _store.save(f"{path}/seen-{part}.npy", c.astype(np.uint32 if c.max() < 2**32 else np.int64))
         return pa.table({"part": [part], "n": [len(k)], "total": [int(c.sum())]})
 
-    stored = staged(_word_blocks(texts, bits).groupBy("part").applyInArrow(store_words, "part long, n long, total long"), "word-parts")
+    stored = staged(_by_part(_word_blocks(texts, bits), 1 << bits, store_words, "part long, n long, total long"), "word-parts")
     sizes = {r["part"]: r for r in stored.collect()}  # a row a part
     bases = np.zeros((1 << bits) + 1, np.int64)
     bases[0] = WORDS
@@ -347,7 +360,7 @@ def train(texts: DataFrame) -> Model:
         return pa.table({"to": pa.array(cols[0], pa.int64()), "kind": pa.array(cols[1], pa.int64()), "ids": pa.array(cols[2], pa.binary()), "n": pa.array(cols[3], pa.binary())})
 
     pairs = _pair_blocks(texts, vocabulary, bits)
-    sums = staged(pairs.groupBy("part").applyInArrow(store_pairs, "to long, kind long, ids binary, n binary"), "pair-sums")
+    sums = staged(_by_part(pairs, 1 << bits, store_pairs, "to long, kind long, ids binary, n binary"), "pair-sums")
     told = sums.where("to = -1").collect()  # a row a part
     there = np.zeros(1 << bits, bool)
     there[[r["kind"] for r in told]] = True
@@ -374,7 +387,7 @@ def train(texts: DataFrame) -> Model:
             _store.save(f"{path}/gamma-{to - 1}.npy", (left / _store.mapped(f"{path}/seen-{to - 1}.npy")).astype(np.float32))
         return pa.table({"c": [_of_counts(contexts)], "more": [int((contexts > 2).sum())], "pairs": [int(contexts.sum())], "end": [end], "gamma": [gamma]})
 
-    last = staged(sums.where("to >= 0").groupBy("to").applyInArrow(store_sums, "c array<long>, more long, pairs long, end long, gamma double"), "word-sums").collect()
+    last = staged(_by_part(sums.where("to >= 0"), (1 << bits) + 1, store_sums, "c array<long>, more long, pairs long, end long, gamma double"), "word-sums").collect()
     c = np.sum([r["c"] for r in last], axis=0).tolist() if last else [0] * 4
     more = sum(r["more"] for r in last)
     n = {
