@@ -129,3 +129,8 @@ def iso_month(date: Column) -> Column:
 def span_in_words(first: Column, last: Column) -> Column:
     a, b = F.date_format(first, "MMMM yyyy"), F.date_format(last, "MMMM yyyy")
     return F.when(a == b, a).otherwise(F.concat(a, F.lit(" to "), b))
+
+
+def month_day(anchor: Column, months: Column, day: Column) -> Column:
+    """A day of the month that comes so many months after the anchor's."""
+    return F.date_add(F.add_months(F.trunc(anchor, "MM"), months), day - 1)

@@ -206,3 +206,61 @@ def coverage(declared: DataFrame, measured: DataFrame) -> DataFrame:
 def score_kinds(asserted: Column, expected: Column) -> Column:
     """right, wrong or routed, for calibration."""
     return F.when(asserted == "review", "routed").when(asserted == expected, "right").otherwise("wrong")
+
+
+#: End-to-end scores below this fail a fixture.
+END_TO_END = 0.95
+
+
+def audit_end_to_end(expected: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """Per fixture the set F1 of (merchant, period), merchants in any ASCII case."""
+    from tallyforge.operators.timeline import ascii_lower
+
+    pair = F.concat_ws("|", ascii_lower(F.col("merchant")), "period")
+    sides = [df.groupBy(*keys).agg(F.collect_set(pair).alias(name)) for df, name in ((expected, "want"), (found, "got"))]
+    none = F.array().cast("array<string>")
+    both = sides[0].join(sides[1], list(keys), "full_outer")
+    return both.select(*keys, set_f1(F.coalesce("want", none), F.coalesce("got", none)).alias("end_to_end"))
+
+
+def fixture_verdicts(steps: DataFrame, end_to_end: DataFrame, bars: DataFrame, *keys: str) -> DataFrame:
+    """(keys, verdict): PASS if every step reaches its own bar, inclusive, and the fixture
+    the end-to-end one; a step without a bar fails. Reviews are a cost and no failure."""
+    judged = steps.join(bars.select("step", "bar"), "step", "left").withColumn("ok", F.coalesce(F.col("score") >= F.col("bar"), F.lit(False)))
+    told = judged.groupBy(*keys).agg(F.bool_and("ok").alias("ok"))
+    verdict = F.when(F.coalesce("ok", F.lit(True)) & (F.col("end_to_end") >= END_TO_END), "PASS").otherwise("FAIL")
+    return end_to_end.join(told, list(keys), "left").select(*keys, verdict.alias("verdict"))
+
+
+def evaluation(items: DataFrame, expected: DataFrame, found: DataFrame, bars: DataFrame, *keys: str) -> DataFrame:
+    """(keys, decisions, right, reviewed, end_to_end, verdict) of every fixture at once.
+
+    ``items`` has keys, step, outcome (right, wrong or routed); ``expected`` and ``found``
+    the series of the audit.
+    """
+    right = F.count_if(F.col("outcome") == "right")
+    steps = items.groupBy(*keys, "step").agg((right / F.count("*")).alias("score"))
+    e2e = audit_end_to_end(expected, found, *keys)
+    counts = items.groupBy(*keys).agg(F.count("*").alias("decisions"), right.alias("right"), F.count_if(F.col("outcome") == "routed").alias("reviewed"))
+    return counts.join(e2e, list(keys), "left").withColumn("end_to_end", F.coalesce("end_to_end", F.lit(1.0))).join(fixture_verdicts(steps, e2e, bars, *keys), list(keys), "left").withColumn("verdict", F.coalesce("verdict", F.lit("FAIL")))
+
+
+def record_digest(records: DataFrame, perf: list[str]) -> Column:
+    """A digest of a record without what only tells how fast it was made."""
+    kept = [c for c in sorted(records.columns) if c not in perf]
+    return F.sha2(F.to_json(F.struct(*kept)), 256)
+
+
+def respliced(baseline: DataFrame, replayed: DataFrame, *keys: str) -> DataFrame:
+    """A report's rows with the replayed fixtures in place of their own."""
+    return baseline.join(replayed.select(*keys).distinct(), list(keys), "left_anti").unionByName(replayed)
+
+
+def baseline_standing(version: Column, recorded: Column, now: Column, current: int, days: int = 30) -> Column:
+    """refused for another scoring version or none, stale from 30 days on, else current."""
+    return F.when(version.isNull() | (version != current), "refused").when(F.datediff(now, recorded) >= days, "stale").otherwise("current")
+
+
+def projected(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, json): each row as a JSON document for a public page, nulls left out."""
+    return rows.select(*keys, F.to_json(F.struct(*sorted(rows.columns))).alias("json"))

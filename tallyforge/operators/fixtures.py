@@ -159,3 +159,33 @@ def select_set(fixtures: DataFrame, eval_set: str, audition: list[str] | None =
     if exam := [n for n, s in found.items() if s == "exam"]:
         raise ValueError(f"{exam} are of the exam")
     return named
+
+
+def first_hosts(named: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(shape, host): for each shape the first fixture by name that is of it."""
+    return named.join(shapes, F.startswith(F.col("name"), F.concat("prefix", F.lit("-")))).groupBy("shape").agg(F.min("name").alias("host"))
+
+
+def paired_files(paths: DataFrame) -> DataFrame:
+    """(stem, role, input, expected) of a folder's files (path).
+
+    ``<stem>.expected.json`` belongs to ``<stem>.<extension>``, or to
+    ``<stem>.<role>.<extension>`` for each of several roles. Inputs without an expectation
+    have null there, and the other way round.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = paths.select("path", name.alias("name"), F.concat(F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)))"), F.substring_index(name, ".", 1)).alias("stem"))
+    wanted = rows.where(F.endswith("name", F.lit(".expected.json"))).select("stem", F.col("path").alias("expected"))
+    middle = F.split("name", r"\.")
+    given = rows.where(~F.endswith("name", F.lit(".expected.json"))).select("stem", F.when(F.size(middle) > 2, middle[1]).alias("role"), F.col("path").alias("input"))
+    return given.join(wanted, "stem", "full_outer").select("stem", "role", "input", "expected")
+
+
+def truthful_answers(items: DataFrame, expected: DataFrame) -> DataFrame:
+    """What a model that is always right would answer: each item (id, passage) with the
+    authored truth of its passage, and nothing where nobody authored any."""
+    none = F.array().cast(dict(expected.dtypes)["claims"])
+    key = lambda df: df.withColumn("key", X.passage_key(F.col("passage")))
+    truth = key(expected).groupBy("key").agg(F.min_by("claims", "seq").alias("claims"))
+    told = key(items).join(truth, "key", "left")
+    return told.select("id", F.col("passage").alias("echo"), F.coalesce("claims", none).alias("claims"), F.lit("high").alias("confidence"))

@@ -42,15 +42,19 @@ def passages(documents: DataFrame, id_col: str = "document", text_col: str = "te
     return folded.select("document", (F.row_number().over(order) - 1).alias("ordinal"), "text")
 
 
+def with_reach(segments: DataFrame) -> DataFrame:
+    """Adds read: the characters of its document that come before a segment."""
+    before = Window.partitionBy("document").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    return segments.withColumn("read", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+
+
 def opening_dates(segments: DataFrame) -> DataFrame:
     """(document, letter_date): the first full date in the opening of each document.
 
     A segment is searched while fewer than 600 characters came before it; the first
     always is.
     """
-    before = Window.partitionBy("document").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    read = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
-    dated = segments.withColumn("read", read).withColumn("found", F.when(F.col("read") < OPENING, D.first_full_date(F.col("text"))))
+    dated = with_reach(segments).withColumn("found", F.when(F.col("read") < OPENING, D.first_full_date(F.col("text"))))
     return dated.groupBy("document").agg(F.min_by("found", F.when(F.col("found").isNotNull(), F.col("ordinal"))).alias("letter_date"))
 
 

@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import eval_queries, evidence_queries, letter_queries, queries, source_queries  # noqa: F401
+from tallyforge.plans import eval_queries, evidence_queries, ledger_queries, letter_queries, queries, source_queries  # noqa: F401

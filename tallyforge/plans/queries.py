@@ -148,7 +148,15 @@ def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payments(spark, sf_dir).withColumn("amount", amount).withColumn("merchant", merchant)
 
 
-@register("reversal_netting")
+NETTED = f"""WITH RECURSIVE p AS (SELECT split_part(merchant, '-', 1) AS merchant, (floor(amount / 50) * 50)::DECIMAL(18,2) AS amount, date, direction FROM {PAYMENTS}),
+e AS (SELECT *, row_number() OVER (PARTITION BY merchant, amount ORDER BY date, direction DESC) AS i, count(*) OVER (PARTITION BY merchant, amount) AS n FROM p),
+s AS (SELECT DISTINCT merchant, amount, 0::BIGINT AS i, n, []::DATE[] AS held FROM e
+  UNION ALL SELECT s.merchant, s.amount, e.i, s.n, CASE WHEN e.direction = 'debit' THEN list_append(held, e.date) WHEN len(held) > 0 AND date_diff('day', held[-1], e.date) <= 45 THEN held[1:len(held) - 1] ELSE held END
+  FROM s JOIN e ON e.merchant = s.merchant AND e.amount = s.amount AND e.i = s.i + 1)
+SELECT merchant, amount, date, count(*) AS n FROM (SELECT merchant, amount, unnest(held) AS date FROM s WHERE i = n) GROUP BY ALL"""
+
+
+@register("reversal_netting", NETTED)
 def reversal_netting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cadence.net_of_reversals(_coarse(spark, sf_dir), "debit", "merchant")
 
