@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm import _bytes as B
-from tallyforge.llm._session import free_names, staged
+from tallyforge.llm._session import forget, free_names, staged
 
 GRAM = 10
 #: A block's first window and its number of windows share one long.
@@ -148,6 +148,7 @@ def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
     is met again."""
     blocks = _index(keyed, window)  # made where it is read: as a table it would take over half the input's bytes
     anchors = blocks.groupBy("h").agg(F.count("*").alias("total"), F.min("b").alias("lo"), F.max("b").alias("hi")).where("total > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
+    anchors = staged(anchors, "anchors")  # a table, so that the join can split a hot anchor's blocks
     # blocks under an anchor that is met again; each meets its one anchor or none, and the
     # join stays an outer one, as no test that the optimiser can fold comes after it
     met = blocks.join(anchors, "h", "left").where(F.col("mixed").isNotNull() | (F.rand() < 0))
@@ -163,7 +164,10 @@ def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
     edge = F.struct("s", F.lit(1).cast("long").alias("n"), "ref", "ref_s")
     edges = windows.where("w = 1").join(again, ["h", "fp"]).groupBy(*KEY).agg(F.collect_list(edge).alias("spans"))
     every = whole.where(F.size("spans") > 0).unionByName(edges)
-    return every.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    spans = staged(every.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
+    for done in (anchors, met, index):
+        forget(done)
+    return spans
 
 
 def parse(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
