@@ -5,32 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Shapes: days between payments, payments, first amount, amount after a rise (or none),
-# payments before the rise.
-SHAPES = {
-    "monthly": (30, 12, "9.99", None, 0),
-    "monthly_rise": (30, 12, "10.00", "12.50", 6),
-    "monthly_drop": (30, 12, "12.50", "10.00", 6),
-    "weekly": (7, 40, "3.20", None, 0),
-    "quarterly": (91, 4, "45.00", None, 0),
-    "yearly": (365, 2, "120.00", None, 0),
-    "too_few": (30, 2, "8.00", None, 0),
-    "irregular": (None, 6, "5.00", None, 0),
+# Runs of payments of each shape: first day, days between, payments, pence of the first
+# one, pence more for each next one. Amounts below zero are credits.
+RUNS = {
+    "monthly": ((0, 30, 12, 999, 0),),
+    "monthly_rise": ((0, 30, 6, 1000, 0), (180, 30, 6, 1250, 0)),
+    "monthly_drop": ((0, 30, 6, 1250, 0), (180, 30, 6, 1000, 0)),
+    "weekly": ((0, 7, 40, 320, 0),),
+    "quarterly": ((0, 91, 4, 4500, 0),),
+    "yearly": ((0, 365, 2, 12000, 0),),
+    "too_few": ((0, 30, 2, 800, 0),),
+    "irregular": ((0, 3, 2, 500, 0), (17, 1, 2, 500, 0), (60, 15, 2, 500, 0)),
+    "after_a_trial": ((14, 30, 6, 950, 0),),
+    "trial_refunded": ((14, 30, 6, 950, 0), (77, 1, 1, -950, 0)),
+    "resumed": ((0, 30, 8, 1100, 0), (360, 30, 8, 1100, 0)),
+    "creeping": ((0, 30, 4, 71000, 0), (120, 30, 4, 71050, 0), (240, 30, 4, 71100, 0)),
+    "one_refunded": ((0, 30, 11, 650, 0), (304, 1, 1, -650, 0)),
+    "charged_twice": ((0, 30, 12, 82510, 0), (121, 1, 1, 82510, 0), (121, 1, 1, -82510, 0)),
+    "yearly_dearer": ((0, 365, 1, 51000, 0), (365, 365, 1, 54000, 0)),
+    "weekly_basket": ((0, 7, 12, 4100, 113),),
+    "duplicate": ((0, 1, 1, 9600, 0), (0, 1, 1, 9600, 0)),
+    "charged_back": ((0, 1, 1, 6320, 0), (7, 1, 1, -6320, 0)),
+}
+# What is to be found: the period of the series, and whether its price rose. A basket that
+# never costs the same twice is no series.
+TRUTH = {
+    "monthly": ("monthly", False),
+    "monthly_rise": ("monthly", True),
+    "monthly_drop": ("monthly", False),
+    "weekly": ("weekly", False),
+    "quarterly": ("quarterly", False),
+    "yearly": ("yearly", False),
+    "after_a_trial": ("monthly", False),
+    "trial_refunded": ("monthly", False),
+    "resumed": ("monthly", False),
+    "creeping": ("monthly", True),
+    "one_refunded": ("monthly", False),
+    "charged_twice": ("monthly", False),
+    "yearly_dearer": ("yearly", True),
 }
-IRREGULAR = (0, 3, 17, 18, 60, 75)
-TRUTH = {"monthly": "monthly", "monthly_rise": "monthly", "monthly_drop": "monthly", "weekly": "weekly", "quarterly": "quarterly", "yearly": "yearly", "too_few": None, "irregular": None}
 
 
 def statements(spark: SparkSession, accounts: int, anchor: str = "2023-01-03") -> DataFrame:
     """Payments of every shape for each account, with store numbers behind the names."""
-    shapes = spark.createDataFrame([(n, s, m, a, b or a, k) for n, (s, m, a, b, k) in SHAPES.items()], "shape string, step int, n int, first string, later string, before int")
-    odd = F.array(*[F.lit(d) for d in IRREGULAR])
-    rows = spark.range(accounts).select(F.col("id").alias("account")).crossJoin(F.broadcast(shapes))  # eight shapes
+    runs = spark.createDataFrame([(i, n, k, *run) for i, (n, rs) in enumerate(RUNS.items()) for k, run in enumerate(rs)], "no int, shape string, run int, start int, step int, n int, pence int, more int")
+    rows = spark.range(accounts).select(F.col("id").alias("account")).crossJoin(F.broadcast(runs))  # two dozen runs
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    day = F.coalesce(F.col("step") * F.col("i"), odd[F.col("i")]) + (F.col("account") % 20).cast("int")
-    amount = F.when((F.col("before") > 0) & (F.col("i") >= F.col("before")), F.col("later")).otherwise(F.col("first")).cast("decimal(18,2)")
+    day = F.col("start") + F.col("step") * F.col("i") + (F.col("account") % 20).cast("int")
+    pence = F.col("pence") + F.col("more") * F.col("i")
     name = F.concat(F.upper(F.regexp_replace("shape", "_", " ")), F.lit(" "), (F.col("i") * 37 % 900 + 100).cast("string"))
-    return rows.select((F.col("account") * 1000 + F.xxhash64("shape") % 7 * 100 + F.col("i")).alias("seq"), F.col("account").cast("string").alias("account"), name.alias("raw_merchant"), F.date_add(F.lit(anchor).cast("date"), day.cast("int")).alias("date"), amount.alias("amount"), F.lit("debit").alias("direction"), "shape")
+    seq = F.col("account") * 10_000 + F.col("no") * 200 + F.col("run") * 50 + F.col("i")
+    return rows.select(seq.alias("seq"), F.col("account").cast("string").alias("account"), name.alias("raw_merchant"), F.date_add(F.lit(anchor).cast("date"), day.cast("int")).alias("date"), (F.abs(pence) / 100).cast("decimal(18,2)").alias("amount"), F.when(pence < 0, "credit").otherwise("debit").alias("direction"), "shape")
 
 
 # Letters: shape, deadline, anchor; {d} is a date in words.
@@ -41,7 +66,16 @@ LETTERS = {
     "month_end": ("by the end of the month", ""),
     "undated": ("as soon as you can", ""),
     "pointed": ("by the date shown beside it", ""),
+    "counted_from_a_date": ("within 10 days of {d}", ""),
+    "one_day": ("within 1 day", ""),
+    "month_end_of_anchor": ("before the end of the month", "our meeting of {d}"),
+    "working_days": ("within 5 working days", ""),
+    "relative_words": ("in a fortnight", ""),
+    "pointed_below": ("by the date below", ""),
+    "dated_despite_anchor": ("no later than {d}", "the hearing"),
 }
+#: Shapes whose letter has a row with the date that they point at.
+POINTED = ("pointed", "pointed_below")
 
 
 def letters(spark: SparkSession, copies: int, anchor: str = "2024-03-04") -> tuple[DataFrame, DataFrame]:
@@ -49,11 +83,11 @@ def letters(spark: SparkSession, copies: int, anchor: str = "2024-03-04") -> tup
     from tallyforge.functions.dates import in_words
 
     shapes = spark.createDataFrame([(i, n, d, a) for i, (n, (d, a)) in enumerate(LETTERS.items())], "k int, shape string, deadline string, anchor string")
-    base = spark.range(copies).crossJoin(F.broadcast(shapes)).withColumn("document", (F.col("id") * len(LETTERS) + F.col("k")).cast("long"))  # six shapes
+    base = spark.range(copies).crossJoin(F.broadcast(shapes)).withColumn("document", (F.col("id") * len(LETTERS) + F.col("k")).cast("long"))  # a shape a row
     day = F.date_add(F.lit(anchor).cast("date"), (F.col("id") % 300).cast("int"))
     words, later = in_words(day), in_words(F.date_add(day, 21))
     parts = F.array(F.concat(F.lit("Letter of "), words), F.concat(F.lit("You must reply "), F.replace("deadline", F.lit("{d}"), later)), F.concat(F.lit("Due date "), later))
-    segments = base.select("document", F.posexplode(F.when(F.col("shape") == "pointed", parts).otherwise(F.slice(parts, 1, 2))).alias("ordinal", "text"))
+    segments = base.select("document", F.posexplode(F.when(F.col("shape").isin(*POINTED), parts).otherwise(F.slice(parts, 1, 2))).alias("ordinal", "text"))
     obligations = base.select(F.col("document").alias("seq"), "document", F.lit(1).alias("ordinal"), F.lit("reply").alias("kind"), F.concat(F.lit("Sender "), F.col("document").cast("string")).alias("party"), F.replace("deadline", F.lit("{d}"), later).alias("deadline"), F.replace("anchor", F.lit("{d}"), later).alias("anchor"), F.lit("high").alias("confidence"), "shape", day.alias("written"))
     return segments, obligations
 
@@ -68,6 +102,11 @@ RENEWALS = {
     "removed": (["fee=£5"], [], "removed"),
     "stated_twice": (["excess=£100", "excess=£150"], ["excess=£100"], "stated_more_than_once"),
     "relabelled": (["fee_a=£5"], ["fee_b=£5"], "labelled_differently"),
+    "cheaper": (["premium=£300.00"], ["premium=£250.00"], "changed"),
+    "share": (["discount=10%"], ["discount=12 per cent"], "changed"),
+    "twice_later": (["excess=£50"], ["excess=£50", "excess=£75"], "stated_more_than_once"),
+    "written_out": (["cover=full"], ["cover=third party"], "changed"),
+    "same_words": (["cover=third party"], ["cover=third party"], "unchanged"),
 }
 
 
@@ -95,3 +134,24 @@ def reordered(payments: DataFrame) -> DataFrame:
 def one_removed(payments: DataFrame, shape: str) -> DataFrame:
     """The twin without one merchant of each account."""
     return payments.where(F.col("shape") != shape)
+
+
+def disguised(payments: DataFrame) -> DataFrame:
+    """The twin whose merchants come through payment processors, which no result may show."""
+    prefix = F.element_at(F.array(F.lit("PAYPAL *"), F.lit("SQ *"), F.lit("")), (F.col("seq") % 3 + 1).cast("int"))
+    return payments.withColumn("raw_merchant", F.concat(prefix, "raw_merchant"))
+
+
+def with_strangers(payments: DataFrame) -> DataFrame:
+    """The adversarial twin: every account also pays look-alikes of its merchants once."""
+    first = payments.groupBy("account", "shape").agg(F.min(F.struct("date", "seq", "amount")).alias("f"))
+    once = first.select((F.col("f.seq") + 5_000_000).alias("seq"), "account", F.concat(F.upper(F.regexp_replace("shape", "_", "")), F.lit(" LOOKALIKE")).alias("raw_merchant"), F.date_add("f.date", 1).alias("date"), F.col("f.amount").alias("amount"), F.lit("debit").alias("direction"), F.concat("shape", F.lit(" stranger")).alias("shape"))
+    return payments.unionByName(once)
+
+
+def dearer(payments: DataFrame, shape: str, by: str = "5.00") -> DataFrame:
+    """The controlled twin: one merchant's last payment costs more, and nothing else moves."""
+    last = payments.where(F.col("shape") == shape).groupBy("account").agg(F.max("date").alias("last"))
+    rows = payments.join(last, "account", "left")
+    risen = (F.col("shape") == shape) & (F.col("date") == F.col("last"))
+    return rows.withColumn("amount", (F.col("amount") + F.when(risen, F.lit(by).cast("decimal(18,2)")).otherwise(F.lit("0.00").cast("decimal(18,2)"))).cast("decimal(18,2)")).drop("last")

@@ -9,8 +9,8 @@ from tallyforge.sources import beds
 def test_every_generated_series_is_found_exactly(spark):
     rows = merchants.with_stem(beds.statements(spark, 3)).withColumn("merchant", F.col("stem"))
     got = {(r.account, r.merchant): (r.period, r.rise_to is not None) for r in cadence.series(rows).collect()}
-    want = {(str(a), s.replace("_", " ").upper()): (p, s == "monthly_rise") for a in range(3) for s, p in beds.TRUTH.items() if p}
-    assert got == want
+    assert got == {(str(a), s.replace("_", " ").upper()): told for a in range(3) for s, told in beds.TRUTH.items()}
+    assert len(beds.RUNS) == 18 and set(beds.TRUTH) <= set(beds.RUNS)
 
 
 def test_every_generated_deadline_is_resolved(spark):
@@ -21,6 +21,9 @@ def test_every_generated_deadline_is_resolved(spark):
         later = r.written + dt.timedelta(days=21)
         month_end = (r.written.replace(day=28) + dt.timedelta(days=4)).replace(day=1) - dt.timedelta(days=1)
         want = {"dated": (later, "read"), "counted": (r.written + dt.timedelta(days=14), "worked_out"), "anchored": (later + dt.timedelta(days=30), "worked_out"), "month_end": (month_end, "worked_out"), "undated": (None, None), "pointed": (later, "read")}
+        want |= {"counted_from_a_date": (later + dt.timedelta(days=10), "worked_out"), "one_day": (r.written + dt.timedelta(days=1), "worked_out"), "working_days": (None, None), "relative_words": (None, None), "pointed_below": (later, "read"), "dated_despite_anchor": (later, "read")}
+        later_end = (later.replace(day=28) + dt.timedelta(days=4)).replace(day=1) - dt.timedelta(days=1)
+        want |= {"month_end_of_anchor": (later_end, "worked_out")}
         assert (r.date, r.kind) == want[r.shape]
 
 
@@ -56,3 +59,8 @@ def test_twins_of_statements(spark):
     whole = found(bed)
     assert found(beds.reordered(bed)) == whole
     assert found(beds.one_removed(bed, "weekly")) == {x for x in whole if x[1] != "WEEKLY"}
+    assert found(beds.disguised(bed)) == whole
+    assert found(beds.with_strangers(bed)) == whole
+    rises = lambda df: {(r.account, r.merchant): r.rise_to for r in cadence.series(merchants.with_stem(df).withColumn("merchant", F.col("stem"))).collect()}
+    was, now = rises(bed), rises(beds.dearer(bed, "monthly"))
+    assert {k for k in now if now[k] != was.get(k)} == {("0", "MONTHLY"), ("1", "MONTHLY")} and set(was) == set(now)
