@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,43 @@ def statement_split_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "reason", F.when(good, F.col("amount")).alias("amount"), F.when(good, F.col("direction")).alias("direction"))
 
 
+@register("statement_files", "SELECT o_orderpriority AS raw_merchant, CASE WHEN o_orderkey % 10 > 0 THEN o_totalprice::DECIMAL(18,2) END AS amount, CASE WHEN o_orderkey % 10 > 0 THEN 'debit' END AS direction, CASE WHEN o_orderkey % 10 = 0 THEN 'bad_amount' END AS reason, count(*) AS n FROM orders GROUP BY ALL")
+def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports written as CSV files and read back from them, rejects too."""
+    folder = runs.new_folder(spark, "statement")
+    value = F.when(F.col("o_orderkey") % 10 == 0, "ten").otherwise(F.concat(F.lit("-"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")))
+    table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"), F.col("o_orderpriority").alias("Description"), value.alias("Amount")).repartition(3).write.option("header", True).csv(f"{folder}/out.csv")
+    good, bad = statements.read_input(spark, f"{folder}/out.csv")
+    none = F.lit(None)
+    paid = good.select("raw_merchant", "amount", "direction", none.cast("string").alias("reason"))
+    lost = bad.select("raw_merchant", none.cast("decimal(18,2)").alias("amount"), none.cast("string").alias("direction"), "reason")
+    return paid.unionByName(lost).groupBy("raw_merchant", "amount", "direction", "reason").agg(F.count("*").alias("n"))
+
+
+@register("document_files", "SELECT n_nationkey AS document, n_name || chr(10) || 'of region ' || n_regionkey::VARCHAR || chr(10) AS text FROM nation")
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files, numbered in the order in which they are given."""
+    folder = runs.new_folder(spark, "documents")
+    told = F.concat("n_name", F.lit("\nof region "), F.col("n_regionkey").cast("string"))
+    table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), told.alias("text")).repartitionById(25, F.col("id").cast("int")).select("text").write.text(folder)
+    found = documents.read_documents(spark, runs.listed(spark, folder, ".txt"))
+    return found.select(F.col("document").cast("int").alias("document"), "text")
+
+
+@register("run_outputs", "SELECT s_suppkey, s_acctbal::DECIMAL(18,2)::VARCHAR AS balance, true AS refused FROM supplier")
+def run_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's JSON keeps money as text, and a second write to its place is refused."""
+    folder = runs.new_folder(spark, "run")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").cast("decimal(18,2)").alias("balance"))
+    runs.write_once(rows, folder)
+    try:
+        runs.write_once(rows, folder)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return spark.read.schema("s_suppkey long, balance string").json(folder).withColumn("refused", F.lit(refused))
+
+
 EVENTS_READ = "SELECT '{kind}' AS layout, event_id, ts::DATE AS date, event_type AS raw_merchant, abs(value::DECIMAL(18,2)) AS amount, CASE WHEN event_id % 2 = 0 THEN '{even}' ELSE '{odd}' END AS direction FROM events WHERE value::DECIMAL(18,2) <> 0"
 
 

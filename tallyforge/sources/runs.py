@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -10,6 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of a name of its own where all executors can write: in the one that
+    ``spark.checkpoint.dir`` names, or a temporary one if driver and executors are one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = Path(tempfile.mkdtemp(prefix="run-")).as_uri()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def listed(spark: SparkSession, folder: str, ending: str) -> list[str]:
+    """Paths of a folder's files with an ending, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return sorted(p for p in (f.getPath().toString() for f in found) if p.endswith(ending))
+
+
 def write_once(df: DataFrame, path: str, kind: str = "json") -> None:
     """Refuses a folder that is there already. Decimals become strings in JSON."""
     if kind == "json":
