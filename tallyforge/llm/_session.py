@@ -89,6 +89,11 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+#: On a plain shared folder an intermediate table has no checksum files beside its own:
+#: they would double its files, and each costs a process that sets its permissions.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -96,7 +101,7 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**PLAIN, **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

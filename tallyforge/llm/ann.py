@@ -26,7 +26,8 @@ SEARCH_BEAM = 128
 ALPHA = 1.2
 EXPAND = 4
 BATCH = 256
-QUERY_BLOCK = 4096
+#: Queries that a shard is held against in one task; a shard goes out once for each block.
+QUERY_BLOCK = 1 << 17
 
 
 def _gaps(x: np.ndarray, norms: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
