@@ -84,15 +84,23 @@ def quote_places(quotes: DataFrame, segments: DataFrame, grams: int = 4) -> Data
     word; those ends and parts are keys too, of the lengths that quotes have. Containment
     decides. Empty quotes stand nowhere.
     """
-    asked = quotes.select("quote_id", X.squash(F.col("quote")).alias("quote")).where("quote <> ''").withColumn("w", F.split("quote", " "))
+    # arrays are exploded out of an array of one, so that they are made once and not again
+    # for each of their elements
+    once = lambda value, name: F.explode(F.array(value)).alias(name)
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    asked = quotes.select("quote_id", X.squash(F.col("quote")).alias("quote")).where("quote <> ''").select("*", once(F.split("quote", " "), "w"))
     held = segments.select("document", "ordinal", X.squash(F.col("text")).alias("text"))
-    words = held.select("document", "ordinal", F.split("text", " ").alias("w"))
+    words = held.select("document", "ordinal", once(F.split("text", " "), "w"))
     width = F.least(F.size("w") - 2, F.lit(grams))
-    long = asked.where(F.size("w") > 2).select("quote_id", width.alias("width"), F.slice("w", F.lit(2), F.size("w") - 2).alias("w"))
-    long = long.select("quote_id", "width", F.array_min(_gram_hashes(F.col("w"), F.col("width"))).alias("key"))
-    used = F.broadcast(long.select("width").distinct())  # at most `grams` rows
-    keyed = words.join(used, F.size("w") >= F.col("width")).select("document", "ordinal", "width", F.explode(F.array_distinct(_gram_hashes(F.col("w"), F.col("width")))).alias("key"))
-    near = long.join(keyed, ["width", "key"])
+    long = asked.where(F.size("w") > 2).select("quote_id", width.alias("width"), once(hashed(F.slice("w", F.lit(2), F.size("w") - 2)), "h"))
+    used = [r["width"] for r in long.select("width").distinct().collect()]  # at most `grams`
+    least = F.lit(None).cast("long")
+    for n in used:
+        least = F.when(F.col("width") == n, F.array_min(_gram_hashes(F.col("h"), n))).otherwise(least)
+    long = long.select("quote_id", least.alias("key"))
+    every = [_gram_hashes(F.col("h"), n) for n in used] or [F.array().cast("array<long>")]
+    keyed = words.select("document", "ordinal", once(hashed(F.col("w")), "h")).select("document", "ordinal", F.explode(F.array_distinct(F.concat(*every))).alias("key"))
+    near = long.join(keyed, "key")
     places = near.select("quote_id", "document", "ordinal")
     for pairs in (_two_words(asked, words), _one_word(asked, words)):
         places = places.unionByName(pairs)
@@ -100,11 +108,12 @@ def quote_places(quotes: DataFrame, segments: DataFrame, grams: int = 4) -> Data
     return sure.where(F.contains(F.col("text"), F.col("quote"))).select("quote_id", "document", "ordinal")
 
 
-def _gram_hashes(words: Column, width: Column) -> Column:
-    """A hash of every run of so many words, from the words' hashes."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, width)))
+def _gram_hashes(hashes: Column, width: int) -> Column:
+    """A hash of every run of so many words, its number of words included, from the words'
+    hashes (a column, as each run looks it up)."""
+    last = F.size(hashes) - width
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.lit(width), *(F.get(hashes, i + k) for k in range(width))))
+    return F.when(last >= 0, runs).otherwise(F.array().cast("array<long>"))
 
 
 def _two_words(asked: DataFrame, words: DataFrame) -> DataFrame:

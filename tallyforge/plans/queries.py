@@ -148,12 +148,46 @@ def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payments(spark, sf_dir).withColumn("amount", amount).withColumn("merchant", merchant)
 
 
-NETTED = f"""WITH RECURSIVE p AS (SELECT split_part(merchant, '-', 1) AS merchant, (floor(amount / 50) * 50)::DECIMAL(18,2) AS amount, date, direction FROM {PAYMENTS}),
-e AS (SELECT *, row_number() OVER (PARTITION BY merchant, amount ORDER BY date, direction DESC) AS i, count(*) OVER (PARTITION BY merchant, amount) AS n FROM p),
+def netted_sql(payments_sql: str, direction: str) -> str:
+    """CTEs up to s: what each (merchant, amount) holds after its i-th payment or reversal."""
+    return f"""p AS ({payments_sql}),
+e AS (SELECT *, row_number() OVER (PARTITION BY merchant, amount ORDER BY date, direction <> '{direction}') AS i, count(*) OVER (PARTITION BY merchant, amount) AS n FROM p),
 s AS (SELECT DISTINCT merchant, amount, 0::BIGINT AS i, n, []::DATE[] AS held FROM e
-  UNION ALL SELECT s.merchant, s.amount, e.i, s.n, CASE WHEN e.direction = 'debit' THEN list_append(held, e.date) WHEN len(held) > 0 AND date_diff('day', held[-1], e.date) <= 45 THEN held[1:len(held) - 1] ELSE held END
-  FROM s JOIN e ON e.merchant = s.merchant AND e.amount = s.amount AND e.i = s.i + 1)
-SELECT merchant, amount, date, count(*) AS n FROM (SELECT merchant, amount, unnest(held) AS date FROM s WHERE i = n) GROUP BY ALL"""
+  UNION ALL SELECT s.merchant, s.amount, e.i, s.n, CASE WHEN e.direction = '{direction}' THEN list_append(held, e.date) WHEN len(held) > 0 AND date_diff('day', held[-1], e.date) <= 45 THEN held[1:len(held) - 1] ELSE held END
+  FROM s JOIN e ON e.merchant = s.merchant AND e.amount = s.amount AND e.i = s.i + 1)"""
+
+
+COARSE = f"SELECT seq, split_part(merchant, '-', 1) AS merchant, (floor(amount / 50) * 50)::DECIMAL(18,2) AS amount, date, direction FROM {PAYMENTS}"
+LARGE = f"SELECT seq, merchant, (floor(amount / 100000) * 100000)::DECIMAL(18,2) AS amount, date, direction FROM {PURCHASES}"
+#: How long a series of each period may wait for its next payment.
+WAITS = " ".join(f"WHEN '{name}' THEN {days * 8 // 5}" for name, _, _, days, *_ in D.PERIODS)
+
+
+def period_sql(gaps: str) -> str:
+    """The period of a sorted list of gaps."""
+    middle = BANDS.format(g=f"{gaps}[len({gaps}) // 2 + 1]")
+    return f"CASE WHEN (len({gaps}) > 1 OR {middle} = 'yearly') AND 2 * len(list_filter({gaps}, lambda y: {BANDS.format(g='y')} = {middle})) > len({gaps}) THEN {middle} END"
+
+
+def series_sql(payments_sql: str, direction: str) -> str:
+    """The fold of a merchant's clusters, one cluster a step of the recursion."""
+    joined = "list_sort(list_concat(list_concat(st[q].gaps, c.gaps), [date_diff('day', st[q].last, c.first)]))"
+    fits = f"date_diff('day', st[q].last, c.first) > 0 AND list_transform([{joined}], lambda g: coalesce(date_diff('day', st[q].last, c.first) <= CASE {period_sql('g')} {WAITS} END, false))[1]"
+    new = "{'amount': amount, 'gaps': gaps, 'last': d[-1], 'n': len(d), 'rise_from': NULL::DECIMAL(18,2), 'rise_to': NULL::DECIMAL(18,2), 'rise_when': NULL::DATE}"
+    risen = "CASE WHEN amount > st[j].amount THEN {} ELSE st[j].{} END"
+    longer = "{'amount': amount, 'gaps': list_concat(list_concat(st[j].gaps, gaps), [date_diff('day', st[j].last, first)]), 'last': d[-1], 'n': st[j].n + len(d), 'rise_from': " + risen.format("st[j].amount", "rise_from") + ", 'rise_to': " + risen.format("amount", "rise_to") + ", 'rise_when': " + risen.format("first", "rise_when") + "}"
+    return f"""WITH RECURSIVE {netted_sql(payments_sql, direction)},
+k AS (SELECT merchant, amount, list_sort(held) AS d FROM s WHERE i = n AND len(held) > 0),
+f AS (SELECT k.*, d[1] AS first, (SELECT min(seq) FROM p WHERE p.merchant = k.merchant AND p.amount = k.amount AND p.direction = '{direction}' AND p.date = d[1]) AS seq, list_transform(range(2, len(d) + 1), lambda j: date_diff('day', d[j - 1], d[j])) AS gaps FROM k),
+c AS (SELECT *, row_number() OVER (PARTITION BY merchant ORDER BY first, seq, amount) AS i, count(*) OVER (PARTITION BY merchant) AS m FROM f),
+t AS (SELECT DISTINCT merchant, 0::BIGINT AS i, m, []::STRUCT(amount DECIMAL(18,2), gaps BIGINT[], last DATE, n BIGINT, rise_from DECIMAL(18,2), rise_to DECIMAL(18,2), rise_when DATE)[] AS st FROM c
+  UNION ALL SELECT merchant, i, m, CASE WHEN j IS NULL THEN list_append(st, {new}) ELSE list_concat(list_append(st[1:j - 1], {longer}), st[j + 1:len(st)]) END
+  FROM (SELECT t.merchant, c.i, t.m, st, c.amount, c.gaps, c.d, c.first, list_filter(range(len(st), 0, -1), lambda q: {fits})[1] AS j FROM t JOIN c ON c.merchant = t.merchant AND c.i = t.i + 1))
+SELECT 'all' AS account, merchant, period, x.amount AS amount, x.rise_from AS rise_from, x.rise_to AS rise_to, x.rise_when AS rise_when, x.n AS payments
+FROM (SELECT merchant, x, list_transform([list_sort(x.gaps)], lambda g: {period_sql('g')})[1] AS period FROM (SELECT merchant, unnest(st) AS x FROM t WHERE i = m)) WHERE period IS NOT NULL"""
+
+
+NETTED = f"WITH RECURSIVE {netted_sql(COARSE, 'debit')} SELECT merchant, amount, date, count(*) AS n FROM (SELECT merchant, amount, unnest(held) AS date FROM s WHERE i = n) GROUP BY ALL"
 
 
 @register("reversal_netting", NETTED)
@@ -170,12 +204,12 @@ def reversal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("merchant", "amount").agg(F.sum(F.col("n") * F.col("m")).alias("candidates"))
 
 
-@register("series_fold")
+@register("series_fold", series_sql(COARSE, "debit"))
 def series_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cadence.series(_coarse(spark, sf_dir), "debit")
 
 
-@register("income_fold")
+@register("income_fold", series_sql(LARGE, "credit"))
 def income_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cadence.series(purchases(spark, sf_dir).withColumn("amount", (F.floor(F.col("amount") / 100000) * 100000).cast("decimal(18,2)")), "credit")
 
