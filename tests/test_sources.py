@@ -97,7 +97,7 @@ def test_runs(spark, tmp_path):
 
     frame = spark.createDataFrame([(1, Decimal("1.50"))], "a int, m decimal(10,2)")
     runs.write_once(frame, str(tmp_path / "out"))
-    assert '"m":"1.50"' in next((tmp_path / "out").glob("*.json")).read_text()
+    assert '"m":"1.50"' in "".join(p.read_text() for p in (tmp_path / "out").glob("*.json"))  # rows lie in any of the parts
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         runs.write_once(frame, str(tmp_path / "out"))
     assert runs.content_key([b"ab", b"c"]) != runs.content_key([b"a", b"bc"])
