@@ -31,8 +31,8 @@ class Operator:
     apply: Apply
 
 
-INVENTED = ("payment", "within 7 days")
-DATED = "by 15 June 2026"
+INVENTED = ("payment", "within 9 days")
+DATED = "by 1 May 2030"
 OUTSIDE = "outside"
 SHAPELESS = "some hundreds or so"
 
