@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import ann, chat, filter_audit, media, mixing, ngram_lm, packing, periodic, quality, simhash, substring, warc
+from tallyforge.llm import ann, chat, filter_audit, media, mixing, ngram_lm, packing, periodic, quality, secrets, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.find(periodic.bent(_table(spark, sf_dir, "documents"))))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(_table(spark, sf_dir, "documents")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -87,9 +91,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ann": op9_ann,
         "op10_warc": op10_warc,
         "op11_periodic": op11_periodic,
+        "op12_secrets": op12_secrets,
         "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.oracle_sql(), "op4_chat": chat.oracle_sql(), "op10_warc": warc.oracle_sql(), "op11_periodic": periodic.oracle_sql(), "op13_filter_audit": filter_audit.oracle_sql()}
+    return {"op3_mixing": mixing.oracle_sql(), "op4_chat": chat.oracle_sql(), "op10_warc": warc.oracle_sql(), "op11_periodic": periodic.oracle_sql(), "op12_secrets": secrets.oracle_sql(), "op13_filter_audit": filter_audit.oracle_sql()}
