@@ -6,7 +6,9 @@ few, and then as many as keep the number of shards at ``SHARDS``, up to ``LARGES
 searches grow with the queries alone, and beyond with the shards. Points are inserted in
 growing batches: a greedy beam search over the graph so far proposes neighbours, relaxed
 distance pruning (factor ``ALPHA``) keeps at most ``DEGREE`` diverse ones, and edges back
-are pruned likewise. Every query runs a beam search over every shard, in blocks of
+are pruned likewise. Pruning cuts edges between clusters that lie far apart, so searches
+start from many entries, farthest first, and begin at those nearest to the query; nodes
+that no entry reaches get an edge or become entries too. Every query runs a beam search over every shard, in blocks of
 queries; exact distances in double precision rank what the beams found.
 """
 
@@ -26,6 +28,10 @@ SEARCH_BEAM = 128
 ALPHA = 1.2
 EXPAND = 4
 BATCH = 256
+#: Entries a search begins at, and rows among which entries are looked for.
+START, SAMPLE = 16, 1 << 14
+#: Squared distances to nearest rows that single precision can't tell, by the largest norm.
+COARSE = 1e-4
 #: Queries that a shard is held against in one task; a shard goes out once for each block.
 QUERY_BLOCK = 1 << 17
 
@@ -39,13 +45,34 @@ def shard_count(rows: int) -> int:
     return -(-rows // min(LARGEST, max(SHARD, rows // SHARDS)))
 
 
-def _graph_scale(v: np.ndarray) -> tuple[float, type]:
-    """What graph distances are computed in: single precision as it is where squares fit,
-    else double precision over the largest component."""
-    most = float(np.abs(v).max(initial=0.0))
-    if 1e-9 < most < 1e15:
-        return 1.0, np.float32
-    return most or 1.0, np.float64
+class Space:
+    """What graph distances are computed in: vectors less their mean, in single precision
+    where that tells near rows apart, else in double precision over the largest component."""
+
+    def __init__(self, v: np.ndarray) -> None:
+        most = float(np.abs(v).max(initial=0.0))
+        self.scale = 1.0 if 1e-9 < most < 1e15 else most or 1.0
+        self.middle = (v / self.scale).mean(0) if len(v) else np.zeros(v.shape[1])
+        x = v / self.scale - self.middle
+        self.kind = np.float32 if self.scale == 1.0 and not self._close(x) else np.float64
+
+    @staticmethod
+    def _close(x: np.ndarray) -> bool:
+        """Whether nearest rows lie so close that their distances drown in the norms."""
+        some = x[np.random.Generator(np.random.PCG64(5)).permutation(len(x))[:4096]]
+        if len(some) < 2:
+            return False
+        norms = (some * some).sum(1)
+        gap = norms + norms[:256, None] - 2 * some[:256] @ some.T
+        gap[np.arange(len(gap)), np.arange(len(gap))] = np.inf
+        return bool(np.median(np.maximum(gap.min(1), 0)) < COARSE * norms.max())
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        """Vectors in this space; queries beyond all bounds keep their direction, which is
+        what ranks rows then."""
+        x = v / self.scale - self.middle
+        most = np.abs(x).max(1, initial=1e12)
+        return (x * (1e12 / most)[:, None]).astype(self.kind)
 
 
 def distances(v: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -70,11 +97,13 @@ def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: np.n
     far = np.full((rows, beam), np.inf, x.dtype)
     done = np.zeros((rows, beam), bool)
     seen = np.zeros((rows, len(x)), bool)
-    k = min(len(start), beam)
-    ids[:, :k], far[:, :k] = start[:k], _gaps(x, norms, q, np.broadcast_to(start[:k], (rows, k)))
-    order = np.argsort(far, axis=1)
-    ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
-    seen[:, start[:k]] = True
+    k = min(len(start), START, beam)
+    gap = norms[start] - 2 * q @ x[start].T
+    near = np.argpartition(gap, k - 1, axis=1)[:, :k] if k < len(start) else np.broadcast_to(np.arange(k), (rows, k))
+    gap = np.take_along_axis(gap, near, 1)
+    order = np.argsort(gap, axis=1)
+    ids[:, :k], far[:, :k] = start[np.take_along_axis(near, order, 1)], np.take_along_axis(gap, order, 1)
+    np.put_along_axis(seen, ids[:, :k], True, 1)
     active = np.arange(rows)
     while len(active):
         open_ = np.where(done[active] | (ids[active] < 0), np.inf, far[active])
@@ -130,28 +159,79 @@ def robust_prune(x: np.ndarray, norms: np.ndarray, points: np.ndarray, candidate
     return out
 
 
+def entry_points(x: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """The row nearest to the mean, then each time the one farthest from all before."""
+    n = len(x)
+    some = np.sort(np.random.Generator(np.random.PCG64(11)).permutation(n)[:SAMPLE])
+    at, square = x[some], norms[some]
+    chosen = [int(np.argmin(square - 2 * at @ x.mean(0)))]
+    far = np.full(len(some), np.inf)
+    for _ in range(min(len(some), 64 + 2 * int(n**0.5)) - 1):
+        last = chosen[-1]
+        far = np.minimum(far, square + square[last] - 2 * at @ at[last])
+        far[last] = -np.inf
+        chosen.append(int(far.argmax()))
+    return some[chosen]
+
+
+def reached(graph: np.ndarray, start: np.ndarray, met: np.ndarray | None = None) -> np.ndarray:
+    """Which nodes can be reached from those of ``start`` (besides those of ``met``)."""
+    met = np.zeros(len(graph), bool) if met is None else met.copy()
+    front = start[~met[start]]
+    while len(front):
+        met[front] = True
+        next_ = np.unique(graph[front])
+        next_ = next_[next_ >= 0]
+        front = next_[~met[next_]]
+    return met
+
+
+def _join_unreached(graph: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Give nodes that no entry reaches an edge from a neighbour with room; the rest of them
+    become entries. The entries."""
+    met = reached(graph, entry)
+    while not met.all():
+        lost = np.flatnonzero(~met)
+        near = graph[lost]
+        room = (near >= 0) & met[near] & (graph[near] < 0).any(2)
+        some = room.any(1)
+        lost, by = lost[some], near[some, room[some].argmax(1)]
+        by, one = np.unique(by, return_index=True)  # an edge a node and round
+        if not len(by):
+            break
+        graph[by, (graph[by] < 0).argmax(1)] = lost[one]
+        met = reached(graph, lost[one], met)
+    while not met.all():
+        first = np.flatnonzero(~met)[:1]
+        entry, met = np.append(entry, first), reached(graph, first, met)
+    return entry
+
+
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """(neighbours (n, degree) with -1 pads, entry points) over different vectors."""
+    """(neighbours (n, degree) with -1 pads, entry points) over different vectors; every
+    node can be reached from an entry."""
     n = len(x)
     norms = (x * x).sum(1)
     graph = np.full((n, degree), -1, np.int64)
     if not n:
         return graph, np.zeros(0, np.int64)
-    middle = int(np.argmin(norms - 2 * x @ x.mean(0)))
+    entry = entry_points(x, norms)
+    for lo in range(0, len(entry), BATCH):  # entries know each other
+        some = entry[lo : lo + BATCH]
+        gap = norms[entry] - 2 * x[some] @ x[entry].T
+        near = entry[np.argsort(gap, axis=1)[:, : beam + 1]]
+        graph[some] = robust_prune(x, norms, some, near, degree, alpha)
     order = np.random.Generator(np.random.PCG64(7)).permutation(n)
-    order = np.concatenate(([middle], order[order != middle]))
-    entry = np.array([middle])
-    at, size = 1, 1
-    for again in (False, True):
-        at, size = (1, 1) if not again else (0, BATCH)
+    order = np.concatenate((entry, order[~np.isin(order, entry)]))
+    for at in (len(entry), 0):  # the rest, then all of them again
         while at < n:
-            batch = order[at : at + size]
+            batch = order[at : at + BATCH]
             found, _ = beam_search(x, norms, graph, entry, x[batch], beam)
             near = robust_prune(x, norms, batch, np.concatenate([found, graph[batch]], axis=1), degree, alpha)
             graph[batch] = near
             _edges_back(x, norms, graph, batch, near, alpha)
-            at, size = at + len(batch), min(BATCH, size * 2)
-    return graph, entry
+            at += len(batch)
+    return graph, _join_unreached(graph, entry)
 
 
 def _edges_back(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, points: np.ndarray, near: np.ndarray, alpha: float) -> None:
@@ -201,15 +281,14 @@ def index(vectors: DataFrame, shards: dict[int, int]) -> DataFrame:
         table = table.sort_by("id")
         v = _matrix(table.column("v"))
         different, node = np.unique(v, axis=0, return_inverse=True)
-        scale, kind = _graph_scale(v)
-        graph, entry = build((different / scale).astype(kind))
+        graph, entry = build(Space(different).of(different))
         flat = pa.array(graph[node.ravel()].ravel().astype(np.int32))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, graph.shape[1]), pa.int32()), flat)
-        return pa.table({"dim": table.column("dim"), "shard": table.column("shard"), "id": table.column("id"), "v": table.column("v"), "node": pa.array(node.ravel().astype(np.int32)), "neighbours": lists, "entry": pa.array(np.full(len(v), entry[0], np.int32))})
+        return pa.table({"dim": table.column("dim"), "shard": table.column("shard"), "id": table.column("id"), "v": table.column("v"), "node": pa.array(node.ravel().astype(np.int32)), "neighbours": lists, "entry": pa.array(np.isin(node.ravel(), entry))})
 
     many = F.create_map(*[F.lit(x) for d, s in shards.items() for x in (d, s)]) if shards else F.create_map(F.lit(0), F.lit(1))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), many[F.col("dim")]).cast("int"))
-    return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, id long, v array<double>, node int, neighbours array<int>, entry int")
+    return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, id long, v array<double>, node int, neighbours array<int>, entry boolean")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -244,11 +323,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         bounds = np.append(first, len(node))
         q_ids, q = ask.column("id").to_numpy(), _matrix(ask.column("v"))
-        scale, kind = _graph_scale(np.concatenate([v, q]))
-        x = (v[first] / scale).astype(kind)
+        space = Space(v[first])
+        x = space.of(v[first])
         norms = (x * x).sum(1)
         links = _matrix(own.column("neighbours"))[fresh][first].astype(np.int64)
-        entry = np.array([own.column("entry")[0].as_py()])
+        entry = np.flatnonzero(own.column("entry").to_numpy()[fresh][first])
         out = ([], [], [])
 
         def different(nodes: np.ndarray, own_id: int, at: np.ndarray) -> dict[int, float]:
@@ -267,7 +346,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             return got
 
         for lo in range(0, len(q), BATCH):
-            found, _ = beam_search(x, norms, links, entry, (q[lo : lo + BATCH] / scale).astype(kind), SEARCH_BEAM)
+            found, _ = beam_search(x, norms, links, entry, space.of(q[lo : lo + BATCH]), SEARCH_BEAM)
             for i, mine in enumerate(found):
                 got = different(mine[mine >= 0], q_ids[lo + i], q[lo + i])
                 if len(got) < k and (mine >= 0).sum() < len(first):  # few ids have all the nodes met

@@ -119,3 +119,48 @@ def test_pruning_keeps_the_nearest_and_drops_the_covered():
     norms = (x * x).sum(1)
     got = ann.robust_prune(x, norms, np.array([0]), np.array([[1, 2, 3, 1, -1, 0]]), 3, 1.2)
     assert got.tolist() == [[1, 3, -1]]
+
+
+def graph_recall(x: np.ndarray, asked: np.ndarray, k: int = 10) -> float:
+    """Recall of one shard's graph, whose nodes all have to be reached."""
+    space = ann.Space(x)
+    v = space.of(x)
+    graph, entry = ann.build(v)
+    assert ann.reached(graph, entry).all()
+    found, _ = ann.beam_search(v, (v * v).sum(1), graph, entry, v[asked], ann.SEARCH_BEAM)
+    hits = 0
+    for q, mine in zip(asked, found):
+        gap = ((x - x[q]) ** 2).sum(1)
+        gap[q] = np.inf
+        mine = mine[(mine >= 0) & (mine != q)]
+        hits += len(set(np.argsort(gap)[:k]) & set(mine[np.argsort(gap[mine])][:k]))
+    return hits / (k * len(asked))
+
+
+@pytest.mark.parametrize("clusters", [8, 40, 200])
+@pytest.mark.parametrize("apart", [2.0, 10.0, 1000.0])
+def test_recall_on_clusters_near_and_far(clusters, apart):
+    rng = np.random.default_rng(clusters)
+    x = apart * rng.standard_normal((clusters, 64))[rng.integers(0, clusters, 2400)] + rng.standard_normal((2400, 64))
+    assert graph_recall(x, np.arange(0, 2400, 30)) >= 0.95
+
+
+def test_recall_on_clusters_of_very_unlike_size_and_width():
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((1800, 32)), 50 + 0.01 * rng.standard_normal((500, 32)), -200 + 5 * rng.standard_normal((90, 32)), 1000 + rng.standard_normal((10, 32))])
+    assert graph_recall(x, np.arange(0, 2400, 10), 9) >= 0.95
+
+
+def test_recall_on_a_large_shard():
+    rng = np.random.default_rng(12)
+    x = (10 * rng.standard_normal((200, 24))[rng.integers(0, 200, 20000)] + rng.standard_normal((20000, 24))).astype(np.float32)
+    assert graph_recall(x.astype(np.float64), np.arange(0, 20000, 200)) >= 0.95
+
+
+def test_query_far_beyond_all_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(1, 300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1e80, -1e80, 3e80])], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in sorted(ann.nearest(frame, asked).collect(), key=lambda r: r.rank)]
+    assert len(got) == 10  # all as far in double precision
