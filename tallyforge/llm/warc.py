@@ -12,6 +12,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -80,7 +81,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             for page, url, html, digest, first in zip(*(batch.column(c) for c in ("page", "url", "html", "digest", "first"))):
                 page, url, digest, first = page.as_py(), url.as_py(), digest.as_py(), first.as_py()
                 if out is None:
-                    path = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
+                    path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"  # an attempt has a file of its own
                     out = _store.Writer(path)
                 url = " ".join(url.split())
                 again = first is not None and page != first
