@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators.passages import grants_without_requiring
 
 #: What a person reads about a passage that offers and doesn't ask.
-OFFERED = "This passage offers something and asks for nothing, so no action was made of it."
+OFFERED = "Nothing is demanded here. Whoever reads it may take it up or leave it."
 #: What a person reads about an item by the reason of its review.
 REASONS = {"missing": "No answer came for this one.", "duplicate_id": "Two answers came for this one.", "bad_echo": "The answer was about something else.", "bad_shape": "The answer wasn't in the form asked for.", "truncated": "The answer was cut off.", "low_confidence": "The answer was unsure."}
 

@@ -1,14 +1,17 @@
 """Statement exports to payments and rejects.
 
-A layout is chosen once per file from its header (or the shape of its first rows), on
-the driver; everything else is one annotated DataFrame, whose ``reason`` tells good rows
-(null) from rejects. Nothing raises on a bad row.
+Files of any layouts and column orders are one scan: every file's own header (or the
+shape of its cells) picks its layout and the places of its columns, in a small table by
+file that is joined back to the rows. ``reason`` tells good rows (null) from rejects;
+nothing raises on a bad row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,6 +52,9 @@ OLD_EXPORT = (12, 1, ("yyyy-MM-dd HH:mm:ss Z",), 8, 2, "credit")
 CARD_EXPORT = ((20, 21), 2, ("dd/MM/yyyy",), 3, 4, "debit")
 
 
+_ROLES = ("date", "merchant", "amount", "debit", "credit")
+
+
 class UnknownLayout(ValueError):
     """No layout fits the columns."""
 
@@ -90,29 +96,26 @@ def positional_layout(rows: DataFrame) -> Layout | None:
     return None
 
 
-def annotated(rows: DataFrame, layout: Layout, columns: dict[str, str]) -> DataFrame:
-    """``rows`` with date, raw_merchant, amount (a magnitude), direction and reason.
+def _judged(date: Column, cell: dict[str, Column], split: Column, positive: Column) -> dict[str, Column]:
+    """date, raw_merchant, amount (a magnitude), direction and reason of a row, from its
+    trimmed cells by role; ``split`` tells debit and credit cells from a signed amount, whose
+    direction above zero is ``positive``.
 
     Reasons in order: bad_date, no_merchant, two_amounts, no_amount, bad_amount,
-    zero_amount. A signed amount below zero turns the layout's direction; split columns
-    keep theirs.
+    zero_amount. A signed amount below zero turns the direction; split columns keep theirs.
     """
-    cell = lambda h: F.trim(F.coalesce(F.col(f"`{columns[h]}`"), F.lit("")))
-    date, merchant = D.parse_date(cell(layout.date), layout.formats), cell(layout.merchant)
-    if layout.amount:
-        both = neither = F.lit(False)
-        text = cell(layout.amount)
-        empty = text == ""
-        other = "debit" if layout.positive == "credit" else "credit"
-        direction = F.when(text.startswith("-"), other).otherwise(layout.positive)
-    else:
-        debit, credit = cell(layout.debit), cell(layout.credit)
-        both, neither = (debit != "") & (credit != ""), (debit == "") & (credit == "")
-        text, empty = F.when(debit != "", debit).otherwise(credit), F.lit(False)
-        direction = F.when(debit != "", "debit").otherwise("credit")
+    debit, credit = cell["debit"] != "", cell["credit"] != ""
+    text = F.when(split, F.when(debit, cell["debit"]).otherwise(cell["credit"])).otherwise(cell["amount"])
+    credited = F.when(split, ~debit).otherwise((positive == "credit") != text.startswith("-"))
     value = F.when(text.rlike(DECIMAL), text.try_cast("decimal(18,2)"))
-    reason = F.when(date.isNull(), "bad_date").when(merchant == "", "no_merchant").when(both, "two_amounts").when(neither | empty, "no_amount").when(value.isNull(), "bad_amount").when(value == 0, "zero_amount")
-    return rows.withColumns({"date": date, "raw_merchant": merchant, "amount": F.abs(value), "direction": direction, "reason": reason})
+    reason = F.when(date.isNull(), "bad_date").when(cell["merchant"] == "", "no_merchant").when(split & debit & credit, "two_amounts").when(text == "", "no_amount").when(value.isNull(), "bad_amount").when(value == 0, "zero_amount")
+    return {"date": date, "raw_merchant": cell["merchant"], "amount": F.abs(value), "direction": F.when(credited, "credit").otherwise("debit"), "reason": reason}
+
+
+def annotated(rows: DataFrame, layout: Layout, columns: dict[str, str]) -> DataFrame:
+    """``rows`` of one layout with date, raw_merchant, amount, direction and reason."""
+    cell = {r: F.trim(F.coalesce(F.col(f"`{columns[h]}`"), F.lit(""))) if (h := getattr(layout, r)) else F.lit("") for r in _ROLES}
+    return rows.withColumns(_judged(D.parse_date(cell["date"], layout.formats), cell, F.lit(layout.amount is None), F.lit(layout.positive)))
 
 
 def read_rows(raw: DataFrame) -> DataFrame:
@@ -128,16 +131,92 @@ def read_rows(raw: DataFrame) -> DataFrame:
     return annotated(raw, layout, {h: h for h in (layout.date, layout.merchant, layout.amount) if h})
 
 
+#: Columns of a file that are read.
+WIDTH = 64
+_OLD = Layout("twelve columns", "1", OLD_EXPORT[2], str(OLD_EXPORT[3]), str(OLD_EXPORT[4]), positive=OLD_EXPORT[5])
+_CARD = Layout("card", str(CARD_EXPORT[1]), CARD_EXPORT[2], str(CARD_EXPORT[3]), str(CARD_EXPORT[4]), positive=CARD_EXPORT[5])
+_KINDS = (*LAYOUTS, _OLD, _CARD)
+
+
+def _places(header: Column) -> Column:
+    """(kind, place of each role from 1) of the first named layout that a header has whole."""
+    clean = F.transform(header, lambda h: F.lower(F.trim(F.regexp_replace(F.trim(h), "^\ufeff+", ""))))
+    found = []
+    for k, layout in enumerate(LAYOUTS):
+        wanted = [getattr(layout, r) for r in _ROLES]
+        at = [F.array_position(clean, normalise_header(h)) if h else F.lit(None).cast("long") for h in wanted]
+        there = [F.array_position(clean, normalise_header(h)) > 0 for h in (*filter(None, wanted), *layout.needs)]
+        found.append(F.when(reduce(and_, there), F.struct(F.lit(k).alias("kind"), *[a.alias(r) for a, r in zip(at, _ROLES)])))
+    return F.coalesce(*found)
+
+
+def _fixed(k: int) -> Column:
+    """The same of an export that is told by position."""
+    layout = _KINDS[k]
+    at = [F.lit(int(h) + 1).cast("long") if (h := getattr(layout, r)) else F.lit(None).cast("long") for r in _ROLES]
+    return F.struct(F.lit(k).alias("kind"), *[a.alias(r) for a, r in zip(at, _ROLES)])
+
+
+def _fits(cells: Column) -> dict[int, Column]:
+    """Whether a row has the shapes of an export that is told by position."""
+    c = [F.trim(F.coalesce(cells[i], F.lit(""))) for i in range(10)]
+    old = _currency(c[3]) & _currency(c[5]) & _decimal(c[2]) & _decimal(c[4]) & (c[8] != "") & D.parse_date(c[1], _OLD.formats).isNotNull()
+    card = _currency(c[5]) & _currency(c[7]) & _decimal(c[4]) & _decimal(c[6]) & _decimal(c[8]) & (c[3] != "") & D.parse_date(c[2], _CARD.formats).isNotNull() & D.parse_date(c[9], _CARD.formats).isNotNull()
+    return {len(LAYOUTS): old, len(LAYOUTS) + 1: card}
+
+
+def scanned(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, blocks) of CSV files: their cells as text, with the file, the block of the
+    file and a number that counts on inside the block; and for each block the rows before
+    it in its file, its first number, and the file's layout and places (null: none fits)."""
+    schema = ", ".join(f"c{i} string" for i in range(WIDTH))
+    read = spark.read.schema(schema).options(header="false", mode="PERMISSIVE", encoding="UTF-8", escape='"', nullValue="\x00")
+    cells = F.array(*[F.col(f"c{i}") for i in range(WIDTH)])
+    rows = read.csv(list(paths)).select(cells.alias("cells"), F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("in_scan"))
+    fits = _fits(F.col("cells"))
+    told = rows.groupBy("src_file", "block").agg(F.count("*").alias("n"), F.min("in_scan").alias("lead"), F.min_by("cells", "in_scan").alias("head"), *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f"fits_{k}") for k, f in fits.items()])
+    ahead = Window.partitionBy("src_file").orderBy("block")
+    whole = Window.partitionBy("src_file")
+    blocks = told.select("src_file", "block", "lead", F.coalesce(F.sum("n").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.first("head").over(ahead).alias("head"), *[F.bool_or(f"fits_{k}").over(whole).alias(f"fits_{k}") for k in fits])
+    width = F.array_max(F.transform("head", lambda h, i: F.when(h.isNotNull(), i + 1)))  # up to the last name
+    fits_width = {len(LAYOUTS): width == OLD_EXPORT[0], len(LAYOUTS) + 1: width.isin(*CARD_EXPORT[0])}
+    at = F.coalesce(_places(F.col("head")), *[F.when(F.col(f"fits_{k}") & w, _fixed(k)) for k, w in fits_width.items()])
+    return rows, blocks.select("src_file", "block", "lead", "before", at.alias("at"))
+
+
+def read_files(spark: SparkSession, paths: Sequence[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(payments, rejects) of CSV exports of any layouts in one scan.
+
+    Each file is read by its own header. Both carry src_file, the layout's name and row_no
+    (also as seq), which counts a file's records from 1, the header being the first,
+    however the scan was split. A file that no layout fits is an error, or where that
+    isn't asked for one reject (unknown_layout) at its header. Of a row's cells the first
+    ``WIDTH`` are read. Files without a row give nothing.
+    """
+    rows, blocks = scanned(spark, paths)
+    if strict:
+        odd = blocks.where("at IS NULL").select("src_file").take(1)
+        if odd:
+            raise UnknownLayout(f"no layout has the columns of {odd[0][0]}")
+    row_no = (F.col("before") + F.col("in_scan") - F.col("lead") + 1).cast("int")
+    rows = rows.join(blocks, ["src_file", "block"]).withColumn("row_no", row_no)
+    rows = rows.where((F.col("row_no") > 1) == F.col("at").isNotNull()).where("at IS NOT NULL OR row_no = 1")
+    kind = F.col("at.kind")
+    of = lambda value: F.try_element_at(F.array(*[F.lit(value(x)) for x in _KINDS]), kind + 1)
+    cell = {r: F.trim(F.coalesce(F.try_element_at("cells", F.col(f"at.{r}").cast("int")), F.lit(""))) for r in _ROLES}
+    rows = rows.select("src_file", "row_no", of(lambda x: x.name).alias("layout"), of(lambda x: x.amount is None).alias("split"), of(lambda x: x.positive).alias("positive"), kind.alias("kind"), *[c.alias(r) for r, c in cell.items()])
+    forms = dict.fromkeys(x.formats for x in _KINDS)
+    date = F.coalesce(*[F.when(F.col("kind").isin([k for k, x in enumerate(_KINDS) if x.formats == f]), D.parse_date(F.col("date"), f)) for f in forms])
+    found = _judged(date, {r: F.col(r) for r in _ROLES}, F.col("split"), F.col("positive"))
+    found["reason"] = F.when(F.col("kind").isNull(), "unknown_layout").otherwise(found["reason"])
+    read = rows.select("src_file", "layout", "row_no", F.col("row_no").cast("long").alias("seq"), *[c.alias(n) for n, c in found.items()])
+    good = read.where("reason IS NULL").select("src_file", "layout", "row_no", "seq", "date", "raw_merchant", "amount", "direction")
+    return good, read.where("reason IS NOT NULL").select("src_file", "layout", "row_no", "seq", "reason", "raw_merchant")
+
+
 def read_statement(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(payments, rejects) of a CSV export; both carry src_file and row_no (also as seq),
-    which counts a file's rows from 1 however the scan was split."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path)
-    found = read_rows(raw).select("*", F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("in_scan"))
-    # one export is one window, which a bank's own limits bound
-    row_no = F.row_number().over(Window.partitionBy("src_file").orderBy("block", "in_scan"))
-    found = found.withColumn("row_no", row_no).withColumn("seq", F.col("row_no").cast("long"))
-    good = found.where("reason IS NULL").select("src_file", "row_no", "seq", "date", "raw_merchant", "amount", "direction")
-    return good, found.where("reason IS NOT NULL").select("src_file", "row_no", "seq", "reason", "raw_merchant")
+    """(payments, rejects) of a CSV export, or of a folder of them."""
+    return read_files(spark, [path])
 
 
 def read_input(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -149,14 +228,13 @@ def read_input(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_folder(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(payments, rejects) of many exports of one layout in one scan, with part: each
-    file's place in the list."""
-    good, bad = read_statement(spark, list(paths))
+    """(payments, rejects) of many exports in one scan, with part: each file's place in the list."""
+    good, bad = read_files(spark, sorted(set(paths)))
     return placed(spark, good, paths, "part"), placed(spark, bad, paths, "part")
 
 
 def concatenated(parts: list[DataFrame]) -> DataFrame:
-    """Statements of different layouts one after another, order kept by (part, row_no)."""
+    """Statements that were read apart one after another, order kept by (part, row_no)."""
     out = None
     for i, part in enumerate(parts):
         part = part.withColumn("part", F.lit(i))

@@ -120,8 +120,52 @@ def test_a_folder_is_one_scan_with_rows_numbered_by_file(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
     paths = [str(tmp_path / "b.csv"), str(tmp_path / "a b.csv")]
     good, bad = statements.read_folder(spark, paths)
-    assert [(r.part, r.row_no, str(r.amount)) for r in good.orderBy("part", "row_no").collect()] == [(0, 1, "1.00"), (0, 2, "2.00"), (0, 3, "3.00"), (1, 1, "4.00"), (1, 3, "5.00")]
-    assert [(r.part, r.row_no, r.reason) for r in bad.collect()] == [(1, 2, "bad_date")]
+    assert [(r.part, r.row_no, str(r.amount)) for r in good.orderBy("part", "row_no").collect()] == [(0, 2, "1.00"), (0, 3, "2.00"), (0, 4, "3.00"), (1, 2, "4.00"), (1, 4, "5.00")]
+    assert [(r.part, r.row_no, r.reason) for r in bad.collect()] == [(1, 3, "bad_date")]
+
+
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    files = {
+        "one": ["Date,Description,Amount", '2024-01-05,"Shop, the ""old"" one",-5.00'],
+        "two": ["date,AMOUNT,description", "2024-01-06,-5.00,Shop", "2024-01-07,x,Shop"],
+        "three": ["Paid In,Paid Out,Description,Date", ",7.00,Rent,05 Jan 24", "9,,Pay,06/01/2024"],
+        "four": [",".join(f"h{i}" for i in range(12)), ",".join(["id", "2019-03-04 10:11:12 +0000", "-4.20", "GBP", "-4.20", "GBP", "", "x", "CAFE", "", "", ""])],
+        "odd": ["a,b", "1,2", "3,4"],
+        "empty": [],
+    }
+    for name, lines in files.items():
+        (tmp_path / f"{name}.csv").write_text("".join(x + "\n" for x in lines))
+    paths = [str(tmp_path / f"{n}.csv") for n in files]
+    with pytest.raises(statements.UnknownLayout, match="odd"):
+        statements.read_files(spark, paths)
+    good, bad = statements.read_files(spark, paths, strict=False)
+    name = lambda r: r.src_file.rsplit("/", 1)[-1].removesuffix(".csv")
+    assert sorted((name(r), r.layout, r.row_no, str(r.date), r.raw_merchant, str(r.amount), r.direction) for r in good.collect()) == [
+        ("four", "twelve columns", 2, "2019-03-04", "CAFE", "4.20", "debit"),
+        ("one", "signed", 2, "2024-01-05", 'Shop, the "old" one', "5.00", "debit"),
+        ("three", "paid out and in", 2, "2024-01-05", "Rent", "7.00", "debit"),
+        ("three", "paid out and in", 3, "2024-01-06", "Pay", "9.00", "credit"),
+        ("two", "signed", 2, "2024-01-06", "Shop", "5.00", "debit"),
+    ]
+    assert sorted((name(r), r.row_no, r.reason) for r in bad.collect()) == [("odd", 1, "unknown_layout"), ("two", 3, "bad_amount")]
+
+
+def test_rows_of_a_file_in_many_blocks_are_numbered_through(spark, tmp_path):
+    lines = ["Date,Description,Amount", *(f"2024-01-05,shop,-{i}.00" for i in range(1, 3000))]
+    (tmp_path / "long.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "short.csv").write_text("Description,Amount,Date\nshop,-1.00,2024-01-05\n")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        good, bad = statements.read_files(spark, [str(tmp_path / "long.csv"), str(tmp_path / "short.csv")])
+        assert good.rdd.getNumPartitions() > 0 and bad.count() == 0
+        rows = good.where("src_file LIKE '%long.csv'").collect()
+        assert statements.scanned(spark, [str(tmp_path / "long.csv")])[1].count() > 5
+        assert len(rows) == 2999 and all(r.row_no == int(r.amount) + 1 for r in rows)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
 
 
 def test_dates_of_one_digit_and_two_digit_years(spark):
