@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import dates as D
 from tallyforge.functions import numbers as N
 from tallyforge.functions import text as X
+from tallyforge.sources.runs import staged
 
 #: Annualised subscriptions above this are worth a look.
 WORTH_A_LOOK = 100
@@ -65,20 +66,24 @@ def span(payments: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, name: str, lead: Column, *ties: str, group: str | None = None, ranges: int = 256) -> DataFrame:
-    """Adds a place from 1 by group (a column of few values, if any), a number and then
-    columns, without one task for all rows.
+    """Adds a place from 1 in the order of group (a column of few values, if any), a value
+    and then columns, without one task for all rows; nulls come first.
 
-    Each group's span of the number is cut into ranges; places count on from the rows of
-    the ranges before, which are ``ranges`` counts a group.
+    Spark's range partitioner cuts the rows at sampled quantiles of the whole order, so
+    ranges are of about equal size however values lie or repeat (rows that are alike in
+    every column are spread by chance). They are written once with their range; places
+    count on from the rows of the ranges before, which are ``ranges`` counts a group.
     """
-    at = rows.withColumns({"lead": lead.cast("double"), "part": F.col(group) if group else F.lit(0)})
-    ends = at.groupBy("part").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
-    cut = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("lead") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges), F.lit(ranges - 1))).otherwise(0)
-    at = at.join(F.broadcast(ends), "part").withColumn("range", F.coalesce(cut, F.lit(0)).cast("int")).drop("lo", "hi")  # a row a group
-    ahead = Window.orderBy("part", "range").rowsBetween(Window.unboundedPreceding, -1)
-    before = at.groupBy("part", "range").agg(F.count("*").alias("n")).select("part", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("part", "range").orderBy("lead", *ties))
-    return at.withColumn("inside", inside).join(F.broadcast(before), ["part", "range"]).withColumn(name, F.col("before") + F.col("inside")).drop("lead", "part", "range", "inside", "before")
+    lead_, part, whole, chance, at, inside, before = (f"_{x}_{name}" for x in ("lead", "part", "whole", "chance", "range", "inside", "before"))
+    order = [part, lead_, *ties, whole, chance]
+    keyed = rows.withColumns({lead_: lead, part: F.col(group) if group else F.lit(0), whole: F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t] or [F.lit(0)]), chance: F.rand(29)})
+    held = staged(keyed.repartitionByRange(ranges, *order).withColumn(at, F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy(part, at).rowsBetween(Window.unboundedPreceding, -1)  # over the counts alone
+    counts = held.groupBy(part, at).agg(F.count("*").alias("n")).select(part, at, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
+    own = F.row_number().over(Window.partitionBy(part, at).orderBy(*order[1:]))
+    same = F.broadcast(counts)  # a row a range and group
+    placed = held.withColumn(inside, own).join(same.withColumnsRenamed({part: f"{part}_", at: f"{at}_"}), F.col(part).eqNullSafe(F.col(f"{part}_")) & (F.col(at) == F.col(f"{at}_")))
+    return placed.select(*rows.columns, (F.col(before) + F.col(inside)).alias(name))
 
 
 def top_subscription(found: DataFrame) -> DataFrame:

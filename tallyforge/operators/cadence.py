@@ -13,7 +13,7 @@ from collections.abc import Iterator, Mapping
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates as D
@@ -72,48 +72,24 @@ def amount_clusters(payments: DataFrame, *keys: str) -> DataFrame:
     return payments.groupBy(*keys, "amount").agg(F.count("*").alias("n"), F.countDistinct("date").alias("days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-def net_days(paid: list[tuple], back: list[tuple]) -> list[tuple]:
-    """What is left of (date, n) payments after each reversal, oldest first, has cancelled
-    the latest payment up to 45 days before it that none has."""
-    left = [[d, n] for d, n in sorted(paid)]
-    open_: list[int] = []
-    i = 0
-    for date, n in sorted(back):
-        while i < len(left) and left[i][0] <= date:
-            open_.append(i)
-            i += 1
-        while n and open_:
-            j = open_[-1]
-            if (date - left[j][0]).days > REVERSAL_DAYS:
-                break
-            used = min(n, left[j][1])
-            left[j][1] -= used
-            n -= used
-            if not left[j][1]:
-                open_.pop()
-    return [(d, n) for d, n in left if n]
-
-
 def net_of_reversals(payments: DataFrame, direction: str, *keys: str) -> DataFrame:
-    """(keys, amount, date, n) of the payments in a direction that no reversal cancels."""
-    other = "credit" if direction == "debit" else "debit"
-    days = day_counts(payments, *keys, "amount", "direction")
-    one = F.struct("date", "n")
-    sides = days.groupBy(*keys, "amount").agg(F.collect_list(F.when(F.col("direction") == direction, one)).alias("paid"), F.collect_list(F.when(F.col("direction") == other, one)).alias("back"))
-    sides = sides.where(F.size("paid") > 0)
-    kinds = dict(sides.dtypes)
+    """(keys, amount, date, n) of the payments in a direction that no reversal cancels.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[tuple]] = []
-            for paid, back in zip(batch.column("paid").to_pylist(), batch.column("back").to_pylist()):
-                out.append(net_days([(x["date"], x["n"]) for x in paid], [(x["date"], x["n"]) for x in back]))
-            many = pa.array([i for i, x in enumerate(out) for _ in x], pa.int64())
-            columns = [batch.column(c).take(many) for c in (*keys, "amount")]
-            yield pa.record_batch([*columns, pa.array([d for x in out for d, _ in x], pa.date32()), pa.array([n for x in out for _, n in x], pa.int64())], [*keys, "amount", "date", "n"])
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "amount")) + ", date date, n long"
-    return sides.mapInArrow(run, schema)
+    Each reversal, oldest first, cancels the latest payment up to 45 days before it that
+    none has. Open payments are a stack, and what is too old for one reversal is so for
+    all later ones: so the stack's depth after each day, which prefix sums give, tells all.
+    A day's payments lie between the depth before them and that with them; those above the
+    least depth of the next 45 days are cancelled in that time, and the rest stay.
+    """
+    rows = payments.withColumn("paid", F.when(F.col("direction") == direction, 1).otherwise(-1).cast("long"))
+    days = rows.groupBy(*keys, "amount", "date").agg(F.sum(F.greatest("paid", F.lit(0))).alias("paid"), F.sum("paid").alias("more"))
+    by_day = Window.partitionBy(*keys, "amount").orderBy("date")
+    days = days.withColumn("sum", F.sum("more").over(by_day))
+    days = days.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(by_day)))  # a reversal of nothing pops nothing
+    days = days.withColumn("below", F.coalesce(F.lag("depth").over(by_day), F.lit(0)))
+    soon = Window.partitionBy(*keys, "amount").orderBy(F.unix_date("date")).rangeBetween(0, REVERSAL_DAYS)
+    left = F.least("paid", F.min("depth").over(soon) - F.col("below"))
+    return days.select(*keys, "amount", "date", left.alias("n")).where("n > 0")
 
 
 _BANDS = {name: (lo, hi) for name, lo, hi, *_ in D.PERIODS}

@@ -63,9 +63,19 @@ def compare(terms: DataFrame, before: int, after: int, families: DataFrame | Non
     return rows.select("term", "basis", "change", "v_before", "v_after", "delta", kind.alias("kind")), refused
 
 
+def _rank() -> Column:
+    return F.when(F.col("change") == "changed", 0).when(F.col("change") == "added", 1).when(F.col("change") == "removed", 2).otherwise(3)
+
+
 def ordered(differences: DataFrame) -> DataFrame:
-    place = F.when(F.col("change") == "changed", 0).when(F.col("change") == "added", 1).when(F.col("change") == "removed", 2).otherwise(3)
-    return differences.orderBy(place, "term", "basis")
+    return differences.orderBy(_rank(), "term", "basis")
+
+
+def placed(differences: DataFrame, name: str) -> DataFrame:
+    """Adds each difference's place from 1 in that order."""
+    from tallyforge.operators import audit
+
+    return audit.numbered(differences, name, _rank(), "term", "basis")
 
 
 def basis_label(c: Column) -> Column:

@@ -216,10 +216,10 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in r) + ")" for r in rows)
 
 
-@register("statement_bed", f"SELECT n_nationkey::VARCHAR AS account, upper(replace(shape, '_', ' ')) AS merchant, period, rose FROM nation, (VALUES {_values([(s, *t) for s, t in beds.TRUTH.items()])}) AS t(shape, period, rose)")
+@register("statement_bed", f"SELECT c_custkey::VARCHAR AS account, upper(replace(shape, '_', ' ')) AS merchant, period, rose FROM customer, (VALUES {_values([(s, *t) for s, ts in beds.TRUTH.items() for t in ts])}) AS t(shape, period, rose)")
 def statement_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated statements: every series is found, none that isn't there."""
-    rows = merchants.with_stem(beds.disguised(beds.statements(spark, table(spark, sf_dir, "nation").count())))
+    rows = merchants.with_stem(beds.disguised(beds.statements(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))))
     found = cadence.series(rows.withColumn("merchant", F.col("stem")))
     return found.select("account", "merchant", "period", F.col("rise_to").isNotNull().alias("rose"))
 
@@ -229,18 +229,18 @@ DUE_SQL = " ".join(f"WHEN '{s}' THEN {d}" for s, (d, _) in DUE.items())
 DUE_KIND = " ".join(f"WHEN '{s}' THEN '{k}'" for s, (_, k) in DUE.items())
 
 
-@register("letter_bed", f"SELECT shape, (CASE shape {DUE_SQL} END)::DATE AS due, CASE shape {DUE_KIND} END AS kind, count(*) AS n FROM (SELECT shape, written, (written + 21)::DATE AS later FROM (SELECT DATE '2024-03-04' + (n_nationkey % 300)::INT AS written FROM nation), (VALUES {_values([(s,) for s in beds.LETTERS])}) AS t(shape)) GROUP BY ALL")
+@register("letter_bed", f"SELECT shape, (CASE shape {DUE_SQL} END)::DATE AS due, CASE shape {DUE_KIND} END AS kind, count(*) AS n FROM (SELECT shape, written, (written + 21)::DATE AS later FROM (SELECT DATE '2024-03-04' + (s_suppkey % 300)::INT AS written FROM supplier), (VALUES {_values([(s,) for s in beds.LETTERS])}) AS t(shape)) GROUP BY ALL")
 def letter_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated letters: every deadline is resolved, and those that can't be aren't."""
-    segments, obligations = beds.letters(spark, table(spark, sf_dir, "nation").count())
+    segments, obligations = beds.letters(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
     done = timeline.dated(obligations, segments)
     return done.groupBy("shape", F.col("due.date").alias("due"), F.col("due.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@register("renewal_bed", f"SELECT shape, verdict, count(*) AS n FROM nation, (VALUES {_values([(s, v) for s, (_, _, v) in beds.RENEWALS.items()])}) AS t(shape, verdict) GROUP BY ALL")
+@register("renewal_bed", f"SELECT shape, verdict, count(*) AS n FROM supplier, (VALUES {_values([(s, v) for s, (_, _, v) in beds.RENEWALS.items()])}) AS t(shape, verdict) GROUP BY ALL")
 def renewal_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated renewals: every change is told, and what can't be compared is refused."""
-    rows, _ = beds.renewals(spark, table(spark, sf_dir, "nation").count())
+    rows, _ = beds.renewals(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
     diff, refused = terms.compare(rows, 0, 1, rows.select("term", "family").distinct())
     shape = F.regexp_extract("term", "^([a-z_]+?)_[0-9]+:", 1).alias("shape")
     told = diff.select("term", F.col("change").alias("verdict")).unionByName(refused.select("term", F.col("why").alias("verdict")))

@@ -285,16 +285,8 @@ def guarded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT *, (row_number() OVER (ORDER BY CASE change WHEN 'changed' THEN 0 WHEN 'added' THEN 1 WHEN 'removed' THEN 2 ELSE 3 END, term, basis) - 1)::BIGINT // 10 AS decade, 'line ' || right(basis, 1) AS label FROM d""")
 def comparison_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed first, then added, removed and unchanged ones, each by name."""
-    rows = terms.ordered(_compared(spark, sf_dir)[0]).select("term", "basis", "change")
-    place = F.row_number().over(_whole()) - 1
-    return rows.select("*", F.floor(place / 10).alias("decade"), terms.basis_label(F.col("basis")).alias("label"))
-
-
-def _whole():
-    """Rows as they stand: the query shows the order that the operator gave."""
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.monotonically_increasing_id())
+    rows = terms.placed(_compared(spark, sf_dir)[0].select("term", "basis", "change"), "place")
+    return rows.select("term", "basis", "change", F.floor((F.col("place") - 1) / 10).alias("decade"), terms.basis_label(F.col("basis")).alias("label"))
 
 
 @register("audit_summaries", """SELECT o_custkey, CASE WHEN n = 0 THEN 'No repeating payments were found.' ELSE n::VARCHAR || CASE WHEN n = 1 THEN ' repeating payment' ELSE ' repeating payments' END || ' cost £' || format('{:,.2f}', total::DOUBLE) || ' a year, £' || format('{:,.2f}', monthly::DOUBLE) || ' a month.' END

@@ -2,59 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Runs of payments of each shape: first day, days between, payments, pence of the first
-# one, pence more for each next one. Amounts below zero are credits.
-RUNS = {
-    "monthly": ((0, 30, 12, 999, 0),),
-    "monthly_rise": ((0, 30, 6, 1000, 0), (180, 30, 6, 1250, 0)),
-    "monthly_drop": ((0, 30, 6, 1250, 0), (180, 30, 6, 1000, 0)),
-    "weekly": ((0, 7, 40, 320, 0),),
-    "quarterly": ((0, 91, 4, 4500, 0),),
-    "yearly": ((0, 365, 2, 12000, 0),),
-    "too_few": ((0, 30, 2, 800, 0),),
-    "irregular": ((0, 3, 2, 500, 0), (17, 1, 2, 500, 0), (60, 15, 2, 500, 0)),
-    "after_a_trial": ((14, 30, 6, 950, 0),),
-    "trial_refunded": ((14, 30, 6, 950, 0), (77, 1, 1, -950, 0)),
-    "resumed": ((0, 30, 8, 1100, 0), (360, 30, 8, 1100, 0)),
-    "creeping": ((0, 30, 4, 71000, 0), (120, 30, 4, 71050, 0), (240, 30, 4, 71100, 0)),
-    "one_refunded": ((0, 30, 11, 650, 0), (304, 1, 1, -650, 0)),
-    "charged_twice": ((0, 30, 12, 82510, 0), (121, 1, 1, 82510, 0), (121, 1, 1, -82510, 0)),
-    "yearly_dearer": ((0, 365, 1, 51000, 0), (365, 365, 1, 54000, 0)),
-    "weekly_basket": ((0, 7, 12, 4100, 113),),
-    "duplicate": ((0, 1, 1, 9600, 0), (0, 1, 1, 9600, 0)),
-    "charged_back": ((0, 1, 1, 6320, 0), (7, 1, 1, -6320, 0)),
-}
-# What is to be found: the period of the series, and whether its price rose. A basket that
-# never costs the same twice is no series.
-TRUTH = {
-    "monthly": ("monthly", False),
-    "monthly_rise": ("monthly", True),
-    "monthly_drop": ("monthly", False),
-    "weekly": ("weekly", False),
-    "quarterly": ("quarterly", False),
-    "yearly": ("yearly", False),
-    "after_a_trial": ("monthly", False),
-    "trial_refunded": ("monthly", False),
-    "resumed": ("monthly", False),
-    "creeping": ("monthly", True),
-    "one_refunded": ("monthly", False),
-    "charged_twice": ("monthly", False),
-    "yearly_dearer": ("yearly", True),
+# A grid of series: each pace (days between, payments) under each form (what the second half
+# of the payments costs, in hundredths of the first). Prices follow from the place in the grid.
+PACES = {"weekly": (7, 24), "monthly": (30, 10), "quarterly": (91, 6), "yearly": (365, 4)}
+FORMS = {"level": 100, "dearer": 118, "cheaper": 87}
+# And what is no series, or one that is hard to see. Runs of payments: first day, days
+# between, payments, pence of the first one, pence more for each next one; amounts below
+# zero are credits.
+HARD = {
+    "once": ((44, 1, 1, 6187, 0),),
+    "spreading": tuple((2**i, 1, 1, 2391, 0) for i in range(8)),
+    "all_taken_back": ((6, 26, 3, 4403, 0), (10, 26, 3, -4403, 0)),
+    "never_the_same": ((0, 17, 9, 2036, 58),),
+    "till_mistake": ((0, 7, 20, 1879, 0), (70, 1, 1, 1879, 0), (72, 1, 1, -1879, 0)),
+    "two_contracts": ((3, 30, 8, 1507, 0), (12, 30, 8, 2713, 0)),
 }
 
 
-def statements(spark: SparkSession, accounts: int, anchor: str = "2023-01-03") -> DataFrame:
-    """Payments of every shape for each account, with store numbers behind the names."""
+def _runs() -> dict[str, tuple]:
+    out = {}
+    for pace, (step, n) in PACES.items():
+        for form, share in FORMS.items():
+            price, half = 1461 + 283 * len(out), n // 2
+            out[f"{pace}_{form}"] = ((0, step, half, price, 0), (half * step, step, n - half, price * share // 100, 0))
+    return out | HARD
+
+
+RUNS = _runs()
+#: What is to be found of each shape: the periods of its series, and whether a price rose.
+TRUTH = {f"{pace}_{form}": ((pace, form == "dearer"),) for pace in PACES for form in FORMS}
+TRUTH |= {"till_mistake": (("weekly", False),), "two_contracts": (("monthly", False), ("monthly", False))}
+
+
+def statements(accounts: DataFrame, anchor: str = "2023-01-03") -> DataFrame:
+    """Payments of every shape for each account (``id``), with store numbers behind the names."""
+    spark = accounts.sparkSession
     runs = spark.createDataFrame([(i, n, k, *run) for i, (n, rs) in enumerate(RUNS.items()) for k, run in enumerate(rs)], "no int, shape string, run int, start int, step int, n int, pence int, more int")
-    rows = spark.range(accounts).select(F.col("id").alias("account")).crossJoin(F.broadcast(runs))  # two dozen runs
+    rows = accounts.select(F.col("id").alias("account")).crossJoin(F.broadcast(runs))  # three dozen runs
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     day = F.col("start") + F.col("step") * F.col("i") + (F.col("account") % 20).cast("int")
     pence = F.col("pence") + F.col("more") * F.col("i")
     name = F.concat(F.upper(F.regexp_replace("shape", "_", " ")), F.lit(" "), (F.col("i") * 37 % 900 + 100).cast("string"))
-    seq = F.col("account") * 10_000 + F.col("no") * 200 + F.col("run") * 50 + F.col("i")
+    seq = F.col("account") * 100_000 + F.col("no") * 1_000 + F.col("run") * 100 + F.col("i")
     return rows.select(seq.alias("seq"), F.col("account").cast("string").alias("account"), name.alias("raw_merchant"), F.date_add(F.lit(anchor).cast("date"), day.cast("int")).alias("date"), (F.abs(pence) / 100).cast("decimal(18,2)").alias("amount"), F.when(pence < 0, "credit").otherwise("debit").alias("direction"), "shape")
 
 
@@ -78,12 +70,13 @@ LETTERS = {
 POINTED = ("pointed", "pointed_below")
 
 
-def letters(spark: SparkSession, copies: int, anchor: str = "2024-03-04") -> tuple[DataFrame, DataFrame]:
-    """(segments, obligations) of letters of every shape."""
+def letters(senders: DataFrame, anchor: str = "2024-03-04") -> tuple[DataFrame, DataFrame]:
+    """(segments, obligations) of letters of every shape from each sender (``id``)."""
+    spark = senders.sparkSession
     from tallyforge.functions.dates import in_words
 
     shapes = spark.createDataFrame([(i, n, d, a) for i, (n, (d, a)) in enumerate(LETTERS.items())], "k int, shape string, deadline string, anchor string")
-    base = spark.range(copies).crossJoin(F.broadcast(shapes)).withColumn("document", (F.col("id") * len(LETTERS) + F.col("k")).cast("long"))  # a shape a row
+    base = senders.select("id").crossJoin(F.broadcast(shapes)).withColumn("document", (F.col("id") * len(LETTERS) + F.col("k")).cast("long"))  # a shape a row
     day = F.date_add(F.lit(anchor).cast("date"), (F.col("id") % 300).cast("int"))
     words, later = in_words(day), in_words(F.date_add(day, 21))
     parts = F.array(F.concat(F.lit("Letter of "), words), F.concat(F.lit("You must reply "), F.replace("deadline", F.lit("{d}"), later)), F.concat(F.lit("Due date "), later))
@@ -94,27 +87,28 @@ def letters(spark: SparkSession, copies: int, anchor: str = "2024-03-04") -> tup
 
 # Renewals: shape, terms of the earlier document, terms of the later one, and the verdict.
 RENEWALS = {
-    "unchanged": (["excess=£100"], ["excess=£100"], "unchanged"),
-    "dearer": (["premium=£200.00"], ["premium=£210.50"], "changed"),
+    "unchanged": (["excess=£137"], ["excess=£137"], "unchanged"),
+    "dearer": (["premium=£214.60"], ["premium=£229.15"], "changed"),
     "reworded": (["notice=14 days"], ["notice=21 days"], "changed"),
-    "respelt": (["limit=£500"], ["limit=£500.00"], "changed"),
-    "added": ([], ["fee=£5"], "added"),
-    "removed": (["fee=£5"], [], "removed"),
-    "stated_twice": (["excess=£100", "excess=£150"], ["excess=£100"], "stated_more_than_once"),
-    "relabelled": (["fee_a=£5"], ["fee_b=£5"], "labelled_differently"),
-    "cheaper": (["premium=£300.00"], ["premium=£250.00"], "changed"),
+    "respelt": (["limit=£640"], ["limit=£640.00"], "changed"),
+    "added": ([], ["fee=£7"], "added"),
+    "removed": (["fee=£7"], [], "removed"),
+    "stated_twice": (["excess=£137", "excess=£168"], ["excess=£137"], "stated_more_than_once"),
+    "relabelled": (["fee_a=£7"], ["fee_b=£7"], "labelled_differently"),
+    "cheaper": (["premium=£318.40"], ["premium=£271.90"], "changed"),
     "share": (["discount=10%"], ["discount=12 per cent"], "changed"),
-    "twice_later": (["excess=£50"], ["excess=£50", "excess=£75"], "stated_more_than_once"),
+    "twice_later": (["excess=£65"], ["excess=£65", "excess=£85"], "stated_more_than_once"),
     "written_out": (["cover=full"], ["cover=third party"], "changed"),
     "same_words": (["cover=third party"], ["cover=third party"], "unchanged"),
 }
 
 
-def renewals(spark: SparkSession, copies: int) -> tuple[DataFrame, DataFrame]:
-    """(terms, truth) of pairs of documents, each shape under a name of its own."""
+def renewals(policies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terms, truth) of pairs of documents, each policy's (``id``) and shape's under a name of its own."""
+    spark = policies.sparkSession
     rows = [(n, side, t.split("=")[0], t.split("=")[1]) for n, (a, b, _) in RENEWALS.items() for side, ts in ((0, a), (1, b)) for t in ts]
     shapes = spark.createDataFrame(rows, "shape string, document int, label string, value string")
-    base = spark.range(copies).crossJoin(F.broadcast(shapes))  # two dozen terms
+    base = policies.select("id").crossJoin(F.broadcast(shapes))  # two dozen terms
     basis = F.concat_ws("_", F.col("shape"), F.col("id").cast("string"))
     terms = base.select("document", "label", F.concat_ws(":", basis, "label").alias("term"), F.lit("per_claim").alias("basis"), "value", F.concat(F.lit("It is "), "value").alias("quote"), basis.alias("family"), "shape")
     truth = spark.createDataFrame([(n, v) for n, (_, _, v) in RENEWALS.items()], "shape string, verdict string")
@@ -145,7 +139,7 @@ def disguised(payments: DataFrame) -> DataFrame:
 def with_strangers(payments: DataFrame) -> DataFrame:
     """The adversarial twin: every account also pays look-alikes of its merchants once."""
     first = payments.groupBy("account", "shape").agg(F.min(F.struct("date", "seq", "amount")).alias("f"))
-    once = first.select((F.col("f.seq") + 5_000_000).alias("seq"), "account", F.concat(F.upper(F.regexp_replace("shape", "_", "")), F.lit(" LOOKALIKE")).alias("raw_merchant"), F.date_add("f.date", 1).alias("date"), F.col("f.amount").alias("amount"), F.lit("debit").alias("direction"), F.concat("shape", F.lit(" stranger")).alias("shape"))
+    once = first.select((F.col("f.seq") + 50_000).alias("seq"), "account", F.concat(F.upper(F.regexp_replace("shape", "_", "")), F.lit(" LOOKALIKE")).alias("raw_merchant"), F.date_add("f.date", 1).alias("date"), F.col("f.amount").alias("amount"), F.lit("debit").alias("direction"), F.concat("shape", F.lit(" stranger")).alias("shape"))
     return payments.unionByName(once)
 
 

@@ -17,12 +17,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     ``spark.checkpoint.dir`` names, or a temporary one if driver and executors are one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = Path(tempfile.mkdtemp(prefix="run-")).as_uri()
+        spark.sparkContext.setCheckpointDir(Path(tempfile.mkdtemp(prefix="run-")).as_uri())
+        shared = spark.sparkContext.getCheckpointDir()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table where all executors can, and read it back: what follows plans
+    its input once, and a lost executor costs no more than its own tasks."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def listed(spark: SparkSession, folder: str, ending: str) -> list[str]:
     """Paths of a folder's files with an ending, in order."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)

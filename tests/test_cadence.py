@@ -40,6 +40,41 @@ def test_netting_matches_its_definition(spark, seed):
     assert sorted(got) == plain_net(rows, "debit")
 
 
+def test_netting_of_many_a_day_without_python(spark):
+    rng = random.Random(9)
+    rows = [("m", dt.date(2024, 1, 1) + rng.randrange(0, 200, 3) * DAY, Decimal(5), rng.choice(["debit", "credit"])) for _ in range(900)]
+    left = cadence.net_of_reversals(frame(spark, rows), "debit", "merchant")
+    assert sorted((r.merchant, r.amount, r.date) for r in left.collect() for _ in range(r.n)) == plain_net(rows, "debit")
+    assert "Arrow" not in left._jdf.queryExecution().toString() and "Python" not in left._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_places_over_skewed_numbers(spark, grouped):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = [(i, 10**18 if i == 7 else None if i % 50 == 0 else rng.choice([3, 3, 3, rng.randrange(1000)]), f"t{rng.randrange(400)}", i % 2) for i in range(20000)]
+    data = spark.createDataFrame(rows, "id long, v long, tie string, g int")
+    got = audit.numbered(data, "place", F.col("v"), "tie", group="g" if grouped else None, ranges=16)
+    assert got.columns == ["id", "v", "tie", "g", "place"]
+    own = sorted(got.collect(), key=lambda r: r.place)
+    assert [r.place for r in own] == list(range(1, len(rows) + 1))
+    key = [(r.g if grouped else 0, r.v is not None, r.v or 0, r.tie) for r in own]
+    assert key == sorted(key)
+
+
+def test_ranges_are_even_whatever_values_repeat(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    held = {}
+    monkeypatch.setattr(audit, "staged", lambda df, name: held.setdefault("df", df.cache()))
+    data = spark.range(60000).select(F.when(F.col("id") == 0, 10.0**300).when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") / 7).alias("v"), F.lit("same").alias("tie"))
+    got = audit.numbered(data, "place", F.col("v"), "tie", ranges=20)
+    assert got.agg(F.countDistinct("place")).first()[0] == 60000
+    sizes = sorted(r["count"] for r in held["df"].groupBy("_range_place").count().collect())
+    assert len(sizes) == 20 and sizes[-1] <= 2 * sizes[10]
+
+
 CASES = {
     "twelve months": (every("2024-01-05", 30, 12, "9.99"), [("monthly", "9.99", None)]),
     "two months are none": (every("2024-01-05", 30, 2, "9.99"), []),
