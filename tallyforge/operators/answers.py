@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
+from tallyforge.sources.runs import request_key
 
 
 def batched(items: DataFrame, size: int, group: str, order: str) -> DataFrame:
@@ -42,18 +43,15 @@ def unknown_ids(items: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def replayed(prompts: DataFrame, recording: DataFrame) -> DataFrame:
-    """Each prompt's recorded answer, by its digest with the policy, else by itself alone.
+    """Each prompt's (policy, prompt) recorded answer, by the digest of both: an answer
+    given under another policy is no answer.
 
     A digest with two different answers, or a prompt without one, is an error.
     """
     one = recording.groupBy("key").agg(F.min("answer").alias("answer"), F.max("answer").alias("last"))
     checked = one.select("key", F.when(F.col("answer") == F.col("last"), F.col("answer")).otherwise(F.raise_error(F.concat(F.lit("two answers for "), F.col("key")))).alias("answer"))
-    exact = F.sha2(F.concat_ws("\x1f", "policy", "prompt"), 256)
-    rows = prompts.withColumn("key", exact).join(checked, "key", "left")
-    alone = checked.select(F.col("key").alias("plain"), F.col("answer").alias("plain_answer"))
-    rows = rows.withColumn("plain", F.sha2("prompt", 256)).join(alone, "plain", "left")
-    found = F.coalesce("answer", "plain_answer")
-    return rows.select(*prompts.columns, F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no answer for "), F.col("key")))).alias("answer"))
+    rows = prompts.withColumn("key", request_key(F.col("policy"), F.col("prompt"))).join(checked, "key", "left")
+    return rows.select(*prompts.columns, F.when(F.col("answer").isNotNull(), F.col("answer")).otherwise(F.raise_error(F.concat(F.lit("no answer for "), F.col("key")))).alias("answer"))
 
 
 def floor(groups: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,35 @@ def html_page(title: str, rows: list[dict]) -> str:
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>"
 
 
+def escaped(c: Column) -> Column:
+    """Text as a page shows it; null is empty."""
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def pages(rows: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], title: str) -> DataFrame:
+    """(key, html): a small page a key that loads nothing, its rows in order as a table.
+
+    Columns are shown as text, escaped; a page holds its key's rows, so a report is as
+    large as what it reports on.
+    """
+    cells = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escaped(F.col(c)), F.lit("</td>")) for c in columns], F.lit("</tr>"))
+    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, cells.alias("line")))).alias("lines"))
+    name = F.concat(F.lit(title), F.lit(" "), escaped(F.col(key)))
+    head = "".join(f"<th>{c}</th>" for c in columns)
+    html = F.concat(F.lit("<!doctype html><meta charset=utf-8><title>"), name, F.lit(f"</title><table><tr>{head}</tr>"), F.array_join(F.transform("lines", lambda x: x["line"]), ""), F.lit("</table>"))
+    return held.select(key, html.alias("html"))
+
+
+def write_pages(made: DataFrame, key: str, root: str) -> None:
+    """One file a page from the executors, each held to load nothing; all of them or none."""
+    from tallyforge.sources.files import write_files
+
+    write_files(made.select(F.concat(F.col(key).cast("string"), F.lit(".html")).alias("name"), F.col("html").alias("content")), root, check="self_contained")
+
+
 def assert_self_contained(page: str) -> None:
     """Raises if a page names anything to load: by a real parser, entities decoded."""
     from html.parser import HTMLParser

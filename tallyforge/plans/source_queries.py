@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.functions.similarity import tolerance
-from tallyforge.operators import answers
+from tallyforge.operators import answers, reports
 from tallyforge.plans import pipelines
 from tallyforge.plans.catalog import register
 from tallyforge.plans.queries import MEDIAN, STEMS, _descriptors
 from tallyforge.plans.tables import PURCHASES, purchases, table
-from tallyforge.sources import asking, documents, packs, runs, statements
+from tallyforge.sources import asking, documents, files, packs, runs, statements
 
 BOUGHT = "SELECT o_orderkey, o_orderdate::DATE AS date, 'shop ' || o_custkey::VARCHAR AS raw_merchant, o_totalprice::DECIMAL(18,2) AS amount, CASE WHEN o_orderstatus = 'F' THEN 'credit' ELSE 'debit' END AS direction FROM orders"
 
@@ -199,14 +199,63 @@ def pack_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(rule, given, _ruled(rule, given)) for rule, given, _ in RULES], "rule string, given string, outcome string")
 
 
-@register("replayed", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'exact ' ELSE 'plain ' END || md5(text) AS answer FROM conversations WHERE role = 'user'")
+@register("replayed", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'careful ' ELSE 'other ' END || md5(text) AS answer FROM conversations WHERE role = 'user'")
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded answers are found by policy and prompt, else by the prompt alone."""
+    """A prompt that was recorded under two policies gets its own one's answer."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    prompts = turns.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "careful").otherwise("other").alias("policy"), F.concat(F.when(F.col("turn") % 3 == 0, "?").otherwise("!"), "text").alias("prompt"), "text")
-    exact = prompts.where("policy = 'careful'").select(F.sha2(F.concat_ws("\x1f", "policy", "prompt"), 256).alias("key"), F.concat(F.lit("exact "), F.md5("text")).alias("answer"))
-    plain = prompts.where("policy = 'other'").select(F.sha2("prompt", 256).alias("key"), F.concat(F.lit("plain "), F.md5("text")).alias("answer"))
-    return answers.replayed(prompts, exact.unionByName(plain).distinct()).select("conv_id", "turn", "answer")
+    policy = lambda name: F.to_json(F.struct(F.lit(name).alias("style")))
+    recorded = turns.select(F.explode(F.array(F.lit("careful"), F.lit("other"))).alias("style"), "text")
+    recorded = recorded.select(runs.request_key(F.to_json(F.struct("style")), F.col("text")).alias("key"), F.concat("style", F.lit(" "), F.md5("text")).alias("answer")).distinct()
+    prompts = turns.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, policy("careful")).otherwise(policy("other")).alias("policy"), F.col("text").alias("prompt"))
+    return answers.replayed(prompts, recorded).select("conv_id", "turn", "answer")
+
+
+SEED = "CASE WHEN s_nationkey % 3 = 0 THEN 99 ELSE s_nationkey % 4 END"
+
+
+@register("recorded_runs", f"SELECT s_suppkey, md5({SEED} || '|' || 'Who is supplier ' || (s_suppkey % 10)::VARCHAR || '?') AS answer FROM supplier WHERE s_suppkey % 7 <> 0")
+def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested run folders are written as files and replayed: a run a nation, whose policy
+    holds for the folders below it (a third have none, so that of today does); each
+    seventh request has no answer."""
+    root = runs.new_folder(spark, "runs")
+    s = table(spark, sf_dir, "supplier")
+    nation, own = F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.col("s_nationkey") % 3 != 0
+    seed = F.expr(SEED)
+    policy = F.to_json(F.struct(F.lit("json").alias("format"), seed.alias("seed")))
+    prompt = F.concat(F.lit("Who is supplier "), (F.col("s_suppkey") % 10).cast("string"), F.lit("?"))
+    at = F.concat(nation, F.lit("/deeper/s"), F.col("s_suppkey").cast("string"), F.lit("/raw/0001-name"))
+    ask = s.select(nation.alias("run"), F.concat(at, F.when(F.col("s_suppkey") % 5 == 0, ".request.json").otherwise(".request.txt")).alias("name"), prompt.alias("content"))
+    tell = s.where("s_suppkey % 7 <> 0").select(nation, F.concat(at, F.lit(".response.json")), F.md5(F.concat(seed.cast("string"), F.lit("|"), prompt)))
+    model = F.lit('{"model": {"file": "small.gguf"}')
+    manifest = s.select(nation, F.concat(nation, F.lit("/run.json")), F.concat(model, F.when(own, F.concat(F.lit(', "request": {"seed": "'), seed.cast("string"), F.lit('", "format": "json"}'))).otherwise(""), F.lit("}"))).distinct()
+    deeper = s.select(nation, F.concat(nation, F.lit("/deeper/run.json")), F.concat(model, F.lit("}"))).distinct()
+    files.write_files(ask.union(tell).union(manifest).union(deeper).repartition("run"), root)
+    prompts = s.where("s_suppkey % 7 <> 0").select("s_suppkey", policy.alias("policy"), prompt.alias("prompt"))
+    return answers.replayed(prompts, runs.recording(spark, root, current='{"seed": 99, "format": "json"}')).select("s_suppkey", "answer")
+
+
+@register("resumed_run", "SELECT o_orderpriority AS priority, md5(o_orderpriority) AS result FROM orders GROUP BY 1")
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over orders' priorities that is taken up again: what the first part finished
+    is read from its log."""
+    log = runs.FinishedLog(spark, runs.new_folder(spark, "finished"), ["scoring", "1"], "priority string, result string")
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority")).distinct()
+    work = lambda rows: rows.withColumn("result", F.md5("priority"))
+    log.run(items.where("priority < '3'"), ["priority"], work, 2)
+    again = lambda rows: rows.withColumn("result", F.when(F.col("priority") < "3", "worked on twice").otherwise(F.md5("priority")))
+    return log.run(items, ["priority"], again, 2)
+
+
+@register("report_pages", """SELECT o_custkey::VARCHAR || '.html' AS name, md5('<!doctype html><meta charset=utf-8><title>Orders of ' || o_custkey::VARCHAR || '</title><table><tr><th>o_orderkey</th><th>o_orderpriority</th><th>o_clerk</th></tr>'
+  || string_agg('<tr><td>' || o_orderkey::VARCHAR || '</td><td>' || o_orderpriority || '</td><td>&lt;&amp;' || o_orderstatus || '&gt;</td></tr>', '' ORDER BY o_orderkey) || '</table>') AS page FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY o_custkey""".replace("o_clerk", "state"))
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of its own for each customer with urgent orders, written by the executors and
+    read back."""
+    root = runs.new_folder(spark, "pages")
+    o = table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").withColumn("state", F.concat(F.lit("<&"), "o_orderstatus", F.lit(">")))
+    reports.write_pages(reports.pages(o, "o_custkey", ["o_orderkey"], ["o_orderkey", "o_orderpriority", "state"], "Orders of"), "o_custkey", root)
+    return files.read_files(spark, root).select("name", F.md5("content").alias("page"))
 
 
 @register("exchange_numbers", "SELECT event_type AS step, event_id AS batch, (event_id % 3)::INT AS attempt, sha256(event_type || chr(31) || event_id::VARCHAR || chr(31) || (event_id % 3)::VARCHAR) AS exchange_id FROM events")

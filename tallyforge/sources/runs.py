@@ -5,10 +5,10 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,14 +52,104 @@ def exchanges(asked: DataFrame) -> DataFrame:
     return asked.withColumn("exchange_id", F.sha2(F.concat_ws("\x1f", "step", F.col("batch").cast("string"), F.col("attempt").cast("string")), 256))
 
 
-def recording(spark: SparkSession, root: str) -> DataFrame:
-    """(key, answer) of all exchanges below a folder of runs; one model only."""
-    rows = spark.read.option("recursiveFileLookup", True).json(root, schema="policy string, prompt string, answer string, model string")
-    models = rows.agg(F.countDistinct("model")).first()[0]
-    if models > 1:
-        raise ValueError(f"the recording mixes {models} models")
-    exact = rows.select(F.sha2(F.concat_ws("\x1f", "policy", "prompt"), 256).alias("key"), "answer")
-    return exact.unionByName(rows.select(F.sha2("prompt", 256).alias("key"), "answer")).distinct()
+#: What a run was asked under where no file tells it.
+CURRENT = "{}"
+_DEEPEST = 40
+
+
+def policy_text(policy: Column) -> Column:
+    """A policy (a flat JSON object) as the text that its keys hold: names in order."""
+    held = F.from_json(policy, "map<string,string>")
+    return F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(held)))), F.lit(CURRENT))
+
+
+def request_key(policy: Column, prompt: Column) -> Column:
+    """The digest of a prompt under its policy; lengths keep the two apart."""
+    one = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
+    return F.sha2(F.concat(one(policy_text(policy)), one(F.coalesce(prompt, F.lit("")))), 256)
+
+
+def recorded_exchanges(spark: SparkSession, root: str, current: str = CURRENT) -> DataFrame:
+    """(folder, exchange, policy, prompt, answer) of all exchanges below a folder of runs.
+
+    A request is ``X.request.txt`` or, in older runs, ``X.request.json``; its answer is
+    ``X.response.json`` beside it, and a request without one is left out. The policy is
+    that of the nearest folder above whose ``run.json`` has a ``request``, else ``current``.
+    Runs of more than one model (``model.file`` in ``run.json``) are refused.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    files = raw.select("value", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.substring_index("path", "/", -1).alias("name"))
+    manifests = files.where("name = 'run.json'").select("folder", F.get_json_object("value", "$.request").alias("policy"), F.get_json_object("value", "$.model.file").alias("model"))
+    models = [r[0] for r in manifests.where("model IS NOT NULL").select("model").distinct().limit(2).collect()]
+    if len(models) > 1:
+        raise ValueError(f"the recording holds answers of more than one model: {', '.join(sorted(models))}")
+    ending = r"\.request\.(txt|json)$"
+    asked = files.where(F.col("name").rlike(ending)).select("folder", F.regexp_replace("name", ending, "").alias("exchange"), F.col("value").alias("prompt"))
+    told = files.where("name LIKE '%.response.json'").select("folder", F.regexp_replace("name", r"\.response\.json$", "").alias("exchange"), F.col("value").alias("answer"))
+    both = asked.join(told, ["folder", "exchange"])
+    # each folder with all that are above it, and the nearest of those that have a policy
+    steps = F.split("folder", "/")
+    above = both.select("folder").distinct().select("folder", F.explode(F.sequence(F.lit(1), F.least(F.size(steps), F.lit(_DEEPEST)))).alias("depth"), steps.alias("steps"))
+    above = above.select("folder", "depth", F.array_join(F.slice("steps", 1, F.col("depth")), "/").alias("up"))
+    policies = manifests.where("policy IS NOT NULL").select(F.col("folder").alias("up"), "policy")
+    nearest = above.join(policies, "up").groupBy("folder").agg(F.max_by("policy", "depth").alias("policy"))
+    return both.join(nearest, "folder", "left").select("folder", "exchange", F.coalesce("policy", F.lit(current)).alias("policy"), "prompt", "answer")
+
+
+def recording(spark: SparkSession, root: str, current: str = CURRENT) -> DataFrame:
+    """(key, answer) of all exchanges below a folder of runs, by policy and prompt; a
+    folder without any is an error."""
+    rows = recorded_exchanges(spark, root, current)
+    found = staged(rows.select(request_key(F.col("policy"), F.col("prompt")).alias("key"), "answer").distinct(), "recording")
+    if not found.take(1):
+        raise ValueError(f"no recorded answers below {root}")
+    return found
+
+
+class FinishedLog:
+    """What an interrupted run has finished: rows appended beside it, then published by a
+    rename, so that a later run reads whole appends only.
+
+    ``identity`` names everything that must be alike for a result to count again (pack,
+    versions, model, scoring); it is part of the log's place, so results under another
+    identity are never met.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, identity: Sequence[str], schema: str) -> None:
+        self.spark, self.schema = spark, schema
+        self.folder = f"{folder.rstrip('/')}/{content_key([x.encode() for x in identity])}"
+
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def append(self, rows: DataFrame) -> None:
+        name = uuid.uuid4().hex
+        beside, final = f"{self.folder}/_unfinished-{name}", f"{self.folder}/done-{name}"
+        rows.write.parquet(beside)
+        fs, a = self._fs(beside)
+        if not fs.rename(a, self._fs(final)[1]):
+            raise OSError(f"{beside} could not be published")
+
+    def finished(self) -> DataFrame:
+        fs, where = self._fs(self.folder)
+        found = fs.listStatus(where) if fs.exists(where) else []
+        paths = [p for p in (f.getPath().toString() for f in found) if p.rsplit("/", 1)[-1].startswith("done-")]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def run(self, items: DataFrame, keys: Sequence[str], work: Callable[[DataFrame], DataFrame], batches: int = 16) -> DataFrame:
+        """The results of all items, of which those finished before are not worked on again.
+
+        Items are taken in ``batches`` by a hash of their keys; each batch's results (with
+        the keys, in the log's columns) are appended before the next one begins. An item
+        that ``work`` gives no row for is asked again by a later run.
+        """
+        done = self.finished()
+        for k in range(batches):
+            own = items.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == k).join(done, list(keys), "left_anti")
+            if own.take(1):
+                self.append(work(own).select(*self.spark.createDataFrame([], self.schema).columns))
+        return self.finished().join(items.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def content_key(parts: Sequence[bytes]) -> str:

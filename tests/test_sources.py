@@ -103,15 +103,88 @@ def test_runs(spark, tmp_path):
     assert runs.content_key([b"ab", b"c"]) != runs.content_key([b"a", b"bc"])
     assert runs.cache_key("p", "1", "m", ["x", "y"]) == runs.cache_key("p", "1", "m", ["y", "x"])
     assert runs.within(tmp_path, tmp_path / "out") and runs.within(tmp_path, tmp_path / "../z") is None
-    (tmp_path / "rec").mkdir()
-    (tmp_path / "rec/a.json").write_text('{"policy": "p", "prompt": "q", "answer": "yes", "model": "m"}\n')
-    recorded = runs.recording(spark, str(tmp_path / "rec"))
+
+
+def put(root, **files):
+    for name, text in files.items():
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+
+
+def test_recorded_runs_by_policy_and_prompt(spark, tmp_path):
     from tallyforge.operators import answers
 
-    asked = spark.createDataFrame([("p", "q"), ("other", "q")], "policy string, prompt string")
-    assert {r.answer for r in answers.replayed(asked, recorded).collect()} == {"yes"}
-    with pytest.raises(Exception, match="no answer"):
-        answers.replayed(spark.createDataFrame([("p", "new")], "policy string, prompt string"), recorded).collect()
+    put(tmp_path, **{
+        "a/run.json": '{"request": {"t": "0", "seed": 1}, "model": {"file": "m"}}',
+        "a/x/raw/0001-say.request.txt": "who?", "a/x/raw/0001-say.response.json": "one",
+        "a/y/run.json": '{"request": {"seed": 2, "t": 0}}',
+        "a/y/raw/0001-say.request.json": "who?", "a/y/raw/0001-say.response.json": "two",
+        "a/y/raw/0002-say.request.txt": "cut off",
+        "a/z/run.json": '{"model": {"file": "m"}}', "a/z/raw/0003-say.request.txt": "when?", "a/z/raw/0003-say.response.json": "three",
+        "b/raw/0001-say.request.txt": "who?", "b/raw/0001-say.response.json": "four",
+        "b/raw/notes.txt": "?",
+    })
+    recorded = runs.recording(spark, str(tmp_path), current='{"seed": 9}')
+    ask = lambda *rows: sorted(r.answer for r in answers.replayed(spark.createDataFrame(rows, "policy string, prompt string"), recorded).collect())
+    assert ask(('{"seed": 1, "t": "0"}', "who?"), ('{"t":"0","seed":"2"}', "who?"), ('{"seed":1,"t":0}', "when?"), ('{"seed": 9}', "who?")) == ["four", "one", "three", "two"]
+    for policy, prompt in (('{"seed": 2, "t": "0"}', "when?"), ("{}", "who?"), ('{"seed": 2, "t": "0"}', "cut off")):
+        with pytest.raises(Exception, match="no answer"):
+            ask((policy, prompt))
+    put(tmp_path, **{"c/run.json": '{"request": {"seed": 9}}', "c/1.request.txt": "who?", "c/1.response.json": "five"})
+    with pytest.raises(Exception, match="two answers"):
+        answers.replayed(spark.createDataFrame([('{"seed": 9}', "who?")], "policy string, prompt string"), runs.recording(spark, str(tmp_path), '{"seed": 9}')).collect()
+    put(tmp_path, **{"c/run.json": '{"model": {"file": "other"}}'})
+    with pytest.raises(ValueError, match="more than one model"):
+        runs.recording(spark, str(tmp_path))
+    (tmp_path / "none").mkdir()
+    put(tmp_path, **{"none/1.request.txt": "who?"})
+    with pytest.raises(ValueError, match="no recorded answers"):
+        runs.recording(spark, str(tmp_path / "none"))
+
+
+def test_a_run_is_taken_up_where_it_stopped(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    items, done = spark.range(100).select("id"), []
+
+    def work(rows):
+        done.extend(r.id for r in rows.collect())
+        if len(done) > 40 and not stopped:
+            stopped.append(True)
+            raise RuntimeError("the machine went away")
+        return rows.withColumn("score", F.col("id") * 2)
+
+    stopped: list[bool] = []
+    log = lambda *identity: runs.FinishedLog(spark, str(tmp_path), identity, "id long, score long")
+    with pytest.raises(RuntimeError):
+        log("pack", "1").run(items, ["id"], work, 8)
+    kept = {r.id for r in log("pack", "1").finished().collect()}
+    (next(tmp_path.iterdir()) / "_unfinished-half").mkdir()  # of a write that never ended
+    began = len(done)
+    got = {r.id: r.score for r in log("pack", "1").run(items, ["id"], work, 8).collect()}
+    assert got == {i: 2 * i for i in range(100)}
+    assert 0 < len(kept) < 100 and not kept & set(done[began:]) and len(done) - began == 100 - len(kept)
+    assert log("pack", "2").finished().count() == 0  # another identity has nothing finished
+    log("pack", "1").run(items, ["id"], work, 8)
+    assert len(done) - began == 100 - len(kept)
+
+
+def test_pages_are_written_wholly_or_not_at_all(spark, tmp_path):
+    from tallyforge.operators import reports
+    from tallyforge.sources import files
+
+    rows = spark.createDataFrame([(k, i, f"<{i} & 'x'>") for k in range(12) for i in (2, 1)], "k int, i int, t string")
+    made = reports.pages(rows, "k", ["i"], ["i", "t"], "Of")
+    reports.write_pages(made.repartition(5), "k", str(tmp_path / "out"))
+    got = {r.name: r.content for r in files.read_files(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 12 and "<td>1</td><td>&lt;1 &amp; &#x27;x&#x27;&gt;</td></tr><tr><td>2</td>" in got["3.html"]
+    bad = made.unionByName(spark.createDataFrame([(99, "<img src=http://x/y.png>")], "k int, html string"))
+    for wrong, why in ((bad, "loads"), (spark.createDataFrame([("../up", "x")], "k string, html string"), "no name"), (spark.createDataFrame([("a", "x"), ("a", "y")], "k string, html string").coalesce(1), "exists")):
+        with pytest.raises(Exception, match=why):
+            reports.write_pages(wrong, "k", str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").rglob("*.html"))
+    assert not list(tmp_path.rglob("_staging*"))
 
 
 def test_a_folder_is_one_scan_with_rows_numbered_by_file(spark, tmp_path):
