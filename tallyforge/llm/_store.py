@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -35,6 +36,39 @@ def save(path: str, array: np.ndarray) -> None:
     store.move(part, name)
 
 
+_MAGIC = b"arrays01"
+
+
+def save_all(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Several arrays in one file that is opened once: a directory, then each at a place
+    that suits its type. Written like ``save``."""
+    places, at = {}, 0
+    for name, a in arrays.items():
+        at += -at % 64
+        places[name] = (a.dtype.str, len(a), at)
+        at += a.nbytes
+    head = _MAGIC + json.dumps(places).encode()
+    head += b" " * (-(len(head) + 8) % 64)
+    whole = np.zeros(8 + len(head) + at, np.uint8)
+    whole[:8] = np.frombuffer(len(head).to_bytes(8, "little"), np.uint8)
+    whole[8 : 8 + len(head)] = np.frombuffer(head, np.uint8)
+    for name, a in arrays.items():
+        begin = 8 + len(head) + places[name][2]
+        whole[begin : begin + a.nbytes] = np.frombuffer(np.ascontiguousarray(a).tobytes(), np.uint8)
+    save(path, whole)
+
+
+def mapped_all(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file of ``save_all``, mapped."""
+    whole = mapped(path)
+    size = int.from_bytes(whole[:8].tobytes(), "little")
+    head = whole[8 : 8 + size].tobytes()
+    if not head.startswith(_MAGIC):
+        raise ValueError(f"{path} holds no arrays")
+    begin = 8 + size
+    return {name: whole[begin + at : begin + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in json.loads(head[len(_MAGIC) :]).items()}
+
+
 def in_place(path: str) -> bool:
     """Whether an array is mapped where it lies, without a copy of its own."""
     return _local(path) is not None

@@ -15,7 +15,9 @@ the parts' bounds are an array in the shared folder like the rest.
     p1(w)    = (max(n(w) - D1(n(w)), 0) + lambda / (V + 1)) / n
 
 with n(w) the contexts of w and the last 1 of V + 1 standing for all unknown words.
-Workers map the arrays and look pairs up by binary search.
+Workers map the arrays, a file a part, and look words and pairs up by binary search: those
+of many texts at once, sorted by part, so that each part is opened once for all of them,
+and once for a worker as long as ``OPEN`` files hold them all.
 """
 
 from __future__ import annotations
@@ -35,13 +37,15 @@ U = np.uint64
 START, END, WORDS = 0, 1, 2
 #: Bytes of text for each part, and for each one beyond ``SMALL_PARTS`` of them (as a
 #: power of two): the driver hears of each part once.
-PART_BYTES, LARGE_PART_BYTES, SMALL_PARTS = 4 << 20, 64 << 20, 16
+PART_BYTES, LARGE_PART_BYTES, SMALL_PARTS = 32 << 20, 256 << 20, 13
 FLUSH = 1 << 20
+#: Tokens that are looked up at a time, and files that a worker keeps open.
+TOGETHER, OPEN = 3 << 19, 16384
 #: Ids below this are packed two to a 64-bit key.
 NARROW = 1 << 32
 #: Bytes that a worker keeps of arrays that it couldn't map in place.
 FETCHED = 1 << 30
-_cache: dict[str, np.ndarray] = {}
+_cache: dict[str, dict[str, np.ndarray]] = {}
 _fetched = 0
 B.cached_by("model", _cache.clear)
 
@@ -51,14 +55,14 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _arrays(path: str) -> np.ndarray:
+def _arrays(path: str) -> dict[str, np.ndarray]:
     global _fetched
     if path not in _cache:
-        if len(_cache) > 20_000 or _fetched > FETCHED:
+        if len(_cache) >= OPEN or _fetched > FETCHED:
             _cache.clear()
             _fetched = 0
-        _cache[path] = _store.mapped(path)
-        _fetched += 0 if _store.in_place(path) else _cache[path].nbytes
+        _cache[path] = _store.mapped_all(path)
+        _fetched += 0 if _store.in_place(path) else sum(a.nbytes for a in _cache[path].values())
     return _cache[path]
 
 
@@ -182,7 +186,7 @@ class Vocabulary:
     @property
     def bases(self) -> np.ndarray:
         """The first id of each part, and the number of all ids."""
-        return _arrays(f"{self.path}/bases.npy")
+        return _arrays(f"{self.path}/bases")["bases"]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted hashes; -1 for words that aren't in the vocabulary."""
@@ -193,47 +197,71 @@ class Vocabulary:
             if bases[p + 1] == bases[p]:
                 continue
             a, b = np.searchsorted(part, p), np.searchsorted(part, p, "right")
-            known = _arrays(f"{self.path}/words-{p}.npy")
+            known = _arrays(f"{self.path}/words-{p}")["words"]
             at = np.minimum(np.searchsorted(known, hashes[a:b]), len(known) - 1)
             out[a:b] = np.where(known[at] == hashes[a:b], at + bases[p], -1)
         return out
 
-    def look_up(self, ids: np.ndarray, name: str, kind: type) -> np.ndarray:
-        """An array's values at known ids (words only)."""
-        out = np.zeros(len(ids), kind)
+    def look_up(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often known words (their ids, rising) were seen, their contexts, and gamma."""
+        seen, contexts, gamma = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids))
         bases = self.bases
         part = np.searchsorted(bases, ids, "right") - 1
-        lead = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(ids) else []  # ids rise, as hashes do
+        lead = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(ids) else []
         for a, b in zip(lead, np.append(lead[1:], len(ids)) if len(ids) else []):
-            out[a:b] = _arrays(f"{self.path}/{name}-{part[a]}.npy")[ids[a:b] - bases[part[a]]]
-        return out
-
-
-def _stream(buf: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unique words' ids; each token's index into them (-1: end), its context's (-1: start); rows' bounds."""
-    low = B.LOWER[buf]
-    starts, ends, first = B.words(low, offsets)
-    rows = len(offsets) - 1
-    unique, index = np.unique(B.word_hashes(low, starts, ends), return_inverse=True)
-    bounds = first + np.arange(rows + 1)
-    token = np.full(bounds[-1], -1, np.int64)
-    ahead = np.full(bounds[-1], -1, np.int64)
-    place = np.arange(len(index)) + np.repeat(np.arange(rows), np.diff(first))
-    token[place] = index
-    ahead[place + 1] = index
-    return vocabulary.ids(unique), token, ahead, bounds
+            held, at = _arrays(f"{self.path}/stats-{part[a]}"), ids[a:b] - bases[part[a]]
+            seen[a:b], contexts[a:b], gamma[a:b] = held["seen"][at], held["contexts"][at], held["gamma"][at]
+        return seen, contexts, gamma
+
+
+class Stream:
+    """The words of many rows: hashes, and each row's first word."""
+
+    def __init__(self) -> None:
+        self.hashes: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.tokens = 0
+
+    def add(self, buf: np.ndarray, offsets: np.ndarray) -> Stream:
+        low = B.LOWER[buf]
+        starts, ends, first = B.words(low, offsets)
+        self.hashes.append(B.word_hashes(low, starts, ends))
+        self.sizes.append(np.diff(first))
+        self.tokens += len(starts) + len(offsets) - 1
+        return self
+
+    def of(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Unique words' ids; each token's index into them (-1: end), its context's (-1: start); rows' bounds."""
+        size = np.concatenate(self.sizes)
+        rows = len(size)
+        unique, index = np.unique(np.concatenate(self.hashes), return_inverse=True)
+        bounds = np.concatenate(([0], np.cumsum(size))) + np.arange(rows + 1)
+        token = np.full(bounds[-1], -1, np.int64)
+        ahead = np.full(bounds[-1], -1, np.int64)
+        place = np.arange(len(index)) + np.repeat(np.arange(rows), size)
+        token[place] = index
+        ahead[place + 1] = index
+        return vocabulary.ids(unique), token, ahead, bounds
 
 
 def _pair_blocks(texts: DataFrame, vocabulary: Vocabulary, bits: int) -> DataFrame:
+    def counted(stream: Stream) -> tuple[np.ndarray, np.ndarray]:
+        ids, token, ahead, _ = stream.of(vocabulary)
+        w = np.where(token < 0, END, np.append(ids, 0)[token])
+        v = np.where(ahead < 0, START, np.append(ids, 0)[ahead])
+        return np.unique(packed(v, w, vocabulary.wide), return_counts=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Blocks(bits, spread=True)
+        blocks, stream = _Blocks(bits, spread=True), Stream()
         for batch in batches:
             for _, _, buf, offsets in B.text_chunks(batch, "text", owner="model"):
-                ids, token, ahead, bounds = _stream(buf, offsets, vocabulary)
-                w = np.where(token < 0, END, np.append(ids, 0)[token])
-                v = np.where(ahead < 0, START, np.append(ids, 0)[ahead])
-                if len(w) and blocks.add(*np.unique(packed(v, w, vocabulary.wide), return_counts=True)):
-                    yield from blocks.flush()
+                if stream.add(buf, offsets).tokens >= TOGETHER:
+                    full = blocks.add(*counted(stream))
+                    stream = Stream()
+                    if full:
+                        yield from blocks.flush()
+        if stream.tokens:
+            blocks.add(*counted(stream))
         yield from blocks.flush()
 
     return texts.mapInArrow(run, BLOCK)
@@ -268,25 +296,24 @@ class Model:
         part = dealt(unique, self.pair_bits)
         order = np.argsort(part, kind="stable")
         found, part, k = np.zeros(len(unique), np.int64), part[order], unique[order]
-        there = _arrays(f"{self.path}/pair-parts.npy")
+        there = _arrays(f"{self.path}/pair-parts")["there"]
         lead = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(k) else []
         for a, b in zip(lead, np.append(lead[1:], len(k)) if len(k) else []):
             if not there[part[a]]:
                 continue
-            known = _arrays(f"{self.path}/pairs-{part[a]}.npy")
+            held = _arrays(f"{self.path}/pairs-{part[a]}")
+            known = held["pairs"]
             at = np.minimum(np.searchsorted(known, k[a:b]), len(known) - 1)
-            found[order[a:b]] = np.where(known[at] == k[a:b], _arrays(f"{self.path}/counts-{part[a]}.npy")[at], 0)
+            found[order[a:b]] = np.where(known[at] == k[a:b], held["counts"][at], 0)
         return found[back]
 
-    def score(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    def score(self, stream: Stream) -> tuple[np.ndarray, ...]:
         """Per row: tokens, known tokens, base score, score."""
         n = self.n
-        ids, token, ahead, bounds = _stream(buf, offsets, self.vocabulary)
+        ids, token, ahead, bounds = stream.of(self.vocabulary)
         known = np.flatnonzero(ids >= 0)
         count, contexts, gamma = np.zeros(len(ids) + 1, np.int64), np.zeros(len(ids) + 1, np.int64), np.ones(len(ids) + 1)
-        count[known] = self.vocabulary.look_up(ids[known], "seen", np.int64)
-        contexts[known] = self.vocabulary.look_up(ids[known], "contexts", np.int64)
-        gamma[known] = self.vocabulary.look_up(ids[known], "gamma", np.float64)
+        count[known], contexts[known], gamma[known] = self.vocabulary.look_up(ids[known])
         follow = count.copy()  # every word is followed by one token each time
         count[-1], contexts[-1] = n["texts"], n["end_contexts"]
         p = self.lower(contexts)[token]
@@ -303,13 +330,13 @@ class Model:
         return np.diff(bounds), np.add.reduceat((count > 0)[token].astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at)
 
 
-def _save_from_driver(spark: SparkSession, path: str, array: np.ndarray) -> None:
+def _save_from_driver(spark: SparkSession, path: str, name: str, array: np.ndarray) -> None:
     """Store an array by a task, as only executors are sure to reach the folder by path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column("data"):
-                _store.save(path, np.frombuffer(block.as_buffer(), array.dtype))
+                _store.save_all(path, {name: np.frombuffer(block.as_buffer(), array.dtype)})
             yield pa.record_batch([pa.array([1], pa.int64())], ["done"])
 
     spark.createDataFrame([(bytearray(array.tobytes()),)], "data binary").mapInArrow(run, "done long").collect()
@@ -325,8 +352,7 @@ def train(texts: DataFrame) -> Model:
     def store_words(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         k, c = _merged(table)
-        _store.save(f"{path}/words-{part}.npy", k)
-        _store.save(f"{path}/seen-{part}.npy", c.astype(np.uint32 if c.max() < 2**32 else np.int64))
+        _store.save_all(f"{path}/words-{part}", {"words": k, "seen": c.astype(np.uint32 if c.max() < 2**32 else np.int64)})
         return pa.table({"part": [part], "n": [len(k)], "total": [int(c.sum())]})
 
     stored = staged(_by_part(_word_blocks(texts, bits), 1 << bits, store_words, "part long, n long, total long"), "word-parts")
@@ -336,7 +362,7 @@ def train(texts: DataFrame) -> Model:
     for p, r in sizes.items():
         bases[p + 1] = r["n"]
     bases = np.cumsum(bases)
-    _save_from_driver(spark, f"{path}/bases.npy", bases)
+    _save_from_driver(spark, f"{path}/bases", "bases", bases)
     wide = bool(bases[-1] >= NARROW)
     vocabulary = Vocabulary(path, bits, wide)
 
@@ -344,8 +370,7 @@ def train(texts: DataFrame) -> Model:
         part = table.column("part")[0].as_py()
         k, c = _merged(table, wide)
         starts = np.append(0, vocabulary.bases)  # ids 0 and 1 are a part of their own, before all words
-        _store.save(f"{path}/pairs-{part}.npy", k)
-        _store.save(f"{path}/counts-{part}.npy", c.astype(np.uint16 if c.max() < 2**16 else np.uint32 if c.max() < 2**32 else np.int64))
+        _store.save_all(f"{path}/pairs-{part}", {"pairs": k, "counts": c.astype(np.uint16 if c.max() < 2**16 else np.uint32 if c.max() < 2**32 else np.int64)})
         out = [(-1, part, np.array(_of_counts(c), np.int64).tobytes(), b"")]
         # sums by context: types seen once, twice, more often; by word: contexts
         classes = np.minimum(c, 3)
@@ -364,7 +389,7 @@ def train(texts: DataFrame) -> Model:
     told = sums.where("to = -1").collect()  # a row a part
     there = np.zeros(1 << bits, bool)
     there[[r["kind"] for r in told]] = True
-    _save_from_driver(spark, f"{path}/pair-parts.npy", there)
+    _save_from_driver(spark, f"{path}/pair-parts", "there", there)
     n2 = np.sum([np.frombuffer(r["ids"], np.int64) for r in told], axis=0).tolist() if told else [0] * 4
     d2 = discounts(n2)
     special = {"rows": rows, "d2": d2}
@@ -383,8 +408,8 @@ def train(texts: DataFrame) -> Model:
             contexts = n[3][[END]]
         else:
             contexts = n[3]
-            _store.save(f"{path}/contexts-{to - 1}.npy", contexts.astype(np.uint32))
-            _store.save(f"{path}/gamma-{to - 1}.npy", (left / _store.mapped(f"{path}/seen-{to - 1}.npy")).astype(np.float32))
+            seen = _store.mapped_all(f"{path}/words-{to - 1}")["seen"]
+            _store.save_all(f"{path}/stats-{to - 1}", {"seen": np.array(seen), "contexts": contexts.astype(np.uint32), "gamma": (left / seen).astype(np.float32)})
         return pa.table({"c": [_of_counts(contexts)], "more": [int((contexts > 2).sum())], "pairs": [int(contexts.sum())], "end": [end], "gamma": [gamma]})
 
     last = staged(_by_part(sums.where("to >= 0"), (1 << bits) + 1, store_sums, "c array<long>, more long, pairs long, end long, gamma double"), "word-sums").collect()
@@ -418,13 +443,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     model = train(rows.where(~F.col("held_out")).select("text"))
     kind = dict(rows.dtypes)["id"]
 
+    def told(stream: Stream, held: list[tuple[pa.Array, pa.Array]]) -> pa.RecordBatch:
+        tokens, known, base, own = model.score(stream)
+        out = [pa.concat_arrays([h[k] for h in held]) for k in (0, 1)]
+        out += [pa.array(x) for x in (tokens, known, np.full(len(tokens), model.n["N"], np.int64), base, own)]
+        return pa.record_batch(out, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, held = Stream(), []
         for batch in batches:
             for lo, hi, buf, offsets in B.text_chunks(batch, "text", owner="model"):
-                tokens, known, base, own = model.score(buf, offsets)
-                out = [batch.column("id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo)]
-                out += [pa.array(x) for x in (tokens, known, np.full(hi - lo, model.n["N"], np.int64), base, own)]
-                yield pa.record_batch(out, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                held.append((batch.column("id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo)))
+                if stream.add(buf, offsets).tokens >= TOGETHER:
+                    yield told(stream, held)
+                    stream, held = Stream(), []
+        if held:
+            yield told(stream, held)
 
     scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -98,16 +98,51 @@ def test_wide_keys_sort_as_narrow_ones_and_hold_more():
 
 def test_fetched_arrays_are_forgotten_beyond_a_bound(tmp_path, monkeypatch):
     for k in range(6):
-        _store.save(f"{tmp_path}/{k}.npy", np.arange(1000))
+        _store.save_all(f"{tmp_path}/{k}", {"a": np.arange(1000), "b": np.array([k], np.uint8)})
     monkeypatch.setattr(_store, "in_place", lambda path: False)
     monkeypatch.setattr(lm, "FETCHED", 20_000)
     lm._cache.clear()
     for k in range(6):
-        assert lm._arrays(f"{tmp_path}/{k}.npy")[7] == 7
+        assert lm._arrays(f"{tmp_path}/{k}")["a"][7] == 7 and lm._arrays(f"{tmp_path}/{k}")["b"].tolist() == [k]
         assert len(lm._cache) <= 4
     lm._cache.clear()
 
 
+def test_a_part_is_opened_once_for_many_texts(spark, sf_dir, monkeypatch):
+    """With room for ten files only, openings follow the looks at all parts, not the chunks."""
+    monkeypatch.setattr(lm, "PART_BYTES", 1 << 14)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    model = lm.train(docs.select("text"))
+    opened = []
+    real = _store.mapped_all
+    monkeypatch.setattr(_store, "mapped_all", lambda path: opened.append(path) or real(path))
+    monkeypatch.setattr(lm, "OPEN", 10)
+    parts = 1 << model.vocabulary.bits
+    assert parts >= 32
+
+    def openings(together: int) -> int:
+        opened.clear()
+        lm._cache.clear()
+        for lo in range(0, len(texts), together):
+            data = [t.encode() for t in texts[lo : lo + together]]
+            stream = lm.Stream()
+            for d in data:
+                stream.add(np.frombuffer(d, np.uint8), np.array([0, len(d)]))
+            model.score(stream)
+        return len(opened)
+
+    assert openings(60) <= 3 * parts + 20  # words, their numbers, pairs, and the bounds again
+    assert openings(60) * 5 < openings(1)
+
+
+def test_texts_looked_up_together_or_alone_score_alike(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3)
+    one = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "TOGETHER", 100)
+    assert all(math.isclose(one[r.doc_id], r.score, rel_tol=1e-12) for r in lm.score(docs).collect())
+
+
 def test_edges_of_the_input(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "a b a"), (3, "a b a"), (9, "z " * 60_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
