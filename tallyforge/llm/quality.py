@@ -14,6 +14,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -188,42 +189,67 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     given = [(r["k"], r["y"]) for r in sample.select("k", "y").collect()]  # at most `labelled` rows of two numbers
     told: list[tuple[int, str, int]] = []  # at most 4 * PER_ROUND a round
     heard = []
+    seen = staged(views(rows), "views")
     for turn in range(rounds + 1):
-        model = _fit_once(rows, given, told)
+        model = _fit_once(seen, given, told)
         if model is None or turn == rounds:
             break
-        new = _surest(rows, known, model, told)
+        new = _surest(seen, known, model, told)
         if not new:
             break
         told += new
         heard.append({v: sum(t[1] == v for t in told) for v in VIEWS})
+    forget(seen)
     return model and model | {"told": heard}
 
 
-def _fit_once(rows: DataFrame, given: list[tuple[int, int]], told: list[tuple[int, str, int]]) -> dict | None:
+def views(rows: DataFrame) -> DataFrame:
+    """(k, digest, bucket, value, dense, meta): the features of each row of ``_columns`` as
+    arrays of numbers, whatever the length of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offsets in B.text_chunks(batch, "text", CHUNK):
+                at, bucket, value, dense = text_view(buf, offsets)
+                own = batch.slice(lo, hi - lo)
+                meta = meta_view(*(own.column(c) for c in ("lang", "source", "n_chars"))).astype(np.int16)
+                bounds = np.searchsorted(at, np.arange(hi - lo + 1))
+                bucket, value = bucket.astype(np.uint16), value.astype(np.float32)
+                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
+                each = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+                yield pa.record_batch([own.column("id"), own.column("digest"), cut(bucket), cut(value), each(dense), each(meta)], ["k", "digest", "bucket", "value", "dense", "meta"])
+
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return rows.withColumn("digest", digest).mapInArrow(run, "k long, digest binary, bucket binary, value binary, dense binary, meta binary")
+
+
+def _features(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row, bucket and value of each feature, dense statistics and metadata of a table of views."""
+    whole = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    bucket = whole("bucket", np.uint16).astype(np.int64)
+    size = np.array([len(x) // 2 for x in table.column("bucket").to_pylist()], np.int64)
+    row = np.repeat(np.arange(table.num_rows), size)
+    return row, bucket, whole("value", np.float32), whole("dense", np.float64).reshape(-1, STATISTICS), whole("meta", np.int16).reshape(-1, 3).astype(np.int64)
+
+
+def _fit_once(seen: DataFrame, given: list[tuple[int, int]], told: list[tuple[int, str, int]]) -> dict | None:
     labels = {k: [y, -1, -1] for k, y in given}
     for k, v, y in told:
         labels.setdefault(k, [-1, -1, -1])[1 + VIEWS.index(v)] = y
     if not labels:
         return None
-    chosen = rows.sparkSession.createDataFrame([(k, *x) for k, x in labels.items()], "k long, y int, y_text int, y_meta int")
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    wanted = rows.join(F.broadcast(chosen), F.col("id") == F.col("k")).groupBy("k").agg(F.min_by(F.struct("text", "lang", "source", "n_chars", "y", "y_text", "y_meta"), F.struct(digest, F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), "n_chars")).alias("row"))
+    chosen = seen.sparkSession.createDataFrame([(k, *x) for k, x in labels.items()], "k long, y int, y_text int, y_meta int")
+    row = F.struct("bucket", "value", "dense", "meta", "y", "y_text", "y_meta")
+    wanted = seen.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min_by(row, F.struct("digest", "meta")).alias("row"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("k", "ascending")])
-        n, base = table.num_rows, 0
-        x = np.zeros((n, (1 << BITS) + STATISTICS), np.float32)
-        meta = np.zeros((n, 3), np.int64)
-        for batch in table.to_batches():
-            for lo, hi, buf, offsets in B.text_chunks(batch, "text", CHUNK):
-                at, bucket, value, dense = text_view(buf, offsets)
-                x[at + base, bucket] = value
-                x[base : base + hi - lo, 1 << BITS :] = dense
-                meta[base : base + hi - lo] = meta_view(*(batch.column(c).slice(lo, hi - lo) for c in ("lang", "source", "n_chars")))
-                base += hi - lo
+        at, bucket, value, dense, meta = _features(table)
+        x = np.zeros((table.num_rows, (1 << BITS) + STATISTICS), np.float32)
+        x[at, bucket] = value
+        x[:, 1 << BITS :] = dense
         label, y_text, y_meta, h = (table.column(c).to_numpy() for c in ("y", "y_text", "y_meta", "h"))
-        del table, batch
+        del table, at, bucket, value
         return pa.table({"model": pa.array([pickle.dumps(train(x, meta, label, h % 5, {"text": y_text, "meta": y_meta}))], pa.binary())})
 
     flat = wanted.select("k", F.xxhash64("k").alias("h"), "row.*")
@@ -231,25 +257,41 @@ def _fit_once(rows: DataFrame, given: list[tuple[int, int]], told: list[tuple[in
     return pickle.loads(got[0]["model"]) if got else None
 
 
-def _surest(rows: DataFrame, known: DataFrame, model: dict, told: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+def _surest(seen: DataFrame, known: DataFrame, model: dict, told: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """(id, view that is told, label) of the unlabelled documents that the other view is
     surest of, among all; documents that a view was told of before aren't told again."""
-    spark = rows.sparkSession
-    sure = scored(rows, model, ("p_text", "p_meta", "p")).select(F.col("id").alias("k"), *(F.round(c, 7).alias(c) for c in ("p_text", "p_meta")))
-    sure = sure.where(f"greatest(p_text, 1 - p_text, p_meta, 1 - p_meta) >= {SURE}")
+    spark = seen.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p_text, p_meta = (np.round(sigmoid(z.astype(np.float64)), 7) for z in view_logits(model, *_features(batch)))
+                yield pa.record_batch([batch.column("k"), pa.array(p_text), pa.array(p_meta)], ["k", "p_text", "p_meta"])
+
+    sure = seen.mapInArrow(run, "k long, p_text double, p_meta double").where(f"greatest(p_text, 1 - p_text, p_meta, 1 - p_meta) >= {SURE}")
     before = spark.createDataFrame([(k, v) for k, v, _ in told], "k long, v string")
     each = staged(sure.join(known, "k", "left_anti").groupBy("k").agg(F.min("p_text").alias("p_text"), F.min("p_meta").alias("p_meta")), "surest")
-    new = []
+    lists = []
     for v, other in (("text", "meta"), ("meta", "text")):
         had = F.broadcast(before.where(F.col("v") == other).select("k"))  # at most 2 * PER_ROUND a round
         left = each.join(had, "k", "left_anti").withColumn("h", F.xxhash64("k"))
         for y, p in ((1, F.col(f"p_{v}")), (0, 1 - F.col(f"p_{v}"))):
-            best = left.where(p >= SURE).orderBy(p.desc(), "h", "k").limit(PER_ROUND).select("k").collect()
-            new += [(r["k"], other, y) for r in best]
+            lists.append(left.where(p >= SURE).orderBy(p.desc(), "h", "k").limit(PER_ROUND).select("k", F.lit(other).alias("v"), F.lit(y).alias("y")))
+    new = [tuple(r) for r in reduce(DataFrame.union, lists).collect()]  # four lists of at most PER_ROUND
     forget(each)
     return new
 
 
+def view_logits(model: dict, at: np.ndarray, bucket: np.ndarray, value: np.ndarray, dense: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The calibrated logits of both views of rows."""
+    w, b, scale, shift = model["text"]
+    centre, spread = model["norm"]
+    z = np.bincount(at, weights=value * w[bucket], minlength=len(dense)) + np.clip((dense - centre) / spread, -8, 8) @ w[1 << BITS :] + b
+    zt = z * scale + shift
+    w, b, scale, shift = model["meta"]
+    return zt, (w[meta].sum(1) + b) * scale + shift
+
+
 def _columns(docs: DataFrame, id_col: str) -> DataFrame:
     def or_null(name: str, kind: str) -> Column:
         return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(name)
@@ -287,14 +329,8 @@ def scored(docs: DataFrame, model: dict | None, added: Sequence[str] = ("text_sc
                 if model is None:
                     p = [np.ones(hi - lo)] * 3
                 else:
-                    at, bucket, value, dense = text_view(buf, offsets)
-                    w, b, scale, shift = model["text"]
-                    centre, spread = model["norm"]
-                    z = np.bincount(at, weights=value * w[bucket], minlength=hi - lo) + np.clip((dense - centre) / spread, -8, 8) @ w[1 << BITS :] + b
-                    zt = z * scale + shift
-                    w, b, scale, shift = model["meta"]
                     meta = meta_view(*(parts.column(columns.index(c)) if c in columns else blank.slice(lo, hi - lo) for c in ("lang", "source", "n_chars")))
-                    zm = (w[meta].sum(1) + b) * scale + shift
+                    zt, zm = view_logits(model, *text_view(buf, offsets), meta)
                     w, b = model["both"]
                     p = [sigmoid(zt), sigmoid(zm), sigmoid(zt * w[0] + zm * w[1] + b)]
                 yield pa.record_batch([*parts.columns, *(pa.array(x, pa.float64()) for x in p)], schema.names)
