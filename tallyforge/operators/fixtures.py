@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +64,34 @@ def output_links(traces: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def mark_disputed(obligations: DataFrame, disagreements: DataFrame) -> DataFrame:
-    """Adds to each obligation the disagreements (document, read) that lie in its passage."""
-    d = disagreements.select(F.col("document").alias("d"), "read", X.letters(F.col("read")).alias("l")).where("l <> ''")
-    inside = obligations.select("obligation_id", "document", X.letters(F.col("passage")).alias("p")).join(d, (F.col("document") == F.col("d")) & F.contains(F.col("p"), F.col("l")))
-    told = inside.groupBy("obligation_id").agg(F.array_sort(F.collect_set("read")).alias("disputes"))
+    """Adds to each obligation the disagreements (document, read) that lie in its passage.
+
+    A document's readings are one automaton that runs over its passages once, so the work
+    follows their letters and what is found, not their product. Readings without letters
+    lie nowhere; a document's passages and readings meet in one task.
+    """
+    d = disagreements.select("document", "read", X.letters(F.col("read")).alias("l")).where("l <> ''").distinct()
+    passages = obligations.select("obligation_id", "document", X.letters(F.col("passage")).alias("p"))
+    kind = dict(obligations.dtypes)["obligation_id"]
+
+    def run(own: pa.Table, read: pa.Table) -> pa.Table:
+        ids, reads = [], []
+        if own.num_rows and read.num_rows:
+            machine = ahocorasick.Automaton()
+            by: dict[str, list[str]] = {}
+            for line, letters in zip(read.column("read").to_pylist(), read.column("l").to_pylist()):
+                by.setdefault(letters, []).append(line)
+            for letters in by:
+                machine.add_word(letters, letters)
+            machine.make_automaton()
+            for i, p in enumerate(own.column("p").to_pylist()):
+                for letters in {found for _, found in machine.iter(p or "")}:
+                    ids += [i] * len(by[letters])
+                    reads += by[letters]
+        return pa.table({"obligation_id": own.column("obligation_id").take(pa.array(ids, pa.int64())), "dispute": pa.array(reads, pa.string())})
+
+    inside = passages.groupBy("document").cogroup(d.groupBy("document")).applyInArrow(run, f"obligation_id {kind}, dispute string")
+    told = inside.groupBy("obligation_id").agg(F.array_sort(F.collect_set("dispute")).alias("disputes"))
     none = F.array().cast("array<string>")
     return obligations.join(told, "obligation_id", "left").withColumn("disputed", F.array_distinct(F.concat(F.coalesce("disputed", none), F.coalesce("disputes", none)))).drop("disputes")
 

@@ -9,7 +9,7 @@ from tallyforge.functions import dates as D
 from tallyforge.functions import numbers as N
 from tallyforge.functions import similarity as S
 from tallyforge.functions import text as X
-from tallyforge.operators import ablation, answers, audit, cadence, evals, geometry, merchants, passages, registry, relations, terms, timeline
+from tallyforge.operators import ablation, answers, audit, cadence, evals, geometry, merchants, passages, registry, relations, similar, terms, timeline
 from tallyforge.plans.catalog import register
 from tallyforge.plans.tables import PAYMENTS, PURCHASES, SCORED, TERMS, payments, purchases, scored, stated_terms, table
 
@@ -502,6 +502,16 @@ def comparison_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 DL = "(1 - damerau_levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)))"
 
 
+NAMED = "SELECT regexp_replace(lower(p_name || ' ' || p_brand), '[^\\p{L}\\p{N}]', '', 'g') AS a, count(*) AS n FROM part GROUP BY 1"
+
+
+@register("similar_names", f"SELECT x.a AS a, y.a AS b, round(1 - damerau_levenshtein(x.a, y.a)::DOUBLE / greatest(length(x.a), length(y.a)), 9) AS similarity, x.n AS rows_a, y.n AS rows_b FROM ({NAMED}) AS x JOIN ({NAMED}) AS y ON x.a < y.a AND damerau_levenshtein(x.a, y.a) <= 0.15 * greatest(length(x.a), length(y.a)) + 1e-9")
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of parts' names with their brands at 0.85 or more, through shared grams."""
+    named = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    return similar.similar_pairs(named, "name", 0.85).withColumn("similarity", F.round("similarity", 9))
+
+
 @register("fuzzy_names", f"SELECT p_partkey, round({DL}, 9) AS similarity, {DL} >= 0.6 AS match FROM (SELECT p_partkey, regexp_replace(lower(p_name), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS a, regexp_replace(lower(reverse(p_name)), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS b FROM part)")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     alike = S.similarity(F.col("p_name"), F.reverse("p_name"))
