@@ -149,6 +149,20 @@ def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", documents.media_types(F.concat("url", F.lit("/"), name)).alias("media_type"))
 
 
+PLANTED = """concat('/* track( */ ', array_join(regexp_extract_all(html, '<script>([\\\\s\\\\S]*?)</script>', 1), ' '), '\\n// track(1) "\\nvar s = "/* "; track(2); var e = "*/";\\n/* don''t\\n track(3) */ track(4)\\n', CASE WHEN page_id % 2 = 0 THEN '#[cfg(test)] mod t {\\n fn a() { track("}") }\\n}\\n track(5)' ELSE 'track(6)' END)"""
+
+
+@register("call_sites", """WITH p AS (SELECT page_id, array_to_string(regexp_extract_all(html, '<script>([\\s\\S]*?)</script>', 1), ' ') AS script FROM pages),
+l AS (SELECT page_id, unnest([CASE WHEN contains(script, 'track(') AND NOT contains(regexp_extract(script, '^(.*?)track', 1), '//') THEN 1 END, 3, 5, CASE WHEN page_id % 2 = 0 THEN 9 ELSE 6 END]) AS line FROM p)
+SELECT page_id, line::INT AS line, 'track(' AS marker FROM l WHERE line IS NOT NULL""")
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls in the scripts of all pages, among comments, strings and test-only code."""
+    from tallyforge.operators import callsites
+
+    source = table(spark, sf_dir, "pages").select("page_id", F.expr(PLANTED).alias("source"), F.when(F.col("page_id") % 2 == 0, callsites.NESTED).otherwise(callsites.FLAT).alias("syntax"))
+    return callsites.sites(source, ["track("], path="page_id").select(F.col("path").alias("page_id"), "line", "marker")
+
+
 @register("path_rules", """SELECT p_partkey, p_partkey % 6 IN (0, 1) AS contained, regexp_full_match(x, '[a-z0-9]+(-[a-z0-9]+){2,}') AS authored, p_partkey % 6 IN (0, 4) AS published
 FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '-') || '-' || lower(p_type) ELSE p_name || p_brand END AS x FROM part)""")
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
