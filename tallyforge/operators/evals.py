@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,15 +130,39 @@ def set_f1(expected: Column, actual: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(2 * common / (F.size(a) + F.size(b)))
 
 
-def pooled_verdict(steps: DataFrame, bar: float, end_to_end_bar: float = 0.95) -> DataFrame:
-    """Per group: PASS if every step's lower bound and the mean end-to-end reach the bars."""
+def pooled_verdict(steps: DataFrame, bar: float | Mapping[str, float], end_to_end_bar: float = 0.95) -> DataFrame:
+    """Per group PASS if every step's lower bound reaches its bar and the mean end-to-end
+    its own, else FAIL; a step without a bar, or with nothing expected, shows nothing."""
     pooled = steps.groupBy("grp", "step").agg(F.sum("correct").alias("k"), F.sum("expected").alias("n"), F.avg("end_to_end").alias("e2e"))
-    low = N.wilson(F.col("k"), F.col("n"))["low"]
-    judged = pooled.withColumn("ok", F.coalesce(low >= bar, F.lit(False)))
-    verdict = F.when(F.bool_and("ok") & (F.avg("e2e") >= end_to_end_bar), "PASS").when(F.bool_or("ok"), "MARGINAL").otherwise("FAIL")
+    if isinstance(bar, Mapping):
+        least = F.try_element_at(F.create_map(*[F.lit(x) for pair in bar.items() for x in pair]), F.col("step"))
+    else:
+        least = F.lit(bar)
+    ok = F.when(F.col("n") > 0, N.wilson(F.col("k"), F.col("n"))["low"] >= least)
+    judged = pooled.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    verdict = F.when(F.bool_and("ok") & (F.avg("e2e") >= end_to_end_bar), "PASS").otherwise("FAIL")
     return judged.groupBy("grp").agg(verdict.alias("verdict"), F.min("k").alias("least_correct"))
 
 
+def overall_verdict(quality: DataFrame, harms: DataFrame, ceilings: DataFrame, relations: DataFrame) -> DataFrame:
+    """(grp, verdict, over, failed_relations): quality's verdict, unless a declared ceiling
+    isn't shown to hold or a relation failed.
+
+    ``quality`` (grp, verdict); ``harms`` (grp, stratum, class, wrong, decisions);
+    ``ceilings`` (stratum, class, ceiling), a declared list, of the upper bound of the share
+    that is confidently wrong: where nothing was measured, it doesn't hold. ``relations``
+    (grp, outcome): one that couldn't be judged doesn't fail.
+    """
+    asked = quality.select("grp").distinct().crossJoin(F.broadcast(ceilings))  # every declared ceiling for every group
+    high = N.wilson(F.col("wrong"), F.col("decisions"))["high"]
+    clear = F.coalesce(F.when(F.col("decisions") > 0, high <= F.col("ceiling")), F.lit(False))
+    over = asked.join(harms, ["grp", "stratum", "class"], "left").groupBy("grp").agg(F.count_if(~clear).alias("over"))
+    failed = relations.where("outcome = 'failed'").groupBy("grp").agg(F.count("*").alias("failed_relations"))
+    rows = quality.join(over, "grp", "left").join(failed, "grp", "left").na.fill(0, ["over", "failed_relations"])
+    verdict = F.when((F.col("over") > 0) | (F.col("failed_relations") > 0), "FAIL").otherwise(F.col("verdict"))
+    return rows.select("grp", verdict.alias("verdict"), "over", "failed_relations")
+
+
 def worst_runs(runs: DataFrame) -> DataFrame:
     """Per group the run with the worst verdict, then lowest end-to-end, then lowest step."""
     rank = F.array_position(F.array(F.lit("PASS"), F.lit("MARGINAL"), F.lit("FAIL")), F.col("verdict"))

@@ -48,12 +48,12 @@ def trace_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.trace_links(expected, actual.select(F.col("seq").alias("trace"), F.concat(F.lit("\t"), "passage", F.lit(" \n")).alias("passage")))
 
 
-@register("output_links", f"SELECT DISTINCT t.conv_id * 100 + t.turn AS trace, 'act-' || a.conv_id::VARCHAR AS action_id FROM conversations t JOIN conversations a ON {PASSAGE.format(c='t.text')} = {PASSAGE.format(c='a.text')} AND a.turn < 3")
+@register("output_links", f"SELECT DISTINCT t.conv_id * 100 + t.turn AS trace, 'act-' || a.conv_id::VARCHAR AS action_id FROM conversations t JOIN conversations a ON {PASSAGE.format(c='t.text')} = {PASSAGE.format(c='a.text')}")
 def output_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which traces an action shows as evidence."""
     c = table(spark, sf_dir, "conversations")
     traces = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("trace"), F.col("text").alias("passage"))
-    actions = c.where("turn < 3").groupBy("conv_id").agg(F.collect_list(F.concat(F.lit(" "), "text")).alias("passages"))
+    actions = c.groupBy("conv_id").agg(F.collect_list(F.concat(F.lit(" "), "text")).alias("passages"))
     return fixtures.output_links(traces, actions.select(F.concat(F.lit("act-"), F.col("conv_id").cast("string")).alias("action_id"), "passages"))
 
 
@@ -140,11 +140,36 @@ def wrong_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEPS = "SELECT source AS grp, lang AS step, count(*) FILTER (WHERE quality = 1) AS k, count(*) AS n, avg(quality) AS e2e FROM labels JOIN documents USING (doc_id) GROUP BY ALL"
 
 
-@register("pooled_verdict", f"SELECT grp, CASE WHEN bool_and(low >= 0.4) AND avg(e2e) >= 0.7 THEN 'PASS' WHEN bool_or(low >= 0.4) THEN 'MARGINAL' ELSE 'FAIL' END AS verdict, min(k) AS least_correct FROM (SELECT *, {wilson_sql('k', 'n', 'p').split(', round')[0].replace(' AS p_low', '')} AS low FROM ({STEPS})) GROUP BY grp")
-def pooled_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+LOW = wilson_sql("k", "n", "p").split(", round")[0].replace(" AS p_low", "")
+HIGH = "round" + wilson_sql("wrong", "decisions", "p").split(", round")[1].replace(" AS p_high", "")
+POOLED = f"SELECT grp, CASE WHEN bool_and(low >= 0.4) AND avg(e2e) >= 0.7 THEN 'PASS' ELSE 'FAIL' END AS verdict, min(k) AS least_correct FROM (SELECT *, {LOW} AS low FROM ({STEPS})) GROUP BY grp"
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    steps = rows.groupBy(F.col("source").alias("grp"), F.col("lang").alias("step")).agg(F.count_if(F.col("quality") == 1).alias("correct"), F.count("*").alias("expected"), F.avg("quality").alias("end_to_end"))
-    return evals.pooled_verdict(steps, 0.4, 0.7)
+    return rows.groupBy(F.col("source").alias("grp"), F.col("lang").alias("step")).agg(F.count_if(F.col("quality") == 1).alias("correct"), F.count("*").alias("expected"), F.avg("quality").alias("end_to_end"))
+
+
+@register("pooled_verdict", POOLED)
+def pooled_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evals.pooled_verdict(_steps(spark, sf_dir), 0.4, 0.7)
+
+
+CEILINGS = (("en", "missed", 0.6), ("de", "missed", 0.97), ("fr", "missed", 0.7))
+HARMS = f"SELECT source AS grp, lang AS stratum, 'missed' AS class, count(*) FILTER (WHERE asserted = 'other') AS wrong, count(*) AS decisions FROM {SCORED} WHERE expected GROUP BY ALL"
+
+
+@register("overall_verdict", f"""WITH q AS (SELECT grp, CASE WHEN avg(e2e) >= 0.6 THEN 'PASS' ELSE 'MARGINAL' END AS verdict FROM ({STEPS}) GROUP BY grp),
+o AS (SELECT q.grp, count(*) FILTER (WHERE NOT coalesce({HIGH} <= ceiling, false)) AS over FROM q CROSS JOIN (VALUES {', '.join(map(str, CEILINGS))}) AS c(stratum, class, ceiling) LEFT JOIN ({HARMS}) AS h ON h.grp = q.grp AND h.stratum = c.stratum AND h.class = c.class GROUP BY q.grp),
+r AS (SELECT source AS grp, count(*) FILTER (WHERE toxic = 1 AND n_chars < 300) AS failed FROM {SCORED} GROUP BY source)
+SELECT grp, CASE WHEN over > 0 OR failed > 0 THEN 'FAIL' ELSE verdict END AS verdict, over, failed AS failed_relations FROM q JOIN o USING (grp) JOIN r USING (grp)""")
+def overall_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources' verdicts under ceilings by language, short toxic documents as failed relations."""
+    quality = _steps(spark, sf_dir).groupBy("grp").agg(F.when(F.avg("end_to_end") >= 0.6, "PASS").otherwise("MARGINAL").alias("verdict"))
+    rows = scored(spark, sf_dir).withColumn("lang", F.col("strata")[0])
+    harms = rows.where("expected").groupBy(F.col("source").alias("grp"), F.col("lang").alias("stratum"), F.lit("missed").alias("class")).agg(F.count_if(F.col("asserted") == "other").alias("wrong"), F.count("*").alias("decisions"))
+    failed = rows.select(F.col("source").alias("grp"), F.when((F.col("toxic") == 1) & (F.col("n_chars") < 300), "failed").when(F.col("n_chars") < 300, "unjudgeable").otherwise("held").alias("outcome"))
+    return evals.overall_verdict(quality, harms, spark.createDataFrame(list(CEILINGS), "stratum string, class string, ceiling double"), failed)
 
 
 @register("worst_verdict", "SELECT n_regionkey, CASE WHEN bool_or(n_nationkey % 7 = 0) THEN 'FAIL' WHEN bool_or(n_nationkey % 3 = 0) THEN 'MARGINAL' ELSE 'PASS' END AS verdict FROM nation GROUP BY n_regionkey")
@@ -338,10 +363,15 @@ def ranking_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.ranking_signal(evals.calibration(_levels(spark, sf_dir)))
 
 
-@register("permitted_passages", "SELECT doc_id, count(*) AS permitted FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(lower('you may ' || line), 'you may ') AND NOT regexp_matches(lower(line), '" + "|".join(passages.REQUIRES) + "') GROUP BY doc_id")
+ENDING = "CASE WHEN ({n}) % 5 = 0 THEN ' you may ask' WHEN ({n}) % 7 = 0 THEN ' you may ask and must pay' WHEN ({n}) % 11 = 0 THEN ' you must pay' ELSE '' END"
+
+
+@register("permitted_passages", f"SELECT doc_id, count(*) AS permitted FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(lower(line || {ENDING.format(n='doc_id + length(line)')}), '" + "|".join(passages.PERMITS) + f"') AND NOT regexp_matches(lower(line || {ENDING.format(n='doc_id + length(line)')}), '" + "|".join(passages.REQUIRES) + "') GROUP BY doc_id")
 def permitted_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that permit and don't require: the texts as they are, some with a sentence more."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where(passages.grants_without_requiring(F.concat(F.lit("you may "), "line"))).groupBy("doc_id").agg(F.count("*").alias("permitted"))
+    said = lines.select("doc_id", F.concat("line", F.expr(ENDING.format(n="doc_id + length(line)"))).alias("line"))
+    return said.where(passages.grants_without_requiring(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("permitted"))
 
 
 @register("decisions_needed", "SELECT p_partkey, ceil(3.84::DOUBLE / (p_size / 100.0::DOUBLE) - 3.84::DOUBLE)::BIGINT AS needed FROM part WHERE p_size > 0")

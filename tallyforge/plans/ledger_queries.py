@@ -186,12 +186,12 @@ def fixture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.paired_files(table(spark, sf_dir, "nation").select(F.explode(F.concat(inputs, more)).alias("path")))
 
 
-@register("truthful_answers", f"SELECT conv_id * 100 + turn AS id, CASE WHEN EXISTS (SELECT 1 FROM conversations e WHERE e.role = 'user' AND e.turn < 2 AND {PASSAGE.format(c='e.text')} = {PASSAGE.format(c='a.text')}) THEN 1 ELSE 0 END AS claims FROM conversations a")
+@register("truthful_answers", f"SELECT conv_id * 100 + turn AS id, CASE WHEN EXISTS (SELECT 1 FROM conversations e WHERE e.role = 'user' AND {PASSAGE.format(c='e.text')} = {PASSAGE.format(c='a.text')}) THEN 1 ELSE 0 END AS claims FROM conversations a")
 def truthful_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer for every passage: what its author wrote down, else nothing."""
     c, seq = table(spark, sf_dir, "conversations"), F.col("conv_id") * 100 + F.col("turn")
     items = c.select(seq.alias("id"), F.concat(F.col("text"), F.lit(" ")).alias("passage"))
-    expected = c.where("role = 'user' AND turn < 2").select(seq.alias("seq"), F.col("text").alias("passage"), F.array(F.lit("claim")).alias("claims"))
+    expected = c.where("role = 'user'").select(seq.alias("seq"), F.col("text").alias("passage"), F.array(F.lit("claim")).alias("claims"))
     return fixtures.truthful_answers(items, expected).select("id", F.size("claims").alias("claims"))
 
 

@@ -248,13 +248,18 @@ def unbalanced_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statement_tables.reconstructed(_signed(spark, sf_dir, balanced=False)).groupBy("doc", "reason").agg(F.count("*").alias("pages"))
 
 
-@register("ambiguous_quotes", f"""WITH s AS (SELECT doc_id AS document, generate_subscripts(x, 1) AS ordinal, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))
-SELECT item_id AS quote_id, document, count(*) AS passages FROM benchmark b JOIN s ON contains({SQUASHED.format(c='s.text')}, {SQUASHED.format(c="array_to_string(string_split(b.text, ' ')[1:1], ' ')")}) WHERE {SQUASHED.format(c="array_to_string(string_split(b.text, ' ')[1:1], ' ')")} <> '' GROUP BY ALL HAVING count(*) > 1""")
+PAIRS = "SELECT DISTINCT x[i] || ' ' || x[i + 1] AS quote FROM (SELECT string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS x FROM benchmark), unnest(range(1, len(x))) AS u(i) WHERE x[i] <> '' AND x[i + 1] <> ''"
+
+
+@register("ambiguous_quotes", f"""WITH s AS MATERIALIZED (SELECT document, {SQUASHED.format(c='text')} AS text FROM (SELECT doc_id AS document, unnest(string_split(text, chr(10))) AS text FROM documents)), q AS MATERIALIZED ({PAIRS})
+SELECT quote, document, count(*) AS passages FROM q JOIN s ON contains(s.text, quote) GROUP BY ALL HAVING count(*) > 1""")
 def ambiguous_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that stand in several lines of a document."""
-    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.array_join(F.slice(F.split("text", " "), 1, 1), " ").alias("quote"))
+    """Pairs of neighbouring words of whole benchmark texts that stand in several lines of a document."""
+    words = table(spark, sf_dir, "benchmark").select(F.split(F.regexp_replace("text", r"\s+", " "), " ").alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("p"))
+    quotes = pairs.where("p.a <> '' AND p.b <> ''").select(F.concat_ws(" ", "p.a", "p.b").alias("quote")).distinct().withColumn("quote_id", F.col("quote"))
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
-    return passages.ambiguous_quotes(passages.quote_places(quotes, lines))
+    return passages.ambiguous_quotes(passages.quote_places(quotes, lines)).withColumnRenamed("quote_id", "quote")
 
 
 @register("short_quotes", "SELECT p_partkey AS quote_id, n_nationkey AS document FROM part, nation WHERE contains('the nation ' || n_name || ' of region ' || n_regionkey::VARCHAR, CASE p_partkey % 4 WHEN 0 THEN 'TION_' || (p_size % 25)::VARCHAR WHEN 1 THEN 'nation NATION_' || (p_size % 25)::VARCHAR WHEN 2 THEN 'gion ' || (p_size % 5)::VARCHAR ELSE 'n of' END)")

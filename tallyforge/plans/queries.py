@@ -489,9 +489,13 @@ def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.paired(before, after).select("pairs", "worse", "better")
 
 
-@register("mcnemar_p", "WITH RECURSIVE n AS (SELECT 0 AS a, 5 AS b UNION ALL SELECT a + 1, b FROM n WHERE a < 12), c AS (SELECT a, b, list_sum(list_transform(range(0, least(a, b) + 1), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda i: (a + b - i + 1)::DOUBLE / i)), 1))) AS s FROM n) SELECT a, round(least(2 * s / pow(2, a + b), 1) + 1e-12, 9) AS p FROM c")
+@register("mcnemar_p", """WITH c AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS a, count(*) FILTER (WHERE o_orderstatus = 'O') AS b FROM orders GROUP BY o_custkey),
+s AS (SELECT *, list_sum(list_transform(range(0, least(a, b) + 1), lambda k: coalesce(list_product(list_transform(range(1, k + 1), lambda i: (a + b - i + 1)::DOUBLE / i)), 1))) AS s FROM c)
+SELECT o_custkey, round(least(2 * s / pow(2, a + b), 1) + 1e-12, 9) AS p FROM s""")
 def mcnemar_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(13).select(F.col("id").cast("int").alias("a"), F.round(N.exact_mcnemar(F.col("id"), F.lit(5)) + 1e-12, 9).alias("p"))
+    """Each customer's orders of two states as decisions that got worse and better."""
+    told = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count_if(F.col("o_orderstatus") == "O").alias("b"))
+    return told.select("o_custkey", F.round(N.exact_mcnemar(F.col("a"), F.col("b")) + 1e-12, 9).alias("p"))
 
 
 @register("comparison_key", "SELECT p_partkey, regexp_replace(replace(lower(p_name || ' & ' || p_brand), '&', 'and'), '[^\\p{L}\\p{N}]', '', 'g') AS key FROM part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tallyforge.functions.similarity import tolerance
 from tallyforge.operators import answers, reports
 from tallyforge.plans import pipelines
 from tallyforge.plans.catalog import register
-from tallyforge.plans.queries import MEDIAN, STEMS, _descriptors
+from tallyforge.plans.queries import MEDIAN, STEMS, _descriptors, series_sql
 from tallyforge.plans.tables import PURCHASES, purchases, table
 from tallyforge.sources import asking, documents, files, packs, runs, statements
 
@@ -208,9 +209,19 @@ def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-@register("pack_rules", "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_sql_text, r))})" for r in RULES) + ") AS t(rule, given, outcome)")
+RULED = ", ".join(f"({i}, {', '.join(map(_sql_text, r))})" for i, r in enumerate(RULES))
+
+
+@register("pack_rules", f"SELECT s_suppkey, rule, given, outcome FROM supplier JOIN (VALUES {RULED}) AS t(i, rule, given, outcome) ON i = s_suppkey % {len(RULES)}")
 def pack_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(rule, given, _ruled(rule, given)) for rule, given, _ in RULES], "rule string, given string, outcome string")
+    """A pack's part from each supplier, held against the rules where it lies."""
+
+    def run(batches):
+        for batch in batches:
+            rules = [RULES[k % len(RULES)][:2] for k in batch.column(0).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([r for r, _ in rules]), pa.array([g for _, g in rules]), pa.array([_ruled(*x) for x in rules])], ["s_suppkey", "rule", "given", "outcome"])
+
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long")).mapInArrow(run, "s_suppkey long, rule string, given string, outcome string")
 
 
 @register("replayed", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'careful ' ELSE 'other ' END || md5(text) AS answer FROM conversations WHERE role = 'user'")
@@ -325,19 +336,46 @@ def applied_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 PACK = packs.Pack("spend-of-accounts", "1", (packs.InputRole("statements"),), ({"kind": "preprocess", "name": "merchant-cleanup"}, {"kind": "model", "name": "normalise", "batch": 4}, {"kind": "aggregate", "name": "recurrence-detect"}, {"kind": "render"}))
 
 
-@register("pack_run", MEDIAN.format(source=f"SELECT upper(split_part(merchant, '-', 2)) AS merchant, amount, direction FROM {PURCHASES}", key="merchant") + """
-SELECT merchant, count(*) AS visits, sum(amount)::DECIMAL(28,2) AS total, max(typical_visit) AS typical_visit, 'one_off' AS kind FROM p JOIN m USING (merchant) GROUP BY merchant HAVING bool_or(direction = 'debit')""")
+PACKED = f"""SELECT seq, 'SHOP ' || translate(split_part(merchant, '-', 1), '0123456789', 'ABCDEFGHIJ') AS merchant, (floor(amount / 50000) * 50000 + 1)::DECIMAL(18,2) AS amount, date, direction FROM {PURCHASES}"""
+
+
+@register("pack_run", MEDIAN.format(source=PACKED, key="merchant") + f""", f AS (SELECT merchant FROM ({series_sql(PACKED, 'debit')}))
+SELECT merchant, count(*) AS visits, sum(amount)::DECIMAL(28,2) AS total, max(typical_visit) AS typical_visit, CASE WHEN count(DISTINCT date) FILTER (direction = 'debit') >= 3 THEN 'regular_spend' ELSE 'one_off' END AS kind
+FROM p JOIN m USING (merchant) WHERE merchant NOT IN (SELECT merchant FROM f) GROUP BY merchant HAVING bool_or(direction = 'debit')""")
 def pack_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pack's steps from payments to regular spend, without a model; all are of one day,
-    so nothing repeats."""
-    rows = purchases(spark, sf_dir).withColumn("raw_merchant", F.element_at(F.split("merchant", "-"), 2)).withColumn("date", F.lit("2024-01-05").cast("date")).drop("merchant")
-    made = pipelines.run(PACK, {"payments": rows})
+    """A pack's steps from payments to regular spend, without a model: merchants with a
+    series are none of it."""
+    made = pipelines.run(PACK, {"payments": _packed(spark, sf_dir)})
     return made["spend"].select(F.upper("merchant").alias("merchant"), "visits", "total", "typical_visit", "kind")
 
 
-@register("dry_run", "SELECT * FROM (VALUES (0, 'preprocess merchant-cleanup'), (1, 'model normalise: 9 batches of 33 items'), (2, 'aggregate recurrence-detect'), (3, 'render')) AS t(step, line)")
+@register("pack_findings", series_sql(PACKED, "debit"))
+def pack_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same run's series."""
+    found = pipelines.run(PACK, {"payments": _packed(spark, sf_dir)})["findings"]
+    return found.select("account", F.upper("merchant").alias("merchant"), "period", "amount", "rise_from", "rise_to", "rise_when", "payments")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders under names of letters, at amounts that repeat."""
+    name = F.concat(F.lit("SHOP "), F.translate(F.substring_index("merchant", "-", 1), "0123456789", "ABCDEFGHIJ"))
+    amount = (F.floor(F.col("amount") / 50000) * 50000 + 1).cast("decimal(18,2)")
+    return purchases(spark, sf_dir).withColumns({"raw_merchant": name, "amount": amount}).drop("merchant")
+
+
+@register("dry_run", """WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT o_custkey, unnest(CASE WHEN o_custkey % 5 = 0 THEN ['the result is cached'] ELSE ['preprocess merchant-cleanup', 'model normalise: ' || ((n + 3) // 4)::VARCHAR || ' batches of ' || n::VARCHAR || ' items', 'aggregate recurrence-detect', 'render'] END) AS line FROM c""")
 def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(pipelines.plan(PACK, 33, False))), "step int, line string")
+    """What a run over each customer's orders would do; every fifth has a result kept."""
+
+    def run(batches):
+        for batch in batches:
+            lines = [pipelines.plan(PACK, n, k % 5 == 0) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            at = pa.array([i for i, x in enumerate(lines) for _ in x], pa.int64())
+            yield pa.record_batch([batch.column(0).take(at), pa.array([y for x in lines for y in x], pa.string())], ["o_custkey", "line"])
+
+    held = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("long").alias("o_custkey")).agg(F.count("*").alias("n"))
+    return held.mapInArrow(run, "o_custkey long, line string")
 
 
 @register("display_forms", """SELECT p_partkey, CASE WHEN length(h) <= 12 THEN h ELSE substr(h, 1, 6) || '…' || right(h, 6) END AS short, regexp_replace(p_name, '[AEIOUaeiou]', '', 'g') AS devowelled, p_size::VARCHAR || CASE WHEN p_size = 1 THEN ' part' ELSE ' parts' END AS counted,
