@@ -6,16 +6,19 @@ the whole window if that is shorter), and neighbouring windows that select the s
 position are one block. Equal windows select equal anchors wherever they stand, so a
 repeat is met again under its anchor.
 
-* Index: (anchor hash, block hash) with its number of occurrences and the first one.
+* Index: (anchor hash, block hash) with its number of occurrences, the first and the last.
 * Seeds: a block whose anchor has more than one occurrence may lie in a factor. If the
   block itself occurs again, a factor goes through it. If not, the factor, if there is
   one, starts or ends inside it, and there the block's windows are checked one by one
   against all windows under the same anchor.
 * Factors: each document is then parsed greedily from left to right (``greedy``): a
-  factor starts at the first window that is met again, names its reference, and goes on
-  as long as the next window stands next in the same reference too; where that stops, the
-  next factor starts. A factor is at least one window long, and the factors' words are
-  what is duplicate; nothing else decides what goes.
+  factor starts at the first window that is met again, and goes on as long as the next
+  window stands next in the same reference too, in that of the references at hand that
+  does so longest; where that stops, the next factor starts. References of a block are its
+  first and its last occurrence, never its own place (a row that repeats another wholly
+  has that one); so a passage of two places has its true longest factors, and one of more
+  the longest among these two. A factor is at least one window long, and the factors'
+  words are what is duplicate; nothing else decides what goes.
 
 Index, seeds and boundaries meet by hash joins with partial aggregation; nothing is
 gathered but one document's spans.
@@ -143,6 +146,12 @@ def _checked(window: int) -> int:
     return window
 
 
+def _others(place: str, s: str, n: str, ref_s: str) -> Column:
+    """Spans of a block or window with the first and the last occurrence that isn't itself."""
+    own = f"struct({', '.join(KEY)}, {place})"
+    return F.expr(f"transform(IF(rep = last, array(rep), filter(array(rep, last), x -> x <> {own})), x -> named_struct('s', {s}, 'n', {n}, 'ref', x.rk, 'ref_s', {ref_s}))")
+
+
 def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
     """(rk, rh, spans): first window, windows and reference of each block or window that
     is met again."""
@@ -153,16 +162,17 @@ def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
     # join stays an outer one, as no test that the optimiser can fold comes after it
     met = blocks.join(anchors, "h", "left").where(F.col("mixed").isNotNull() | (F.rand() < 0))
     met = staged(met.select(*KEY, "sn", "h", "b", "mixed"), "met-blocks")
-    index = staged(met.groupBy("h", "b").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "sn")).alias("rep"), F.bool_or("mixed").alias("mixed")), "reference-blocks")
-    known = index.where("n > 1").select("h", "b", F.col("n").alias("seen"), F.col("rep.rk").alias("ref"), F.expr(f"rep.sn div {PACK}").alias("ref_s"))
-    span = F.struct(F.expr(f"sn div {PACK}").alias("s"), F.expr(f"sn % {PACK}").alias("n"), "ref", "ref_s")
-    whole = met.join(known, ["h", "b"], "left").groupBy(*KEY).agg(F.collect_list(F.when(F.col("seen") > 1, span)).alias("spans"))
+    place = F.struct(*KEY, "sn")
+    index = staged(met.groupBy("h", "b").agg(F.count("*").alias("n"), F.min(place).alias("rep"), F.max(place).alias("last"), F.bool_or("mixed").alias("mixed")), "reference-blocks")
+    known = index.where("n > 1").select("h", "b", F.col("n").alias("seen"), "rep", "last")
+    refs = _others("sn", f"sn div {PACK}", f"sn % {PACK}", f"x.sn div {PACK}")
+    whole = met.join(known, ["h", "b"], "left").groupBy(*KEY).agg(F.flatten(F.collect_list(F.when(F.col("seen") > 1, refs))).alias("spans"))
     seed = F.struct(F.col("rep.sn").alias("sn"), "h", F.col("n").alias("w"))
     wanted = index.where("mixed").select(*(F.col(f"rep.{k}") for k in KEY), seed.alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("wanted"))
     windows = _boundary_windows(keyed.select(*KEY, "text").join(wanted, list(KEY)), window)
-    again = windows.groupBy("h", "fp").agg(F.sum("w").alias("t"), F.min(F.struct("rk", "s")).alias("rep")).where("t > 1").select("h", "fp", F.col("rep.rk").alias("ref"), F.col("rep.s").alias("ref_s"))
-    edge = F.struct("s", F.lit(1).cast("long").alias("n"), "ref", "ref_s")
-    edges = windows.where("w = 1").join(again, ["h", "fp"]).groupBy(*KEY).agg(F.collect_list(edge).alias("spans"))
+    place = F.struct(*KEY, "s")
+    again = windows.groupBy("h", "fp").agg(F.sum("w").alias("t"), F.min(place).alias("rep"), F.max(place).alias("last")).where("t > 1").select("h", "fp", "rep", "last")
+    edges = windows.where("w = 1").join(again, ["h", "fp"]).groupBy(*KEY).agg(F.flatten(F.collect_list(_others("s", "s", "1L", "x.s"))).alias("spans"))
     every = whole.where(F.size("spans") > 0).unionByName(edges)
     spans = staged(every.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
     for done in (anchors, met, index):
@@ -227,19 +237,45 @@ def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     return out.select(*[named[c].alias(c) for c in docs.columns])
 
 
-def greedy(row: np.ndarray, s: np.ndarray, n: np.ndarray, ref: np.ndarray, ref_s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The greedy parse of rows into factors: (first span of each, its start, its windows).
+def greedy(row: np.ndarray, s: np.ndarray, n: np.ndarray, ref: np.ndarray, ref_s: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The greedy parse of rows into factors: row, first window, windows, reference and its
+    window, by row and start.
 
-    Spans are ordered by row and start; ``ref`` and ``ref_s`` are where they stand in the
-    reference. A span goes on with the factor if it starts no later than the window after the factor's
-    last, in the same reference at the same distance; else a factor starts with it.
+    Spans say that ``n`` windows from ``s`` on stand in ``ref`` from ``ref_s`` on. Spans of
+    one reference at one distance that touch are one stretch; from each first window that
+    no factor holds yet, the stretch that reaches farthest is the next factor.
     """
+    if not len(row):
+        return (row,) * 5
+    order = np.lexsort((s, ref_s - s, ref, row))
+    row, s, n, ref, ref_s = (x[order] for x in (row, s, n, ref, ref_s))
     new = np.ones(len(row), bool)
-    if len(row) > 1:
-        new[1:] = (row[1:] != row[:-1]) | (ref[1:] != ref[:-1]) | (ref_s[1:] - s[1:] != ref_s[:-1] - s[:-1]) | (s[1:] > s[:-1] + n[:-1])
+    same = (row[1:] == row[:-1]) & (ref[1:] == ref[:-1]) & (ref_s[1:] - s[1:] == ref_s[:-1] - s[:-1])
+    new[1:] = ~(same & (s[1:] <= s[:-1] + n[:-1]))
     lead = np.flatnonzero(new)
-    end = np.maximum.reduceat(s + n, lead) if len(lead) else lead
-    return lead, s[lead], end - s[lead]
+    end = np.maximum.reduceat(s + n, lead)
+    row, s, ref, ref_s = row[lead], s[lead], ref[lead], ref_s[lead]
+    order = np.lexsort((-end, s, row))
+    row, s, end, ref, ref_s = (x[order] for x in (row, s, end, ref, ref_s))
+    bounds = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)).tolist()
+    starts, ends = s.tolist(), end.tolist()
+    out: list[tuple[int, int, int]] = []  # stretch, start, end
+    for lo, hi in zip(bounds, bounds[1:]):
+        at, i, best, reach = starts[lo], lo, lo, -1
+        while True:
+            while i < hi and starts[i] <= at:
+                if ends[i] > reach:
+                    best, reach = i, ends[i]
+                i += 1
+            if reach > at:
+                out.append((best, at, reach))
+                at = reach
+            elif i < hi:
+                at = starts[i]
+            else:
+                break
+    chosen, at, reach = (np.array(c, np.int64) for c in zip(*out))
+    return row[chosen], at, reach - at, ref[chosen], ref_s[chosen] + at - s[chosen]
 
 
 def _cut(ids: pa.Array, spans: pa.Array, buf: np.ndarray, offsets: np.ndarray, window: int) -> pa.RecordBatch:
@@ -248,15 +284,13 @@ def _cut(ids: pa.Array, spans: pa.Array, buf: np.ndarray, offsets: np.ndarray, w
     count = np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
     s, n, ref, ref_s = (x.to_numpy(zero_copy_only=False) for x in spans.flatten().flatten())
     row = np.repeat(np.arange(rows), count)
-    order = np.lexsort((ref_s, s, row))
-    row, s, n, ref, ref_s = (x[order] for x in (row, s, n, ref, ref_s))
-    lead, begin, windows = greedy(row, s, n, ref, ref_s)
+    row, begin, windows, ref, ref_s = greedy(row, s, n, ref, ref_s)
     size = windows - 1 + window  # words of each factor
     change = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(change, first[row[lead]] + begin, 1)
-    np.add.at(change, first[row[lead]] + begin + size, -1)
+    np.add.at(change, first[row] + begin, 1)
+    np.add.at(change, first[row] + begin + size, -1)
     gone = np.cumsum(change)[:-1] > 0
-    factors = np.bincount(row[lead], minlength=rows)
+    factors = np.bincount(row, minlength=rows)
     data = buf.tobytes()
     kept, text, removed = [], [], []
     for i in range(rows):
@@ -274,7 +308,7 @@ def _cut(ids: pa.Array, spans: pa.Array, buf: np.ndarray, offsets: np.ndarray, w
         text.append(b"\n".join(data[starts[a + x] : ends[a + y - 1]] for x, y in zip(edge[::2].tolist(), edge[1::2].tolist())))
     listed = pa.ListArray.from_arrays(
         pa.array(np.concatenate(([0], np.cumsum(factors))), pa.int32()),
-        pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (begin, size, ref[lead], ref_s[lead])], ["start", "words", "ref", "ref_start"]),
+        pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (begin, size, ref, ref_s)], ["start", "words", "ref", "ref_start"]),
     )
     return pa.record_batch(
         [ids, pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(factors.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(text, pa.binary()).cast(pa.string()), listed],

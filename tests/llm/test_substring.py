@@ -65,8 +65,65 @@ def test_what_goes_are_the_factors_words(spark, sf_dir):
 def test_greedy_factors():
     a = lambda *x: np.array(x)
     # row 0: two blocks that go on in reference 7, then a window of reference 8; row 1: a gap
-    lead, start, windows = substring.greedy(a(0, 0, 0, 1, 1), a(2, 5, 8, 0, 9), a(3, 3, 1, 2, 1), a(7, 7, 8, 7, 7), a(12, 15, 40, 10, 19))
-    assert (lead.tolist(), start.tolist(), windows.tolist()) == ([0, 2, 3, 4], [2, 8, 0, 9], [6, 1, 2, 1])
+    got = substring.greedy(a(0, 0, 0, 1, 1), a(2, 5, 8, 0, 9), a(3, 3, 1, 2, 1), a(7, 7, 8, 7, 7), a(12, 15, 40, 10, 19))
+    assert [x.tolist() for x in got] == [[0, 0, 1, 1], [2, 8, 0, 9], [6, 1, 2, 1], [7, 8, 7, 7], [12, 40, 10, 19]]
+    # of two references the one that goes on longer; what the first factor holds isn't begun again
+    got = substring.greedy(a(0, 0, 0, 0), a(0, 0, 3, 4), a(3, 4, 3, 5), a(1, 2, 1, 3), a(9, 5, 12, 70))
+    assert [x.tolist() for x in got] == [[0, 0], [0, 6], [6, 3], [1, 3], [9, 72]]
+
+
+def plain_factors(texts: dict[int, str], window: int) -> dict[int, list[tuple[int, int]]]:
+    """Start and words of the greedy parse, by comparing with every other place of every text."""
+    words = {i: t.split() for i, t in texts.items()}
+    places = {}
+    for i, w in words.items():
+        for j in range(len(w) - window + 1):
+            places.setdefault(tuple(w[j : j + window]), []).append((i, j))
+    out = {}
+    for i, w in words.items():
+        out[i], at = [], 0
+        while at + window <= len(w):
+            longest = 0
+            for k, j in places[tuple(w[at : at + window])]:
+                if (k, j) != (i, at):
+                    n = window
+                    while at + n < len(w) and j + n < len(words[k]) and words[k][j + n] == w[at + n]:
+                        n += 1
+                    longest = max(longest, n)
+            if longest:
+                out[i].append((at, longest))
+            at += max(longest - window, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_factors_as_a_plain_parse_of_passages_at_two_places(spark, seed):
+    rng = random.Random(seed)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    docs = {i: [] for i in range(24)}
+    for _ in range(40):  # each passage, or cuts of it, stands at two places
+        passage = new(rng.choice([9, 12, 14, 20, 40]))
+        for i in rng.sample(sorted(docs), 2):
+            a = rng.choice([0, 0, 1, 3])
+            docs[i] += [*new(rng.choice([0, 0, 1, 5])), *passage[a : len(passage) - rng.choice([0, 0, 2])]]
+    texts = {i: " ".join(w) for i, w in docs.items()}
+    got = substring.parse(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 12).collect()
+    want = plain_factors(texts, 12)
+    assert {r.doc_id: [(f.start, f.words) for f in r.factors] for r in got} == want
+    assert sum(map(len, want.values())) > 30
+
+
+def test_factors_stand_elsewhere_word_by_word(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = {r.doc_id: (r.text or "").split() for r in docs.collect()}
+    seen = 0
+    for r in substring.parse(docs).collect():
+        for f in r.factors:
+            own, other = words[r.doc_id][f.start : f.start + f.words], words[f.ref][f.ref_start : f.ref_start + f.words]
+            assert own == other and (r.doc_id, f.start) != (f.ref, f.ref_start)
+            seen += 1
+    assert seen > 50
 
 
 def test_rows_that_repeat_an_id_and_columns_of_any_name(spark):
