@@ -129,16 +129,27 @@ def period_of(days: list[datetime.date]) -> str | None:
     return period_of_gaps(Counter((b - a).days for a, b in zip(days, days[1:])))
 
 
+#: No series waits longer than this for its next payment.
+LONGEST_WAIT = max(_NOMINAL.values()) * 8 // 5
+
+
 def fold_series(clusters: list[tuple[Decimal, list[tuple[datetime.date, int]]]]) -> list[dict]:
     """Series of clusters (amount, days with counts) in first-seen order: each joins the
     latest series that it continues, as its new price, else begins one; a rise stays
-    known after a drop. A series holds its last day and its counted gaps, not payments."""
+    known after a drop. A series holds its last day and its counted gaps, not payments.
+    Those that have waited too long for any cluster still to come are laid aside, and two
+    single payments are compared by their distance alone."""
+    done: list[dict] = []
     series: list[dict] = []
+    yearly = _BANDS["yearly"]
     for amount, days in clusters:
         first, own, n = days[0][0], day_gaps(days), sum(k for _, k in days)
+        if any((first - s["last"]).days > LONGEST_WAIT for s in series):
+            done += [s for s in series if (first - s["last"]).days > LONGEST_WAIT]
+            series = [s for s in series if (first - s["last"]).days <= LONGEST_WAIT]
         for s in reversed(series):
             wait = (first - s["last"]).days
-            if wait <= 0:
+            if wait <= 0 or (not own and not s["gaps"] and not yearly[0] <= wait <= yearly[1]):
                 continue
             gaps = s["gaps"] + own + Counter([wait])
             period = period_of_gaps(gaps)
@@ -149,22 +160,32 @@ def fold_series(clusters: list[tuple[Decimal, list[tuple[datetime.date, int]]]])
                 break
         else:
             series.append({"amount": amount, "gaps": own, "last": days[-1][0], "payments": n, "rise_from": None, "rise_to": None, "rise_when": None})
-    return [s | {"period": p} for s in series if (p := period_of_gaps(s["gaps"]))]
+    return [s | {"period": p} for s in done + series if (p := period_of_gaps(s["gaps"]))]
+
+
+def stretches(clusters: DataFrame, *keys: str) -> DataFrame:
+    """Adds stretch: a number that rises where nothing of the keys was paid for longer than
+    any series waits. What lies before can't be continued after, so stretches fold apart."""
+    order = Window.partitionBy(*keys).orderBy("first", "seq")
+    before = F.max(F.element_at("days", -1)["date"]).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.datediff("first", before) > LONGEST_WAIT, F.lit(False)).cast("int")
+    return clusters.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(order)).drop("fresh")
 
 
 def series(payments: DataFrame, direction: str = "debit", account: str = "account", merchant: str = "merchant") -> DataFrame:
     """(account, merchant, period, amount, rise_from, rise_to, rise_when, payments) of each series.
 
-    A merchant of one account is folded as a whole, since each cluster's place depends
-    on the ones before; what it gathers are its amounts by day, with their counts, so it
-    grows with different amounts and days and not with payments.
+    A merchant's stretch without a pause longer than any series waits is folded as a
+    whole, since each cluster's place depends on the ones before; what it gathers are its
+    amounts by day, with their counts, so it grows with different amounts and days and not
+    with payments.
     """
     net = net_of_reversals(payments, direction, account, merchant)
     clusters = net.groupBy(account, merchant, "amount").agg(F.array_sort(F.collect_list(F.struct("date", "n"))).alias("days"))
     first_seq = payments.where(F.col("direction") == direction).groupBy(account, merchant, "amount", "date").agg(F.min("seq").alias("seq"))
     clusters = clusters.withColumn("first", F.col("days")[0]["date"])
     clusters = clusters.join(first_seq.withColumnRenamed("date", "first"), [account, merchant, "amount", "first"])
-    whole = clusters.groupBy(account, merchant).agg(F.array_sort(F.collect_list(F.struct("first", "seq", "amount", "days"))).alias("clusters"))
+    whole = stretches(clusters, account, merchant).groupBy(account, merchant, "stretch").agg(F.array_sort(F.collect_list(F.struct("first", "seq", "amount", "days"))).alias("clusters"))
     kinds = dict(whole.dtypes)
     money = dict(net.dtypes)["amount"]
     fields = ("rise_from", "rise_to", "rise_when")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates as D
+from tallyforge.functions import similarity as S
 from tallyforge.functions import text as X
 from tallyforge.operators.passages import quote_in
 from tallyforge.operators.timeline import ascii_lower
@@ -96,6 +100,38 @@ def mark_disputed(obligations: DataFrame, disagreements: DataFrame) -> DataFrame
     return obligations.join(told, "obligation_id", "left").withColumn("disputed", F.array_distinct(F.concat(F.coalesce("disputed", none), F.coalesce("disputes", none)))).drop("disputes")
 
 
+#: The step that each payload is scored on, and how like its values must be.
+SCORED_STEPS = {"audit": ("normalise", 0.85), "letter": ("obligations", 1.0), "comparison": ("policy-terms", 1.0)}
+
+
+def score_fixtures(expected: DataFrame, actual: DataFrame, steps: Mapping[str, tuple[str, float]] = SCORED_STEPS) -> DataFrame:
+    """(fixture, payload, step, correct, expected, end_to_end) of each fixture, in the
+    vocabulary of its payload.
+
+    ``expected`` and ``actual`` (fixture, payload, key, value, seq) are what was authored and
+    answered: merchants' names for an audit, obligations for a letter, terms for a
+    comparison. Of a key that is answered twice the first answer counts. ``correct`` are
+    the expected keys whose answer is like it (exactly, or by similarity, as the payload
+    says); a fixture that says nothing of its step has no step score (null), since nothing
+    was measured. ``end_to_end`` is the F1 of correct answers over all keys on both sides, 1
+    where both are empty. Null keys count on neither side.
+    """
+    kinds = [F.col("payload") == p for p in steps]
+    of = lambda i: reduce(lambda c, x: F.when(x[0], x[1][i]).otherwise(c), zip(kinds, steps.values()), F.lit(None))
+    first = actual.where("key IS NOT NULL").groupBy("fixture", "payload", "key").agg(F.min_by(F.struct("value"), "seq").alias("said"))
+    wanted = expected.where("key IS NOT NULL").groupBy("fixture", "payload", "key").agg(F.min_by(F.struct("value"), "seq").alias("want"))
+    both = wanted.join(first, ["fixture", "payload", "key"], "full_outer").withColumn("least", of(1))
+    same = F.col("want.value").eqNullSafe(F.col("said.value"))
+    near = F.when(F.col("least") < 1, S.similarity(F.col("want.value"), F.col("said.value")) >= F.col("least"))
+    right = F.col("want").isNotNull() & F.col("said").isNotNull() & (same | F.coalesce(near, F.lit(False)))
+    told = both.groupBy("fixture", "payload").agg(F.count_if(right).alias("correct"), F.count_if(F.col("want").isNotNull()).alias("expected"), F.count_if(F.col("said").isNotNull()).alias("said"))
+    every = expected.select("fixture", "payload").unionByName(actual.select("fixture", "payload")).distinct()
+    rows = every.join(told, ["fixture", "payload"], "left").na.fill(0, ["correct", "expected", "said"])
+    measured = F.col("expected") > 0
+    f1 = F.when(F.col("expected") + F.col("said") == 0, 1.0).otherwise(2 * F.col("correct") / (F.col("expected") + F.col("said")))
+    return rows.select("fixture", "payload", F.when(measured, of(0)).alias("step"), F.when(measured, F.col("correct")).alias("correct"), "expected", f1.alias("end_to_end"))
+
+
 def is_wrong(kind: Column, expected: Column, actual: Column, outcome: Column, same: Column) -> Column:
     """An assertion that says something else: a wrong class, a found nothing, a missed something."""
     asserted = F.when(kind == "classification", expected != actual).when(outcome == "found", expected.isNull() | ~F.coalesce(same, F.lit(False))).otherwise(expected.isNotNull())

@@ -110,3 +110,22 @@ def _page_window():
 def printed_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = statement_tables.reconstructed(_printed(spark, sf_dir))
     return rows.where("reason IS NULL").select("doc", "date", "raw_merchant", "amount", "direction")
+
+
+FIXTURES = """SELECT o_custkey AS fixture, CASE o_custkey % 3 WHEN 0 THEN 'audit' WHEN 1 THEN 'letter' ELSE 'comparison' END AS payload, o_orderkey // 10 AS key, 'paid to shop ' || o_orderpriority AS value, o_orderkey AS seq FROM orders"""
+
+
+@register("fixture_scores", f"""WITH e AS (SELECT fixture, payload, key, arg_min(value, seq) AS want FROM ({FIXTURES}) WHERE fixture % 11 > 0 GROUP BY ALL),
+a AS (SELECT fixture, payload, key, arg_min(said, seq) AS said FROM (SELECT *, CASE seq % 4 WHEN 0 THEN value || '!' WHEN 1 THEN replace(value, 'paid', 'piad') WHEN 2 THEN 'nothing' ELSE value END AS said FROM ({FIXTURES}) WHERE seq % 7 > 0) GROUP BY ALL),
+j AS (SELECT fixture, payload, want, said, regexp_replace(lower(want), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS x, regexp_replace(lower(said), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS y FROM e FULL JOIN a USING (fixture, payload, key)),
+s AS (SELECT fixture, payload, count(want) AS expected, count(said) AS said, count(*) FILTER (WHERE want = said OR (payload = 'audit' AND 1 - damerau_levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) >= 0.85)) AS correct FROM j GROUP BY ALL)
+SELECT fixture, payload, CASE WHEN expected > 0 THEN CASE payload WHEN 'audit' THEN 'normalise' WHEN 'letter' THEN 'obligations' ELSE 'policy-terms' END END AS step, CASE WHEN expected > 0 THEN correct END AS correct, expected, round(2 * correct / (expected + said), 9) AS end_to_end FROM s""")
+def fixture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as fixtures of three payloads: answers left out, misspelt, adorned or wrong."""
+    o = table(spark, sf_dir, "orders")
+    payload = F.when(F.col("o_custkey") % 3 == 0, "audit").when(F.col("o_custkey") % 3 == 1, "letter").otherwise("comparison")
+    rows = o.select(F.col("o_custkey").alias("fixture"), payload.alias("payload"), F.expr("o_orderkey div 10").alias("key"), F.concat(F.lit("paid to shop "), "o_orderpriority").alias("value"), F.col("o_orderkey").alias("seq"))
+    k = F.col("seq") % 4
+    said = F.when(k == 0, F.concat("value", F.lit("!"))).when(k == 1, F.replace("value", F.lit("paid"), F.lit("piad"))).when(k == 2, "nothing").otherwise(F.col("value"))
+    told = fixtures.score_fixtures(rows.where("fixture % 11 > 0"), rows.where("seq % 7 > 0").withColumn("value", said))
+    return told.withColumn("end_to_end", F.round("end_to_end", 9))

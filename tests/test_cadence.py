@@ -91,6 +91,40 @@ CASES = {
 }
 
 
+def plain_fold(clusters):
+    """Every earlier series is tried, whatever its age."""
+    series = []
+    for amount, days in clusters:
+        first, own = days[0][0], cadence.day_gaps(days)
+        for s in reversed(series):
+            wait = (first - s["last"]).days
+            gaps = [*s["gaps"], *own.elements(), wait]
+            period = cadence.period_of_gaps(dict((g, gaps.count(g)) for g in set(gaps))) if wait > 0 else None
+            if period and wait <= cadence._NOMINAL[period] * 8 // 5:
+                s |= {"amount": amount, "gaps": gaps, "last": days[-1][0]}
+                break
+        else:
+            series.append({"amount": amount, "gaps": list(own.elements()), "last": days[-1][0]})
+    told = ((s["amount"], cadence.period_of_gaps({g: s["gaps"].count(g) for g in set(s["gaps"])}), len(s["gaps"])) for s in series)
+    return sorted((a, p, n) for a, p, n in told if p)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_laying_old_series_aside_changes_nothing(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(60):
+        start, step = dt.date(2010, 1, 1) + rng.randrange(5000) * DAY, rng.choice([7, 30, 91, 365, 365, 1])
+        rows += [("m", start + i * step * DAY, Decimal(100 + k), "debit") for i in range(rng.choice([1, 1, 1, 2, 3]))]
+    clusters = sorted(((min(r[1] for r in rows if r[2] == a), i, a) for i, a in enumerate(dict.fromkeys(r[2] for r in rows))))
+    days = lambda a: sorted((d, sum(r[1] == d for r in rows if r[2] == a)) for d in {r[1] for r in rows if r[2] == a})
+    want = plain_fold([(a, days(a)) for _, _, a in clusters])
+    folded = cadence.fold_series([(a, days(a)) for _, _, a in clusters])
+    assert sorted((s["amount"], s["period"], sum(s["gaps"].values())) for s in folded) == want
+    got = cadence.series(frame(spark, rows)).collect()
+    assert sorted((r.amount, r.period, r.payments - 1) for r in got) == want
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_series(spark, name):
     rows, want = CASES[name]
