@@ -224,6 +224,20 @@ def statement_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("account", "merchant", "period", F.col("rise_to").isNotNull().alias("rose"))
 
 
+#: Each account's series of the bed, and what the twin with one dearer payment changes.
+TWIN = f"SELECT c_custkey::VARCHAR AS account, upper(replace(shape, '_', ' ')) AS merchant, period, rose OR shape = 'monthly_level' AS rose FROM customer, (VALUES {_values([(s, *t) for s, ts in beds.TRUTH.items() for t in ts])}) AS t(shape, period, rose) WHERE shape <> 'weekly_level'"
+
+
+@register("statement_twins", TWIN)
+def statement_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bed's twin in another order, without one merchant, with look-alikes, and with one
+    payment dearer: nothing else moves."""
+    bed = beds.statements(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+    twin = beds.with_strangers(beds.dearer(beds.one_removed(beds.reordered(bed), "weekly_level"), "monthly_level"))
+    found = cadence.series(merchants.with_stem(twin).withColumn("merchant", F.col("stem")))
+    return found.select("account", "merchant", "period", F.col("rise_to").isNotNull().alias("rose"))
+
+
 DUE = {"dated": ("later", "read"), "counted": ("written + 14", "worked_out"), "anchored": ("later + 30", "worked_out"), "month_end": ("last_day(written)", "worked_out"), "pointed": ("later", "read"), "counted_from_a_date": ("later + 10", "worked_out"), "one_day": ("written + 1", "worked_out"), "month_end_of_anchor": ("last_day(later)", "worked_out"), "pointed_below": ("later", "read"), "dated_despite_anchor": ("later", "read")}
 DUE_SQL = " ".join(f"WHEN '{s}' THEN {d}" for s, (d, _) in DUE.items())
 DUE_KIND = " ".join(f"WHEN '{s}' THEN '{k}'" for s, (_, k) in DUE.items())

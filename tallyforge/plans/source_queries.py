@@ -363,6 +363,49 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return purchases(spark, sf_dir).withColumns({"raw_merchant": name, "amount": amount}).drop("merchant")
 
 
+#: A fault of a pack: what is said of it, a further field, and a step.
+PACK_CASES = (
+    ("", "", '{"kind": "preprocess", "name": "segment"}'),
+    ("unknown fields ['colour']", ', "colour": "red"', '{"kind": "render"}'),
+    ("no step is of kind 'shuffle'", "", '{"kind": "shuffle"}'),
+    ("'prompts/missing.txt' isn't a file of the pack", "", '{"kind": "model", "name": "classify", "files": {"prompt": "prompts/missing.txt"}}'),
+    ("'../escape.txt' isn't a file of the pack", "", '{"kind": "model", "name": "classify", "files": {"prompt": "../escape.txt"}}'),
+    ("schema uses ['pattern']", "", '{"kind": "model", "name": "classify", "schema": {"pattern": "x"}}'),
+    ("a comparison needs two roles of exactly one file", "", '{"kind": "aggregate", "name": "term-diff"}'),
+)
+PACK_ERROR = " ".join(f"WHEN {k} THEN {_sql_text(c[0])}" for k, c in enumerate(PACK_CASES) if k)
+
+
+@register("pack_catalog", f"""WITH p AS (SELECT s_suppkey, CASE s_suppkey % {len(PACK_CASES)} {PACK_ERROR} END AS error FROM supplier)
+SELECT 's' || s_suppkey::VARCHAR AS folder, CASE WHEN error IS NULL THEN 'pack-of-' || s_suppkey::VARCHAR END AS id, CASE WHEN error IS NULL THEN 1 END AS roles, CASE WHEN error IS NULL THEN 2 END AS steps, error FROM p""")
+def pack_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of packs, one from each supplier, most with a fault of their own."""
+    root = runs.new_folder(spark, "packs")
+    at = (F.col("s_suppkey") % len(PACK_CASES) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in PACK_CASES]), at)
+    key = F.col("s_suppkey").cast("string")
+    good = '{"kind": "model", "name": "classify", "files": {"prompt": "prompts/ask.txt"}}'
+    manifest = F.concat(F.lit('{"id": "pack-of-'), key, F.lit('", "version": "1", "inputs": [{"name": "letter"}], "steps": ['), F.lit(good), F.lit(", "), pick(2), F.lit("]"), pick(1), F.lit("}"))
+    s = table(spark, sf_dir, "supplier")
+    text = s.select("s_suppkey", F.concat(F.lit("s"), key, F.lit("/pack.json")).alias("name"), manifest.alias("content"))
+    ask = s.select("s_suppkey", F.concat(F.lit("s"), key, F.lit("/prompts/ask.txt")), F.lit("Which kind is it?"))
+    files.write_files(text.union(ask).repartition("s_suppkey"), root)
+    return packs.catalog(spark, root).select(F.substring_index("folder", "/", -1).alias("folder"), "id", "roles", "steps", "error")
+
+
+PUBLIC = """SELECT n_name || '/' || s_suppkey::VARCHAR || '.json' AS name, '{"balance":"' || s_acctbal::DECIMAL(18,2)::VARCHAR || '","name":"' || s_name || '"}' AS content FROM supplier JOIN nation ON n_nationkey = s_nationkey"""
+
+
+@register("projection_files", PUBLIC)
+def projection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public documents, one file each in a folder of its nation, money as text."""
+    root = runs.new_folder(spark, "public")
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    told = F.to_json(F.struct(F.col("s_acctbal").cast("decimal(18,2)").cast("string").alias("balance"), F.col("s_name").alias("name")))
+    files.write_files(rows.select(F.concat("n_name", F.lit("/"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("name"), told.alias("content")), root)
+    return files.read_files(spark, root).select("name", "content")
+
+
 @register("dry_run", """WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
 SELECT o_custkey, unnest(CASE WHEN o_custkey % 5 = 0 THEN ['the result is cached'] ELSE ['preprocess merchant-cleanup', 'model normalise: ' || ((n + 3) // 4)::VARCHAR || ' batches of ' || n::VARCHAR || ' items', 'aggregate recurrence-detect', 'render'] END) AS line FROM c""")
 def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path, PurePosixPath
 from typing import Any
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The names that a pack's steps and schemas may use.
@@ -88,13 +89,15 @@ def checked_step(step: Mapping[str, Any]) -> None:
         raise PackError(f"{kind} has no {step.get('name')!r}")
 
 
-def load(folder: str | Path) -> Pack:
-    """The pack in a folder, or PackError for anything undeclared, missing or uncontained."""
-    folder = Path(folder)
+def parsed(text: str, has_file: Callable[[str], bool]) -> Pack:
+    """The pack that a ``pack.json`` describes, or PackError for anything undeclared, missing
+    or uncontained; ``has_file`` tells whether the pack's folder holds a file."""
     try:
-        raw = json.loads((folder / "pack.json").read_text())
-    except (OSError, json.JSONDecodeError) as e:
+        raw = json.loads(text)
+    except json.JSONDecodeError as e:
         raise PackError(f"pack.json can't be read: {e}") from e
+    if not isinstance(raw, Mapping) or "id" not in raw or "version" not in raw:
+        raise PackError("a pack needs an id and a version")
     if extra := set(raw) - {"id", "version", "inputs", "steps", "kinds"}:
         raise PackError(f"unknown fields {sorted(extra)}")
     inputs = tuple(InputRole(r["name"], r.get("least", 1), r.get("most", 1), tuple(r.get("kinds", ["csv"]))) for r in raw.get("inputs", []))
@@ -103,7 +106,7 @@ def load(folder: str | Path) -> Pack:
     for step in raw.get("steps", []):
         checked_step(step)
         for file in step.get("files", {}).values():
-            if not is_contained(file) or not (folder / file).is_file():
+            if not is_contained(file) or not has_file(file):
                 raise PackError(f"{file!r} isn't a file of the pack")
         if "schema" in step:
             grammar_safe(step["schema"])
@@ -112,6 +115,43 @@ def load(folder: str | Path) -> Pack:
     return Pack(raw["id"], raw["version"], inputs, tuple(raw.get("steps", [])), raw.get("kinds", {}))
 
 
+def load(folder: str | Path) -> Pack:
+    """The pack in a folder."""
+    folder = Path(folder)
+    try:
+        text = (folder / "pack.json").read_text()
+    except OSError as e:
+        raise PackError(f"pack.json can't be read: {e}") from e
+    return parsed(text, lambda file: (folder / file).is_file())
+
+
+def catalog(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, id, version, roles, steps, error) of every folder with a ``pack.json`` below
+    ``root``; a pack that is refused has its error alone. Files of a pack are those below
+    its folder; the manifests are read where they lie, a task for many."""
+    raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    manifests = raw.where("path LIKE '%/pack.json'").select(F.regexp_replace("path", "/pack[.]json$", "").alias("folder"), F.col("value").alias("text"))
+    # each file below any folder above it, so that packs meet their own files in an equi-join
+    files = raw.select("path", F.split("path", "/").alias("parts"))
+    files = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda n: F.array_join(F.slice("parts", 1, n), "/"))).alias("folder"))
+    held = manifests.join(files, "folder").groupBy("folder", "text").agg(F.collect_set(F.expr("substring(path, length(folder) + 2)")).alias("files"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, names in zip(batch.column("text").to_pylist(), batch.column("files").to_pylist()):
+                try:
+                    pack = parsed(text, set(names).__contains__)
+                    rows.append((pack.id, pack.version, len(pack.inputs), len(pack.steps), None))
+                except PackError as e:
+                    rows.append((None, None, None, None, str(e)))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.record_batch([batch.column("folder"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["folder", "id", "version", "roles", "steps", "error"])
+
+    return held.mapInArrow(run, "folder string, id string, version string, roles int, steps int, error string")
+
+
 def bind(pack: Pack, given: Mapping[str, list[str]]) -> list[tuple[str, str]]:
     """(role, path) in declared order; refuses unknown, too few, too many, wrong kinds."""
     declared = {r.name: r for r in pack.inputs}
