@@ -251,7 +251,21 @@ def letter_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("shape", F.col("due.date").alias("due"), F.col("due.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@register("renewal_bed", f"SELECT shape, verdict, count(*) AS n FROM supplier, (VALUES {_values([(s, v) for s, (_, _, v) in beds.RENEWALS.items()])}) AS t(shape, verdict) GROUP BY ALL")
+HARD = _values([(s, c[1], str(c[4]) if c[4] is not None else None, c[5]) for s, (_, cs) in beds.HARD_LETTERS.items() for c in cs])
+
+
+@register("hard_letters", f"SELECT s_suppkey AS sender, shape, kind, (DATE '2024-03-04' + (s_suppkey % 300)::INT + days::INT)::DATE AS due, how FROM supplier, (VALUES {HARD}) AS t(shape, kind, days, how)")
+def hard_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misleading letters: what only permits becomes no action, everything else its own day."""
+    segments, asked = beds.hard_letters(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
+    answers = asked.join(segments, ["document", "ordinal"]).withColumns({"parent_id": F.col("seq"), "claims": F.array(F.col("kind"))})
+    offers = claims.offered(answers).select(F.col("parent_id").alias("seq"), F.lit("offered").alias("offer"))
+    done = timeline.dated(asked, segments).join(offers, "seq", "left")
+    sender = F.expr(f"document div {len(beds.HARD_LETTERS)}").alias("sender")
+    return done.select(sender, "shape", "kind", F.when(F.col("offer").isNull(), F.col("due.date")).alias("due"), F.coalesce("offer", "due.kind").alias("how"))
+
+
+@register("renewal_bed", f"SELECT shape, verdict, count(*) AS n FROM supplier, (VALUES {_values([(s, v) for s, (_, _, vs) in beds.RENEWALS.items() for v in vs.split()])}) AS t(shape, verdict) GROUP BY ALL")
 def renewal_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated renewals: every change is told, and what can't be compared is refused."""
     rows, _ = beds.renewals(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))

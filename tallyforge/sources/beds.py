@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A grid of series: each pace (days between, payments) under each form (what the second half
@@ -85,7 +85,48 @@ def letters(senders: DataFrame, anchor: str = "2024-03-04") -> tuple[DataFrame,
     return segments, obligations
 
 
-# Renewals: shape, terms of the earlier document, terms of the later one, and the verdict.
+# Letters that mislead a quick reader. Passages: {w} is the day of writing, {b} 40 days
+# before it, {l} and {m} 21 and 30 days after it, {pad} more than an opening holds. Claims: the
+# passage read, kind, deadline and anchor; what becomes of each: a day counted from the
+# writing (null: none can be told) and how, or that nothing was asked for.
+HARD_LETTERS = {
+    "another_day_named": (("{w}", "Since {b} we have waited. You must send the form within 12 days."), ((1, "send", "within 12 days", "", 12, "worked_out"),)),
+    "two_duties": (("{w}", "You must reply by {l}, and you must pay within 30 days."), ((1, "reply", "by {l}", "", 21, "read"), (1, "pay", "within 30 days", "", 30, "worked_out"))),
+    "written_too_late": (("{pad}", "{w}", "You must reply within 12 days."), ((2, "reply", "within 12 days", "", None, None),)),
+    "only_an_offer": (("{w}", "You may ask for a plan by {l}."), ((1, "ask", "by {l}", "", None, "offered"),)),
+    "offer_with_a_duty": (("{w}", "You may ask for a plan. You must do so by {l}."), ((1, "ask", "by {l}", "", 21, "read"),)),
+    "news_alone": (("{w}", "Our office is closed from {l} to {m}."), ()),
+    "two_rows": (("{w}", "Please pay by the date below.", "Due date {m}", "Due date {l}"), ((1, "pay", "by the date below", "", 30, "read"),)),
+    "row_without_a_day": (("{w}", "Please pay by the date below.", "Due date as agreed", "Payment due {l}"), ((1, "pay", "by the date below", "", 21, "read"),)),
+    "anchored_elsewhere": (("{w}", "You must reply within 9 days of the visit of {l}."), ((1, "reply", "within 9 days", "the visit of {l}", 30, "worked_out"),)),
+}
+
+
+def hard_letters(senders: DataFrame, anchor: str = "2024-03-04") -> tuple[DataFrame, DataFrame]:
+    """(segments, claims) of one misleading letter of each shape from each sender (``id``);
+    letters of ``news_alone`` have no claim."""
+    from tallyforge.functions.dates import in_words
+
+    spark = senders.sparkSession
+    day = F.date_add(F.lit(anchor).cast("date"), (F.col("id") % 300).cast("int"))
+    pad = " ".join(["We write to you as a customer of many years and hope to go on for many more."] * 9)
+
+    def told(c: Column) -> Column:
+        for mark, days in (("{w}", 0), ("{b}", -40), ("{l}", 21), ("{m}", 30)):
+            c = F.replace(c, F.lit(mark), in_words(F.date_add(day, days)))
+        return F.replace(c, F.lit("{pad}"), F.lit(pad))
+
+    lines = spark.createDataFrame([(k, n, i, x) for k, (n, (xs, _)) in enumerate(HARD_LETTERS.items()) for i, x in enumerate(xs)], "k int, shape string, ordinal int, text string")
+    asked = spark.createDataFrame([(k, n, *c[:4]) for k, (n, (_, cs)) in enumerate(HARD_LETTERS.items()) for c in cs], "k int, shape string, ordinal int, kind string, deadline string, anchor string")
+    document = (F.col("id") * len(HARD_LETTERS) + F.col("k")).cast("long").alias("document")
+    each = lambda rows: senders.select("id").crossJoin(F.broadcast(rows))  # noqa: E731  two dozen rows
+    segments = each(lines).select(document, "ordinal", told(F.col("text")).alias("text"))
+    claims = each(asked).select(document, "ordinal", "shape", "kind", F.concat(F.lit("Sender "), F.col("id").cast("string")).alias("party"), told(F.col("deadline")).alias("deadline"), told(F.col("anchor")).alias("anchor"), F.lit("high").alias("confidence"), day.alias("written"))
+    return segments, claims.withColumn("seq", F.col("document") * 10 + F.when(F.col("kind") == "pay", 1).otherwise(0))
+
+
+# Renewals: shape, terms of the earlier document, terms of the later one, and the verdicts.
+# A term may name the section that it belongs to behind an @.
 RENEWALS = {
     "unchanged": (["excess=£137"], ["excess=£137"], "unchanged"),
     "dearer": (["premium=£214.60"], ["premium=£229.15"], "changed"),
@@ -100,18 +141,22 @@ RENEWALS = {
     "twice_later": (["excess=£65"], ["excess=£65", "excess=£85"], "stated_more_than_once"),
     "written_out": (["cover=full"], ["cover=third party"], "changed"),
     "same_words": (["cover=third party"], ["cover=third party"], "unchanged"),
+    "one_section_dearer": (["excess@buildings=£310", "excess@contents=£120"], ["excess@buildings=£310", "excess@contents=£145"], "unchanged changed"),
+    "section_dropped": (["limit@contents=£9000", "limit@garden=£1100"], ["limit@contents=£9000"], "unchanged removed"),
+    "sections_swapped": (["excess@home=£95", "excess@away=£155"], ["excess@home=£155", "excess@away=£95"], "changed"),
+    "two_excesses": (["excess@theft=£205", "excess@theft=£255", "excess@fire=£405"], ["excess@theft=£205", "excess@fire=£405"], "stated_more_than_once unchanged"),
 }
 
 
 def renewals(policies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(terms, truth) of pairs of documents, each policy's (``id``) and shape's under a name of its own."""
     spark = policies.sparkSession
-    rows = [(n, side, t.split("=")[0], t.split("=")[1]) for n, (a, b, _) in RENEWALS.items() for side, ts in ((0, a), (1, b)) for t in ts]
-    shapes = spark.createDataFrame(rows, "shape string, document int, label string, value string")
+    rows = [(n, side, t.split("=")[0].split("@")[0], f"{t.split('=')[0]}@per_claim".split("@")[1], t.split("=")[1]) for n, (a, b, _) in RENEWALS.items() for side, ts in ((0, a), (1, b)) for t in ts]
+    shapes = spark.createDataFrame(rows, "shape string, document int, label string, section string, value string")
     base = policies.select("id").crossJoin(F.broadcast(shapes))  # two dozen terms
     basis = F.concat_ws("_", F.col("shape"), F.col("id").cast("string"))
-    terms = base.select("document", "label", F.concat_ws(":", basis, "label").alias("term"), F.lit("per_claim").alias("basis"), "value", F.concat(F.lit("It is "), "value").alias("quote"), basis.alias("family"), "shape")
-    truth = spark.createDataFrame([(n, v) for n, (_, _, v) in RENEWALS.items()], "shape string, verdict string")
+    terms = base.select("document", "label", F.concat_ws(":", basis, "label").alias("term"), F.col("section").alias("basis"), "value", F.concat(F.lit("It is "), "value").alias("quote"), basis.alias("family"), "shape")
+    truth = spark.createDataFrame([(n, v) for n, (_, _, vs) in RENEWALS.items() for v in vs.split()], "shape string, verdict string")
     return terms, truth
 
 
