@@ -166,15 +166,15 @@ def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
     index = staged(met.groupBy("h", "b").agg(F.count("*").alias("n"), F.min(place).alias("rep"), F.max(place).alias("last"), F.bool_or("mixed").alias("mixed")), "reference-blocks")
     known = index.where("n > 1").select("h", "b", F.col("n").alias("seen"), "rep", "last")
     refs = _others("sn", f"sn div {PACK}", f"sn % {PACK}", f"x.sn div {PACK}")
-    whole = met.join(known, ["h", "b"], "left").groupBy(*KEY).agg(F.flatten(F.collect_list(F.when(F.col("seen") > 1, refs))).alias("spans"))
+    whole = met.join(known, ["h", "b"], "left").groupBy(*KEY).agg(F.flatten(F.collect_set(F.when(F.col("seen") > 1, refs))).alias("spans"))  # of rows that repeat another wholly, once
     seed = F.struct(F.col("rep.sn").alias("sn"), "h", F.col("n").alias("w"))
     wanted = index.where("mixed").select(*(F.col(f"rep.{k}") for k in KEY), seed.alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("wanted"))
     windows = _boundary_windows(keyed.select(*KEY, "text").join(wanted, list(KEY)), window)
     place = F.struct(*KEY, "s")
     again = windows.groupBy("h", "fp").agg(F.sum("w").alias("t"), F.min(place).alias("rep"), F.max(place).alias("last")).where("t > 1").select("h", "fp", "rep", "last")
-    edges = windows.where("w = 1").join(again, ["h", "fp"]).groupBy(*KEY).agg(F.flatten(F.collect_list(_others("s", "s", "1L", "x.s"))).alias("spans"))
+    edges = windows.where("w = 1").join(again, ["h", "fp"]).groupBy(*KEY).agg(F.flatten(F.collect_set(_others("s", "s", "1L", "x.s"))).alias("spans"))
     every = whole.where(F.size("spans") > 0).unionByName(edges)
-    spans = staged(every.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans")
+    spans = staged(every.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     for done in (anchors, met, index):
         forget(done)
     return spans
