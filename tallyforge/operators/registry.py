@@ -42,3 +42,12 @@ def inside(path: Column, published: list[str]) -> Column:
     for p in published:
         out = out | (path == p) | path.startswith(p.rstrip("/") + "/")
     return out
+
+
+def projected(tree: DataFrame, published: list[str], withheld: list[str] = ()) -> DataFrame:
+    """The files (path, content) of a tree that may be shown: inside a published place and
+    inside none that is withheld. Paths that leave the tree are never shown."""
+    from tallyforge.sources.packs import contained
+
+    path = F.col("path")
+    return tree.where(contained(path) & inside(path, list(published)) & ~inside(path, list(withheld)))

@@ -406,6 +406,21 @@ def projection_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_files(spark, root).select("name", "content")
 
 
+@register("projected_tree", """SELECT path, p_name AS content FROM (SELECT p_partkey, p_name, lower(replace(p_brand, '#', '')) || CASE p_size % 3 WHEN 0 THEN '/docs/' WHEN 1 THEN '/docs/private/' ELSE '/src/' END || p_partkey::VARCHAR || '.md' AS path FROM part)
+WHERE (starts_with(path, 'brand1/docs/') OR starts_with(path, 'brand2/') OR starts_with(path, 'brand3/docs/')) AND NOT starts_with(path, 'brand2/src/') AND NOT starts_with(path, 'brand3/docs/private/')""")
+def projected_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A public copy of a tree of files: what is published and not withheld, as files."""
+    from tallyforge.operators import registry
+
+    root = runs.new_folder(spark, "tree")
+    folder = F.element_at(F.array(*map(F.lit, ("/docs/", "/docs/private/", "/src/"))), (F.col("p_size") % 3 + 1).cast("int"))
+    path = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), folder, F.col("p_partkey").cast("string"), F.lit(".md"))
+    tree = table(spark, sf_dir, "part").select(path.alias("path"), F.col("p_name").alias("content"))
+    shown = registry.projected(tree, ["brand1/docs", "brand2", "brand3/docs"], ["brand2/src", "brand3/docs/private"])
+    files.write_files(shown.select(F.col("path").alias("name"), "content"), root)
+    return files.read_files(spark, root).select(F.col("name").alias("path"), "content")
+
+
 @register("dry_run", """WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
 SELECT o_custkey, unnest(CASE WHEN o_custkey % 5 = 0 THEN ['the result is cached'] ELSE ['preprocess merchant-cleanup', 'model normalise: ' || ((n + 3) // 4)::VARCHAR || ' batches of ' || n::VARCHAR || ' items', 'aggregate recurrence-detect', 'render'] END) AS line FROM c""")
 def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:

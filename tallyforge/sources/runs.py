@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
 import tempfile
 import uuid
@@ -27,12 +29,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table where all executors can, and read it back: what follows plans
-    its input once, and a lost executor costs no more than its own tasks."""
+    its input once, and a lost executor costs no more than its own tasks. The table goes
+    when the driver's Python ends; results that read it must be read before."""
     path = new_folder(df.sparkSession, name)
+    atexit.register(_delete, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def listed(spark: SparkSession, folder: str, ending: str) -> list[str]:
     """Paths of a folder's files with an ending, in order."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -166,3 +166,36 @@ def test_pipeline_of_a_pack(spark):
     assert [r.merchant for r in done["spend"].collect()] == ["CAFE"]
     assert {r.category for r in done["classify"].collect()} == {"unknown"}
     assert pipelines.plan(pack, 10, False) == ["preprocess merchant-cleanup", "model classify: 2 batches of 10 items", "aggregate recurrence-detect", "render"]
+
+
+def test_verdict_fails_by_ceilings_and_relations(spark):
+    from tallyforge.operators import evals
+
+    quality = spark.createDataFrame([("a", "PASS"), ("b", "PASS"), ("c", "MARGINAL"), ("d", "FAIL"), ("e", "PASS")], "grp string, verdict string")
+    harms = spark.createDataFrame([(g, "en", "missed", w, n) for g, w, n in (("a", 0, 100), ("b", 30, 100), ("c", 0, 100), ("d", 0, 100))], "grp string, stratum string, class string, wrong long, decisions long")
+    ceilings = spark.createDataFrame([("en", "missed", 0.1)], "stratum string, class string, ceiling double")
+    relations = spark.createDataFrame([("a", "held"), ("a", "unjudgeable"), ("c", "held")], "grp string, outcome string")
+    got = {r.grp: (r.verdict, r.over, r.failed_relations) for r in evals.overall_verdict(quality, harms, ceilings, relations).collect()}
+    # e was never measured, so its ceiling isn't shown to hold
+    assert got == {"a": ("PASS", 0, 0), "b": ("FAIL", 1, 0), "c": ("MARGINAL", 0, 0), "d": ("FAIL", 0, 0), "e": ("FAIL", 1, 0)}
+    worse = relations.unionByName(spark.createDataFrame([("a", "failed")], "grp string, outcome string"))
+    assert {r.grp: r.verdict for r in evals.overall_verdict(quality, harms, ceilings, worse).collect()}["a"] == "FAIL"
+    assert {r.verdict for r in evals.overall_verdict(quality, harms, ceilings.limit(0), relations).collect()} == {"PASS", "MARGINAL", "FAIL"}
+
+
+def test_pooled_steps_need_a_bar_and_decisions(spark):
+    from tallyforge.operators import evals
+
+    steps = spark.createDataFrame([("a", "x", 99, 100, 1.0), ("b", "x", 19, 20, 1.0), ("c", "y", 99, 100, 1.0), ("d", "x", 0, 0, 1.0), ("e", "x", 99, 100, 0.5)], "grp string, step string, correct long, expected long, end_to_end double")
+    assert {r.grp: r.verdict for r in evals.pooled_verdict(steps, {"x": 0.9}).collect()} == {"a": "PASS", "b": "FAIL", "c": "FAIL", "d": "FAIL", "e": "FAIL"}
+
+
+def test_fixtures_are_scored_in_their_own_words(spark):
+    from tallyforge.operators import fixtures
+
+    kind = "fixture string, payload string, key string, value string, seq int"
+    want = spark.createDataFrame([("f", "audit", "k1", "Tea House", 0), ("f", "audit", "k2", "Gym", 1), ("g", "letter", "o1", "pay", 0), ("h", "comparison", None, "x", 0)], kind)
+    said = spark.createDataFrame([("f", "audit", "k1", "Tea Huose", 1), ("f", "audit", "k1", "late", 2), ("f", "audit", "k3", "more", 3), ("g", "letter", "o1", "pya", 0), ("i", "letter", "o9", "pay", 0)], kind)
+    got = {r.fixture: (r.step, r.correct, r.expected, r.end_to_end) for r in fixtures.score_fixtures(want, said).collect()}
+    assert got == {"f": ("normalise", 1, 2, 0.5), "g": ("obligations", 0, 1, 0.0), "h": (None, None, 0, 1.0), "i": (None, None, 0, 0.0)}
+    assert fixtures.score_fixtures(want.limit(0), said.limit(0)).count() == 0
