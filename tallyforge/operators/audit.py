@@ -65,19 +65,20 @@ def span(payments: DataFrame) -> DataFrame:
     return payments.agg(F.count("*").alias("payments"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-def numbered(rows: DataFrame, name: str, lead: Column, *ties: str, group: str | None = None, ranges: int = 256) -> DataFrame:
+def numbered(rows: DataFrame, name: str, lead: Column, *ties: str, group: str | None = None, ranges: int | None = None) -> DataFrame:
     """Adds a place from 1 in the order of group (a column of few values, if any), a value
     and then columns, without one task for all rows; nulls come first.
 
     Spark's range partitioner cuts the rows at sampled quantiles of the whole order, so
     ranges are of about equal size however values lie or repeat (rows that are alike in
-    every column are spread by chance). They are written once with their range; places
-    count on from the rows of the ranges before, which are ``ranges`` counts a group.
+    every column are spread by chance). There are ``ranges``, else the session's shuffle
+    partitions, of which it joins small ones. Rows are written once with their range; places
+    count on from the rows of the ranges before, which are a count a range and group.
     """
     lead_, part, whole, chance, at, inside, before = (f"_{x}_{name}" for x in ("lead", "part", "whole", "chance", "range", "inside", "before"))
     order = [part, lead_, *ties, whole, chance]
     keyed = rows.withColumns({lead_: lead, part: F.col(group) if group else F.lit(0), whole: F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t] or [F.lit(0)]), chance: F.rand(29)})
-    held = staged(keyed.repartitionByRange(ranges, *order).withColumn(at, F.spark_partition_id()), "ranges")
+    held = staged(keyed.repartitionByRange(*([ranges] if ranges else []), *order).withColumn(at, F.spark_partition_id()), "ranges")
     ahead = Window.orderBy(part, at).rowsBetween(Window.unboundedPreceding, -1)  # over the counts alone
     counts = held.groupBy(part, at).agg(F.count("*").alias("n")).select(part, at, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
     own = F.row_number().over(Window.partitionBy(part, at).orderBy(*order[1:]))
