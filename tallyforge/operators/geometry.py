@@ -6,6 +6,9 @@ page is one group, which is what a page's fragments bound.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,18 +21,32 @@ LINE_GAP = 0.05
 FAR_LEFT = 0.05
 
 
+def row_heights(heights: Sequence[float | None]) -> list[tuple[int, float | None]]:
+    """(row, its height) of each fragment: it joins the first row within the tolerance, else
+    begins one. Rows are looked up by steps of over a tolerance, so a page of many rows
+    costs no more a fragment; what has no height is a row of its own."""
+    step = ROW_TOLERANCE + 1
+    begun: dict[int, list[int]] = {}
+    tops: list[float | None] = []
+    out = []
+    for y in heights:
+        near = None
+        if y is not None and math.isfinite(y):
+            at = math.floor(y / step)
+            near = min((r for k in (at - 1, at, at + 1) for r in begun.get(k, ()) if abs(y - tops[r]) <= ROW_TOLERANCE), default=None)
+            if near is None:
+                begun.setdefault(at, []).append(len(tops))
+        if near is None:
+            near = len(tops)
+            tops.append(None if y is not None and math.isnan(y) else y)
+        out.append((near, tops[near]))
+    return out
+
+
 def clustered(pdf: pd.DataFrame) -> pd.DataFrame:
     """One page with row_y: each fragment, in order, joins the first row within the tolerance."""
     pdf = pdf.sort_values("frag_no", kind="stable")
-    rows: list[float] = []
-    out = []
-    for y in pdf["y"]:
-        near = next((r for r in rows if abs(y - r) <= ROW_TOLERANCE), None)
-        if near is None:
-            rows.append(y)
-            near = y
-        out.append(near)
-    return pdf.assign(row_y=out)
+    return pdf.assign(row_y=[y for _, y in row_heights(pdf["y"].tolist())])
 
 
 def placed(fragments: DataFrame) -> DataFrame:
@@ -109,10 +126,17 @@ def sign_convention(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, convention) from running balances (order ``seq``): what every voting pair of
     rows agrees on, with two votes at least; else null."""
     delta = F.col("balance") - F.lag("balance").over(Window.partitionBy(*keys).orderBy("seq"))
-    vote = F.when((delta == F.col("amount")) & (delta == -F.col("amount")), F.lit(None)).when(delta == F.col("amount"), "adds").when(delta == -F.col("amount"), "subtracts")
-    votes = rows.withColumn("vote", vote).groupBy(*keys).agg(F.count_if(F.col("vote") == "adds").alias("adds"), F.count_if(F.col("vote") == "subtracts").alias("subtracts"))
-    said = F.when((F.col("adds") >= 2) & (F.col("subtracts") == 0), "adds").when((F.col("subtracts") >= 2) & (F.col("adds") == 0), "subtracts")
-    return votes.withColumn("convention", said)
+    votes = rows.withColumn("vote", sign_vote(delta, F.col("amount"))).groupBy(*keys).agg(F.count_if(F.col("vote") == "adds").alias("adds"), F.count_if(F.col("vote") == "subtracts").alias("subtracts"))
+    return votes.withColumn("convention", convention_of(F.col("adds"), F.col("subtracts")))
+
+
+def sign_vote(step: Column, amount: Column) -> Column:
+    """What a step of the balance says of the sign of its amount."""
+    return F.when((step == amount) & (step == -amount), F.lit(None)).when(step == amount, "adds").when(step == -amount, "subtracts")
+
+
+def convention_of(adds: Column, subtracts: Column) -> Column:
+    return F.when((adds >= 2) & (subtracts == 0), "adds").when((subtracts >= 2) & (adds == 0), "subtracts")
 
 
 def direction_of(convention: Column, amount: Column) -> Column:

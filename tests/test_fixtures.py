@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import fixtures, mutation, registry, reports, statement_tables
+from tallyforge.operators import fixtures, geometry, mutation, registry, reports, statement_tables
 from tallyforge.plans import pipelines
 from tallyforge.sources import asking
 from tallyforge.sources.packs import InputRole, Pack
@@ -36,6 +36,23 @@ def test_signed_table_needs_its_balances(spark):
     assert [r.reason for r in got] == ["no_layout"]
 
 
+def test_pages_are_read_many_a_batch_and_once(spark):
+    """Long pages and many pages: one Python pass over them, in chunks of whole pages."""
+    shown = [c for c in page(spark, SIGNED_HEAD, [signed_row(i % 9 + 1, "Shop", "5.00", f"{5 * i}.00") for i in range(700)]).collect()]
+    rows = [(f"d{k}", 1, *r[2:]) for k in range(30) for r in shown]
+    found = statement_tables.reconstructed(spark.createDataFrame(rows, FRAGMENT))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInPandas" not in plan
+    got = found.collect()
+    assert len(got) == 30 * 700 and {(r.direction, r.reason, str(r.amount)) for r in got} == {("credit", None, "5.00")}
+    assert {r.doc: 0 for r in got}.keys() == {f"d{k}" for k in range(30)}
+
+
+def test_row_heights_join_the_first_row_within_reach():
+    assert [h for _, h in geometry.row_heights([10.0, 13.0, 14.0, 12.0, 7.0, -2.5, 0.5, None, None])] == [10.0, 10.0, 14.0, 10.0, 10.0, -2.5, -2.5, None, None]
+    assert [r for r, _ in geometry.row_heights([0.0, None, None, 3.0])] == [0, 1, 2, 0]
+
+
 def test_phrases_span_fragments():
     row = [("Paid", 0.0, 10.0), ("Out", 12.0, 20.0), ("Paid In", 30.0, 40.0)]
     assert statement_tables.extent(row, "paid out") == (0.0, 20.0)
