@@ -154,36 +154,87 @@ def mutants(recording: DataFrame, operators: Sequence[str] = tuple(OPERATORS)) -
     return rows.select("operator", by.alias("contained_by"), "batch", "site", "items", "truth", changed.alias("results"), *more)
 
 
-def decisions(items: Column, results: Column, kinds: Sequence[str], terms: dict[str, str], truth: Column | None = None, was: Column | None = None) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named in it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sound_result(kinds: Sequence[str], terms: dict[str, str]) -> Callable[[Column], Column]:
+    """Whether an answer keeps to its schema: kinds of claims, and names of terms."""
+    known, names = F.array(*map(F.lit, kinds)), F.array(*map(F.lit, terms))
+    return lambda x: F.forall(x["claims"], lambda c: F.array_contains(known, c["kind"])) & F.forall(x["terms"], lambda t: (t["term"] == "other") | F.array_contains(names, t["term"]))
+
+
+def _decided(item: Column, found: Column, terms: dict[str, str]) -> Column:
+    """What becomes of an item of a batch within its schema, by the answers found for it."""
+    shapes = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
+
+    def fault(t: Column) -> Column:
+        fits = F.coalesce(X.value_kind(t["value"]) == F.try_element_at(shapes, t["term"]), F.lit(False))
+        return F.when(t["term"] == "other", "coverage").when(~quote_in(t["quote"], item["text"]), "quote").when(~quote_in(t["value"], t["quote"]), "value").when(~fits, "value_shape")
+
+    def of_one(n: Column, one: Column) -> Column:
+        first = lambda ts: F.try_element_at(F.filter(F.transform(ts, fault), lambda f: f.isNotNull()), F.lit(1))
+        why = F.when(n == 0, "missing").when(n > 1, "duplicate").when(one["echo"] != item["text"], "echo").otherwise(first(one["terms"]))
+        said = F.to_json(F.struct(F.array_sort(one["claims"]).alias("claims"), F.array_sort(one["terms"]).alias("terms")))
+        return _let(why, lambda w: F.struct(w.alias("review"), F.when(w.isNull(), one["confidence"]).alias("level"), F.when(w.isNull(), said).alias("said")))
+
+    return _let(found, lambda f: _let(F.try_element_at(f, F.lit(1)), lambda one: of_one(F.size(f), one)))
+
+
+def _outside_schema() -> Column:
+    return F.struct(F.lit("schema").alias("review"), F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("said"))
+
+
+def decisions(items: Column, results: Column, kinds: Sequence[str], terms: dict[str, str]) -> Column:
     """What a replay decides about each item: struct(review, level, said).
 
     The checks come in the pipeline's order: an answer outside its schema loses the whole
     batch; an item without exactly one answer that echoes it goes to review; so does one
     with a term that the pack doesn't model, whose quote isn't on the page or lacks the
     value, or whose value has a wrong shape (``terms`` names each term's). ``said`` is what
-    is asserted, whatever its order. An item whose answers are those of ``truth`` is
-    decided as it ``was``.
+    is asserted, whatever its order.
     """
-    known = F.array(*map(F.lit, kinds))
-    shapes = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
-    sound = F.forall(results, lambda x: F.forall(x["claims"], lambda c: F.array_contains(known, c["kind"])) & F.forall(x["terms"], lambda t: (t["term"] == "other") | F.try_element_at(shapes, t["term"]).isNotNull()))
+    decide = lambda item: _decided(item, F.filter(results, lambda x: x["id"] == item["id"]), terms)
+    return _let(F.coalesce(F.forall(results, sound_result(kinds, terms)), F.lit(True)), lambda sound: F.transform(items, lambda item: F.when(sound, decide(item)).otherwise(_outside_schema())))
 
-    def fault(t: Column, text: Column) -> Column:
-        fits = F.coalesce(X.value_kind(t["value"]) == F.try_element_at(shapes, t["term"]), F.lit(False))
-        return F.when(t["term"] == "other", "coverage").when(~quote_in(t["quote"], text), "quote").when(~quote_in(t["value"], t["quote"]), "value").when(~fits, "value_shape")
 
-    def decide(item: Column) -> Column:
-        found = F.filter(results, lambda x: x["id"] == item["id"])
-        one = F.try_element_at(found, F.lit(1))
-        faults = F.filter(F.transform(one["terms"], lambda t: fault(t, item["text"])), lambda f: f.isNotNull())
-        why = F.when(~sound, "schema").when(F.size(found) == 0, "missing").when(F.size(found) > 1, "duplicate").when(one["echo"] != item["text"], "echo").otherwise(F.try_element_at(faults, F.lit(1)))
-        said = F.to_json(F.struct(F.array_sort(one["claims"]).alias("claims"), F.array_sort(one["terms"]).alias("terms")))
-        return F.struct(why.alias("review"), F.when(why.isNull(), one["confidence"]).alias("level"), F.when(why.isNull(), said).alias("said"))
+def _unsure(decided: Column) -> Column:
+    return F.size(F.filter(decided, lambda d: d["review"].isNotNull() | (d["level"] == "low")))
+
+
+def _flags(pairs: Column, cost: Column) -> Column:
+    """(affected, contained, moved, cost) of decisions as they were and are now."""
+    moved = lambda p: p["now"]["review"].isNull() & ~p["now"]["said"].eqNullSafe(p["was"]["said"])
+    changed = F.filter(pairs, lambda p: ~p["was"].eqNullSafe(p["now"]))
+    return _let(changed, lambda c: F.struct(F.size(c).alias("affected"), ((F.size(c) > 0) & F.forall(c, lambda p: p["now"]["review"].isNotNull())).alias("contained"), F.exists(c, moved).alias("moved"), cost.alias("cost")))
+
+
+def _effect(results: Column, kinds: Sequence[str], terms: dict[str, str]) -> Column:
+    """The flags of a mutant. A site names one or two results, and its operator changes these
+    alone (or the order of all): so no item is decided anew but those of their ids, unless
+    the batch falls out of its schema."""
+    sound = sound_result(kinds, terms)
+    own = lambda at: F.when(at >= 0, F.try_element_at(F.col("truth"), at + 1)["id"])
+    near = lambda ids, x: F.array_contains(ids, x["id"])
+
+    def of(ids: Column) -> Column:
+        zipped = F.filter(F.arrays_zip("items", "was"), lambda z: near(ids, z["items"]))
+        mine = lambda rs, item: F.filter(rs, lambda x: x["id"] == item["id"])
+
+        def now(found: Column, z: Column) -> Column:
+            return F.when(found == mine(F.col("truth"), z["items"]), z["was"]).otherwise(_decided(z["items"], found, terms))
+
+        def inside(rs: Column) -> Column:
+            again = F.transform(zipped, lambda z: _let(mine(rs, z["items"]), lambda found: F.struct(z["was"].alias("was"), now(found, z).alias("now"))))
+            part = lambda pairs, side: F.transform(pairs, lambda p: p[side])
+            return _let(again, lambda pairs: _flags(pairs, _unsure(part(pairs, "now")) > _unsure(part(pairs, "was"))))
+
+        out = _flags(F.transform("was", lambda w: F.struct(w.alias("was"), _outside_schema().alias("now"))), F.size("was") > _unsure(F.col("was")))
+        kept = ~F.col("unsound") | ~F.exists("truth", lambda x: ~near(ids, x) & ~sound(x))
+        return _let(F.filter(results, lambda x: near(ids, x)), lambda rs: F.when(F.coalesce(kept & F.forall(rs, sound), F.lit(True)), inside(rs)).otherwise(out))
 
-    if truth is None:
-        return F.transform(items, decide)
-    mine = lambda rs, item: F.filter(rs, lambda x: x["id"] == item["id"])
-    return F.transform(items, lambda item, i: F.when(sound & (mine(results, item) == mine(truth, item)), F.element_at(was, i + 1)).otherwise(decide(item)))
+    return _let(F.array_compact(F.array(own(F.col("site")["r"]), own(F.col("site")["s"]))), of)
 
 
 def replayed(recording: DataFrame, kinds: Sequence[str], terms: dict[str, str], operators: Sequence[str] = tuple(OPERATORS)) -> DataFrame:
@@ -198,20 +249,8 @@ def replayed(recording: DataFrame, kinds: Sequence[str], terms: dict[str, str],
     # and not again in every test on it
     once = lambda value, name: F.explode(F.array(value)).alias(name)
     told = recording.select("batch", "items", "results", once(decisions(F.col("items"), F.col("results"), kinds, terms), "was"))
-    rows = mutants(told, operators)
-    now = decisions(F.col("items"), F.col("results"), kinds, terms, F.col("truth"), F.col("was"))
-    rows = rows.select("operator", "contained_by", "batch", "site", "was", once(now, "now"))
-    pairs = F.filter(F.arrays_zip("was", "now"), lambda p: ~p["was"].eqNullSafe(p["now"]))
-    unsure = lambda c: F.size(F.filter(c, lambda d: d["review"].isNotNull() | (d["level"] == "low")))
-    costs = (unsure(F.col("now")) > unsure(F.col("was"))).alias("cost")
-    rows = rows.select("operator", "contained_by", "batch", "site", F.inline(F.array(F.struct(pairs.alias("pairs"), costs))))
-    flags = F.struct(
-        F.size("pairs").alias("affected"),
-        ((F.size("pairs") > 0) & F.forall("pairs", lambda p: p["now"]["review"].isNotNull())).alias("contained"),
-        F.exists("pairs", lambda p: p["now"]["review"].isNull() & ~p["now"]["said"].eqNullSafe(p["was"]["said"])).alias("moved"),
-        F.col("cost"),
-    )
-    rows = rows.select("operator", "contained_by", "batch", "site", F.inline(F.array(flags)))
+    told = told.withColumn("unsound", ~F.forall("results", sound_result(kinds, terms)))
+    rows = mutants(told, operators).select("operator", "contained_by", "batch", "site", F.inline(F.array(_effect(F.col("results"), kinds, terms))))
     return rows.withColumn("killed", killed(F.col("contained_by"), F.col("affected"), F.col("contained"), F.col("moved"), F.col("cost")))
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,37 @@ def test_mutants(spark):
     assert {r.family: (r.found, r.over) for r in mutation.triage(mutation.survivors(frame, kinds, terms), families).collect()} == {"confidence": (1, 1), "late": (0, 0)}
 
 
+RECORDING = "batch int, items array<struct<id:long,text:string>>, results array<struct<id:long,echo:string,confidence:string,claims:array<struct<kind:string,deadline:string>>,terms:array<struct<term:string,basis:string,value:string,quote:string>>>>"
+
+
+def recorded(ids, batch=0, kind="payment"):
+    text = lambda i: f"Pay by {i % 28 + 1} May 2024; a fee of £{i}, not £1."
+    return (batch, [(i, text(i)) for i in sorted(set(ids))], [(i, text(i), "low" if i % 3 == 0 else "high", [(kind, f"by {i % 28 + 1} May 2024")] if i % 2 else [], [("fee", "per_year", f"£{i}", f"a fee of £{i}, not £1.")]) for i in ids])
+
+
+def test_mutants_are_judged_as_their_whole_batch_is(spark):
+    """Repeated answers, batches that are outside their schema from the first, and lone items."""
+    kinds, terms = ("payment", "reply"), {"fee": "money"}
+    rows = spark.createDataFrame([recorded([1, 2, 3, 2, 4]), recorded([5, 6], 1, "outside"), recorded([7], 2), recorded([8, 9, 9], 3, "reply")], RECORDING)
+    got = {(r.operator, r.batch, tuple(r.site)): (r.affected, r.contained, r.moved, r.cost) for r in mutation.replayed(rows, kinds, terms).collect()}
+    told = rows.withColumn("was", mutation.decisions(F.col("items"), F.col("results"), kinds, terms))
+    want = {}
+    for r in mutation.mutants(told).withColumn("now", mutation.decisions(F.col("items"), F.col("results"), kinds, terms)).collect():
+        mine = lambda rs, item: [x for x in rs if x.id == item.id]
+        schema = any(n.review == "schema" for n in r.now)
+        now = [n if schema or mine(r.results, i) != mine(r.truth, i) else w for i, n, w in zip(r["items"], r.now, r.was)]
+        moved = [(n, w) for n, w in zip(now, r.was) if n != w]
+        unsure = lambda ds: sum(d.review is not None or d.level == "low" for d in ds)
+        want[r.operator, r.batch, tuple(r.site)] = (len(moved), bool(moved) and all(n.review for n, _ in moved), any(n.review is None and n.said != w.said for n, w in moved), unsure(now) > unsure(r.was))
+    assert len(got) > 60 and got == want
+
+
+def test_a_mutant_costs_its_own_items(spark):
+    rows, began = spark.createDataFrame([recorded(range(1, 201))], RECORDING), time.monotonic()
+    assert mutation.replayed(rows, ("payment", "reply"), {"fee": "money"}, ("drop_claim", "omit_item", "duplicate_item", "force_low")).where("affected <> 1").count() == 0
+    assert time.monotonic() - began < 12
+
+
 def test_reports(spark):
     page_ = reports.html_page("T <1>", [{"a": "<b>", "n": 1}])
     reports.assert_self_contained(page_)
