@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.answers import batched
@@ -117,7 +117,10 @@ def asked(items: DataFrame, source: Source, template: str, schema: dict, size: i
     """
     n = items.count()
     bucket = F.pmod(F.xxhash64("id"), F.lit(max(1, n // (64 * size)))).cast("int")
-    rows = batched(items.select("id", "text").withColumn("bucket", bucket), size, "bucket", "id")
+    # answers come back by id, so rows that share one are never asked together
+    again = F.row_number().over(Window.partitionBy("id").orderBy("text"))
+    dealt = items.select("id", "text").withColumn("bucket", F.struct(bucket.alias("at"), again.alias("again")))
+    rows = batched(dealt, size, "bucket", "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = pdf.sort_values("id", kind="stable")

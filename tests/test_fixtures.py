@@ -69,6 +69,14 @@ def said(*pairs):
     return json.dumps({"results": [{"id": i, "text": t} for i, t in pairs]})
 
 
+def test_rows_that_share_an_id_are_asked_apart(spark):
+    from tallyforge.plans import source_queries
+
+    items = spark.createDataFrame([(1, "one"), (1, "another"), (1, "one"), (2, "x" * 50 + "a"), (3, "x" * 50 + "b")], "id long, text string")
+    done = asking.asked(items, source_queries._source, source_queries.TEMPLATE, source_queries.ANSWERS)
+    assert sorted((r.id, r.text, r.review, json.loads(r.answer)["size"]) for r in done.collect()) == [(1, "another", None, 7), (1, "one", None, 3), (1, "one", None, 3), (2, "x" * 50 + "a", None, 51), (3, "x" * 50 + "b", None, 51)]
+
+
 def test_asking():
     items = {1: "alpha beta", 2: "alpha gamma", 3: "delta"}
     replies = iter([said((1, "alpha beta"), (2, "alpha"), (3, "del")), said((2, "alpha gamma"))])
