@@ -23,10 +23,10 @@ def one_sided(pairs: DataFrame) -> DataFrame:
 
 
 def smallest_difference(pairs: DataFrame) -> DataFrame:
-    """Per relation the first entry, by group, that only one side has; left before right."""
+    """Per relation with a difference the first entry, by group, that only one side has; left before right."""
     diff = one_sided(pairs).select("relation", "grp", F.array_min("only_left").alias("a"), F.array_min("only_right").alias("b"))
     one = diff.select("relation", F.when(F.col("a").isNotNull(), F.struct("grp", F.lit("left").alias("side"), F.col("a").alias("entry"))).when(F.col("b").isNotNull(), F.struct("grp", F.lit("right").alias("side"), F.col("b").alias("entry"))).alias("d"))
-    return one.groupBy("relation").agg(F.min("d").alias("difference"))
+    return one.where("d IS NOT NULL").groupBy("relation").agg(F.min("d").alias("difference"))
 
 
 def invariant(pairs: DataFrame) -> DataFrame:

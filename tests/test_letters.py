@@ -117,6 +117,11 @@ def test_geometry(spark):
     assert geometry.readable(one_, "doc").first().refused
 
 
+def test_views_that_agree_have_no_smallest_difference(spark):
+    views = spark.createDataFrame([("l", "a", ["1"]), ("r", "a", ["1"])], "fixture string, grp string, entries array<string>")
+    assert relations.smallest_difference(relations.paired(views, spark.createDataFrame([("same", "l", "r")], "relation string, left string, right string"))).count() == 0
+
+
 def test_relations(spark):
     views = spark.createDataFrame([("l", "a", ["1"]), ("l", "b", ["2"]), ("r", "a", ["2"]), ("r", "b", ["1"]), ("s", "a", ["1"])], "fixture string, grp string, entries array<string>")
     declared = spark.createDataFrame([("swap", "l", "r"), ("less", "l", "s")], "relation string, left string, right string")
