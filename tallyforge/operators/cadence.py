@@ -11,9 +11,12 @@ import datetime
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from decimal import Decimal
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates as D
@@ -81,21 +84,29 @@ def net_of_reversals(payments: DataFrame, direction: str, *keys: str) -> DataFra
     A day's payments lie between the depth before them and that with them; those above the
     least depth of the next 45 days are cancelled in that time, and the rest stay.
     """
-    rows = payments.withColumn("paid", F.when(F.col("direction") == direction, 1).otherwise(-1).cast("long"))
-    days = rows.groupBy(*keys, "amount", "date").agg(F.sum(F.greatest("paid", F.lit(0))).alias("paid"), F.sum("paid").alias("more"))
-    by_day = Window.partitionBy(*keys, "amount").orderBy("date")
+    return _left(_day_sums(payments, direction, *keys), *keys).select(*keys, "amount", "date", "n")
+
+
+def _day_sums(payments: DataFrame, direction: str, *keys: str, **more: Column) -> DataFrame:
+    paid = F.when(F.col("direction") == direction, 1).otherwise(-1).cast("long")
+    return payments.groupBy(*keys, "amount", "date").agg(F.sum(F.greatest(paid, F.lit(0))).alias("paid"), F.sum(paid).alias("more"), *(c.alias(n) for n, c in more.items()))
+
+
+def _left(days: DataFrame, *keys: str) -> DataFrame:
+    """The days that keep payments, with their number n."""
+    by_day = Window.partitionBy(*keys, "amount").orderBy(F.unix_date("date"))
     days = days.withColumn("sum", F.sum("more").over(by_day))
     days = days.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(by_day)))  # a reversal of nothing pops nothing
     days = days.withColumn("below", F.coalesce(F.lag("depth").over(by_day), F.lit(0)))
-    soon = Window.partitionBy(*keys, "amount").orderBy(F.unix_date("date")).rangeBetween(0, REVERSAL_DAYS)
-    left = F.least("paid", F.min("depth").over(soon) - F.col("below"))
-    return days.select(*keys, "amount", "date", left.alias("n")).where("n > 0")
+    left = F.least("paid", F.min("depth").over(by_day.rangeBetween(0, REVERSAL_DAYS)) - F.col("below"))
+    return days.withColumn("n", left).where("n > 0")
 
 
 _BANDS = {name: (lo, hi) for name, lo, hi, *_ in D.PERIODS}
 _NOMINAL = {name: days for name, _, _, days, *_ in D.PERIODS}
 
 
+@lru_cache(maxsize=4096)
 def _band(days: int) -> str | None:
     return next((name for name, (lo, hi) in _BANDS.items() if lo <= days <= hi), None)
 
@@ -119,8 +130,12 @@ def period_of_gaps(gaps: Mapping[int, int]) -> str | None:
 
 def day_gaps(days: list[tuple[datetime.date, int]]) -> Counter:
     """Counted gaps of (date, payments) in order; payments of one day are no days apart."""
-    gaps = Counter((b - a).days for (a, _), (b, _) in zip(days, days[1:]))
-    if same := sum(n - 1 for _, n in days):
+    return _gaps([(d.toordinal(), n) for d, n in days])
+
+
+def _gaps(days: list[tuple[int, int]]) -> Counter:
+    gaps = Counter([b - a for (a, _), (b, _) in zip(days, days[1:])])
+    if same := sum([n for _, n in days]) - len(days):
         gaps[0] += same
     return gaps
 
@@ -134,7 +149,14 @@ LONGEST_WAIT = max(_NOMINAL.values()) * 8 // 5
 
 
 def fold_series(clusters: list[tuple[Decimal, list[tuple[datetime.date, int]]]]) -> list[dict]:
-    """Series of clusters (amount, days with counts) in first-seen order: each joins the
+    """``folded`` of clusters whose days are dates."""
+    date = lambda d: None if d is None else datetime.date.fromordinal(d)
+    found = folded([(amount, [(d.toordinal(), n) for d, n in days]) for amount, days in clusters])
+    return [s | {"last": date(s["last"]), "rise_when": date(s["rise_when"])} for s in found]
+
+
+def folded(clusters: list[tuple[Decimal, list[tuple[int, int]]]]) -> list[dict]:
+    """Series of clusters (amount, days by number with counts) in first-seen order: each joins the
     latest series that it continues, as its new price, else begins one; a rise stays
     known after a drop. A series holds its last day and its counted gaps, not payments.
     Those that have waited too long for any cluster still to come are laid aside, and two
@@ -143,12 +165,12 @@ def fold_series(clusters: list[tuple[Decimal, list[tuple[datetime.date, int]]]])
     series: list[dict] = []
     yearly = _BANDS["yearly"]
     for amount, days in clusters:
-        first, own, n = days[0][0], day_gaps(days), sum(k for _, k in days)
-        if any((first - s["last"]).days > LONGEST_WAIT for s in series):
-            done += [s for s in series if (first - s["last"]).days > LONGEST_WAIT]
-            series = [s for s in series if (first - s["last"]).days <= LONGEST_WAIT]
+        first, own, n = days[0][0], _gaps(days), sum([k for _, k in days])
+        if any(first - s["last"] > LONGEST_WAIT for s in series):
+            done += [s for s in series if first - s["last"] > LONGEST_WAIT]
+            series = [s for s in series if first - s["last"] <= LONGEST_WAIT]
         for s in reversed(series):
-            wait = (first - s["last"]).days
+            wait = first - s["last"]
             if wait <= 0 or (not own and not s["gaps"] and not yearly[0] <= wait <= yearly[1]):
                 continue
             gaps = s["gaps"] + own + Counter([wait])
@@ -180,11 +202,12 @@ def series(payments: DataFrame, direction: str = "debit", account: str = "accoun
     amounts by day, with their counts, so it grows with different amounts and days and not
     with payments.
     """
-    net = net_of_reversals(payments, direction, account, merchant)
-    clusters = net.groupBy(account, merchant, "amount").agg(F.array_sort(F.collect_list(F.struct("date", "n"))).alias("days"))
-    first_seq = payments.where(F.col("direction") == direction).groupBy(account, merchant, "amount", "date").agg(F.min("seq").alias("seq"))
-    clusters = clusters.withColumn("first", F.col("days")[0]["date"])
-    clusters = clusters.join(first_seq.withColumnRenamed("date", "first"), [account, merchant, "amount", "first"])
+    # payments are read once: sums of days carry the first number too. From then on a
+    # merchant stays in one place, which all steps below can use.
+    days = _day_sums(payments, direction, account, merchant, seq=F.min(F.when(F.col("direction") == direction, F.col("seq"))))
+    net = _left(days.repartition(account, merchant), account, merchant)
+    clusters = net.groupBy(account, merchant, "amount").agg(F.array_sort(F.collect_list(F.struct("date", "n", "seq"))).alias("held"))
+    clusters = clusters.select(account, merchant, "amount", F.transform("held", lambda d: F.struct(d["date"].alias("date"), d["n"].alias("n"))).alias("days"), F.col("held")[0]["date"].alias("first"), F.col("held")[0]["seq"].alias("seq")).where("first IS NOT NULL AND amount IS NOT NULL")
     whole = stretches(clusters, account, merchant).groupBy(account, merchant, "stretch").agg(F.array_sort(F.collect_list(F.struct("first", "seq", "amount", "days"))).alias("clusters"))
     kinds = dict(whole.dtypes)
     money = dict(net.dtypes)["amount"]
@@ -192,13 +215,24 @@ def series(payments: DataFrame, direction: str = "debit", account: str = "accoun
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # taken out of Arrow a column at a time: days are numbers, and no value a dictionary
+            batch = batch.filter(pc.and_(batch.column(account).is_valid(), batch.column(merchant).is_valid()))
+            found = batch.column("clusters")
+            each = found.flatten()
+            days = each.field("days")
+            held = days.flatten()
+            number = list(zip(held.field("date").cast(pa.int32()).to_numpy().tolist(), held.field("n").to_numpy().tolist()))
+            ends = list(accumulate(days.value_lengths().to_pylist(), initial=0))
+            clusters = [(amount, number[a:b]) for amount, a, b in zip(each.field("amount").to_pylist(), ends, ends[1:])]
             rows: list[tuple] = []
-            for i, found in enumerate(batch.column("clusters").to_pylist()):
-                folded = fold_series([(c["amount"], [(x["date"], x["n"]) for x in c["days"]]) for c in found])
-                rows += [(i, s["period"], s["amount"], *(s[f] for f in fields), s["payments"]) for s in folded]
+            ends = list(accumulate(found.value_lengths().to_pylist(), initial=0))
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                rows += [(i, s["period"], s["amount"], *(s[f] for f in fields), s["payments"]) for s in folded(clusters[a:b])]
             at = pa.array([r[0] for r in rows], pa.int64())
             d = pa.decimal128(*map(int, money[8:-1].split(",")))
-            types = (pa.string(), d, d, d, pa.date32(), pa.int64())
-            yield pa.record_batch([batch.column(account).take(at), batch.column(merchant).take(at), *(pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types))], [account, merchant, "period", "amount", *fields, "payments"])
+            types = (pa.string(), d, d, d, pa.int32(), pa.int64())
+            columns = [pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)]
+            columns[4] = columns[4].cast(pa.date32())
+            yield pa.record_batch([batch.column(account).take(at), batch.column(merchant).take(at), *columns], [account, merchant, "period", "amount", *fields, "payments"])
 
     return whole.mapInArrow(run, f"{account} {kinds[account]}, {merchant} {kinds[merchant]}, period string, amount {money}, rise_from {money}, rise_to {money}, rise_when date, payments long")

@@ -9,8 +9,9 @@ from tallyforge.functions import text as X
 
 
 def with_stem(payments: DataFrame) -> DataFrame:
-    cleaned = X.clean_merchant(F.col("raw_merchant"))
-    return payments.withColumn("cleaned", cleaned).withColumn("stem", X.merchant_stem(F.col("cleaned")))
+    # the stem's every use of the cleaned name is of one value, not of the cleaning again
+    named = F.transform(F.array(X.clean_merchant(F.col("raw_merchant"))), lambda c: F.struct(c.alias("cleaned"), X.merchant_stem(c).alias("stem")))
+    return payments.withColumn("named", F.element_at(named, 1)).withColumns({"cleaned": F.col("named.cleaned"), "stem": F.col("named.stem")}).drop("named")
 
 
 def merchant_groups(payments: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A grid of series: each pace (days between, payments) under each form (what the second half
@@ -40,6 +40,8 @@ TRUTH |= {"till_mistake": (("weekly", False),), "two_contracts": (("monthly", Fa
 def statements(accounts: DataFrame, anchor: str = "2023-01-03") -> DataFrame:
     """Payments of every shape for each account (``id``), with store numbers behind the names."""
     spark = accounts.sparkSession
+    # an account becomes about two hundred payments, so accounts are dealt out before that
+    accounts = accounts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     runs = spark.createDataFrame([(i, n, k, *run) for i, (n, rs) in enumerate(RUNS.items()) for k, run in enumerate(rs)], "no int, shape string, run int, start int, step int, n int, pence int, more int")
     rows = accounts.select(F.col("id").alias("account")).crossJoin(F.broadcast(runs))  # three dozen runs
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
@@ -166,8 +168,8 @@ def swapped_roles(terms: DataFrame) -> DataFrame:
 
 
 def reordered(payments: DataFrame) -> DataFrame:
-    """The twin in which rows stand in another order, which no result may show."""
-    return payments.orderBy(F.xxhash64("seq", "raw_merchant"))
+    """The twin in which rows stand in another order, part by part, which no result may show."""
+    return payments.sortWithinPartitions(F.xxhash64("seq", "raw_merchant"))
 
 
 def one_removed(payments: DataFrame, shape: str) -> DataFrame:
@@ -190,7 +192,8 @@ def with_strangers(payments: DataFrame) -> DataFrame:
 
 def dearer(payments: DataFrame, shape: str, by: str = "5.00") -> DataFrame:
     """The controlled twin: one merchant's last payment costs more, and nothing else moves."""
-    last = payments.where(F.col("shape") == shape).groupBy("account").agg(F.max("date").alias("last"))
-    rows = payments.join(last, "account", "left")
-    risen = (F.col("shape") == shape) & (F.col("date") == F.col("last"))
-    return rows.withColumn("amount", (F.col("amount") + F.when(risen, F.lit(by).cast("decimal(18,2)")).otherwise(F.lit("0.00").cast("decimal(18,2)"))).cast("decimal(18,2)")).drop("last")
+    mine = F.col("shape") == shape
+    risen = (F.col("amount") + F.when(F.col("date") == F.max("date").over(Window.partitionBy("account")), F.lit(by).cast("decimal(18,2)")).otherwise(F.lit("0.00").cast("decimal(18,2)"))).cast("decimal(18,2)")
+    return payments.where(~F.coalesce(mine, F.lit(False))).unionByName(payments.where(mine).withColumn("amount", risen))
+
+

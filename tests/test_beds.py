@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text as X
 from tallyforge.operators import cadence, evals, merchants, reports, terms, timeline
 from tallyforge.sources import beds
 
@@ -64,3 +65,18 @@ def test_twins_of_statements(spark):
     rises = lambda df: {(r.account, r.merchant): r.rise_to for r in cadence.series(merchants.with_stem(df).withColumn("merchant", F.col("stem"))).collect()}
     was, now = rises(bed), rises(beds.dearer(bed, "monthly_level"))
     assert {k for k in now if now[k] != was.get(k)} == {("0", "MONTHLY LEVEL"), ("1", "MONTHLY LEVEL")} and set(was) == set(now)
+
+
+def test_series_read_the_payments_once_and_accounts_are_dealt_out(spark):
+    rows = beds.with_strangers(beds.dearer(beds.reordered(beds.statements(spark.range(3, numPartitions=1))), "monthly_level"))
+    made = beds.statements(spark.range(3, numPartitions=1))
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(cadence.series(made.withColumn("merchant", F.col("raw_merchant")))).count("Generate explode") == 1
+    assert "Join LeftOuter" not in plan(rows)
+
+
+def test_codes_by_their_digits(spark):
+    words = ["A1", "ab1", "abc1", "12", "é9é", "é9éé", "T12x3", "#1", "x", "1𝄞2𝄞", "𝄞1𝄞𝄞", "PAY", "a1b2c3"]
+    digits = lambda w: sum(c in "0123456789" for c in w)
+    assert {r.w for r in spark.createDataFrame([(w,) for w in words], "w string").where(X.is_code(F.col("w"))).collect()} == {w for w in words if digits(w) and len(w) - digits(w) <= 2}
