@@ -25,7 +25,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    mixed = mixing.told(_table(spark, sf_dir, "documents"))
     position = F.round(F.expr(mixing.place_sql()), 6)
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", position.alias("position"))
 

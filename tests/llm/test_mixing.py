@@ -88,3 +88,11 @@ def test_edges_of_the_input(spark, docs):
     assert mixing.curriculum(odd).columns == odd.columns
     empty = spark.createDataFrame([(1, "", "s")], "doc_id long, text string, source string")
     assert [(r.taken, r.target) for r in mixing.mix(empty).collect()] == [(0, 0.0)]
+
+
+def test_the_query_reads_its_takings_off_the_curriculum(docs, monkeypatch):
+    by = lambda rows: sorted((r.id, r.copies, r.taken) for r in rows.collect())
+    assert by(mixing.told(docs)) == by(mixing.mix(docs))
+    laid = mixing._laid
+    monkeypatch.setattr(mixing, "_laid", lambda *a: laid(*a).where("row < 0"))  # an empty layout takes nothing
+    assert {(c, t) for _, c, t in by(mixing.told(docs))} == {(0, 0)}
