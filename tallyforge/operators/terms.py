@@ -18,7 +18,7 @@ def guarded(terms: DataFrame, kinds: DataFrame) -> DataFrame:
     other, quote not in its passage, quote without the value, value of a wrong kind.
     ``kinds`` (term, allowed kinds array) is a declared list of terms.
     """
-    rows = terms.join(kinds, "term", "left")
+    rows = terms.join(F.broadcast(kinds), "term", "left")  # terms stay where they are: names are few, so by name most would be one task's
     shape = X.value_kind(F.col("value"))
     fits = F.col("kinds").isNull() | F.coalesce(F.array_contains("kinds", shape), F.lit(False)) | (F.array_contains("kinds", "text") & (F.trim("value") != ""))
     guard = (

@@ -138,3 +138,10 @@ def test_letter_date_window_gives_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     blocks = {(r.document, r.ordinal): r.text for r in queries._headed(spark, str(tmp_path)).collect()}
     assert {d: blocks[d, 1] + blocks[d, 3] for d in (1, 2)} == {1: text, 2: "short"}
+
+
+def test_terms_stay_where_they_are_for_their_kinds(spark):
+    frame = spark.range(10).selectExpr("if(id % 2 = 0, 'fee', 'other') AS term", "'£5' AS value", "'a fee of £5' AS quote", "'a fee of £5' AS segment")
+    kinds = spark.createDataFrame([("fee", ["money"])], "term string, kinds array<string>")
+    plan = terms.guarded(frame, kinds)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan
