@@ -14,11 +14,14 @@ import os
 import posixpath
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
@@ -36,6 +39,7 @@ class _Place:
             from pyarrow import fs
 
             self.store, self.root = fs.FileSystem.from_uri(root)
+            self.scheme = root.split("://", 1)[0]
 
     def write(self, name: str, content: bytes) -> None:
         path = posixpath.join(self.root, name)
@@ -48,6 +52,25 @@ class _Place:
         with self.store.open_output_stream(path) as out:
             out.write(content)
 
+    def entries(self, path: str) -> list[tuple[str, str, bool]]:
+        """(name, path, whether it is a folder) of what a folder holds."""
+        if self.local:
+            with os.scandir(path) as found:
+                return [(e.name, e.path, e.is_dir()) for e in found]
+        from pyarrow import fs
+
+        return [(f.base_name, f.path, f.type == fs.FileType.Directory) for f in self.store.get_file_info(fs.FileSelector(path))]
+
+    def read(self, path: str) -> bytes:
+        if self.local:
+            with open(path, "rb") as held:
+                return held.read()
+        with self.store.open_input_stream(path) as held:
+            return held.read()
+
+    def uri(self, path: str) -> str:
+        return f"file://{path}" if self.local else f"{self.scheme}://{path}"
+
     def rename(self, name: str, to: str) -> None:
         a, b = (posixpath.join(self.root, x) for x in (name, to))
         os.rename(a, b) if self.local else self.store.move(a, b)
@@ -121,6 +144,11 @@ def safe_name(name: str | None) -> bool:
     return all(p not in ("", ".", "..") for p in parts) and not parts[0].startswith("_") and "\\" not in name and "\0" not in name
 
 
+def tasks(spark: SparkSession) -> int:
+    """So many tasks write and read files, which are small in bytes: by those alone few would."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_files(rows: DataFrame, root: str, check: str = "") -> None:
     """Write (name, content) rows as files below ``root``, wholly or not at all.
 
@@ -133,7 +161,69 @@ def write_files(rows: DataFrame, root: str, check: str = "") -> None:
     rows.select("name", "content").write.format("whole_files").mode("append").options(path=root, check=check).save()
 
 
+def whole_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(value, path) of all files below ``root`` that aren't empty or hidden.
+
+    Tasks list the folders and read the files, many a task: the driver holds no names, and
+    small files cost no split each. What lies below each entry of ``root`` is listed by one
+    task; the files are then dealt out by their paths.
+    """
+    n = tasks(spark)
+
+    def listed(deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place = _Place(root)
+            for batch in batches:
+                for path, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found = _below(place, path, deep) if folder else iter([(path, False)])
+                    while some := list(islice(found, 10_000)):
+                        paths, folders = zip(*some)
+                        yield pa.record_batch([pa.array(paths, pa.string()), pa.array(folders, pa.bool_())], ["path", "folder"])
+
+        return run
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _Place(root)
+        for batch in batches:
+            held: list[tuple[str, bytes]] = []
+            size = 0
+            for path in batch.column(0).to_pylist():
+                if content := place.read(path):
+                    held.append((path, content))
+                    size += len(content)
+                if size > READ_BYTES:
+                    yield _contents(place, held)
+                    held, size = [], 0
+            if held:
+                yield _contents(place, held)
+
+    top = spark.range(1).select(F.lit(_Place(root).root).alias("path"), F.lit(True).alias("folder"))
+    for deep in (False, True):
+        top = top.mapInArrow(listed(deep), "path string, folder boolean").repartition(n, "path")
+    return top.select("path").mapInArrow(read, "value binary, path string").select(F.col("value").cast("string").alias("value"), "path")
+
+
+#: Bytes of files that a task holds at once, the last file's own apart.
+READ_BYTES = 8 << 20
+
+
+def _contents(place: _Place, held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([c for _, c in held], pa.binary()), pa.array([place.uri(p) for p, _ in held], pa.string())], ["value", "path"])
+
+
+def _below(place: _Place, path: str, deep: bool) -> Iterator[tuple[str, bool]]:
+    """(path, whether it is a folder) of a folder's entries; or of all files below it."""
+    open_folders = [path]
+    while open_folders:
+        for name, at, folder in place.entries(open_folders.pop()):
+            if name.startswith((".", "_")):  # of writes that aren't finished, and the like
+                continue
+            if folder and deep:
+                open_folders.append(at)
+            else:
+                yield at, folder
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(name, content, path) of the files of finished writes below ``root``."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*").text(root, wholetext=True)
-    return raw.selectExpr("regexp_extract(_metadata.file_path, '/part-[0-9]+-[0-9a-f]{32}/(.*)$', 1) AS name", "value AS content", "_metadata.file_path AS path")
+    return whole_texts(spark, root).selectExpr("regexp_extract(path, '/part-[0-9]+-[0-9a-f]{32}/(.*)$', 1) AS name", "value AS content", "path")

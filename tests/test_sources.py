@@ -263,3 +263,18 @@ def test_questions_are_the_same_in_any_partitioning(spark):
     one = sorted(map(tuple, asking.asked(items.coalesce(1), echo, "{items}", schema, 6).collect()))
     assert one == sorted(map(tuple, asking.asked(items.repartition(7), echo, "{items}", schema, 6).collect()))
     assert all(r[2] and r[3] is None for r in one)
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    from tallyforge.sources import files
+
+    root = tmp_path / "out"
+    rows = spark.range(300).selectExpr("concat('f', id, '/', id, '.txt') AS name", "if(id = 7, '', concat('text ', id)) AS content")
+    files.write_files(rows.repartition(3), str(root))
+    (root / "_staging-of-another").mkdir()
+    (root / "_staging-of-another" / "x.txt").write_text("not finished")
+    found = files.read_files(spark, str(root))
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = found.collect()
+    assert {r.name: r.content for r in got} == {f"f{i}/{i}.txt": f"text {i}" for i in range(300) if i != 7}
+    assert all(r.path.startswith(f"file://{root}/part-") for r in got)
