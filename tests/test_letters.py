@@ -145,3 +145,12 @@ def test_terms_stay_where_they_are_for_their_kinds(spark):
     kinds = spark.createDataFrame([("fee", ["money"])], "term string, kinds array<string>")
     plan = terms.guarded(frame, kinds)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(term" not in plan
+
+
+def test_quotes_of_two_words_meet_by_equal_keys(spark):
+    quotes = spark.createDataFrame([(1, "at b"), (2, "c d"), (3, "x  y")], "quote_id int, quote string")
+    segments = spark.createDataFrame([(1, 0, "a cat\nbit c dog"), (1, 1, "at x y z"), (2, 0, "hat  be; bc d")], "document int, ordinal int, text string")
+    found = passages.quote_places(quotes, segments)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 2, 0), (3, 1, 1)]
+    two = passages._two_words(quotes.selectExpr("quote_id", "quote", "split(quote, ' +') AS w"), segments.selectExpr("document", "ordinal", "split(text, '[ \n]+') AS w"))
+    assert "NestedLoop" not in two._jdf.queryExecution().executedPlan().toString()
