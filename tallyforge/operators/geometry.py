@@ -107,11 +107,11 @@ def paragraph_breaks(page_lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc", "page").orderBy(F.desc("row_y"))
     gap = F.lag("row_y").over(order) - F.col("row_y")
     gapped = page_lines.withColumn("gap", gap)
-    ranked = gapped.where("gap IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy("doc", "page").orderBy("gap"))).withColumn("n", F.count("*").over(Window.partitionBy("doc", "page")))
-    usual = ranked.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select("doc", "page", F.col("gap").alias("usual"))
-    joined = gapped.join(usual, ["doc", "page"], "left")
+    page = Window.partitionBy("doc", "page")
+    ranked = gapped.withColumn("k", F.row_number().over(page.orderBy(F.asc_nulls_last("gap")))).withColumn("n", F.count("gap").over(page))
+    joined = ranked.withColumn("usual", F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("gap"))).over(page))
     starts = F.when(F.col("gap") > PARAGRAPH * F.col("usual"), 1).otherwise(0)
-    return joined.withColumn("paragraph", F.sum(starts).over(order)).drop("gap", "usual")
+    return joined.withColumn("paragraph", F.sum(starts).over(order)).drop("gap", "usual", "k", "n")
 
 
 def money_column(right: Column, paid_out: Column, paid_in: Column, balance: Column) -> Column:

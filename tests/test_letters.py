@@ -154,3 +154,21 @@ def test_quotes_of_two_words_meet_by_equal_keys(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 2, 0), (3, 1, 1)]
     two = passages._two_words(quotes.selectExpr("quote_id", "quote", "split(quote, ' +') AS w"), segments.selectExpr("document", "ordinal", "split(text, '[ \n]+') AS w"))
     assert "NestedLoop" not in two._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dates_and_paragraphs_are_told_in_parts_that_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from tallyforge.sources import runs
+
+    rows = [(1, 0, "Dear"), (1, 1, "x" * 700), (1, 2, "5 May 2024"), (2, 0, "Due date 3 June 2024, not 4 June 2024"), (2, 1, "Due date 9 June 2024"), (3, 0, "soon")]
+    spark.createDataFrame(rows, "document int, ordinal int, text string").write.parquet(str(tmp_path / "s"))
+    held = spark.read.parquet(str(tmp_path / "s"))
+    monkeypatch.setattr(runs, "PART_BYTES", 100)
+    assert runs.spread(held, "document").rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = timeline.document_dates(held)
+    assert told._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    june = dt.date(2024, 6, 3)
+    assert {tuple(r) for r in told.collect()} == {(1, None, None), (2, june, june), (3, None, None)}
+    lines = spark.createDataFrame([(1, 1, -float(y), "x") for y in (0, 10, 20, 50, 60)] + [(2, 1, 0.0, "y")], "doc int, page int, row_y double, line string")
+    cut = geometry.paragraph_breaks(lines)
+    assert sorted((r.doc, -r.row_y, r.paragraph) for r in cut.collect()) == [(1, 0, 0), (1, 10, 0), (1, 20, 0), (1, 50, 1), (1, 60, 1), (2, 0, 0)]
+    assert "Join" not in cut._jdf.queryExecution().executedPlan().toString()
