@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm._session import staged
+from tallyforge.llm._session import forget, staged
 
 Knots = Sequence[tuple[float, float]]
 MOST = 3
@@ -120,15 +120,19 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     says. Rows are numbered and carried whole, so columns may have any names. An empty
     table gives an empty table.
     """
-    return _laid(_numbered(docs), id_col, text_col, source_col).select(*(F.col("whole")[c].alias(c) for c in docs.columns))
+    numbered = _numbered(docs)
+    return _laid(numbered, _mixed(numbered, id_col, text_col, source_col), id_col).select(*(F.col("whole")[c].alias(c) for c in docs.columns))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     return staged(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.monotonically_increasing_id().alias("row")), "numbered")
 
 
-def _laid(numbered: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = mix(numbered.select("row", *(F.col("whole")[c].alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source")))), SCHEDULES, "id", "text", "source", "row")
+def _mixed(numbered: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return mix(numbered.select("row", *(F.col("whole")[c].alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source")))), SCHEDULES, "id", "text", "source", "row")
+
+
+def _laid(numbered: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     copies = rows.where("copies > 0").select("row", "first", "size", "source_size", "target", "rank", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy"))
     laid = numbered.join(copies.select("row", F.expr(place_sql("copy")).alias("at")), "row")
     return laid.orderBy("at", F.col("whole")[id_col], "row")
@@ -139,9 +143,10 @@ def told(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     range-sorted texts are laid out, and each row's copies and their words counted there."""
     numbered = _numbered(docs.select(id_col, text_col, source_col))
     words = F.regexp_count(F.coalesce(F.col("whole")[text_col].cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    order = staged(_laid(numbered, id_col, text_col, source_col).select("row", words.alias("words")), "curriculum")
+    mixed = staged(_mixed(numbered, id_col, text_col, source_col), "mixed")
+    order = staged(_laid(numbered, mixed, id_col).select("row", words.alias("words")), "curriculum")
+    forget(numbered)
     found = order.groupBy("row").agg(F.count("*").alias("laid"), F.sum("words").alias("used"))
-    mixed = mix(numbered.select("row", *(F.col("whole")[c].alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source")))), SCHEDULES, "id", "text", "source", "row")
     return mixed.join(found, "row", "left").withColumns({"copies": F.coalesce("laid", F.lit(0).cast("long")), "taken": F.coalesce("used", F.lit(0).cast("long"))}).drop("laid", "used")
 
 

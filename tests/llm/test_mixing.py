@@ -96,3 +96,11 @@ def test_the_query_reads_its_takings_off_the_curriculum(docs, monkeypatch):
     laid = mixing._laid
     monkeypatch.setattr(mixing, "_laid", lambda *a: laid(*a).where("row < 0"))  # an empty layout takes nothing
     assert {(c, t) for _, c, t in by(mixing.told(docs))} == {(0, 0)}
+
+
+def test_the_mix_is_made_once_for_the_curriculum_and_its_figures(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(mixing, "mix", lambda *a, _mix=mixing.mix, **k: made.append(1) or _mix(*a, **k))
+    docs = spark.createDataFrame([(i, "word " * (i + 1), "ab"[i % 2]) for i in range(20)], "doc_id int, text string, source string")
+    told = mixing.told(docs).collect()
+    assert len(made) == 1 and len(told) == 20 and all(r.taken == r.copies * r.size for r in told)
