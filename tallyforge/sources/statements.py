@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -138,16 +138,29 @@ _CARD = Layout("card", str(CARD_EXPORT[1]), CARD_EXPORT[2], str(CARD_EXPORT[3]),
 _KINDS = (*LAYOUTS, _OLD, _CARD)
 
 
-def _places(header: Column) -> Column:
-    """(kind, place of each role from 1) of the first named layout that a header has whole."""
-    clean = F.transform(header, lambda h: F.lower(F.trim(F.regexp_replace(F.trim(h), "^\ufeff+", ""))))
+def _places(cells: Sequence[Column]) -> Column:
+    """A header's number: the kind of the first named layout that it has whole, from 1, then
+    the place of each role from 1, a byte each; zero where there is none.
+
+    What can't be a header is told by looking for a date's name, which every layout has, so
+    that all rows can be asked; and a number is a state that a hash aggregate can hold."""
+    clean = F.transform(F.array(*cells), lambda h: F.lower(F.trim(F.regexp_replace(F.trim(h), "^\ufeff+", ""))))
     found = []
     for k, layout in enumerate(LAYOUTS):
         wanted = [getattr(layout, r) for r in _ROLES]
-        at = [F.array_position(clean, normalise_header(h)) if h else F.lit(None).cast("long") for h in wanted]
+        at = [F.array_position(clean, normalise_header(h)) if h else F.lit(0).cast("long") for h in wanted]
         there = [F.array_position(clean, normalise_header(h)) > 0 for h in (*filter(None, wanted), *layout.needs)]
-        found.append(F.when(reduce(and_, there), F.struct(F.lit(k).alias("kind"), *[a.alias(r) for a, r in zip(at, _ROLES)])))
-    return F.coalesce(*found)
+        found.append(F.when(reduce(and_, there), reduce(add, [F.shiftleft(a, 8 * i) for i, a in enumerate(at, 1)], F.lit(k + 1).cast("long"))))
+    line = F.lower(F.concat_ws(",", *cells))
+    may_be = reduce(or_, [line.contains(normalise_header(d)) for d in dict.fromkeys(x.date for x in LAYOUTS)])
+    return F.coalesce(F.when(may_be, F.coalesce(*found)), F.lit(0).cast("long"))
+
+
+def _placed(number: Column) -> Column:
+    """(kind, place of each role) of such a number."""
+    byte = lambda i: F.shiftright(number, 8 * i).bitwiseAND(255)
+    at = [F.when(byte(i) > 0, byte(i)).alias(r) for i, r in enumerate(_ROLES, 1)]
+    return F.when(byte(0) > 0, F.struct((byte(0) - 1).cast("int").alias("kind"), *at))
 
 
 def _fixed(k: int) -> Column:
@@ -157,7 +170,7 @@ def _fixed(k: int) -> Column:
     return F.struct(F.lit(k).alias("kind"), *[a.alias(r) for a, r in zip(at, _ROLES)])
 
 
-def _fits(cells: Column) -> dict[int, Column]:
+def _fits(cells: Sequence[Column]) -> dict[int, Column]:
     """Whether a row has the shapes of an export that is told by position."""
     c = [F.trim(F.coalesce(cells[i], F.lit(""))) for i in range(10)]
     old = _currency(c[3]) & _currency(c[5]) & _decimal(c[2]) & _decimal(c[4]) & (c[8] != "") & D.parse_date(c[1], _OLD.formats).isNotNull()
@@ -169,25 +182,29 @@ def scanned(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataF
     """(rows, blocks) of CSV files: their cells as text, with the file, the block of the
     file and a number that counts on inside the block; and for each block the rows before
     it in its file, its first number, and the file's layout and places (null: none fits)."""
-    schema = ", ".join(f"c{i} string" for i in range(WIDTH))
+    # a column more than is read: else Spark holds each row that has fewer for a bad one, and throws
+    schema = ", ".join(f"c{i} string" for i in range(WIDTH + 1))
     read = spark.read.schema(schema).options(header="false", mode="PERMISSIVE", encoding="UTF-8", escape='"', nullValue="\x00")
-    cells = F.array(*[F.col(f"c{i}") for i in range(WIDTH)])
-    rows = read.csv(list(paths)).select(cells.alias("cells"), F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("in_scan"))
-    fits = _fits(F.col("cells"))
-    told = rows.groupBy("src_file", "block").agg(F.count("*").alias("n"), F.min("in_scan").alias("lead"), F.min_by("cells", "in_scan").alias("head"), *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f"fits_{k}") for k, f in fits.items()])
+    each = [F.col(f"c{i}") for i in range(WIDTH)]
+    raw = read.csv(list(paths)).select(*each, F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("in_scan"))
+    fits = _fits(each)
+    widths = {len(LAYOUTS): (OLD_EXPORT[0],), len(LAYOUTS) + 1: CARD_EXPORT[0]}
+    up_to = lambda w: each[w - 1].isNotNull() & F.coalesce(*each[w:]).isNull()  # noqa: E731  the last name's place
+    wide = {k: reduce(or_, map(up_to, w)) for k, w in widths.items()}
+    number = reduce(add, [F.shiftleft(w.cast("long"), 48 + i) for i, w in enumerate(wide.values())], _places(each))
+    told = raw.groupBy("src_file", "block").agg(F.count("*").alias("n"), F.min("in_scan").alias("lead"), F.min_by(number, "in_scan").alias("head"), *[F.coalesce(F.bool_or(f), F.lit(False)).alias(f"fits_{k}") for k, f in fits.items()])
     ahead = Window.partitionBy("src_file").orderBy("block")
     whole = Window.partitionBy("src_file")
     blocks = told.select("src_file", "block", "lead", F.coalesce(F.sum("n").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.first("head").over(ahead).alias("head"), *[F.bool_or(f"fits_{k}").over(whole).alias(f"fits_{k}") for k in fits])
-    width = F.array_max(F.transform("head", lambda h, i: F.when(h.isNotNull(), i + 1)))  # up to the last name
-    fits_width = {len(LAYOUTS): width == OLD_EXPORT[0], len(LAYOUTS) + 1: width.isin(*CARD_EXPORT[0])}
-    at = F.coalesce(_places(F.col("head")), *[F.when(F.col(f"fits_{k}") & w, _fixed(k)) for k, w in fits_width.items()])
+    at = F.coalesce(_placed(F.col("head")), *[F.when(F.col(f"fits_{k}") & (F.shiftright("head", 48 + i).bitwiseAND(1) == 1), _fixed(k)) for i, k in enumerate(wide)])
+    rows = raw.select(F.array(*each).alias("cells"), "src_file", "block", "in_scan")
     return rows, blocks.select("src_file", "block", "lead", "before", at.alias("at"))
 
 
-def read_files(spark: SparkSession, paths: Sequence[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(payments, rejects) of CSV exports of any layouts in one scan.
+def read_all(spark: SparkSession, paths: Sequence[str], strict: bool = True) -> DataFrame:
+    """Payments (reason null) and rejects of CSV exports of any layouts in one scan.
 
-    Each file is read by its own header. Both carry src_file, the layout's name and row_no
+    Each file is read by its own header. Rows carry src_file, the layout's name and row_no
     (also as seq), which counts a file's records from 1, the header being the first,
     however the scan was split. A file that no layout fits is an error, or where that
     isn't asked for one reject (unknown_layout) at its header. Of a row's cells the first
@@ -199,7 +216,7 @@ def read_files(spark: SparkSession, paths: Sequence[str], strict: bool = True) -
         if odd:
             raise UnknownLayout(f"no layout has the columns of {odd[0][0]}")
     row_no = (F.col("before") + F.col("in_scan") - F.col("lead") + 1).cast("int")
-    rows = rows.join(blocks, ["src_file", "block"]).withColumn("row_no", row_no)
+    rows = rows.join(F.broadcast(blocks), ["src_file", "block"]).withColumn("row_no", row_no)
     rows = rows.where((F.col("row_no") > 1) == F.col("at").isNotNull()).where("at IS NOT NULL OR row_no = 1")
     kind = F.col("at.kind")
     of = lambda value: F.try_element_at(F.array(*[F.lit(value(x)) for x in _KINDS]), kind + 1)
@@ -209,7 +226,12 @@ def read_files(spark: SparkSession, paths: Sequence[str], strict: bool = True) -
     date = F.coalesce(*[F.when(F.col("kind").isin([k for k, x in enumerate(_KINDS) if x.formats == f]), D.parse_date(F.col("date"), f)) for f in forms])
     found = _judged(date, {r: F.col(r) for r in _ROLES}, F.col("split"), F.col("positive"))
     found["reason"] = F.when(F.col("kind").isNull(), "unknown_layout").otherwise(found["reason"])
-    read = rows.select("src_file", "layout", "row_no", F.col("row_no").cast("long").alias("seq"), *[c.alias(n) for n, c in found.items()])
+    return rows.select("src_file", "layout", "row_no", F.col("row_no").cast("long").alias("seq"), *[c.alias(n) for n, c in found.items()])
+
+
+def read_files(spark: SparkSession, paths: Sequence[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(payments, rejects) of ``read_all``; what reads both scans the files twice."""
+    read = read_all(spark, paths, strict)
     good = read.where("reason IS NULL").select("src_file", "layout", "row_no", "seq", "date", "raw_merchant", "amount", "direction")
     return good, read.where("reason IS NOT NULL").select("src_file", "layout", "row_no", "seq", "reason", "raw_merchant")
 

@@ -278,3 +278,15 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     got = found.collect()
     assert {r.name: r.content for r in got} == {f"f{i}/{i}.txt": f"text {i}" for i in range(300) if i != 7}
     assert all(r.path.startswith(f"file://{root}/part-") for r in got)
+
+
+def test_headers_are_found_without_sorting_rows_and_files_scanned_once_for_all(spark, tmp_path):
+    cells = ",".join(["Account", "2024-01-05 10:00:00 +0000", "-9.50", "GBP", "9.50", "GBP", "a", "b", "Shop", "c", "d", "e"])
+    (tmp_path / "old.csv").write_text("x1,x2,x3,x4,x5,x6,x7,x8,x9,x10,x11,x12\n" + cells + "\n")
+    (tmp_path / "signed.csv").write_text("Amount,Date,Description\n-1.00,2024-01-05,Date Description Amount\nAmount,Date,Description\n")
+    paths = [str(tmp_path / n) for n in ("old.csv", "signed.csv")]
+    plan = statements.scanned(spark, paths)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    read = statements.read_all(spark, paths)
+    assert read._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2  # headers, rows
+    assert sorted((r.layout, r.row_no, r.raw_merchant, r.reason) for r in read.collect()) == [("signed", 2, "Date Description Amount", None), ("signed", 3, "Description", "bad_date"), ("twelve columns", 2, "Shop", None)]
