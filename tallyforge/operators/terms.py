@@ -48,8 +48,11 @@ def compare(terms: DataFrame, before: int, after: int, families: DataFrame | Non
     )
     if families is not None:
         known = keys.join(families, "term", "left")
-        labels = known.where("family IS NOT NULL").groupBy("family").agg(F.collect_set(F.when(F.col("n_before") > 0, F.col("term"))).alias("a"), F.collect_set(F.when(F.col("n_after") > 0, F.col("term"))).alias("b"))
-        split = labels.where((F.size("a") > 0) & (F.size("b") > 0) & ~F.arrays_overlap("a", "b")).select("family", F.lit(True).alias("split"))
+        # of each label whether either side has it, and of a family the same of any one label:
+        # labels lie together since the join, and no set of them is gathered
+        labels = known.where("family IS NOT NULL").groupBy("term", "family").agg(F.bool_or(F.col("n_before") > 0).alias("a"), F.bool_or(F.col("n_after") > 0).alias("b"))
+        sides = labels.groupBy("family").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"), F.bool_or(F.col("a") & F.col("b")).alias("both"))
+        split = sides.where("a AND b AND NOT both").select("family", F.lit(True).alias("split"))
         keys = known.join(split, "family", "left").withColumn("split", F.coalesce("split", F.lit(False))).drop("family")
     else:
         keys = keys.withColumn("split", F.lit(False))
