@@ -103,12 +103,13 @@ def _judged(date: Column, cell: dict[str, Column], split: Column, positive: Colu
 
     Reasons in order: bad_date, no_merchant, two_amounts, no_amount, bad_amount,
     zero_amount. A signed amount below zero turns the direction; split columns keep theirs.
+    Zero is judged as written: an amount that only rounds to 0.00 is a payment.
     """
     debit, credit = cell["debit"] != "", cell["credit"] != ""
     text = F.when(split, F.when(debit, cell["debit"]).otherwise(cell["credit"])).otherwise(cell["amount"])
     credited = F.when(split, ~debit).otherwise((positive == "credit") != text.startswith("-"))
     value = F.when(text.rlike(DECIMAL), text.try_cast("decimal(18,2)"))
-    reason = F.when(date.isNull(), "bad_date").when(cell["merchant"] == "", "no_merchant").when(split & debit & credit, "two_amounts").when(text == "", "no_amount").when(value.isNull(), "bad_amount").when(value == 0, "zero_amount")
+    reason = F.when(date.isNull(), "bad_date").when(cell["merchant"] == "", "no_merchant").when(split & debit & credit, "two_amounts").when(text == "", "no_amount").when(value.isNull(), "bad_amount").when(~text.rlike("[1-9]"), "zero_amount")
     return {"date": date, "raw_merchant": cell["merchant"], "amount": F.abs(value), "direction": F.when(credited, "credit").otherwise("debit"), "reason": reason}
 
 

@@ -1,7 +1,10 @@
+import datetime
 import json
 
 import pytest
 
+from tallyforge.plans import catalog
+from tallyforge.plans import every as _registered  # noqa: F401
 from tallyforge.sources import documents, packs, runs, statements
 
 
@@ -23,6 +26,22 @@ def test_statement_and_rejects(spark, tmp_path):
     assert [r.reason for r in bad.orderBy("seq").collect()] == ["bad_date", "no_merchant", "no_amount", "bad_amount", "zero_amount", "bad_amount"]
 
 
+def test_only_an_amount_of_nothing_is_zero(spark, tmp_path):
+    (tmp_path / "signed.csv").write_text("Date,Description,Amount\n2024-01-05,A,-0.004\n2024-01-06,B,0.0000007\n2024-01-07,C,0.000\n2024-01-08,D,-0\n")
+    good, bad = statements.read_statement(spark, str(tmp_path / "signed.csv"))
+    assert [(r.raw_merchant, str(r.amount), r.direction) for r in good.orderBy("seq").collect()] == [("A", "0.00", "debit"), ("B", "0.00", "credit")]
+    assert [(r.raw_merchant, r.reason) for r in bad.orderBy("seq").collect()] == [("C", "zero_amount"), ("D", "zero_amount")]
+
+
+def test_rejects_of_events_worth_less_than_a_penny(spark, tmp_path):
+    values = (0.0, 0.004, 5e-324, 0.005, 29.27)
+    rows = [(8 * i + k, datetime.datetime(2024, 1, 5), "click", v) for i, v in enumerate(values) for k in (5, 6)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = [(r.reason, str(r.amount), r.direction) for r in catalog.queries()["rejects"](spark, str(tmp_path)).orderBy("event_id").collect()]
+    assert found[:2] == [("zero_amount", "None", None)] * 2
+    assert found[2:] == [(None, a, d) for a in ("0.00", "0.00", "0.01", "29.27") for d in ("credit", "debit")]
+
+
 def test_split_columns_and_card(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Date,Description,Paid Out,Paid In\n05 Jan 24,Shop,-3.00,\n06/01/2024,Pay,,10\n07 Jan 2024,Both,1,2\n08 Jan 24,None,,\n")
     good, bad = statements.read_statement(spark, str(tmp_path / "a.csv"))
