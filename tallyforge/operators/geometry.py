@@ -67,6 +67,12 @@ def lines(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "page", "row_y").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("line"))
 
 
+def by_page(found: DataFrame) -> DataFrame:
+    """What is joined to the fragments of its pages: it has as many rows as there are pages,
+    so it is never broadcast, however small Spark takes what was exploded to be."""
+    return found.hint("merge")
+
+
 def channels(fragments: DataFrame, *keys: str) -> DataFrame:
     """(keys, at, width): gaps between fragments, swept left to right over the farthest
     right edge so far, wider than a share of the page."""
@@ -81,7 +87,7 @@ def channels(fragments: DataFrame, *keys: str) -> DataFrame:
 def column_cut(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(doc, page, at): the widest channel with two rows on either side that is not a gap
     inside a table, where both sides span every row. One cut, never more."""
-    cand = rows.join(found, ["doc", "page"])
+    cand = rows.join(by_page(found), ["doc", "page"])
     left = F.col("right") <= F.col("at")
     sides = cand.groupBy("doc", "page", "at", "width").agg(F.countDistinct(F.when(left, F.col("row_y"))).alias("l"), F.countDistinct(F.when(~left, F.col("row_y"))).alias("r"), F.countDistinct("row_y").alias("n"))
     good = sides.where("l >= 2 AND r >= 2 AND NOT (l = n AND r = n)")
@@ -91,7 +97,7 @@ def column_cut(rows: DataFrame, found: DataFrame) -> DataFrame:
 def cells(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(doc, page, row_y, cells): a row's text by the channels' bands, empty ones kept."""
     edges = found.groupBy("doc", "page").agg(F.array_sort(F.collect_set("at")).alias("edges"))
-    banded = rows.join(edges, ["doc", "page"], "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<double>")))
+    banded = rows.join(by_page(edges), ["doc", "page"], "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<double>")))
     banded = banded.withColumn("band", F.size(F.filter("edges", lambda e: F.col("x") >= e)))
     grouped = banded.groupBy("doc", "page", "row_y").agg(F.first("edges").alias("edges"), F.array_sort(F.collect_list(F.struct("band", "x", F.trim("text").alias("text")))).alias("f"))
     cell = F.transform(F.sequence(F.lit(0), F.size("edges")), lambda b: F.array_join(F.transform(F.filter("f", lambda p: p["band"] == b), lambda p: p["text"]), " "))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.operators import geometry
+from tallyforge.sources.runs import spread
 
 
 def passages(rows: DataFrame) -> DataFrame:
@@ -45,9 +46,9 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
     ``columns`` where a corridor that no line crosses parts it, left before right;
     ``table`` where one block has rows of several cells; else ``prose``.
     """
-    words = placed_words(blocks)
+    words = spread(placed_words(blocks), "doc", "page")  # once, for all that a page is asked
     cut = geometry.column_cut(words, geometry.channels(words, "doc", "page"))
-    parted = words.join(cut, ["doc", "page"], "left")
+    parted = words.join(geometry.by_page(cut), ["doc", "page"], "left")
     part = F.when(F.col("at").isNull() | (F.col("right") <= F.col("at")), 0).otherwise(1)
     keyed = parted.select(F.struct("doc", F.col("page").alias("block"), part.alias("part"), F.col("at").isNotNull().alias("cut")).alias("doc"), "page", "frag_no", "text", "x", "right", "row_y")
     cells = geometry.cells(keyed, geometry.channels(keyed, "doc", "page"))

@@ -172,3 +172,12 @@ def test_dates_and_paragraphs_are_told_in_parts_that_grow_with_the_input(spark,
     cut = geometry.paragraph_breaks(lines)
     assert sorted((r.doc, -r.row_y, r.paragraph) for r in cut.collect()) == [(1, 0, 0), (1, 10, 0), (1, 20, 0), (1, 50, 1), (1, 60, 1), (2, 0, 0)]
     assert "Join" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_read_without_sending_pages_to_every_task(spark):
+    from tallyforge.operators import pages
+
+    text = F.when(F.col("id") % 2 == 0, "left one      right one\nleft two      right two\nleft three\n              right four").otherwise("item      price\nfee       10.00\ntax       2.50")
+    read = pages.read_blocks(spark.range(40).select(F.col("id").alias("doc"), F.lit(1).alias("page"), text.alias("text")))
+    assert "Broadcast" not in read._jdf.queryExecution().executedPlan().toString()
+    assert {(r.reading, r.part, r.n) for r in read.groupBy("reading", "part").agg(F.count("*").alias("n")).collect()} == {("columns", 0, 20), ("columns", 1, 20), ("table", 0, 20)}
