@@ -11,15 +11,16 @@ import datetime
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from decimal import Decimal
-from functools import lru_cache
-from itertools import accumulate
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates as D
+from tallyforge.sources.runs import spread
 
 REVERSAL_DAYS = 45
 
@@ -94,8 +95,9 @@ def _day_sums(payments: DataFrame, direction: str, *keys: str, **more: Column) -
 
 def _left(days: DataFrame, *keys: str) -> DataFrame:
     """The days that keep payments, with their number n."""
-    by_day = Window.partitionBy(*keys, "amount").orderBy(F.unix_date("date"))
-    days = days.withColumn("sum", F.sum("more").over(by_day))
+    # a column, so that all windows have one order and rows are sorted once
+    by_day = Window.partitionBy(*keys, "amount").orderBy("day")
+    days = days.withColumn("day", F.unix_date("date")).withColumn("sum", F.sum("more").over(by_day))
     days = days.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(by_day)))  # a reversal of nothing pops nothing
     days = days.withColumn("below", F.coalesce(F.lag("depth").over(by_day), F.lit(0)))
     left = F.least("paid", F.min("depth").over(by_day.rangeBetween(0, REVERSAL_DAYS)) - F.col("below"))
@@ -185,54 +187,66 @@ def folded(clusters: list[tuple[Decimal, list[tuple[int, int]]]]) -> list[dict]:
     return [s | {"period": p} for s in done + series if (p := period_of_gaps(s["gaps"]))]
 
 
-def stretches(clusters: DataFrame, *keys: str) -> DataFrame:
-    """Adds stretch: a number that rises where nothing of the keys was paid for longer than
-    any series waits. What lies before can't be continued after, so stretches fold apart."""
-    order = Window.partitionBy(*keys).orderBy("first", "seq")
-    before = F.max(F.element_at("days", -1)["date"]).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce(F.datediff("first", before) > LONGEST_WAIT, F.lit(False)).cast("int")
-    return clusters.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(order)).drop("fresh")
-
-
-def series(payments: DataFrame, direction: str = "debit", account: str = "account", merchant: str = "merchant") -> DataFrame:
+def series(payments: DataFrame, direction: str = "debit", account: str = "account", merchant: str = "merchant", parts: int | None = None) -> DataFrame:
     """(account, merchant, period, amount, rise_from, rise_to, rise_when, payments) of each series.
 
-    A merchant's stretch without a pause longer than any series waits is folded as a
-    whole, since each cluster's place depends on the ones before; what it gathers are its
-    amounts by day, with their counts, so it grows with different amounts and days and not
-    with payments.
+    Each cluster's place depends on the ones before, so a merchant is folded by one task.
+    Its days arrive sorted and as numbers; what is held of it grows with its different
+    amounts and days and not with payments. ``parts`` are as many as rows are dealt over.
     """
-    # payments are read once: sums of days carry the first number too. From then on a
-    # merchant stays in one place, which all steps below can use.
+    # payments are read once: sums of days carry the first number too
     days = _day_sums(payments, direction, account, merchant, seq=F.min(F.when(F.col("direction") == direction, F.col("seq"))))
-    net = _left(days.repartition(account, merchant), account, merchant)
-    clusters = net.groupBy(account, merchant, "amount").agg(F.array_sort(F.collect_list(F.struct("date", "n", "seq"))).alias("held"))
-    clusters = clusters.select(account, merchant, "amount", F.transform("held", lambda d: F.struct(d["date"].alias("date"), d["n"].alias("n"))).alias("days"), F.col("held")[0]["date"].alias("first"), F.col("held")[0]["seq"].alias("seq")).where("first IS NOT NULL AND amount IS NOT NULL")
-    whole = stretches(clusters, account, merchant).groupBy(account, merchant, "stretch").agg(F.array_sort(F.collect_list(F.struct("first", "seq", "amount", "days"))).alias("clusters"))
-    kinds = dict(whole.dtypes)
-    money = dict(net.dtypes)["amount"]
+    dealt = days.repartition(parts, account, merchant) if parts else spread(days, account, merchant, source=payments)
+    net = _left(dealt, account, merchant).sortWithinPartitions(account, merchant, "amount", "day").select(account, merchant, "amount", "day", "n", "seq")
+    kinds = dict(net.dtypes)
+    money = kinds["amount"]
     fields = ("rise_from", "rise_to", "rise_when")
+    d = pa.decimal128(*map(int, money[8:-1].split(",")))
+
+    def begins(column: pa.Array) -> np.ndarray:
+        """Whether a row has another value than the one before."""
+        return np.concatenate([[True], pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)])
+
+    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """The series of whole merchants."""
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        fresh = begins(rows.column(account)) | begins(rows.column(merchant))
+        at = np.flatnonzero(fresh | begins(rows.column("amount")))  # a cluster's first row
+        whose = np.cumsum(fresh)[at] - 1
+        n = rows.column("n").to_numpy()
+        paid = np.add.reduceat(n, at)
+        dated = rows.column("day").is_valid().to_numpy(zero_copy_only=False)[at]  # nulls come first
+        # one payment is no series
+        kept = np.flatnonzero(dated & (np.bincount(whose, paid * dated)[whose] > 1))
+        first = rows.take(pa.array(at[kept]))
+        order = pc.sort_indices(pa.table({"whose": whose[kept], "day": first.column("day"), "seq": first.column("seq")}), sort_keys=[("whose", "ascending"), ("day", "ascending"), ("seq", "ascending")], null_placement="at_start").to_numpy()
+        number = list(zip(rows.column("day").fill_null(0).to_numpy().tolist(), n.tolist()))
+        ends = np.append(at[1:], len(n))
+        of = kept[order]
+        clusters = [(amount, number[a:b]) for amount, a, b in zip(first.column("amount").take(pa.array(order)).to_pylist(), at[of].tolist(), ends[of].tolist())]
+        cuts = np.flatnonzero(np.diff(whose[of], prepend=-1, append=-1)).tolist() if len(of) else []
+        out: list[tuple] = []
+        for a, b in zip(cuts, cuts[1:]):
+            out += [(a, s["period"], s["amount"], *(s[f] for f in fields), s["payments"]) for s in folded(clusters[a:b])]
+        place = pa.array([at[of[r[0]]] for r in out], pa.int64())
+        types = (pa.string(), d, d, d, pa.int32(), pa.int64())
+        columns = [pa.array([r[k + 1] for r in out], t) for k, t in enumerate(types)]
+        columns[4] = columns[4].cast(pa.date32())
+        return pa.record_batch([rows.column(account).take(place), rows.column(merchant).take(place), *columns], [account, merchant, "period", "amount", *fields, "payments"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows since the last merchant began
         for batch in batches:
-            # taken out of Arrow a column at a time: days are numbers, and no value a dictionary
-            batch = batch.filter(pc.and_(batch.column(account).is_valid(), batch.column(merchant).is_valid()))
-            found = batch.column("clusters")
-            each = found.flatten()
-            days = each.field("days")
-            held = days.flatten()
-            number = list(zip(held.field("date").cast(pa.int32()).to_numpy().tolist(), held.field("n").to_numpy().tolist()))
-            ends = list(accumulate(days.value_lengths().to_pylist(), initial=0))
-            clusters = [(amount, number[a:b]) for amount, a, b in zip(each.field("amount").to_pylist(), ends, ends[1:])]
-            rows: list[tuple] = []
-            ends = list(accumulate(found.value_lengths().to_pylist(), initial=0))
-            for i, (a, b) in enumerate(zip(ends, ends[1:])):
-                rows += [(i, s["period"], s["amount"], *(s[f] for f in fields), s["payments"]) for s in folded(clusters[a:b])]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            d = pa.decimal128(*map(int, money[8:-1].split(",")))
-            types = (pa.string(), d, d, d, pa.int32(), pa.int64())
-            columns = [pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)]
-            columns[4] = columns[4].cast(pa.date32())
-            yield pa.record_batch([batch.column(account).take(at), batch.column(merchant).take(at), *columns], [account, merchant, "period", "amount", *fields, "payments"])
-
-    return whole.mapInArrow(run, f"{account} {kinds[account]}, {merchant} {kinds[merchant]}, period string, amount {money}, rise_from {money}, rise_to {money}, rise_when date, payments long")
+            # here, as Spark would make every merchant's name once more to filter by it
+            batch = batch.filter(reduce(pc.and_, [batch.column(c).is_valid() for c in (account, merchant, "amount")]))
+            if not batch.num_rows:
+                continue
+            cut = int(np.flatnonzero(begins(batch.column(account)) | begins(batch.column(merchant)))[-1])
+            if cut:
+                yield told([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield told(held)
+
+    return net.mapInArrow(run, f"{account} {kinds[account]}, {merchant} {kinds[merchant]}, period string, amount {money}, rise_from {money}, rise_to {money}, rise_when date, payments long")

@@ -219,8 +219,9 @@ def _values(rows: list[tuple]) -> str:
 @register("statement_bed", f"SELECT c_custkey::VARCHAR AS account, upper(replace(shape, '_', ' ')) AS merchant, period, rose FROM customer, (VALUES {_values([(s, *t) for s, ts in beds.TRUTH.items() for t in ts])}) AS t(shape, period, rose)")
 def statement_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated statements: every series is found, none that isn't there."""
-    rows = merchants.with_stem(beds.disguised(beds.statements(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))))
-    found = cadence.series(rows.withColumn("merchant", F.col("stem")))
+    accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    rows = merchants.with_stem(beds.disguised(beds.statements(accounts)))
+    found = cadence.series(rows.withColumn("merchant", F.col("stem")), parts=beds.parts(accounts))
     return found.select("account", "merchant", "period", F.col("rise_to").isNotNull().alias("rose"))
 
 
@@ -232,9 +233,10 @@ TWIN = f"SELECT c_custkey::VARCHAR AS account, upper(replace(shape, '_', ' ')) A
 def statement_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bed's twin in another order, without one merchant, with look-alikes, and with one
     payment dearer: nothing else moves."""
-    bed = beds.statements(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
-    twin = beds.with_strangers(beds.dearer(beds.one_removed(beds.reordered(bed), "weekly_level"), "monthly_level"))
-    found = cadence.series(merchants.with_stem(twin).withColumn("merchant", F.col("stem")))
+    accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    bed = beds.statements(accounts)
+    twin = beds.reordered(beds.with_strangers(beds.dearer(beds.one_removed(bed, "weekly_level"), "monthly_level")))
+    found = cadence.series(merchants.with_stem(twin).withColumn("merchant", F.col("stem")), parts=beds.parts(accounts))
     return found.select("account", "merchant", "period", F.col("rise_to").isNotNull().alias("rose"))
 
 

@@ -37,19 +37,29 @@ TRUTH = {f"{pace}_{form}": ((pace, form == "dearer"),) for pace in PACES for for
 TRUTH |= {"till_mistake": (("weekly", False),), "two_contracts": (("monthly", False), ("monthly", False))}
 
 
+#: Accounts whose statements are one part: each becomes about two hundred payments.
+PART_ACCOUNTS = 10_000
+
+
+def parts(accounts: DataFrame) -> int:
+    """Over how many parts the accounts' statements are dealt out."""
+    return max(int(accounts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-accounts.count() // PART_ACCOUNTS))
+
+
 def statements(accounts: DataFrame, anchor: str = "2023-01-03") -> DataFrame:
     """Payments of every shape for each account (``id``), with store numbers behind the names."""
     spark = accounts.sparkSession
-    # an account becomes about two hundred payments, so accounts are dealt out before that
-    accounts = accounts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    # dealt out before they become payments, by the name that those have: so an account's
+    # payments stay in one place, which sums and twins of it can use
+    accounts = accounts.select("id", F.col("id").cast("string").alias("account")).repartition(parts(accounts), "account")
     runs = spark.createDataFrame([(i, n, k, *run) for i, (n, rs) in enumerate(RUNS.items()) for k, run in enumerate(rs)], "no int, shape string, run int, start int, step int, n int, pence int, more int")
-    rows = accounts.select(F.col("id").alias("account")).crossJoin(F.broadcast(runs))  # three dozen runs
+    rows = accounts.crossJoin(F.broadcast(runs))  # three dozen runs
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    day = F.col("start") + F.col("step") * F.col("i") + (F.col("account") % 20).cast("int")
+    day = F.col("start") + F.col("step") * F.col("i") + (F.col("id") % 20).cast("int")
     pence = F.col("pence") + F.col("more") * F.col("i")
     name = F.concat(F.upper(F.regexp_replace("shape", "_", " ")), F.lit(" "), (F.col("i") * 37 % 900 + 100).cast("string"))
-    seq = F.col("account") * 100_000 + F.col("no") * 1_000 + F.col("run") * 100 + F.col("i")
-    return rows.select(seq.alias("seq"), F.col("account").cast("string").alias("account"), name.alias("raw_merchant"), F.date_add(F.lit(anchor).cast("date"), day.cast("int")).alias("date"), (F.abs(pence) / 100).cast("decimal(18,2)").alias("amount"), F.when(pence < 0, "credit").otherwise("debit").alias("direction"), "shape")
+    seq = F.col("id") * 100_000 + F.col("no") * 1_000 + F.col("run") * 100 + F.col("i")
+    return rows.select(seq.alias("seq"), "account", name.alias("raw_merchant"), F.date_add(F.lit(anchor).cast("date"), day.cast("int")).alias("date"), (F.abs(pence) / 100).cast("decimal(18,2)").alias("amount"), F.when(pence < 0, "credit").otherwise("debit").alias("direction"), "shape")
 
 
 # Letters: shape, deadline, anchor; {d} is a date in words.
@@ -185,15 +195,16 @@ def disguised(payments: DataFrame) -> DataFrame:
 
 def with_strangers(payments: DataFrame) -> DataFrame:
     """The adversarial twin: every account also pays look-alikes of its merchants once."""
-    first = payments.groupBy("account", "shape").agg(F.min(F.struct("date", "seq", "amount")).alias("f"))
-    once = first.select((F.col("f.seq") + 50_000).alias("seq"), "account", F.concat(F.upper(F.regexp_replace("shape", "_", "")), F.lit(" LOOKALIKE")).alias("raw_merchant"), F.date_add("f.date", 1).alias("date"), F.col("f.amount").alias("amount"), F.lit("debit").alias("direction"), F.concat("shape", F.lit(" stranger")).alias("shape"))
-    return payments.unionByName(once)
+    order = Window.partitionBy("account", "shape").orderBy("date", "seq", "amount")
+    others = [c for c in payments.columns if c != "account"]
+    like = {"seq": F.col("seq") + 50_000, "raw_merchant": F.concat(F.upper(F.regexp_replace("shape", "_", "")), F.lit(" LOOKALIKE")), "date": F.date_add("date", 1), "direction": F.lit("debit"), "shape": F.concat("shape", F.lit(" stranger"))}
+    own, stranger = F.struct(*others), F.struct(*[like.get(c, F.col(c)).alias(c) for c in others])
+    both = F.when(F.row_number().over(order) == 1, F.array(own, stranger)).otherwise(F.array(own))
+    return payments.select("account", both.alias("both")).select("account", F.explode("both").alias("p")).select(*[f"p.{c}" if c != "account" else c for c in payments.columns])
 
 
 def dearer(payments: DataFrame, shape: str, by: str = "5.00") -> DataFrame:
     """The controlled twin: one merchant's last payment costs more, and nothing else moves."""
-    mine = F.col("shape") == shape
-    risen = (F.col("amount") + F.when(F.col("date") == F.max("date").over(Window.partitionBy("account")), F.lit(by).cast("decimal(18,2)")).otherwise(F.lit("0.00").cast("decimal(18,2)"))).cast("decimal(18,2)")
-    return payments.where(~F.coalesce(mine, F.lit(False))).unionByName(payments.where(mine).withColumn("amount", risen))
-
-
+    last = F.max("date").over(Window.partitionBy("account", "shape"))
+    risen = (F.col("amount") + F.lit(by).cast("decimal(18,2)")).cast("decimal(18,2)")
+    return payments.withColumn("amount", F.when((F.col("shape") == shape) & (F.col("date") == last), risen).otherwise(F.col("amount")))

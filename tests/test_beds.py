@@ -80,3 +80,20 @@ def test_codes_by_their_digits(spark):
     words = ["A1", "ab1", "abc1", "12", "é9é", "é9éé", "T12x3", "#1", "x", "1𝄞2𝄞", "𝄞1𝄞𝄞", "PAY", "a1b2c3"]
     digits = lambda w: sum(c in "0123456789" for c in w)
     assert {r.w for r in spark.createDataFrame([(w,) for w in words], "w string").where(X.is_code(F.col("w"))).collect()} == {w for w in words if digits(w) and len(w) - digits(w) <= 2}
+
+
+def test_twins_are_dealt_out_once_and_their_payments_once_more(spark):
+    from tallyforge.plans import catalog
+
+    plan = catalog.queries()["statement_twins"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Union" not in plan
+    assert plan.count("Generate explode(sequence") == 1 and "ObjectHashAggregate" not in plan
+
+
+def test_what_lacks_a_name_or_amount_is_no_series_and_holds_none_up(spark):
+    from decimal import Decimal
+
+    rows = [(i, a, m, dt.date(2024, 1, 3) + dt.timedelta(days=30 * i), p, "debit") for a, m, p in (("a", "x", Decimal(3)), (None, "x", Decimal(3)), ("a", None, Decimal(3)), ("a", "x", None), ("b", "y", Decimal(4))) for i in range(5)]
+    rows.append((9, "b", "y", None, Decimal(4), "debit"))
+    payments = spark.createDataFrame(rows, "seq long, account string, merchant string, date date, amount decimal(18,2), direction string")
+    assert [(r.account, r.merchant, r.period, r.payments) for r in cadence.series(payments, parts=1).collect()] == [("a", "x", "monthly", 5)]
