@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,24 @@ def test_blocks_are_read_without_sending_pages_to_every_task(spark):
     read = pages.read_blocks(spark.range(40).select(F.col("id").alias("doc"), F.lit(1).alias("page"), text.alias("text")))
     assert "Broadcast" not in read._jdf.queryExecution().executedPlan().toString()
     assert {(r.reading, r.part, r.n) for r in read.groupBy("reading", "part").agg(F.count("*").alias("n")).collect()} == {("columns", 0, 20), ("columns", 1, 20), ("table", 0, 20)}
+
+
+@pytest.mark.parametrize("more", [(), ("gamma",), ("one two three", "et")])
+def test_few_pairs_of_words_stand_where_many_would(spark, monkeypatch, more):
+    texts = ["the cat  sat\non the mat", "bathe catsup, lathe cat", "a b", "", " x ", "the  cat the cat one two three", "he ca\tthe cat", "gamma the catalogue"]
+    segments = spark.createDataFrame([(i % 3, i, t) for i, t in enumerate(texts)], "document int, ordinal int, text string")
+    asked = ["the cat", "e c", "a  b", "on the", "cat the", "he ca", "no where", "x x", *more]
+    quotes = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "quote_id int, quote string")
+    squashed = lambda x: " ".join(x.split())
+    want = sorted((i, j % 3, j) for i, q in enumerate(asked) for j, t in enumerate(texts) if squashed(q) in squashed(t))
+    places = passages.quote_places(quotes, segments)
+    assert sorted(map(tuple, places.collect())) == want
+    repeated = passages.quote_places(quotes, segments, repeated=True)
+    assert sorted(set(map(tuple, repeated.collect()))) == want
+    plan = repeated._jdf.queryExecution().executedPlan().toString()
+    # neither texts nor words of them nor places are shuffled, only the quotes' own first words
+    assert more or set(re.findall(r"Exchange hashpartitioning\((\w+)", plan)) == {"a"}
+    counted = lambda p: sorted(map(tuple, passages.ambiguous_quotes(p).collect()))
+    assert counted(repeated) == counted(places)
+    monkeypatch.setattr(passages, "FEW", 0)
+    assert sorted(map(tuple, passages.quote_places(quotes, segments).collect())) == want
